@@ -1 +1,184 @@
-QUERIES = {}
+"""Byte-level BPE encoding and decoding by recursive DuckDB queries, one database per task.
+
+Words are the matches of the vocabulary's pattern.  A word that is a vocabulary entry is its own id; the others go, once
+each, into a table of token positions that starts with one row per byte.  Each step of a recursive query joins
+neighbouring tokens to the merge table, finds for every word the smallest rank and of equal ranks the leftmost pair,
+and contracts it; a word without a pair left is finished.  Ids are decoded by an aggregation ordered by position.
+
+A task remembers the encodings of a bounded number of words, so memory doesn't grow with the input.  Texts are
+whole; words and texts may be of any length.  Defined cases: null and empty texts have no ids and decode to no bytes;
+strings that other vocabularies treat as special are ordinary text; repeated rows keep a row each; an empty table gives
+an empty result; other columns are ignored.
+"""
+
+from __future__ import annotations
+
+import base64
+import hashlib
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
+from pyspark.sql import DataFrame, SparkSession
+
+from windloom.llm.common import slices
+
+#: Remembered words and space-separated pieces per task; words of one recursive query; token rows of one decoding query.
+MAX_WORDS, MAX_PIECES, QUERY_WORDS, QUERY_TOKENS = 600_000, 200_000, 20_000, 2_000_000
+
+ENCODE = """
+with recursive step(word, pos, token, active) as (
+  select word, pos, token, true from tokens
+  union all
+  select word, pos, case when pos = best_pos then best_rank else token end, best_pos is not null
+  from (
+    select word, pos, token, lag(pos) over (partition by word order by pos) as previous,
+           (best >> 32)::int as best_rank, (best & 4294967295)::int as best_pos
+    from (
+      select word, pos, token, min(pair) over (partition by word) as best
+      from (
+        select a.word, a.pos, a.token, (merges.rank::bigint << 32) | a.pos as pair
+        from (select word, pos, token, lead(token) over (partition by word order by pos) as next from step where active) a
+        left join merges on merges.pair = (a.token::bigint << 20) | a.next
+      )
+    )
+  )
+  where best_pos is null or previous is null or previous <> best_pos
+)
+select word, list(token order by pos) as ids from step where not active group by word order by word
+"""
+
+DECODE = "select doc, string_agg(hex, '' order by pos) as hex from ids join vocabulary using (token) group by doc order by doc"
+
+_codecs: dict[tuple[str, str], Codec] = {}
+
+
+class Codec:
+    """The vocabulary in a DuckDB database of this task's process."""
+
+    def __init__(self, rank_file: str, pattern: str) -> None:
+        import duckdb
+        import regex
+
+        with open(rank_file, "rb") as f:
+            self.rank = {base64.b64decode(a): int(b) for a, b in map(bytes.split, f)}
+        # White space by its Unicode property, whatever the regex library takes \s to be.
+        self.find = regex.compile(pattern.replace(r"\s", r"\p{White_Space}").replace(r"\S", r"\P{White_Space}")).findall
+        self.of_byte = np.array([self.rank[bytes([b])] for b in range(256)], np.int32)
+        self.db = duckdb.connect(config={"threads": 1, "memory_limit": "400MB"})
+        merges = [(left << 20 | right, k) for t, k in self.rank.items() for i in range(1, len(t)) if (left := self.rank.get(t[:i])) is not None and (right := self.rank.get(t[i:])) is not None]
+        self._table("merges", pair=pa.array([m[0] for m in merges], pa.int64()), rank=pa.array([m[1] for m in merges], pa.int32()))
+        self._table("vocabulary", token=pa.array(list(self.rank.values()), pa.int32()), hex=pa.array([t.hex() for t in self.rank]))
+        self.words: dict[str, bytes] = {}
+        self.pieces: dict[str, bytes] = {}
+
+    def _table(self, name: str, **columns) -> None:
+        self.db.register("arrow", pa.table(columns))
+        self.db.execute(f"create or replace temp table {name} as select * from arrow")
+        self.db.unregister("arrow")
+
+    def _merge(self, words: list[str]) -> None:
+        """Remember the ids of words that are no vocabulary entries."""
+        words.sort(key=len)  # words of like length reach their fixpoint together
+        for start in range(0, len(words), QUERY_WORDS):
+            part = [w.encode() for w in words[start : start + QUERY_WORDS]]
+            size = np.array([len(w) for w in part])
+            first = np.repeat(np.cumsum(size) - size, size)
+            flat = self.of_byte[np.frombuffer(b"".join(part), np.uint8)]
+            self._table("tokens", word=np.repeat(np.arange(len(part), dtype=np.int32), size), pos=(np.arange(len(flat)) - first).astype(np.int32), token=flat)
+            done = self.db.execute(ENCODE).to_arrow_table()
+            ids = done.column("ids").combine_chunks()
+            raw, cut = ids.flatten().to_numpy(zero_copy_only=False).astype("<u4").tobytes(), np.cumsum(np.r_[0, ids.value_lengths().to_numpy()]) * 4
+            for k, w in enumerate(words[start : start + QUERY_WORDS]):
+                self.words[w] = raw[cut[k] : cut[k + 1]]
+
+    def encode(self, texts: list[str]) -> list[bytes]:
+        """Ids of each text as little-endian unsigned 32-bit integers."""
+        if len(self.words) > MAX_WORDS:
+            self.words.clear()
+        if len(self.pieces) > MAX_PIECES:
+            self.pieces.clear()
+        # A space between two characters that aren't white space always begins a word: texts are cut there.
+        cut = [_cut(t) for t in texts]
+        new = {p: self.find(p) for p in set().union(*cut).difference(self.pieces)}
+        missing: list[str] = []
+        for w in {w for found in new.values() for w in found}.difference(self.words):
+            k = self.rank.get(w.encode())
+            if k is None:
+                missing.append(w)
+            else:
+                self.words[w] = k.to_bytes(4, "little")
+        self._merge(missing)
+        for p, found in new.items():
+            self.pieces[p] = b"".join(map(self.words.__getitem__, found))
+        return [b"".join(map(self.pieces.__getitem__, c)) for c in cut]
+
+    def decode(self, ids: list[bytes]) -> list[bytes]:
+        """The bytes that each document's ids stand for."""
+        size = np.array([len(x) // 4 for x in ids], np.int64)
+        out = [b""] * len(ids)
+        start = 0
+        while start < len(ids):
+            end = start + 1
+            total = size[start]
+            while end < len(ids) and total + size[end] <= QUERY_TOKENS:
+                total += size[end]
+                end += 1
+            n = size[start:end]
+            first = np.repeat(np.cumsum(n) - n, n)
+            token = np.frombuffer(b"".join(ids[start:end]), "<u4").astype(np.int32)
+            self._table("ids", doc=np.repeat(np.arange(start, end, dtype=np.int32), n), pos=(np.arange(len(token)) - first).astype(np.int32), token=token)
+            for doc, text in self.db.execute(DECODE).fetchall():
+                out[doc] = bytes.fromhex(text)
+            start = end
+        return out
+
+
+def _cut(text: str) -> list[str]:
+    """The text in pieces, cut before spaces that stand between two characters that aren't white space."""
+    parts = text.split(" ")
+    out, held = [], parts[0]
+    for p in parts[1:]:
+        if p and held and not p[0].isspace() and not held[-1].isspace():
+            out.append(held)
+            held = " " + p
+        else:
+            held += " " + p
+    if held:
+        out.append(held)
+    return out
+
+
+def codec(rank_file: str, pattern: str) -> Codec:
+    if (rank_file, pattern) not in _codecs:
+        _codecs[rank_file, pattern] = Codec(rank_file, pattern)
+    return _codecs[rank_file, pattern]
+
+
+def round_trip(docs: DataFrame, rank_file: str, pattern: str, keep_ids: bool = False) -> DataFrame:
+    """``(doc_id, n_tokens, ids_sha256, decoded_sha256)`` per row, with ``keep_ids`` also ``ids`` and ``decoded``."""
+    schema = "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string" + ", ids binary, decoded binary" * keep_ids
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in slices(batches, 1024):
+            own = codec(rank_file, pattern)
+            ids = own.encode([x or "" for x in batch.column(1).to_pylist()])
+            decoded = own.decode(ids)
+            sums = [pa.array([hashlib.sha256(x).hexdigest() for x in column], pa.string()) for column in (ids, decoded)]
+            columns = [batch.column(0), pa.array([len(x) // 4 for x in ids], pa.int64()), *sums]
+            if keep_ids:
+                columns += [pa.array(ids, pa.binary()), pa.array(decoded, pa.binary())]
+            yield pa.RecordBatch.from_arrays(columns, [c.split()[0] for c in schema.split(", ")])
+
+    return docs.selectExpr("cast(doc_id as long) as doc_id", "text").mapInArrow(run, schema)
+
+
+def op6_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Encoding and decoding of every document by the 50k byte-level ranks."""
+    import public_tokenizers
+
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    return round_trip(docs, public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN)
+
+
+QUERIES = {"op6_byte_bpe": op6_byte_bpe}
