@@ -1 +1,221 @@
-QUERIES = {}
+"""Packing with a controlled mixture: deficit round-robin over the sources' queues.
+
+A source's queue holds its documents' tokens (each document ends with the id 1), cut into packets of at most
+``packet`` tokens.  Round r adds to every source's deficit a quantum in proportion to its share of the mixture (by default
+its share of all tokens), the quanta of a round making one window, and serves packets while the deficit covers them;
+what is left is carried into the next round.  A packet whose end stands at c tokens in its queue is therefore served
+in round ceil(c / quantum): the rounds of all packets follow from running sums of the queues alone, with no state
+passed between partitions.  Packets in the order (round, source, place in the queue) fill windows of 2048 tokens without
+gaps, a packet at a window's end being cut; only the last window can be short, and is padded.
+
+Running sums go in two steps (parts, then within a part) so that no task holds a source or the whole order.
+Defined cases: a null text counts as empty and has the one id 1; a null source is a source of its own; repeated rows
+are documents of their own; the token of a special string inside a text is that of the library's default; an empty
+table gives an empty result; other columns are ignored.
+"""
+
+from __future__ import annotations
+
+import json
+import os
+import sys
+import zlib
+from array import array
+from collections.abc import Iterator
+from functools import cache
+
+import numpy as np
+import pyarrow as pa
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+from pyspark.sql.window import Window
+
+from windloom.llm.common import slices, store
+
+#: Tokens of a window and of the largest packet; parts of a queue; remembered words per task.
+WINDOW, PACKET, QUEUE_PARTS, MAX_WORDS = 2048, 256, 1024, 500_000
+
+
+class Tokenizer:
+    """Ids as unsigned 16-bit integers of the vocabulary in a tokenizers file, with words remembered.
+
+    Byte-level BPE whose ids stand in merge order is encoded by the ranks read from the file, several times as fast as the
+    library and with the same ids (tests compare them); other files are encoded by the library.
+    """
+
+    def __init__(self, file: str) -> None:
+        from tokenizers import Tokenizer as Library
+
+        os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
+        self.library = Library.from_file(file)
+        if self.library.get_vocab_size() > 65536:
+            raise ValueError("ids must fit in 16 bits")
+        self.special = {t.content: k for k, t in self.library.get_added_tokens_decoder().items()}
+        self.ranks = _by_ranks(file, self.special)
+        self.words: dict[str, bytes] = {}
+
+    def _encode(self, texts: list[str]) -> list[bytes]:
+        if self.ranks is None:
+            return [np.array(e.ids, "<u2").tobytes() for e in self.library.encode_batch_fast(texts, add_special_tokens=False)]
+        plain, full = self.ranks.encode_ordinary, self.ranks.encode
+        found = ((full(t, allowed_special="all") if any(s in t for s in self.special) else plain(t)) for t in texts)
+        return [array("H", ids).tobytes() for ids in found]
+
+    def encode(self, texts: list[str]) -> list[bytes]:
+        if len(self.words) > MAX_WORDS:
+            self.words.clear()
+        words = self.words
+        # A space between two characters that aren't white space begins a word of its own; texts are cut there.
+        # Texts with a special string are left whole.
+        cut = [[t] if any(s in t for s in self.special) else t.split(" ") for t in texts]
+        cut = [c if all(p and not p[0].isspace() and not p[-1].isspace() for p in set(c)) else _rejoined(c) for c in cut]
+        keys = [[c[0], *(" " + p for p in c[1:])] if len(c) > 1 else c for c in cut]
+        new = list(set().union(*keys).difference(words))
+        words.update(zip(new, self._encode(new), strict=True))
+        return [b"".join(map(words.__getitem__, k)) for k in keys]
+
+
+def _rejoined(parts: list[str]) -> list[str]:
+    """The parts of a text split at spaces, with those joined again whose space isn't between two plain characters."""
+    out, held = [], parts[0]
+    for p in parts[1:]:
+        if p and held and not p[0].isspace() and not held[-1].isspace():
+            out.append(held)
+            held = p
+        else:
+            held += " " + p
+    return [*out, held]
+
+
+def _by_ranks(file: str, special: dict[str, int]):
+    """A rank encoder with the file's vocabulary, or None if it isn't plain byte-level BPE with ids in merge order."""
+    import public_tokenizers
+    import tiktoken
+
+    with open(file, encoding="utf-8") as f:
+        spec = json.load(f)
+    model, cut = spec["model"], spec["pre_tokenizer"] or {}
+    plain = model["type"] == "BPE" and not any(model.get(k) for k in ("dropout", "unk_token", "continuing_subword_prefix", "end_of_word_suffix", "byte_fallback", "ignore_merges"))
+    if sys.byteorder != "little" or not plain or spec["normalizer"] or cut.get("type") != "ByteLevel" or cut.get("add_prefix_space") or not cut.get("use_regex", True):
+        return None
+    if any(t["single_word"] or t["lstrip"] or t["rstrip"] for t in spec["added_tokens"]):
+        return None
+    # The characters that stand for bytes: printable Latin-1 for themselves, the others from U+0100 on.
+    shown = [b for b in range(256) if 33 <= b <= 126 or 161 <= b <= 172 or 174 <= b <= 255]
+    byte = {chr(b): b for b in shown} | {chr(256 + k): b for k, b in enumerate(b for b in range(256) if b not in set(shown))}
+    ranks = {bytes(byte[c] for c in t): k for t, k in model["vocab"].items() if t not in special}
+    merged = [model["vocab"]["".join(m.split(" ") if isinstance(m, str) else m)] for m in model["merges"]]
+    if merged != sorted(merged):
+        return None
+    return tiktoken.Encoding("own", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens=special)
+
+
+@cache
+def tokenizer(file: str) -> Tokenizer:
+    return Tokenizer(file)
+
+
+def tokenized(docs: DataFrame, file: str, end_id: int = 1) -> DataFrame:
+    """``(row, doc_id, source, n, ids)`` per row: ids as 16-bit integers, the end id included; stored."""
+    end = end_id.to_bytes(2, "little")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in slices(batches):
+            ids = [x + end for x in tokenizer(file).encode([x or "" for x in batch.column(2).to_pylist()])]
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array([len(x) // 2 for x in ids], pa.int64()), pa.array(ids, pa.binary())], ["doc_id", "source", "n", "ids"])
+
+    source = F.col("source").cast("string") if "source" in docs.columns else F.lit(None).cast("string")
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), source.alias("source"), "text")
+    made = rows.mapInArrow(run, "doc_id long, source string, n long, ids binary")
+    return store(made.withColumn("row", F.monotonically_increasing_id()), "tokens")
+
+
+def _running_sum(df: DataFrame, keys: list[str], part: str, order: list[str], value: str, name: str) -> DataFrame:
+    """``df`` plus the sum of ``value`` before each row of its ``keys`` in the order (part, order)."""
+    sums = df.groupBy(*keys, part).agg(F.sum(value).alias("__sum"))
+    before = Window.partitionBy(*keys).orderBy(part).rowsBetween(Window.unboundedPreceding, -1)
+    sums = sums.withColumn("__before", F.coalesce(F.sum("__sum").over(before), F.lit(0))).drop("__sum")
+    inside = Window.partitionBy(*keys, part).orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)
+    own = df.withColumn("__own", F.coalesce(F.sum(value).over(inside), F.lit(0)))
+    return own.join(sums, [*keys, part]).withColumn(name, F.col("__before") + F.col("__own")).drop("__before", "__own")
+
+
+def served(docs: DataFrame, window: int, packet: int, mixture: DataFrame | None = None) -> DataFrame:
+    """``(row, round, source, place, start, length)`` of every packet of ``docs(row, source, n)``.
+
+    ``mixture(source, share)``: other shares than the sources' own, any scale; sources not in it get no quantum of
+    their own and are served as the smallest share is.
+    """
+    queues = docs.select("row", F.coalesce(F.concat(F.lit("="), "source"), F.lit("")).alias("source"), "n")
+    queues = queues.withColumn("part", F.pmod(F.xxhash64("row"), F.lit(QUEUE_PARTS)).cast("int"))
+    queues = _running_sum(queues, ["source"], "part", ["row"], "n", "before")
+    totals = queues.groupBy("source").agg(F.sum("n").alias("total"))
+    if mixture is not None:
+        shares = mixture.select(F.coalesce(F.concat(F.lit("="), "source"), F.lit("")).alias("source"), F.col("share").cast("double"))
+        totals = totals.join(shares, "source", "left")
+        least = totals.agg(F.min("share").alias("s")).withColumn("s", F.coalesce("s", F.lit(1.0)))
+        totals = totals.join(F.broadcast(least)).select("source", F.coalesce("share", "s").alias("weight"))
+    else:
+        totals = totals.select("source", F.col("total").cast("double").alias("weight"))
+    whole = totals.agg(F.sum("weight").alias("whole"))  # one row
+    quantum = totals.join(F.broadcast(whole)).select("source", (F.col("weight") / F.col("whole") * window).alias("quantum"))
+    packets = queues.join(quantum, "source").withColumn("k", F.explode(F.sequence(F.lit(0), F.expr(f"cast((n - 1) div {packet} as int)"))))
+    start = F.col("k").cast("long") * packet
+    packets = packets.select("row", "source", "quantum", start.alias("start"), F.least(F.lit(packet), F.col("n") - start).cast("long").alias("length"), (F.col("before") + start).alias("place"))
+    end = F.col("place") + F.col("length")
+    return packets.select("row", F.ceil(end / F.col("quantum")).alias("round"), "source", "place", "start", "length")
+
+
+def placed(packets: DataFrame, window: int) -> DataFrame:
+    """``(row, start, length, sequence_id, offset)`` of every piece: packets in their order, cut at window ends."""
+    order = ["round", "source", "place"]
+    n = max(1, int(packets.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+    ranged = packets.repartitionByRange(n, *order).withColumn("part", F.spark_partition_id())
+    whole = _running_sum(store(ranged, "packets").withColumn("all", F.lit(0)), ["all"], "part", order, "length", "at")
+    fits = F.lit(window) - F.col("at") % window
+    first = F.struct(F.col("start"), F.least("length", fits).alias("length"), F.col("at"))
+    more = F.struct((F.col("start") + fits).alias("start"), (F.col("length") - fits).alias("length"), (F.col("at") + fits).alias("at"))
+    pieces = whole.select("row", F.explode(F.when(F.col("length") > fits, F.array(first, more)).otherwise(F.array(first))).alias("p"))
+    at = F.col("p.at")
+    return pieces.select("row", "p.start", "p.length", F.expr(f"p.at div {window}").alias("sequence_id"), (at % window).alias("offset"))
+
+
+def pack(docs: DataFrame, file: str | None = None, window: int = WINDOW, packet: int = PACKET, mixture: DataFrame | None = None, keep_ids: bool = False) -> DataFrame:
+    """One row per piece: ``doc_id, start, length, ids_crc32, doc_tokens, sequence_id, offset``; with ``keep_ids``
+    also ``ids`` (little-endian unsigned 32-bit integers), from which sequences are put together.  ``packet`` is at most
+    ``window``."""
+    if not 0 < packet <= window:
+        raise ValueError("a packet must fit in a window")
+    if file is None:
+        import public_tokenizers
+
+        file = public_tokenizers.path("byte_bpe_50k.json")
+    tokens = tokenized(docs, file)
+    pieces = placed(served(tokens, window, packet, mixture), window)
+    # The pieces of one document: at most its own tokens / packet + tokens / window + 1 of them.
+    lists = pieces.groupBy("row").agg(F.collect_list(F.struct("start", "length", "sequence_id", "offset")).alias("pieces"))
+    joined = tokens.select("row", "doc_id", "n", "ids").join(lists, "row").select("doc_id", "n", "ids", "pieces")
+    schema = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long" + ", ids binary" * keep_ids
+    names = [c.split()[0] for c in schema.split(", ")]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in slices(batches):
+            lists = batch.column(3)
+            per, flat = lists.value_lengths().to_numpy(), lists.flatten()
+            start, length, sequence, offset = (flat.field(k).to_numpy() for k in range(4))
+            doc = np.repeat(np.arange(batch.num_rows), per)
+            wide = [np.frombuffer(x, "<u2").astype("<u4").tobytes() for x in batch.column(2).to_pylist()]
+            own = [wide[d][4 * s : 4 * (s + n)] for d, s, n in zip(doc.tolist(), start.tolist(), length.tolist(), strict=True)]
+            at = pa.array(doc)
+            columns = [batch.column(0).take(at), pa.array(start), pa.array(length), pa.array([zlib.crc32(x) for x in own], pa.int64()), batch.column(1).take(at), pa.array(sequence), pa.array(offset)]
+            yield pa.RecordBatch.from_arrays(columns + [pa.array(own, pa.binary())] * keep_ids, names)
+
+    return joined.mapInArrow(run, schema)
+
+
+def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All documents packed into windows of 2048 tokens, mixed by source."""
+    return pack(spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "source", "text"))
+
+
+QUERIES = {"op10_packing": op10_packing}
