@@ -1 +1,145 @@
-QUERIES = {}
+"""Embedding near-duplicates by spherical-cap filters with structured random product codes.
+
+Vectors are turned by a fixed random rotation and cut into blocks; each block has a small set of random unit codes, and
+a filter direction is one code of every block, so that a few codes stand for a very large number of directions.  A
+vector is indexed under the direction nearest to it, and list-decoded to all directions whose caps it exceeds: those
+within a margin of its nearest one, found block by block with partial sums and never by trying all.  Equi-joining the
+decoded lists with the index on (label, dimension, filter) gives candidates, whose cosine is then computed in double
+precision.
+
+The margin: for vectors at cosine t, what one prefers of two directions the other scores at most sqrt(2 - 2 t) times
+their distance lower, and for differences of random direction that is a normal variate of deviation
+sqrt((2 - 2 t) / d) * distance.  ``MARGIN`` is about five such deviations for directions that differ in two blocks; a pair has
+two chances, as either vector can find the other.
+
+Equal vectors of a label are one class: they are linked without comparing, and only classes are compared.  Defined cases:
+a null label, a null or zero vector, and null or non-finite components link with nothing; vectors of unlike length
+are never compared; repeated rows count as vectors of their own; an empty table gives an empty result; other columns are
+ignored.
+"""
+
+from __future__ import annotations
+
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from windloom.llm.common import connected_components, slices, store
+
+BLOCKS, MARGIN, SEED = 4, 0.25, 20240601
+
+
+class ProductCode:
+    """Codes for vectors of ``d`` components: ``codes`` random unit vectors in each of four blocks."""
+
+    def __init__(self, d: int, codes: int) -> None:
+        rng = np.random.default_rng([SEED, d, codes])
+        self.width, self.codes = -(-d // BLOCKS), codes
+        full = self.width * BLOCKS
+        self.turn = np.linalg.qr(rng.standard_normal((full, full)))[0][:, :d]
+        own = rng.standard_normal((BLOCKS, codes, self.width))
+        self.book = own / np.linalg.norm(own, axis=2, keepdims=True)
+
+    def decode(self, unit: np.ndarray, margin: float) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """The nearest filter of each row, and (row, filter) of all filters within ``margin`` of its score."""
+        turned = (unit @ self.turn.T).reshape(len(unit), BLOCKS, self.width)
+        score = np.einsum("nbw,bcw->nbc", turned, self.book)
+        lack = score.max(axis=2, keepdims=True) - score
+        rows, lists, gaps = np.arange(len(unit)), np.zeros(len(unit), np.int64), np.zeros(len(unit))
+        top = np.zeros(len(unit), np.int64)
+        for b in range(BLOCKS):
+            top = top * self.codes + lack[:, b].argmin(axis=1)
+            total = gaps[:, None] + lack[rows, b]
+            at, code = np.nonzero(total <= margin)
+            rows, lists, gaps = rows[at], lists[at] * self.codes + code, total[at, code]
+        return top, rows, lists
+
+
+def code_size(vectors: int) -> int:
+    """Codes a block: filters (its fourth power) at least as many as vectors, so that a filter's list stays short."""
+    return max(16, int(np.ceil(vectors**0.25)))
+
+
+def _matrix(column: pa.Array) -> np.ndarray:
+    return np.asarray(column.flatten().to_numpy(zero_copy_only=False), np.float64).reshape(len(column), -1)
+
+
+def classes_of(vectors: DataFrame) -> DataFrame:
+    """``(vec_id, cid, label, dim, embedding)`` per row; ``cid`` is null for vectors that link with nothing."""
+    e = F.col("embedding").cast("array<double>")
+    # x * 0 is 0 for finite x only; the sums are null-safe by the check for nulls.
+    finite = F.forall(e, lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf")))
+    some = F.exists(e, lambda x: x != 0)
+    valid = F.coalesce(F.col("label").isNotNull() & finite & some, F.lit(False))
+    label = F.col("label").cast("string")
+    return vectors.select(
+        F.col("vec_id").cast("long").alias("vec_id"), F.when(valid, F.xxhash64(label, e)).alias("cid"), label.alias("label"), F.size(e).alias("dim"), e.alias("embedding")
+    )
+
+
+def links(classes: DataFrame, threshold: float) -> DataFrame:
+    """``(a, b)`` for each two of ``classes(cid, label, dim, embedding)`` with cosine ``threshold`` or more, a < b."""
+    codes = code_size(classes.count())
+
+    def filters(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        known: dict[int, ProductCode] = {}
+        for batch in slices(batches, 1024):
+            dims = batch.column(2).to_numpy()
+            for d in np.unique(dims):
+                own = pa.array(np.flatnonzero(dims == d))
+                part = batch.take(own)
+                code = known.setdefault(int(d), ProductCode(int(d), codes))
+                x = _matrix(part.column(3))
+                x = x / np.abs(x).max(axis=1, keepdims=True)
+                top, rows, found = code.decode(x / np.linalg.norm(x, axis=1, keepdims=True), MARGIN)
+                lists = pa.ListArray.from_arrays(pa.array(np.searchsorted(rows, np.arange(len(x) + 1)), pa.int32()), pa.array(found))
+                yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), part.column(2), pa.array(top), lists], ["cid", "label", "dim", "top", "near"])
+
+    coded = store(classes.mapInArrow(filters, "cid long, label string, dim int, top long, near array<long>"), "filters")
+    index = coded.select(F.col("cid").alias("other"), "label", "dim", F.col("top").alias("filter"))
+    probe = coded.select("cid", "label", "dim", F.explode("near").alias("filter"))
+    pairs = probe.join(index, ["label", "dim", "filter"]).where("cid <> other")
+    pairs = pairs.select(F.least("cid", "other").alias("a"), F.greatest("cid", "other").alias("b")).distinct()
+    left = classes.select(F.col("cid").alias("a"), F.col("embedding").alias("x"))
+    right = classes.select(F.col("cid").alias("b"), F.col("embedding").alias("y"))
+
+    def verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in slices(batches, 1024):
+            dims = batch.column(2).value_lengths().to_numpy()
+            for d in np.unique(dims):
+                part = batch.take(pa.array(np.flatnonzero(dims == d)))
+                x, y = _matrix(part.column(2)), _matrix(part.column(3))
+                x, y = x / np.abs(x).max(axis=1, keepdims=True), y / np.abs(y).max(axis=1, keepdims=True)
+                cosine = (x * y).sum(axis=1) / (np.sqrt((x * x).sum(axis=1)) * np.sqrt((y * y).sum(axis=1)))
+                yield part.filter(pa.array(cosine >= threshold)).select([0, 1])
+
+    return pairs.join(left, "a").join(right, "b").select("a", "b", "x", "y").mapInArrow(verify, "a long, b long")
+
+
+def near_duplicates(vectors: DataFrame, threshold: float = 0.98) -> DataFrame:
+    """``(vec_id, n_links, component_id, kept)`` per row of ``vectors(vec_id, embedding, label)``."""
+    rows = store(classes_of(vectors), "vectors")
+    classes = rows.where("cid is not null").groupBy("cid").agg(F.count(F.lit(1)).alias("copies"), F.min("vec_id").alias("first_id"), F.first("label").alias("label"), F.first("dim").alias("dim"), F.first("embedding").alias("embedding"))
+    classes = store(classes, "classes")
+    found = store(links(classes.select("cid", "label", "dim", "embedding"), threshold), "links")
+    both = found.unionByName(found.select(F.col("b").alias("a"), F.col("a").alias("b")))
+    size = classes.select(F.col("cid").alias("b"), "copies")
+    degree = both.join(size, "b").groupBy(F.col("a").alias("cid")).agg(F.sum("copies").alias("others"))
+    roots = connected_components(found).withColumnRenamed("node", "cid")
+    of = classes.select("cid", "copies", "first_id").join(degree, "cid", "left").join(roots, "cid", "left")
+    of = of.select("cid", (F.col("copies") - 1 + F.coalesce("others", F.lit(0))).alias("n"), F.coalesce("root", "cid").alias("root"), "first_id")
+    of = of.join(of.groupBy("root").agg(F.min("first_id").alias("component")), "root").select("cid", "n", "component")
+    joined = rows.select("vec_id", "cid").join(of, "cid", "left")
+    component = F.coalesce("component", "vec_id")
+    return joined.select("vec_id", F.coalesce("n", F.lit(0)).cast("long").alias("n_links"), component.alias("component_id"), F.coalesce(F.col("vec_id") == component, F.lit(False)).alias("kept"))
+
+
+def op5_embedding_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Links and components of all vectors at cosine 0.98 within equal labels."""
+    return near_duplicates(spark.read.parquet(f"{sf_dir}/embeddings.parquet"))
+
+
+QUERIES = {"op5_embedding_near_dedup": op5_embedding_near_dedup}
