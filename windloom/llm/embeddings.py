@@ -9,7 +9,7 @@ precision.
 
 The margin: for vectors at cosine t, what one prefers of two directions the other scores at most sqrt(2 - 2 t) times
 their distance lower, and for differences of random direction that is a normal variate of deviation
-sqrt((2 - 2 t) / d) * distance.  ``MARGIN`` is about five such deviations for directions that differ in two blocks; a pair has
+sqrt((2 - 2 t) / d) * distance.  ``MARGIN`` is about three such deviations for directions that differ in two blocks; a pair has
 two chances, as either vector can find the other.
 
 Equal vectors of a label are one class: they are linked without comparing, and only classes are compared.  Defined cases:
@@ -29,7 +29,7 @@ from pyspark.sql import functions as F
 
 from windloom.llm.common import connected_components, slices, store
 
-BLOCKS, MARGIN, SEED = 4, 0.25, 20240601
+BLOCKS, MARGIN, SEED = 4, 0.16, 20240601
 
 
 class ProductCode:

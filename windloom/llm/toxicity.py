@@ -1 +1,275 @@
-QUERIES = {}
+"""Toxicity by maximum-scoring segments.
+
+Tokens are maximal runs without white space, lower-cased, with ASCII punctuation stripped at both ends.  Each stands for
+itself and for its prefixes of 4 to 8 characters, hashed into 2**20 buckets; a bucket's log-odds between toxic and clean
+labelled documents are computed from the documents that hold it, under a Dirichlet prior with the corpus's own
+proportions.  A token's score is the largest significant log-odds among its buckets; tokens without any weigh a little
+against toxicity.  One linear pass over a text finds all maximal scoring segments.  Segment scores are calibrated by extreme-value statistics:
+lambda solves sum p(token) exp(lambda score) = 1 over clean tokens, K comes from the best segments of clean documents,
+and a segment of score S in a text of n tokens has E-value K n exp(-lambda S).  A document's evidence is that of its best
+segment and the sum over its significant segments; a logistic curve turns it into a score from 0 to 1.
+
+Counts cover all labelled rows that may be learned from; the tables gathered on the driver have at most 2**20 rows, and the
+curve is fitted on at most ``MAX_CURVE`` rows (smallest hash of doc_id), a stated bound.  Scoring covers whole texts.
+Defined cases: a null text counts as empty; a text without tokens has no evidence; rows of ``labels`` with nulls are
+ignored, of repeated ones the majority counts (ties: 1); without both classes every score is the share of label 1 (0.5
+without labels); repeated rows keep a row each; an empty table gives an empty result.
+"""
+
+from __future__ import annotations
+
+import zlib
+from collections.abc import Iterator
+from dataclasses import dataclass
+
+import numpy as np
+import pyarrow as pa
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from windloom.llm.common import slices, text_bytes
+from windloom.llm.quality import kept, logistic, remainder, sampled_labels
+
+#: Hash buckets; weight of the prior in documents; significance (standard errors); the least log-odds and toxic documents
+#: of a telling bucket; what other tokens weigh against; E-value of a significant segment; rows of the curve; remembered words.
+BUCKETS, PRIOR, SIGNIFICANT, LEAST, MIN_DOCUMENTS, DRIFT, E_VALUE, MAX_CURVE, MAX_WORDS = 1 << 20, 50.0, 2.5, 1.5, 6, 0.1, 0.05, 12_000, 300_000
+
+PUNCTUATION = "!\"#$%&'()*+,-./:;<=>?@[\\]^_`{|}~"
+PREFIXES = range(4, 9)
+
+
+def tokens(text: bytes) -> list[str]:
+    return [w for x in text.decode("utf-8", "replace").lower().split() if (w := x.strip(PUNCTUATION))]
+
+
+def buckets(word: str) -> list[int]:
+    """The word's own bucket and those of its proper prefixes (marked, so that a word and a prefix differ)."""
+    parts = [word, *("\x00" + word[:k] for k in PREFIXES if len(word) > k)]
+    return [zlib.crc32(p.encode("utf-8", "surrogatepass")) & (BUCKETS - 1) for p in parts]
+
+
+def segments(score: np.ndarray) -> list[tuple[int, int, float]]:
+    """All maximal scoring segments ``(start, end, score)`` of a sequence, end exclusive (linear time).
+
+    Candidates are kept with the sums before and after them; only tokens with positive scores are visited.
+    """
+    at = np.flatnonzero(score > 0)
+    if not len(at):
+        return []
+    after = np.cumsum(score)
+    right = after[at]
+    left = right - score[at]
+    found: list[list] = []  # start, end, sum before, sum after, index of the nearest candidate with a smaller sum before
+    for start, low, high in zip(at.tolist(), left.tolist(), right.tolist(), strict=True):
+        now = [start, start + 1, low, high, 0]
+        while True:
+            j = len(found) - 1
+            while j >= 0 and found[j][2] >= now[2]:
+                j = found[j][4]
+            if j < 0 or found[j][3] >= now[3]:
+                now[4] = j
+                found.append(now)
+                break
+            now = [found[j][0], now[1], found[j][2], now[3], 0]
+            del found[j:]
+    return [(a, b, high - low) for a, b, low, high, _ in found]
+
+
+@dataclass
+class Model:
+    weight: np.ndarray  # by bucket: significant log-odds, else 0
+    rate: float  # lambda
+    constant: float  # K
+    curve: np.ndarray
+
+    def __post_init__(self) -> None:
+        self.known: dict[str, float] = {}
+
+    def __getstate__(self) -> dict:
+        at = np.flatnonzero(self.weight)
+        return {"at": at, "weight": self.weight[at], "rate": self.rate, "constant": self.constant, "curve": self.curve}
+
+    def __setstate__(self, state: dict) -> None:
+        weight = np.zeros(BUCKETS)
+        weight[state["at"]] = state["weight"]
+        self.__init__(weight, state["rate"], state["constant"], state["curve"])
+
+    def word_score(self, raw: str) -> float:
+        """The score of a run of characters without white space; not a number if it is punctuation only."""
+        v = self.known.get(raw)
+        if v is None:
+            word = raw.strip(PUNCTUATION)
+            v = (float(self.weight[buckets(word)].max()) or -DRIFT) if word else float("nan")
+            if len(self.known) >= MAX_WORDS:
+                self.known.clear()
+            self.known[raw] = v
+        return v
+
+    def token_scores(self, text: bytes) -> np.ndarray:
+        words = text.decode("utf-8", "replace").lower().split()
+        found = np.fromiter(map(self.word_score, words), np.float64, len(words))
+        return found[~np.isnan(found)]
+
+    def e_value(self, score: float, n: int) -> float:
+        return float(self.constant * n * np.exp(-self.rate * score))
+
+    def passages(self, text: bytes) -> list[tuple[int, int, float, float]]:
+        """Significant passages: first and last token (exclusive), score and E-value."""
+        s = self.token_scores(text)
+        return [(a, b, v, e) for a, b, v in segments(s) if (e := self.e_value(v, len(s))) <= E_VALUE]
+
+    def evidence(self, text: bytes) -> tuple[float, float, int]:
+        """Negative log10 of the best segment's p-value, log of the summed scores of significant segments, and their
+        number."""
+        s = self.token_scores(text)
+        found = [v for _, _, v in segments(s)]
+        if not found:
+            return 0.0, 0.0, 0
+        e = [self.e_value(v, len(s)) for v in found]
+        best = -np.log10(max(-np.expm1(-min(e)), 1e-12))
+        telling = [v for v, x in zip(found, e, strict=True) if x <= E_VALUE]
+        return float(best), float(np.log1p(self.rate * sum(telling))), len(telling)
+
+    def judge(self, text: bytes) -> tuple[float, int]:
+        """The score and the number of significant passages."""
+        a, b, n = self.evidence(text)
+        z = self.curve[0] * a + self.curve[1] * b + self.curve[2]
+        return float(1 / (1 + np.exp(-np.clip(z, -30, 30)))), n
+
+    def score(self, text: bytes) -> float:
+        return self.judge(text)[0]
+
+
+def log_odds(toxic: np.ndarray, clean: np.ndarray, n_toxic: int, n_clean: int) -> np.ndarray:
+    """Significant log-odds by bucket from the numbers of documents that hold it; 0 for the other buckets."""
+    n = max(1, n_toxic + n_clean)
+    prior = PRIOR * (toxic + clean + 0.01) / n
+    a, b = toxic + prior, clean + prior
+    odds = np.log(a / np.maximum(n_toxic + PRIOR - a, 0.5)) - np.log(b / np.maximum(n_clean + PRIOR - b, 0.5))
+    telling = (odds / np.sqrt(1 / a + 1 / b) >= SIGNIFICANT) & (odds >= LEAST) & (toxic >= MIN_DOCUMENTS)
+    return np.where(telling, odds, 0.0)
+
+
+def decay_rate(scores: np.ndarray, counts: np.ndarray) -> float:
+    """lambda: the positive root of sum p exp(lambda score) = 1, where ``counts`` clean tokens have each of ``scores``."""
+    total = counts.sum()
+    if not total or not (scores[counts > 0] > 0).any() or scores @ counts >= 0:
+        return 1.0
+    p = counts / total
+    low, high = 1e-6, 1.0
+    while p @ np.exp(np.minimum(high * scores, 600)) < 1 and high < 1000:
+        high *= 2
+    for _ in range(80):
+        mid = (low + high) / 2
+        low, high = (mid, high) if p @ np.exp(np.minimum(mid * scores, 600)) < 1 else (low, mid)
+    return (low + high) / 2
+
+
+def count_documents(docs: DataFrame, chosen: DataFrame) -> tuple[np.ndarray, np.ndarray, int, int]:
+    """Documents by bucket and in all, toxic and clean (row -1 holds all)."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total = np.zeros((2, BUCKETS + 1), np.int64)
+        for batch in slices(batches):
+            for text, y in zip(text_bytes(batch, 1), batch.column(2).to_pylist(), strict=True):
+                own = {k for w in set(tokens(text)) for k in buckets(w)}
+                total[y, np.fromiter(own, np.int64, len(own))] += 1
+                total[y, -1] += 1
+        at = np.flatnonzero(total.any(axis=0))
+        if len(at):
+            yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(total[1, at]), pa.array(total[0, at])], ["bucket", "toxic", "clean"])
+
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").join(chosen, "doc_id").select("doc_id", "text", "y")
+    sums = rows.mapInArrow(run, "bucket long, toxic long, clean long").groupBy("bucket").agg(F.sum("toxic").alias("toxic"), F.sum("clean").alias("clean"))
+    # Buckets that can't be significant needn't reach the driver.
+    sums = sums.where((F.col("toxic") >= MIN_DOCUMENTS) | (F.col("bucket") == BUCKETS)).toArrow()
+    toxic, clean = np.zeros(BUCKETS + 1), np.zeros(BUCKETS + 1)
+    at = sums.column("bucket").to_numpy()
+    toxic[at], clean[at] = sums.column("toxic").to_numpy(), sums.column("clean").to_numpy()
+    return toxic[:-1], clean[:-1], int(toxic[-1]), int(clean[-1])
+
+
+def fit(docs: DataFrame, labels: DataFrame, target: str = "toxic", modulus: int = 4, held_out: int = 2) -> Model:
+    model = Model(log_odds(*count_documents(docs, sampled_labels(labels, target, modulus, held_out, None))), 1.0, 1.0, np.zeros(3))
+    chosen = sampled_labels(labels, target, modulus, held_out, MAX_CURVE)
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").join(F.broadcast(chosen), "doc_id").select("doc_id", "text", "y")
+
+    def gather(values) -> np.ndarray:
+        shared = docs.sparkSession.sparkContext.broadcast(model)
+
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for batch in slices(batches):
+                made = np.array([values(shared.value, t) for t in text_bytes(batch, 1)], np.float64).reshape(-1, 2)
+                yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), pa.array(made[:, 0].copy()), pa.array(made[:, 1].copy())], ["doc_id", "y", "a", "b"])
+
+        got = rows.mapInArrow(run, "doc_id long, y int, a double, b double").toArrow()
+        table = np.column_stack([got.column(c).to_numpy().astype(np.float64) for c in ("doc_id", "y", "a", "b")])
+        return table[np.lexsort(table.T[::-1])]
+
+    model.rate = decay_rate(*clean_scores(rows.where("y = 0"), model))
+    best = gather(_best)
+    none = best[(best[:, 1] == 0) & (best[:, 3] > 0)]
+    if len(none):
+        # The mean of lambda S - ln n is ln K plus Euler's constant.
+        model.constant = float(np.exp(np.clip(np.mean(model.rate * none[:, 2] - np.log(none[:, 3])) - 0.5772156649, -20, 5)))
+    y = best[:, 1]
+    if not len(y) or y.min() == y.max():
+        p = float(np.clip(y.mean(), 1e-3, 1 - 1e-3)) if len(y) else 0.5
+        model.curve = np.array([0.0, 0.0, np.log(p / (1 - p))])
+        return model
+    seen = gather(lambda m, t: m.evidence(t)[:2])
+    model.curve = logistic(seen[:, 2:4], seen[:, 1])
+    return model
+
+
+def clean_scores(rows: DataFrame, model: Model) -> tuple[np.ndarray, np.ndarray]:
+    """Token scores (to a quarter) and how many tokens of ``rows(doc_id, text, ..)`` have them: a few dozen rows."""
+    shared = rows.sparkSession.sparkContext.broadcast(model)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total: dict[float, int] = {}
+        for batch in slices(batches):
+            for text in text_bytes(batch, 1):
+                values, counts = np.unique(np.round(shared.value.token_scores(text) * 4) / 4, return_counts=True)
+                for v, n in zip(values.tolist(), counts.tolist(), strict=True):
+                    total[v] = total.get(v, 0) + n
+        yield pa.RecordBatch.from_arrays([pa.array(list(total), pa.float64()), pa.array(list(total.values()), pa.int64())], ["score", "n"])
+
+    got = rows.mapInArrow(run, "score double, n long").groupBy("score").agg(F.sum("n").alias("n")).orderBy("score").toArrow()
+    score, n = got.column("score").to_numpy().astype(np.float64), got.column("n").to_numpy().astype(np.float64)
+    return np.where(score <= 0, -DRIFT, score), n
+
+
+def _best(model: Model, text: bytes) -> tuple[float, float]:
+    s = model.token_scores(text)
+    return max([v for _, _, v in segments(s)], default=0.0), float(len(s))
+
+
+def op8_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Toxicity score of every document."""
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    return scored(docs, fit(docs, spark.read.parquet(f"{sf_dir}/labels.parquet")))
+
+
+def scored(docs: DataFrame, model: Model, modulus: int = 4, held_out: int = 2, threshold: float = 0.3) -> DataFrame:
+    """``(doc_id, held_out, score, predicted, passages)`` per row; ``passages`` counts significant segments."""
+    shared = docs.sparkSession.sparkContext.broadcast(model)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in slices(batches):
+            made = [shared.value.judge(t) for t in text_bytes(batch)]
+            score, found = pa.array([m[0] for m in made], pa.float64()), pa.array([m[1] for m in made], pa.int64())
+            yield pa.RecordBatch.from_arrays([batch.column(0), score, found], ["doc_id", "score", "passages"])
+
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, "doc_id long, score double, passages long")
+    own = F.coalesce(remainder(modulus) == held_out, F.lit(False))
+    return rows.select("doc_id", own.alias("held_out"), "score", (F.col("score") >= threshold).cast("int").alias("predicted"), "passages")
+
+
+def keep_clean(docs: DataFrame, labels: DataFrame, threshold: float = 0.3) -> DataFrame:
+    """The rows of ``docs`` with a score below ``threshold``."""
+    shared = docs.sparkSession.sparkContext.broadcast(fit(docs, labels))
+    return kept(docs, lambda text: shared.value.score(text) < threshold)
+
+
+QUERIES = {"op8_toxicity": op8_toxicity}
