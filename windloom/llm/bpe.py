@@ -1,7 +1,7 @@
 """Byte-level BPE encoding and decoding by recursive DuckDB queries, one database per task.
 
 Words are the matches of the vocabulary's pattern.  A word that is a vocabulary entry is its own id; the others go, once
-each, into a table of token positions that starts with one row per byte.  Each step of a recursive query joins
+each, into a table of token positions that starts with one row per byte, each with its successor.  Each step of a recursive query joins
 neighbouring tokens to the merge table, finds for every word the smallest rank and of equal ranks the leftmost pair,
 and contracts it; a word without a pair left is finished.  Ids are decoded by an aggregation ordered by position.
 
@@ -24,26 +24,31 @@ from pyspark.sql import DataFrame, SparkSession
 from windloom.llm.common import slices
 
 #: Remembered words and space-separated pieces per task; words of one recursive query; token rows of one decoding query.
-MAX_WORDS, MAX_PIECES, QUERY_WORDS, QUERY_TOKENS = 600_000, 200_000, 20_000, 2_000_000
+MAX_WORDS, MAX_PIECES, QUERY_WORDS, QUERY_TOKENS = 800_000, 200_000, 20_000, 2_000_000
 
 ENCODE = """
-with recursive step(word, pos, token, active) as (
-  select word, pos, token, true from tokens
+with recursive step(word, pos, token, next_pos, next_token, pair, active) as (
+  select word, pos, token, next_pos, next_token, (m.rank::bigint << 32) | pos, true
+  from tokens left join merges m on m.pair = (token::bigint << 20) | next_token
   union all
-  select word, pos, case when pos = best_pos then best_rank else token end, best_pos is not null
+  select n.word, n.pos, n.token, n.next_pos, n.next_token, (m.rank::bigint << 32) | n.pos, n.active
   from (
-    select word, pos, token, lag(pos) over (partition by word order by pos) as previous,
-           (best >> 32)::int as best_rank, (best & 4294967295)::int as best_pos
-    from (
-      select word, pos, token, min(pair) over (partition by word) as best
+    select s.word, s.pos,
+           case when s.pos = p.at then p.rank else s.token end as token,
+           case when s.pos = p.at then p.after_pos else s.next_pos end as next_pos,
+           case when s.pos = p.at then p.after_token when s.next_pos = p.at then p.rank else s.next_token end as next_token,
+           p.at is not null as active
+    from step s left join (
+      select best.word, best.at, best.rank, l.next_pos as gone, r.next_pos as after_pos, r.next_token as after_token
       from (
-        select a.word, a.pos, a.token, (merges.rank::bigint << 32) | a.pos as pair
-        from (select word, pos, token, lead(token) over (partition by word order by pos) as next from step where active) a
-        left join merges on merges.pair = (a.token::bigint << 20) | a.next
-      )
-    )
-  )
-  where best_pos is null or previous is null or previous <> best_pos
+        select word, (min(pair) >> 32)::int as rank, (min(pair) & 4294967295)::int as at
+        from step where active and pair is not null group by word
+      ) best
+      join step l on l.word = best.word and l.pos = best.at
+      join step r on r.word = l.word and r.pos = l.next_pos
+    ) p on p.word = s.word
+    where s.active and (p.gone is null or s.pos <> p.gone)
+  ) n left join merges m on m.pair = (n.token::bigint << 20) | n.next_token
 )
 select word, list(token order by pos) as ids from step where not active group by word order by word
 """
@@ -85,8 +90,10 @@ class Codec:
             size = np.array([len(w) for w in part])
             first = np.repeat(np.cumsum(size) - size, size)
             flat = self.of_byte[np.frombuffer(b"".join(part), np.uint8)]
-            self._table("tokens", word=np.repeat(np.arange(len(part), dtype=np.int32), size), pos=(np.arange(len(flat)) - first).astype(np.int32), token=flat)
-            done = self.db.execute(ENCODE).to_arrow_table()
+            word, pos = np.repeat(np.arange(len(part), dtype=np.int32), size), (np.arange(len(flat)) - first).astype(np.int32)
+            last = np.r_[word[1:] != word[:-1], True]
+            self._table("tokens", word=word, pos=pos, token=flat, next_pos=pa.array(pos + 1, mask=last), next_token=pa.array(np.r_[flat[1:], flat[:1]], mask=last))
+            done = self.db.sql(ENCODE).to_arrow_table()
             ids = done.column("ids").combine_chunks()
             raw, cut = ids.flatten().to_numpy(zero_copy_only=False).astype("<u4").tobytes(), np.cumsum(np.r_[0, ids.value_lengths().to_numpy()]) * 4
             for k, w in enumerate(words[start : start + QUERY_WORDS]):
