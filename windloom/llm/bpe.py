@@ -16,6 +16,7 @@ from __future__ import annotations
 import base64
 import hashlib
 from collections.abc import Iterator
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -23,8 +24,8 @@ from pyspark.sql import DataFrame, SparkSession
 
 from windloom.llm.common import slices
 
-#: Remembered words and space-separated pieces per task; words of one recursive query; token rows of one decoding query.
-MAX_WORDS, MAX_PIECES, QUERY_WORDS, QUERY_TOKENS = 800_000, 200_000, 20_000, 2_000_000
+#: Remembered words and pieces between spaces per task; words of one recursive query; token rows of one decoding query.
+MAX_WORDS, MAX_PIECES, QUERY_WORDS, QUERY_TOKENS = 800_000, 500_000, 20_000, 2_000_000
 
 ENCODE = """
 with recursive step(word, pos, token, next_pos, next_token, pair, active) as (
@@ -105,20 +106,26 @@ class Codec:
             self.words.clear()
         if len(self.pieces) > MAX_PIECES:
             self.pieces.clear()
-        # A space between two characters that aren't white space always begins a word: texts are cut there.
-        cut = [_cut(t) for t in texts]
-        new = {p: self.find(p) for p in set().union(*cut).difference(self.pieces)}
+        # A space between two characters that aren't white space always begins a word: texts are cut there, and a piece
+        # that begins with such a space is known by what follows it.
+        cut = [t.split(" ") for t in texts]
+        new = set(chain.from_iterable(cut)).difference(self.pieces)
+        ragged = {p for p in new if not p or p[0].isspace() or p[-1].isspace()}
+        cut = [_rejoined(c) if not ragged.isdisjoint(c) else c for c in cut]
+        heads = {c[0]: self.find(c[0]) for c in cut}
+        new = {p: self.find(" " + p) for p in set(chain.from_iterable(c[1:] for c in cut)).difference(self.pieces)}
         missing: list[str] = []
-        for w in {w for found in new.values() for w in found}.difference(self.words):
+        for w in set(chain.from_iterable(heads.values())).union(*new.values()).difference(self.words):
             k = self.rank.get(w.encode())
             if k is None:
                 missing.append(w)
             else:
                 self.words[w] = k.to_bytes(4, "little")
         self._merge(missing)
+        ids = self.words.__getitem__
         for p, found in new.items():
-            self.pieces[p] = b"".join(map(self.words.__getitem__, found))
-        return [b"".join(map(self.pieces.__getitem__, c)) for c in cut]
+            self.pieces[p] = b"".join(map(ids, found))
+        return [b"".join([*map(ids, heads[c[0]]), *map(self.pieces.__getitem__, c[1:])]) for c in cut]
 
     def decode(self, ids: list[bytes]) -> list[bytes]:
         """The bytes that each document's ids stand for."""
@@ -141,19 +148,16 @@ class Codec:
         return out
 
 
-def _cut(text: str) -> list[str]:
-    """The text in pieces, cut before spaces that stand between two characters that aren't white space."""
-    parts = text.split(" ")
+def _rejoined(parts: list[str]) -> list[str]:
+    """The parts of a text split at spaces, those joined again whose space isn't between two plain characters."""
     out, held = [], parts[0]
     for p in parts[1:]:
         if p and held and not p[0].isspace() and not held[-1].isspace():
             out.append(held)
-            held = " " + p
+            held = p
         else:
             held += " " + p
-    if held:
-        out.append(held)
-    return out
+    return [*out, held]
 
 
 def codec(rank_file: str, pattern: str) -> Codec:
