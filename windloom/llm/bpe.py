@@ -111,9 +111,14 @@ class Codec:
         cut = [t.split(" ") for t in texts]
         new = set(chain.from_iterable(cut)).difference(self.pieces)
         ragged = {p for p in new if not p or p[0].isspace() or p[-1].isspace()}
-        cut = [_rejoined(c) if not ragged.isdisjoint(c) else c for c in cut]
+        if ragged:
+            new -= ragged
+            for k, c in enumerate(cut):
+                if not ragged.isdisjoint(c):
+                    cut[k] = _rejoined(c)
+                    new.update(set(cut[k][1:]).difference(self.pieces))
         heads = {c[0]: self.find(c[0]) for c in cut}
-        new = {p: self.find(" " + p) for p in set(chain.from_iterable(c[1:] for c in cut)).difference(self.pieces)}
+        new = {p: self.find(p if p[0] == " " else " " + p) for p in new}
         missing: list[str] = []
         for w in set(chain.from_iterable(heads.values())).union(*new.values()).difference(self.words):
             k = self.rank.get(w.encode())
@@ -157,6 +162,8 @@ def _rejoined(parts: list[str]) -> list[str]:
             held = p
         else:
             held += " " + p
+    if out and held[-1].isspace():
+        held = " " + held  # kept apart from a part without spaces, which is only remembered if it ends otherwise
     return [*out, held]
 
 

@@ -23,6 +23,7 @@ import zlib
 from array import array
 from collections.abc import Iterator
 from functools import cache
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -33,7 +34,7 @@ from pyspark.sql.window import Window
 from windloom.llm.common import slices, store
 
 #: Tokens of a window and of the largest packet; parts of a queue; remembered words per task.
-WINDOW, PACKET, QUEUE_PARTS, MAX_WORDS = 2048, 256, 1024, 500_000
+WINDOW, PACKET, QUEUE_PARTS, MAX_WORDS = 2048, 256, 1024, 800_000
 
 
 class Tokenizer:
@@ -52,27 +53,37 @@ class Tokenizer:
             raise ValueError("ids must fit in 16 bits")
         self.special = {t.content: k for k, t in self.library.get_added_tokens_decoder().items()}
         self.ranks = _by_ranks(file, self.special)
+        if self.ranks is not None:
+            self.library = None  # no longer needed; its tables are large
         self.words: dict[str, bytes] = {}
 
-    def _encode(self, texts: list[str]) -> list[bytes]:
+    def _encode(self, texts: list[str], plain: bool = False) -> list[bytes]:
+        """``plain``: none of the texts holds a special string."""
         if self.ranks is None:
             return [np.array(e.ids, "<u2").tobytes() for e in self.library.encode_batch_fast(texts, add_special_tokens=False)]
-        plain, full = self.ranks.encode_ordinary, self.ranks.encode
-        found = ((full(t, allowed_special="all") if any(s in t for s in self.special) else plain(t)) for t in texts)
-        return [array("H", ids).tobytes() for ids in found]
+        ordinary, full = self.ranks.encode_ordinary, self.ranks.encode
+        if plain:
+            return [array("H", ordinary(t)).tobytes() for t in texts]
+        return [array("H", full(t, allowed_special="all") if any(s in t for s in self.special) else ordinary(t)).tobytes() for t in texts]
 
     def encode(self, texts: list[str]) -> list[bytes]:
         if len(self.words) > MAX_WORDS:
             self.words.clear()
+        # A space between two characters that aren't white space begins a word of its own: texts are cut there, and a
+        # word that begins with such a space is known by what follows it.  Texts with a special string are left whole.
         words = self.words
-        # A space between two characters that aren't white space begins a word of its own; texts are cut there.
-        # Texts with a special string are left whole.
         cut = [[t] if any(s in t for s in self.special) else t.split(" ") for t in texts]
-        cut = [c if all(p and not p[0].isspace() and not p[-1].isspace() for p in set(c)) else _rejoined(c) for c in cut]
-        keys = [[c[0], *(" " + p for p in c[1:])] if len(c) > 1 else c for c in cut]
-        new = list(set().union(*keys).difference(words))
-        words.update(zip(new, self._encode(new), strict=True))
-        return [b"".join(map(words.__getitem__, k)) for k in keys]
+        new = set(chain.from_iterable(c for c in cut if len(c) > 1)).difference(words)
+        ragged = {p for p in new if not p or p[0].isspace() or p[-1].isspace()}
+        if ragged:
+            new -= ragged
+            for k, c in enumerate(cut):
+                if len(c) > 1 and not ragged.isdisjoint(c):
+                    cut[k] = _rejoined(c)
+                    new.update(set(cut[k][1:]).difference(words))
+        heads = self._encode([c[0] for c in cut])
+        words.update(zip(new, self._encode([p if p[0] == " " else " " + p for p in new], True), strict=True))
+        return [b"".join([h, *map(words.__getitem__, c[1:])]) for h, c in zip(heads, cut, strict=True)]
 
 
 def _rejoined(parts: list[str]) -> list[str]:
@@ -84,6 +95,8 @@ def _rejoined(parts: list[str]) -> list[str]:
             held = p
         else:
             held += " " + p
+    if out and held[-1].isspace():
+        held = " " + held  # kept apart from a part without spaces, which is only remembered if it ends otherwise
     return [*out, held]
 
 
