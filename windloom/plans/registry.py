@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from importlib import import_module
 
-_MODULES: tuple[str, ...] = ()
+_MODULES = ("relational",)
 
 
 def _all(name: str) -> dict:
