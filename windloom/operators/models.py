@@ -34,12 +34,12 @@ def ridge_residuals(rows: DataFrame, group: str, order: str, features: list[str]
                 x = cross[:k, :k] / np.outer(sd, sd)
                 w = np.linalg.solve(x + alpha * np.eye(k), cross[:k, k] / sd) / sd if n >= least else np.full(k, np.nan)
                 made.append((r[group], w.tolist(), float(mean[k] - w @ mean[:k])))
-            yield pd.DataFrame(made, columns=[group, "w", "b"])
+            yield pd.DataFrame(made, columns=[group, "__w", "__b"])
 
-    fitted = stats.mapInPandas(solve, f"{group} {kind}, w array<double>, b double")
-    made = F.col("b") + sum((F.col("w")[i] * F.col(c) for i, c in enumerate(features)), F.lit(0.0))
+    fitted = stats.mapInPandas(solve, f"{group} {kind}, __w array<double>, __b double")
+    made = F.col("__b") + sum((F.col("__w")[i] * F.col(c) for i, c in enumerate(features)), F.lit(0.0))
     out = rows.join(fitted, group, "left").withColumn("fitted", F.when(~F.isnan(made), made))
-    return out.withColumn("residual", F.col(target) - F.col("fitted")).drop("w", "b")
+    return out.withColumn("residual", F.col(target) - F.col("fitted")).drop("__w", "__b")
 
 
 def pca_error(rows: DataFrame, group: str, features: list[str], train: str, keep: float = 0.95) -> DataFrame:
@@ -65,12 +65,12 @@ def pca_error(rows: DataFrame, group: str, features: list[str], train: str, keep
                 m = int(np.searchsorted(np.cumsum(value) / max(value.sum(), 1e-12), keep - 1e-12) + 1)
                 rest = np.eye(k) - vector[:, :m] @ vector[:, :m].T
                 made.append((r[group], mean.tolist(), sd.tolist(), rest.ravel().tolist(), m))
-            yield pd.DataFrame(made, columns=[group, "mean", "sd", "rest", "components"])
+            yield pd.DataFrame(made, columns=[group, "__mean", "__sd", "__rest", "components"])
 
-    fitted = stats.mapInPandas(solve, f"{group} {kind}, mean array<double>, sd array<double>, rest array<double>, components int")
-    z = [(F.col(c) - F.col("mean")[i]) / F.col("sd")[i] for i, c in enumerate(features)]
-    parts = [F.pow(sum(F.col("rest")[i * k + j] * z[j] for j in range(k)), F.lit(2.0)) for i in range(k)]
-    return own.join(fitted, group, "left").withColumn("error", sum(parts)).drop("mean", "sd", "rest")
+    fitted = stats.mapInPandas(solve, f"{group} {kind}, __mean array<double>, __sd array<double>, __rest array<double>, components int")
+    z = [(F.col(c) - F.col("__mean")[i]) / F.col("__sd")[i] for i, c in enumerate(features)]
+    parts = [F.pow(sum(F.col("__rest")[i * k + j] * z[j] for j in range(k)), F.lit(2.0)) for i in range(k)]
+    return own.join(fitted, group, "left").withColumn("error", sum(parts)).drop("__mean", "__sd", "__rest")
 
 
 def boosted(train: DataFrame, features: list[str], target: str, trees: int = 200, depth: int = 4, rate: float = 0.05, seed: int = 42):

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from importlib import import_module
 
-_MODULES = ("relational",)
+_MODULES: tuple[str, ...] = ("relational", "sequences", "wake", "forecasts", "texts")
 
 
 def _all(name: str) -> dict:
