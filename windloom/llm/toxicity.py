@@ -9,8 +9,9 @@ lambda solves sum p(token) exp(lambda score) = 1 over clean tokens, K comes from
 and a segment of score S in a text of n tokens has E-value K n exp(-lambda S).  A document's evidence is that of its best
 segment and the sum over its significant segments; a logistic curve turns it into a score from 0 to 1.
 
-Counts cover all labelled rows that may be learned from; the tables gathered on the driver have at most 2**20 rows, and the
-curve is fitted on at most ``MAX_CURVE`` rows (smallest hash of doc_id), a stated bound.  Scoring covers whole texts.
+The fit is on at most ``MAX_TRAINING`` labelled rows, the curve on at most ``MAX_CURVE`` of them (those with the smallest hash
+of doc_id): stated bounds, so that the labels can meet the documents without moving texts.  Tables gathered on the
+driver have at most 2**20 rows.  Scoring covers every row and every whole text.
 Defined cases: a null text counts as empty; a text without tokens has no evidence; rows of ``labels`` with nulls are
 ignored, of repeated ones the majority counts (ties: 1); without both classes every score is the share of label 1 (0.5
 without labels); repeated rows keep a row each; an empty table gives an empty result.
@@ -31,8 +32,9 @@ from windloom.llm.common import slices, text_bytes
 from windloom.llm.quality import kept, logistic, remainder, sampled_labels
 
 #: Hash buckets; weight of the prior in documents; significance (standard errors); the least log-odds and toxic documents
-#: of a telling bucket; what other tokens weigh against; E-value of a significant segment; rows of the curve; remembered words.
-BUCKETS, PRIOR, SIGNIFICANT, LEAST, MIN_DOCUMENTS, DRIFT, E_VALUE, MAX_CURVE, MAX_WORDS = 1 << 20, 50.0, 2.5, 1.5, 6, 0.1, 0.05, 12_000, 300_000
+#: of a telling bucket; what other tokens weigh against; E-value of a significant segment; labelled rows counted and rows of the curve, at most;
+#: remembered words.
+BUCKETS, PRIOR, SIGNIFICANT, LEAST, MIN_DOCUMENTS, DRIFT, E_VALUE, MAX_TRAINING, MAX_CURVE, MAX_WORDS = 1 << 20, 50.0, 2.5, 1.5, 6, 0.1, 0.05, 40_000, 12_000, 300_000
 
 PUNCTUATION = "!\"#$%&'()*+,-./:;<=>?@[\\]^_`{|}~"
 PREFIXES = range(4, 9)
@@ -165,32 +167,48 @@ def decay_rate(scores: np.ndarray, counts: np.ndarray) -> float:
     return (low + high) / 2
 
 
-def count_documents(docs: DataFrame, chosen: DataFrame) -> tuple[np.ndarray, np.ndarray, int, int]:
-    """Documents by bucket and in all, toxic and clean (row -1 holds all)."""
+def count_buckets(rows: DataFrame, among: np.ndarray | None) -> dict[int, int]:
+    """Documents of ``rows(doc_id, text, ..)`` by bucket, and in all under the key ``BUCKETS``; with ``among`` (a flag for each
+    bucket) only those buckets, else those with at least ``MIN_DOCUMENTS``."""
+    shared = None if among is None else rows.sparkSession.sparkContext.broadcast(among)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total = np.zeros((2, BUCKETS + 1), np.int64)
+        total = np.zeros(BUCKETS + 1, np.int64)
         for batch in slices(batches):
-            for text, y in zip(text_bytes(batch, 1), batch.column(2).to_pylist(), strict=True):
+            for text in text_bytes(batch, 1):
                 own = {k for w in set(tokens(text)) for k in buckets(w)}
-                total[y, np.fromiter(own, np.int64, len(own))] += 1
-                total[y, -1] += 1
-        at = np.flatnonzero(total.any(axis=0))
+                total[np.fromiter(own, np.int64, len(own))] += 1
+            total[BUCKETS] += batch.num_rows
+        if shared is not None:
+            total[:-1][~shared.value] = 0
+        at = np.flatnonzero(total)
         if len(at):
-            yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(total[1, at]), pa.array(total[0, at])], ["bucket", "toxic", "clean"])
+            yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(total[at])], ["bucket", "n"])
+
+    sums = rows.mapInArrow(run, "bucket long, n long").groupBy("bucket").agg(F.sum("n").alias("n"))
+    if among is None:
+        sums = sums.where((F.col("n") >= MIN_DOCUMENTS) | (F.col("bucket") == BUCKETS))
+    got = sums.toArrow()
+    return dict(zip(got.column("bucket").to_pylist(), got.column("n").to_pylist(), strict=True))
 
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").join(chosen, "doc_id").select("doc_id", "text", "y")
-    sums = rows.mapInArrow(run, "bucket long, toxic long, clean long").groupBy("bucket").agg(F.sum("toxic").alias("toxic"), F.sum("clean").alias("clean"))
-    # Buckets that can't be significant needn't reach the driver.
-    sums = sums.where((F.col("toxic") >= MIN_DOCUMENTS) | (F.col("bucket") == BUCKETS)).toArrow()
-    toxic, clean = np.zeros(BUCKETS + 1), np.zeros(BUCKETS + 1)
-    at = sums.column("bucket").to_numpy()
-    toxic[at], clean[at] = sums.column("toxic").to_numpy(), sums.column("clean").to_numpy()
-    return toxic[:-1], clean[:-1], int(toxic[-1]), int(clean[-1])
+
+def count_documents(docs: DataFrame, chosen: DataFrame) -> tuple[np.ndarray, np.ndarray, int, int]:
+    """Toxic and clean documents by bucket and in all.  Buckets that too few toxic documents hold can't be significant:
+    clean documents are only counted for the others.  ``chosen(doc_id, y)`` is bounded and goes to every task."""
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").join(F.broadcast(chosen), "doc_id")
+    both = []
+    among = None
+    for y in (1, 0):
+        found = count_buckets(rows.where(F.col("y") == y).select("doc_id", "text"), among)
+        counts = np.zeros(BUCKETS + 1)
+        counts[list(found)] = list(found.values())
+        among = counts[:-1] >= MIN_DOCUMENTS if among is None else among
+        both.append(counts)
+    return both[0][:-1] * among, both[1][:-1], int(both[0][-1]), int(both[1][-1])
 
 
 def fit(docs: DataFrame, labels: DataFrame, target: str = "toxic", modulus: int = 4, held_out: int = 2) -> Model:
-    model = Model(log_odds(*count_documents(docs, sampled_labels(labels, target, modulus, held_out, None))), 1.0, 1.0, np.zeros(3))
+    model = Model(log_odds(*count_documents(docs, sampled_labels(labels, target, modulus, held_out, MAX_TRAINING))), 1.0, 1.0, np.zeros(3))
     chosen = sampled_labels(labels, target, modulus, held_out, MAX_CURVE)
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").join(F.broadcast(chosen), "doc_id").select("doc_id", "text", "y")
 
