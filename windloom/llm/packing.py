@@ -143,11 +143,14 @@ def tokenized(docs: DataFrame, file: str, end_id: int = 1) -> DataFrame:
     return store(made.withColumn("row", F.monotonically_increasing_id()), "tokens")
 
 
-def _running_sum(df: DataFrame, keys: list[str], part: str, order: list[str], value: str, name: str) -> DataFrame:
-    """``df`` plus the sum of ``value`` before each row of its ``keys`` in the order (part, order)."""
+def _running_sum(df: DataFrame, keys: list[str], part: str, order: list[str], value: str, name: str, also: DataFrame | None = None) -> DataFrame:
+    """``df`` plus the sum of ``value`` before each row of its ``keys`` in the order (part, order), and the columns of
+    ``also`` (one row for each of ``keys``), which come with the sums of parts so that no rows are dealt by ``keys``."""
     sums = df.groupBy(*keys, part).agg(F.sum(value).alias("__sum"))
     before = Window.partitionBy(*keys).orderBy(part).rowsBetween(Window.unboundedPreceding, -1)
     sums = sums.withColumn("__before", F.coalesce(F.sum("__sum").over(before), F.lit(0))).drop("__sum")
+    if also is not None:
+        sums = sums.join(also, keys)
     inside = Window.partitionBy(*keys, part).orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)
     own = df.withColumn("__own", F.coalesce(F.sum(value).over(inside), F.lit(0)))
     return own.join(sums, [*keys, part]).withColumn(name, F.col("__before") + F.col("__own")).drop("__before", "__own")
@@ -161,7 +164,6 @@ def served(docs: DataFrame, window: int, packet: int, mixture: DataFrame | None
     """
     queues = docs.select("row", F.coalesce(F.concat(F.lit("="), "source"), F.lit("")).alias("source"), "n")
     queues = queues.withColumn("part", F.pmod(F.xxhash64("row"), F.lit(QUEUE_PARTS)).cast("int"))
-    queues = _running_sum(queues, ["source"], "part", ["row"], "n", "before")
     totals = queues.groupBy("source").agg(F.sum("n").alias("total"))
     if mixture is not None:
         shares = mixture.select(F.coalesce(F.concat(F.lit("="), "source"), F.lit("")).alias("source"), F.col("share").cast("double"))
@@ -172,7 +174,8 @@ def served(docs: DataFrame, window: int, packet: int, mixture: DataFrame | None
         totals = totals.select("source", F.col("total").cast("double").alias("weight"))
     whole = totals.agg(F.sum("weight").alias("whole"))  # one row
     quantum = totals.join(F.broadcast(whole)).select("source", (F.col("weight") / F.col("whole") * window).alias("quantum"))
-    packets = queues.join(quantum, "source").withColumn("k", F.explode(F.sequence(F.lit(0), F.expr(f"cast((n - 1) div {packet} as int)"))))
+    queues = _running_sum(queues, ["source"], "part", ["row"], "n", "before", quantum)
+    packets = queues.withColumn("k", F.explode(F.sequence(F.lit(0), F.expr(f"cast((n - 1) div {packet} as int)"))))
     start = F.col("k").cast("long") * packet
     packets = packets.select("row", "source", "quantum", start.alias("start"), F.least(F.lit(packet), F.col("n") - start).cast("long").alias("length"), (F.col("before") + start).alias("place"))
     end = F.col("place") + F.col("length")
