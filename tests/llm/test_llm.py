@@ -102,6 +102,31 @@ def test_dedup_keeps_one_of_each_group(spark):
     assert simhash.dedup(frame.where("false")).count() == 0
 
 
+def test_dedup_counts_the_similarity(spark):
+    """Pairs at 0.75 stay, pairs at 0.8 go, and repeats of a line don't count: the sets of shingles decide."""
+    rng = np.random.default_rng(7)
+    word = lambda: "".join(chr(97 + int(c)) for c in rng.integers(0, 26, 7))
+    rows = []
+    for k in range(60):
+        t = [word() for _ in range(204)]
+        rows += [(4 * k, " ".join(t)), (4 * k + 1, " ".join([*t[:175], *(word() for _ in range(29))]))]  # 171 of 229
+        u = [word() for _ in range(204)]
+        rows += [(4 * k + 2, " ".join(u)), (4 * k + 3, " ".join([*u[:183], *(word() for _ in range(21))]))]  # 179 of 221
+    line = [word() for _ in range(14)]
+    body = [word() for _ in range(250)]
+    rows += [(1000, " ".join(line * 2 + body)), (1001, " ".join(line * 12 + body))]
+    sets = {}
+    for k, t in rows:
+        w = t.split()
+        sets[k] = {tuple(w[i : i + 5]) for i in range(len(w) - 4)}
+    near = lambda a, b: 5 * len(sets[a] & sets[b]) >= 4 * len(sets[a] | sets[b])
+    assert sets[1000] == sets[1001]
+    gone = {b for b in sets for a in sets if a < b and near(a, b)}
+    assert gone == {4 * k + 3 for k in range(60)} | {1001}
+    kept = {r.doc_id for r in simhash.dedup(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert kept == set(sets) - gone
+
+
 def test_logistic_ends_on_separable_classes():
     rng = np.random.default_rng(0)
     x = np.r_[rng.normal(0, 1, (5000, 2)), rng.normal(30, 1, (500, 2))]

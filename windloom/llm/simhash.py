@@ -154,66 +154,146 @@ def near_duplicates(docs: DataFrame, shingle_words: int = 3, radius: int = 2) ->
     return prints.join(components(prints, radius), "fp").select("doc_id", fp, "component_id")
 
 
-# Near-duplicates by similarity, for the pipeline: wider fingerprints and a radius that stands for a similarity.
+# Near-duplicates by similarity, for the pipeline: wider fingerprints of the distinct shingles find candidates, whose
+# similarity is then counted from the texts.
 
 WIDE_WORDS, BANDS, BAND_ROWS = 4, 12, 3
+#: Distinct shingles (and 128 for each row) of a tile of candidates: what a task holds is at most two tiles.
+TILE_SHINGLES = 2**21
 
 
-def similarity_radius(similarity: float, bits: int) -> int:
-    """Bits within which pairs of that Jaccard similarity fall but for about one in a hundred: of two equally large sets
-    the cosine is 2 s / (1 + s), each bit differs with probability angle / pi, and 2.33 standard deviations are added."""
+def candidate_radius(similarity: float, bits: int) -> int:
+    """Bits within which all pairs of that Jaccard similarity fall: of two equally large sets (the worst case) the cosine
+    is 2 s / (1 + s), each bit differs with probability angle / pi, and six standard deviations are added."""
     p = float(np.arccos(2 * similarity / (1 + similarity)) / np.pi)
-    return int(round(bits * p + 2.33 * (bits * p * (1 - p)) ** 0.5))
+    return int(round(bits * p + 6 * (bits * p * (1 - p)) ** 0.5))
 
 
 def signatures(docs: DataFrame, shingle_words: int) -> DataFrame:
-    """``(doc_id, sum, w0..w3, bands array<long>)`` per row: a 256-bit fingerprint (the hash sent through four
-    bijections) and twelve keys, each of three minimum shingle hashes."""
+    """``(doc_id, sum, node, size, w0..w3, bands array<long>)`` per row: hash and size of the set of shingles, a 256-bit
+    fingerprint of it (the hash sent through four bijections) and twelve keys, each of three minimum shingle hashes."""
     names = [f"w{k}" for k in range(WIDE_WORDS)]
-    schema = "doc_id long, sum long, " + ", ".join(f"{c} long" for c in names) + ", bands array<long>"
+    schema = "doc_id long, sum long, node long, size long, " + ", ".join(f"{c} long" for c in names) + ", bands array<long>"
 
-    def one(text: bytes) -> tuple[list[int], np.ndarray]:
-        h = shingle_hashes(text, shingle_words)
+    def one(text: bytes) -> tuple[int, int, list[int], np.ndarray]:
+        h = np.unique(shingle_hashes(text, shingle_words))
+        node = xxhash.xxh64_intdigest(h.astype("<u8").tobytes())
         if not len(h):
-            return [0] * WIDE_WORDS, np.arange(BANDS, dtype=np.uint64)
+            return node, 0, [0] * WIDE_WORDS, np.arange(BANDS, dtype=np.uint64)
         low = np.array([_mixed(h, 16 + k).min() for k in range(BANDS * BAND_ROWS)], np.uint64).reshape(BANDS, BAND_ROWS)
         key = np.arange(BANDS, dtype=np.uint64)
         for r in range(BAND_ROWS):
             key = _mixed(key ^ low[:, r], r)
-        return [majority(_mixed(h, k)) for k in range(WIDE_WORDS)], key
+        return node, len(h), [majority(_mixed(h, k)) for k in range(WIDE_WORDS)], key
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches):
             made = [one(t) for t in text_bytes(batch)]
-            w = np.array([m[0] for m in made], np.uint64).reshape(-1, WIDE_WORDS)
-            bands = pa.FixedSizeListArray.from_arrays(pa.array(np.concatenate([m[1] for m in made]).view(np.int64)), BANDS)
-            cols = [batch.column(0), batch.column(2), *[pa.array(np.ascontiguousarray(w[:, k]).view(np.int64)) for k in range(WIDE_WORDS)], bands.cast(pa.list_(pa.int64()))]
-            yield pa.RecordBatch.from_arrays(cols, ["doc_id", "sum", *names, "bands"])
+            node, size = np.array([m[0] for m in made], np.uint64), np.array([m[1] for m in made], np.int64)
+            w = np.array([m[2] for m in made], np.uint64).reshape(-1, WIDE_WORDS)
+            bands = pa.FixedSizeListArray.from_arrays(pa.array(np.concatenate([m[3] for m in made]).view(np.int64)), BANDS)
+            cols = [batch.column(0), batch.column(2), pa.array(node.view(np.int64)), pa.array(size)]
+            cols += [*[pa.array(np.ascontiguousarray(w[:, k]).view(np.int64)) for k in range(WIDE_WORDS)], bands.cast(pa.list_(pa.int64()))]
+            yield pa.RecordBatch.from_arrays(cols, ["doc_id", "sum", "node", "size", *names, "bands"])
 
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", F.xxhash64(F.coalesce("text", F.lit(""))).alias("sum"))
     return rows.mapInArrow(run, schema)
 
 
+def similar_forest(sets: list[np.ndarray], pairs: Iterable[tuple[np.ndarray, np.ndarray]], similarity: float) -> np.ndarray:
+    """Smallest index connected to each of ``sets`` (distinct hashes each) by those of the pairs whose Jaccard similarity,
+    counted exactly, is ``similarity`` or more.  Pairs that are connected already aren't counted."""
+    size = np.array([len(x) for x in sets], np.int64)
+    ids = np.unique(np.concatenate(sets), return_inverse=True)[1]
+    start = np.r_[0, np.cumsum(size)]
+    own, root = np.zeros(int(ids.max(initial=-1)) + 1, bool), np.arange(len(sets))
+    for i, j in pairs:
+        order = np.argsort(i, kind="stable")
+        i, j = i[order], j[order]
+        for a, others in zip(i[np.r_[True, i[1:] != i[:-1]]], np.split(j, np.flatnonzero(i[1:] != i[:-1]) + 1), strict=True):
+            others = others[root[others] != root[a]]
+            if not len(others):
+                continue
+            own[ids[start[a] : start[a + 1]]] = True
+            seen = np.r_[0, np.cumsum(own[np.concatenate([ids[start[b] : start[b + 1]] for b in others])])]
+            own[ids[start[a] : start[a + 1]]] = False
+            end = np.cumsum(size[others])
+            shared = seen[end] - seen[end - size[others]]
+            for b in others[shared >= similarity * (size[a] + size[others] - shared) - 1e-9]:
+                low, high = sorted((root[a], root[b]))
+                root[root == high] = low
+    return root
+
+
+def similar_links(members: DataFrame, shingle_words: int, similarity: float) -> DataFrame:
+    """Edges ``(a, b)`` that connect, within each ``key``, what pairs of that similarity connect.
+
+    ``members(key long, node long, size long, w0.., text)`` are candidates: rows with one ``node`` have the same shingles.
+    Up to 64 of a key are compared each with each; of more, pairs within the candidates' radius.  Keys with many shingles
+    are cut into tiles as in ``block_links``.
+    """
+    names = [f"w{k}" for k in range(WIDE_WORDS)]
+    radius = candidate_radius(similarity, 64 * WIDE_WORDS)
+    tiles = F.ceil(F.sum(F.col("size") + 128) / F.lit(TILE_SHINGLES)).cast("int").alias("tiles")
+    members = members.join(members.select("key", "node", "size").distinct().groupBy("key").agg(tiles), "key")
+    members = members.withColumn("t", F.pmod(F.xxhash64("node", F.lit(7)), F.col("tiles")).cast("int"))
+    members = members.select("key", "node", *names, "text", "t", F.explode(F.sequence(F.lit(0), F.col("tiles") - 1)).alias("o"))
+    members = members.select("key", F.least("t", "o").alias("t1"), F.greatest("t", "o").alias("t2"), "node", *names, "text")
+    members = members.repartition("key", "t1", "t2").sortWithinPartitions("key", "t1", "t2", "node")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        at, node, words, sets = None, [], [], []
+        for batch in slices(batches):
+            keys = zip(*(batch.column(c).to_pylist() for c in ("key", "t1", "t2")), strict=True)
+            w = np.stack([batch.column(c).to_numpy().view(np.uint64) for c in names], 1)
+            for key, n, row, text in zip(keys, batch.column("node").to_pylist(), w, text_bytes(batch), strict=True):
+                if key != at:
+                    yield from linked(node, words, sets)
+                    at, node, words, sets = key, [], [], []
+                if not node or node[-1] != n:
+                    node.append(n)
+                    words.append(row)
+                    sets.append(np.unique(shingle_hashes(text, shingle_words)))
+        yield from linked(node, words, sets)
+
+    def linked(node: list[int], words: list[np.ndarray], sets: list[np.ndarray]) -> Iterator[pa.RecordBatch]:
+        n = len(node)
+        if n < 2:
+            return
+        pairs = [np.triu_indices(n, 1)] if n <= 64 else bitslice.links(np.stack(words), np.zeros(n, np.int64), radius)
+        root = similar_forest(sets, pairs, similarity)
+        moved = np.flatnonzero(root != np.arange(n))
+        if len(moved):
+            ids = np.array(node, np.int64)
+            yield pa.RecordBatch.from_arrays([pa.array(ids[moved]), pa.array(ids[root[moved]])], ["a", "b"])
+
+    return members.mapInArrow(run, "a long, b long").distinct()
+
+
 def dedup(docs: DataFrame, shingle_words: int = 5, similarity: float = 0.8) -> DataFrame:
     """The rows of ``docs`` less all but the smallest doc_id (null last) of every group of near-duplicates.
 
-    Documents whose shingle sets are similar by ``similarity`` or more are linked: blocks are documents with three equal
-    minimum hashes in one of twelve bands (a pair at 0.8 shares one in all but 0.02 % of cases), and in each block
-    256-bit fingerprints are compared bit-sliced at the radius that stands for the similarity.  Pairs well below it
-    (0.5 and less) are far outside the radius.  Of a repeated row one stays.
+    Documents whose sets of shingles have that Jaccard similarity or more are linked.  Equal sets are one node.  Candidates
+    are nodes with three equal minimum hashes in one of twelve bands (a pair at 0.8 shares one in all but 0.02 % of cases)
+    whose 256-bit fingerprints, compared bit-sliced, lie within ``candidate_radius``; in what the candidates connect the
+    similarity is counted exactly, so no link is below it.  Of a repeated row one stays.
     """
     names = [f"w{k}" for k in range(WIDE_WORDS)]
     sig = store(signatures(docs, shingle_words), "signatures")
-    sig = sig.withColumn("node", F.xxhash64(*names))
-    classes = sig.groupBy("node").agg(*[F.first(c).alias(c) for c in names], F.first("bands").alias("bands"))
-    blocks = classes.select(F.explode("bands").alias("key"), "node", *names)
-    roots = connected_components(block_links(blocks, similarity_radius(similarity, 64 * WIDE_WORDS), WIDE_WORDS))
     first = F.min(F.struct(F.col("doc_id").isNull().alias("last"), "doc_id", "sum")).alias("first")
-    of = sig.groupBy("node").agg(first).join(roots, "node", "left").select(F.coalesce("root", "node").alias("root"), "first")
-    stay = of.groupBy("root").agg(F.min("first").alias("first"))
-    stay = stay.select(F.col("first.doc_id").alias("__wl_id"), F.col("first.sum").alias("__wl_sum"))
+    classes = sig.groupBy("node").agg(first, *[F.first(c).alias(c) for c in ("size", *names)])
+    bands = sig.groupBy("node").agg(*[F.first(c).alias(c) for c in (*names, "bands")])
+    blocks = bands.select(F.explode("bands").alias("key"), "node", *names)
+    candidates = connected_components(block_links(blocks, candidate_radius(similarity, 64 * WIDE_WORDS), WIDE_WORDS))
     own = docs.withColumn("__wl_id", F.col("doc_id").cast("long")).withColumn("__wl_sum", F.xxhash64(F.coalesce("text", F.lit(""))))
-    kept = own.join(stay.withColumnsRenamed({"__wl_id": "__wl_i", "__wl_sum": "__wl_s"}), F.expr("__wl_id <=> __wl_i and __wl_sum = __wl_s"), "left_semi")
+    members = candidates.join(classes, "node").select(F.col("root").alias("key"), "node", "size", *names, F.col("first.doc_id").alias("__wl_i"), F.col("first.sum").alias("__wl_s"))
+    texts = own.select("__wl_id", "__wl_sum", "text").join(members, F.expr("__wl_id <=> __wl_i and __wl_sum = __wl_s"))
+    members = store(texts.select("key", "node", "size", *names, "text"), "members")
+    roots = connected_components(similar_links(members, shingle_words, similarity))
+    of = classes.select("node", "first").join(roots, "node", "left").select(F.coalesce("root", "node").alias("root"), "first")
+    stay = of.groupBy("root").agg(F.min("first").alias("first"))
+    stay = stay.select(F.col("first.doc_id").alias("__wl_i"), F.col("first.sum").alias("__wl_s"))
+    kept = own.join(stay, F.expr("__wl_id <=> __wl_i and __wl_sum = __wl_s"), "left_semi")
     return kept.dropDuplicates(["__wl_id", "__wl_sum"]).select(docs.columns)
 
 
