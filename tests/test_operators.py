@@ -360,3 +360,16 @@ def test_recommend_skips_noted(spark):
     eff = spark.createDataFrame([(1, 0.2), (2, 0.3), (3, 0.4)], "turbine int, capacity_factor double")
     noted = spark.createDataFrame([(1,)], "turbine int")
     assert rules.recommend(eff, noted).first()["turbine"] == 2
+
+
+def test_long_documents_are_chunks_too(spark, tmp_path):
+    from windloom.plans import texts
+
+    rows = [(1, "word " * 7000 + "42", "en", "src1", 35002), (8, "short 43", "en", "src1", 8)]
+    spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long").write.parquet(f"{tmp_path}/documents.parquet")
+    spark.createDataFrame([(1, 42), (21, 43), (41, 44)], "p_partkey long, p_size int").write.parquet(f"{tmp_path}/part.parquet")
+    assert sorted(values(texts.scoped_chunks(spark, str(tmp_path)), "chunk")) == [1, 8]
+    assert values(texts.best_pages(spark, str(tmp_path)), "doc_id", "page", "chunk", "distance") == [("src1", 1, 1, 2)]
+    assert values(texts.whole_documents(spark, str(tmp_path)), "doc_id", "characters", "chunks") == [("src1", 35010, 2)]
+    got = {r["value"]: (r["page"], r["verified"]) for r in texts.verified_specs(spark, str(tmp_path)).collect()}
+    assert got == {"42": (1, True), "43": (1, True), "44": (None, False)}
