@@ -373,3 +373,14 @@ def test_long_documents_are_chunks_too(spark, tmp_path):
     assert values(texts.whole_documents(spark, str(tmp_path)), "doc_id", "characters", "chunks") == [("src1", 35010, 2)]
     got = {r["value"]: (r["page"], r["verified"]) for r in texts.verified_specs(spark, str(tmp_path)).collect()}
     assert got == {"42": (1, True), "43": (1, True), "44": (None, False)}
+
+
+def test_verified_specs_puts_no_page_together(spark):
+    from windloom.plans import texts
+
+    plan = texts.verified_specs(spark, "/root/testdata/sf0.001")._jdf.queryExecution().optimizedPlan().toString()
+    assert "collect_list" not in plan
+    specs = spark.createDataFrame([("a", "f", "7", 1), ("a", "f", "8", 1), ("a", "f", "9", 1), ("b", "f", "7", 1)], "doc_id string, field string, value string, page int")
+    pages = spark.createDataFrame([("a", 1, "x 7"), ("a", 1, "70 7.0"), ("a", 3, "8"), ("a", 2, "8 7"), ("c", 1, "7")], "doc_id string, page int, text string")
+    got = {(r["doc_id"], r["value"]): (r["page"], r["verified"]) for r in retrieval.verified_numbers(specs, pages).collect()}
+    assert got == {("a", "7"): (1, True), ("a", "8"): (2, True), ("a", "9"): (None, False), ("b", "7"): (None, False)}

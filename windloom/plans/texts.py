@@ -69,9 +69,8 @@ def whole_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def verified_specs(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Numbers of documents looked up on pages of the same source: cited page, other page, or none."""
-    pages = _chunks(spark, sf_dir).groupBy("doc_id", "page").agg(F.concat_ws(" ", F.array_sort(F.collect_list("text"))).alias("text"))
     specs = table(spark, sf_dir, "part").where("p_partkey < 400").select(F.concat(F.lit("src"), (F.col("p_partkey") % 20).cast("string")).alias("doc_id"), F.lit("size").alias("field"), F.col("p_size").cast("string").alias("value"), (F.col("p_partkey") % 7).alias("page"))
-    return retrieval.verified_specs(specs.distinct(), pages)
+    return retrieval.verified_numbers(specs.distinct(), _chunks(spark, sf_dir))
 
 
 def spec_cross_check(spark: SparkSession, sf_dir: str) -> DataFrame:
