@@ -384,3 +384,29 @@ def test_verified_specs_puts_no_page_together(spark):
     pages = spark.createDataFrame([("a", 1, "x 7"), ("a", 1, "70 7.0"), ("a", 3, "8"), ("a", 2, "8 7"), ("c", 1, "7")], "doc_id string, page int, text string")
     got = {(r["doc_id"], r["value"]): (r["page"], r["verified"]) for r in retrieval.verified_numbers(specs, pages).collect()}
     assert got == {("a", "7"): (1, True), ("a", "8"): (2, True), ("a", "9"): (None, False), ("b", "7"): (None, False)}
+
+
+def test_bootstrap_draws_all_days(spark, tmp_path):
+    from windloom.plans import wake
+
+    source = spark.read.parquet("/root/testdata/sf0.001/events.parquet")
+    late = source.withColumn("ts", F.col("ts") + F.expr("interval 400 days"))
+    late.write.parquet(f"{tmp_path}/late/events.parquet")
+    source.unionByName(late).write.parquet(f"{tmp_path}/both/events.parquet")
+    given = sorted(values(wake.day_block_bootstrap(spark, "/root/testdata/sf0.001"), "draw", "ratio"))
+    assert len(given) == 300 and sorted(values(wake.day_block_bootstrap(spark, f"{tmp_path}/late"), "draw", "ratio")) == given
+    assert sorted(values(wake.day_block_bootstrap(spark, f"{tmp_path}/both"), "draw", "ratio")) != given
+    daily = spark.createDataFrame([(d, float(d), 1.0) for d in range(50, 150, 2)] + [(None, 1e9, 1.0)], "day int, a double, b double")
+    seen = values(geometry.block_bootstrap(daily, 40, "a", "b"), "ratio")
+    assert len(seen) == 40 and np.mean(seen) == pytest.approx(99, abs=4)
+    assert geometry.block_bootstrap(daily.where("false"), 40, "a", "b").count() == 0
+
+
+def test_forecast_is_of_the_default_model(spark, monkeypatch):
+    from windloom.plans import forecasts
+
+    asked = {}
+    monkeypatch.setattr(models, "boosted", lambda *a, **k: asked.update(k) or None)
+    monkeypatch.setattr(models, "predict", lambda model, rows: rows.withColumn("prediction", F.lit(0.0)))
+    forecasts.gbt_forecast(spark, "/root/testdata/sf0.001")
+    assert "trees" not in asked

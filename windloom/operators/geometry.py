@@ -12,6 +12,7 @@ from pyspark.sql.window import Window
 
 from windloom.functions.angles import bearing, difference
 from windloom.functions.wind import clip_low
+from windloom.operators.forecasting import numbered
 
 MAX_LAYOUT = 5000
 
@@ -123,16 +124,19 @@ def on_off_gain(bins: DataFrame, groups: list[str] | None = None) -> DataFrame:
     return bins.groupBy(*(groups or [])).agg((100 * (F.try_divide(on, off) - 1)).alias("gain_pct"), F.count(F.lit(1)).alias("bins"))
 
 
-def block_bootstrap(daily: DataFrame, draws: int, numerator: str, denominator: str, days: int) -> DataFrame:
-    """``(draw, ratio)`` of ``draws`` resamples of whole days (``day_no`` 0 to ``days`` - 1, drawn by a hash of draw and
-    place, so that any partitioning gives the same draws)."""
+def block_bootstrap(daily: DataFrame, draws: int, numerator: str, denominator: str, day: str = "day") -> DataFrame:
+    """``(draw, ratio)`` of ``draws`` resamples, each of as many whole days as ``daily`` has rows with a ``day`` (drawn by a
+    hash of draw and place among the days' own numbers, so that any partitioning gives the same draws)."""
     spark = daily.sparkSession
-    picks = spark.range(draws).withColumnRenamed("id", "draw").withColumn("place", F.explode(F.sequence(F.lit(0), F.lit(days - 1))))
-    picks = picks.withColumn("day_no", drawn_day(F.col("draw"), F.col("place"), days))
-    return picks.join(daily, "day_no").groupBy("draw").agg(F.try_divide(F.sum(numerator), F.sum(denominator)).alias("ratio"))
+    known = numbered(daily.where(F.col(day).isNotNull()), day).withColumnRenamed("i", "day_no")
+    days = known.agg(F.count(F.lit(1)).alias("days")).where("days > 0")
+    picks = spark.range(draws).withColumnRenamed("id", "draw").crossJoin(F.broadcast(days))
+    picks = picks.withColumn("place", F.explode(F.sequence(F.lit(0), (F.col("days") - 1).cast("int"))))
+    picks = picks.withColumn("day_no", drawn_day(F.col("draw"), F.col("place"), F.col("days")))
+    return picks.join(known, "day_no").groupBy("draw").agg(F.try_divide(F.sum(numerator), F.sum(denominator)).alias("ratio"))
 
 
-def drawn_day(draw, place, days: int):
+def drawn_day(draw, place, days):
     """An integer hash that DuckDB can repeat: the first 8 hex digits of an MD5."""
     return (F.conv(F.substring(F.md5(F.concat_ws(":", draw.cast("string"), place.cast("string")).cast("binary")), 1, 8), 16, 10).cast("long") % days).cast("long")
 

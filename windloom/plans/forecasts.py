@@ -98,7 +98,7 @@ def holt_winters(spark: SparkSession, sf_dir: str) -> DataFrame:
 def gbt_forecast(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = forecasting.lag_features(_split(spark, sf_dir), "i", "output", (1, 2, 24)).na.drop()
     features = ["lag_1", "lag_2", "lag_24"]
-    model = models.boosted(rows.where("train").select(*features, "output"), features, "output", trees=10)
+    model = models.boosted(rows.where("train").select(*features, "output"), features, "output")
     return models.predict(model, rows.where("not train")).select("h", "output", "prediction")
 
 

@@ -65,9 +65,9 @@ def binned_on_off_ratio(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def day_block_bootstrap(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = reading(spark, sf_dir).withColumn("day_no", F.floor(F.unix_timestamp(F.col("ts").cast("timestamp")) / 86400) - F.lit(19723))
-    daily = rows.groupBy("day_no").agg(F.sum("value").alias("a"), F.sum("power").alias("b"))
-    return rounded(geometry.block_bootstrap(daily, 300, "a", "b", 30), ratio=8)
+    rows = reading(spark, sf_dir).withColumn("day", F.floor(F.unix_timestamp(F.col("ts").cast("timestamp")) / 86400))
+    daily = rows.groupBy("day").agg(F.sum("value").alias("a"), F.sum("power").alias("b"))
+    return rounded(geometry.block_bootstrap(daily, 300, "a", "b"), ratio=8)
 
 
 def sector_ratio(spark: SparkSession, sf_dir: str) -> DataFrame:
