@@ -18,12 +18,10 @@ from __future__ import annotations
 
 import json
 import os
-import sys
+import re
 import zlib
-from array import array
 from collections.abc import Iterator
-from functools import cache
-from itertools import chain
+from functools import cache, cached_property
 
 import numpy as np
 import pyarrow as pa
@@ -33,83 +31,53 @@ from pyspark.sql.window import Window
 
 from windloom.llm.common import slices, store
 
-#: Tokens of a window and of the largest packet; parts of a queue; remembered words per task.
-WINDOW, PACKET, QUEUE_PARTS, MAX_WORDS = 2048, 256, 1024, 800_000
+#: Tokens of a window and of the largest packet; parts of a queue; white space that is left to the library, in characters.
+WINDOW, PACKET, QUEUE_PARTS, LONG_SPACE = 2048, 256, 1024, 16384
 
 
 class Tokenizer:
-    """Ids as unsigned 16-bit integers of the vocabulary in a tokenizers file, with words remembered.
+    """Ids as unsigned 16-bit integers of the vocabulary in a tokenizers file; nothing is remembered between texts.
 
     Byte-level BPE whose ids stand in merge order is encoded by the ranks read from the file, several times as fast as the
-    library and with the same ids (tests compare them); other files are encoded by the library.
+    library and with the same ids (tests compare them); other files, and texts with very long runs of white space (on which
+    the rank encoder's pattern would exhaust its stack), are encoded by the library.
     """
 
     def __init__(self, file: str) -> None:
-        from tokenizers import Tokenizer as Library
-
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
-        self.library = Library.from_file(file)
-        if self.library.get_vocab_size() > 65536:
+        self.file = file
+        with open(file, encoding="utf-8") as f:
+            spec = json.load(f)
+        self.special = [t["content"] for t in spec["added_tokens"]]
+        if max([*spec["model"]["vocab"].values(), *(t["id"] for t in spec["added_tokens"])]) > 65535:
             raise ValueError("ids must fit in 16 bits")
-        self.special = {t.content: k for k, t in self.library.get_added_tokens_decoder().items()}
-        self.ranks = _by_ranks(file, self.special)
-        if self.ranks is not None:
-            self.library = None  # no longer needed; its tables are large
-        self.words: dict[str, bytes] = {}
-
-    def _encode(self, texts: list[str], plain: bool = False) -> list[bytes]:
-        """``plain``: none of the texts holds a special string."""
-        if self.ranks is None:
-            return [np.array(e.ids, "<u2").tobytes() for e in self.library.encode_batch_fast(texts, add_special_tokens=False)]
-        ordinary, full = self.ranks.encode_ordinary, self.ranks.encode
-        if plain:
-            return [array("H", ordinary(t)).tobytes() for t in texts]
-        return [array("H", full(t, allowed_special="all") if any(s in t for s in self.special) else ordinary(t)).tobytes() for t in texts]
-
-    def encode(self, texts: list[str]) -> list[bytes]:
-        if len(self.words) > MAX_WORDS:
-            self.words.clear()
-        # A space between two characters that aren't white space begins a word of its own: texts are cut there, and a
-        # word that begins with such a space is known by what follows it.  Texts with a special string are left whole.
-        words = self.words
-        cut = [[t] if any(s in t for s in self.special) else t.split(" ") for t in texts]
-        new = set(chain.from_iterable(c for c in cut if len(c) > 1)).difference(words)
-        ragged = {p for p in new if not p or p[0].isspace() or p[-1].isspace()}
-        if ragged:
-            new -= ragged
-            for k, c in enumerate(cut):
-                if len(c) > 1 and not ragged.isdisjoint(c):
-                    cut[k] = _rejoined(c)
-                    new.update(set(cut[k][1:]).difference(words))
-        heads = self._encode([c[0] for c in cut])
-        words.update(zip(new, self._encode([p if p[0] == " " else " " + p for p in new], True), strict=True))
-        return [b"".join([h, *map(words.__getitem__, c[1:])]) for h, c in zip(heads, cut, strict=True)]
-
-
-def _rejoined(parts: list[str]) -> list[str]:
-    """The parts of a text split at spaces, with those joined again whose space isn't between two plain characters."""
-    out, held = [], parts[0]
-    for p in parts[1:]:
-        if p and held and not p[0].isspace() and not held[-1].isspace():
-            out.append(held)
-            held = p
-        else:
-            held += " " + p
-    if out and held[-1].isspace():
-        held = " " + held  # kept apart from a part without spaces, which is only remembered if it ends otherwise
-    return [*out, held]
-
-
-def _by_ranks(file: str, special: dict[str, int]):
-    """A rank encoder with the file's vocabulary, or None if it isn't plain byte-level BPE with ids in merge order."""
+        self.ranks = _by_ranks(spec)
+        self.long_space = re.compile(r"\s{%d}" % LONG_SPACE)
+
+    @cached_property
+    def library(self):
+        from tokenizers import Tokenizer as Library
+
+        return Library.from_file(self.file)
+
+    def encode(self, text: str) -> bytes:
+        if self.ranks is None or (len(text) > LONG_SPACE and self.long_space.search(text)):
+            return np.array(self.library.encode(text, add_special_tokens=False).ids, "<u2").tobytes()
+        if any(s in text for s in self.special):
+            return self.ranks.encode_to_numpy(text, allowed_special="all").astype("<u2").tobytes()
+        return self.ranks.encode_to_numpy(text, disallowed_special=()).astype("<u2").tobytes()
+
+
+def _by_ranks(spec: dict):
+    """A rank encoder with the vocabulary of a tokenizers file, or None if that isn't plain byte-level BPE with ids in merge
+    order."""
     import public_tokenizers
     import tiktoken
 
-    with open(file, encoding="utf-8") as f:
-        spec = json.load(f)
+    special = {t["content"]: t["id"] for t in spec["added_tokens"]}
     model, cut = spec["model"], spec["pre_tokenizer"] or {}
     plain = model["type"] == "BPE" and not any(model.get(k) for k in ("dropout", "unk_token", "continuing_subword_prefix", "end_of_word_suffix", "byte_fallback", "ignore_merges"))
-    if sys.byteorder != "little" or not plain or spec["normalizer"] or cut.get("type") != "ByteLevel" or cut.get("add_prefix_space") or not cut.get("use_regex", True):
+    if not plain or spec["normalizer"] or cut.get("type") != "ByteLevel" or cut.get("add_prefix_space") or not cut.get("use_regex", True):
         return None
     if any(t["single_word"] or t["lstrip"] or t["rstrip"] for t in spec["added_tokens"]):
         return None
@@ -134,7 +102,8 @@ def tokenized(docs: DataFrame, file: str, end_id: int = 1) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches):
-            ids = [x + end for x in tokenizer(file).encode([x or "" for x in batch.column(2).to_pylist()])]
+            encode = tokenizer(file).encode
+            ids = [encode(x or "") + end for x in batch.column(2).to_pylist()]
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array([len(x) // 2 for x in ids], pa.int64()), pa.array(ids, pa.binary())], ["doc_id", "source", "n", "ids"])
 
     source = F.col("source").cast("string") if "source" in docs.columns else F.lit(None).cast("string")
