@@ -6,13 +6,12 @@ A fingerprint bit is set if it is set in more than half of the shingles' XXH64 v
 
 Defined cases: a null text counts as empty; texts without words have fingerprint zero and link with each other like any
 others; repeated rows keep a row each and share a fingerprint; ties (exactly half) leave a bit clear; an empty table
-gives an empty result; extra input columns are ignored by ``fingerprints`` and kept by ``dedup``, whose helper columns
-are prefixed ``__wl_``.
+gives an empty result; extra input columns are ignored by ``fingerprints`` and kept by ``dedup`` whatever their names.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 from itertools import combinations, repeat
 
 import numpy as np
@@ -22,7 +21,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from windloom.llm import bitslice
-from windloom.llm.common import connected_components, slices, store, text_bytes
+from windloom.llm.common import connected_components, slices, store, text_bytes, unused
 
 #: Rows of a block that are compared in one piece; larger blocks are cut into tiles, and pairs of tiles are compared.
 TILE_ROWS = 16384
@@ -71,11 +70,11 @@ def fingerprints(docs: DataFrame, shingle_words: int = 3, id_column: str = "doc_
 
 def _agreeing_keys(radius: int, bits: int = 64) -> list[int]:
     """Masks such that any two words within ``radius`` bits agree on at least one of them: the bits fall into
-    ``radius + 6`` fields, of which ``radius`` differing bits leave six untouched."""
-    fields = radius + 6
+    ``radius + 3`` fields, of which ``radius`` differing bits leave three untouched."""
+    fields = radius + 3
     edges = [bits * k // fields for k in range(fields + 1)]
     field = [(1 << edges[k + 1]) - (1 << edges[k]) for k in range(fields)]
-    return [sum(c) for c in combinations(field, 6)]
+    return [sum(c) for c in combinations(field, 3)]
 
 
 def _signed(x: int) -> int:
@@ -135,9 +134,8 @@ def block_links(blocks: DataFrame, radius: int, n_words: int) -> DataFrame:
 
 def components(prints: DataFrame, radius: int = 2) -> DataFrame:
     """``(fp, component_id)`` for every distinct ``fp`` of ``prints(doc_id, fp)``: the smallest doc_id reachable over
-    fingerprints that differ in ``radius`` bits or fewer.  Exact: two such fingerprints agree on six of ``radius + 6``
-    fields, and each choice of six fields is a block key.  With radius 2 a block shares 48 bits and so can hold no
-    more than 65,536 distinct fingerprints."""
+    fingerprints that differ in ``radius`` bits or fewer.  Exact: two such fingerprints agree on three of ``radius + 3``
+    fields, and each choice of three fields is a block key (radius 2: ten keys of some 38 bits each)."""
     distinct = store(prints.groupBy("fp").agg(F.min("doc_id").alias("first_id")), "prints")
     masks = _agreeing_keys(radius)
     keys = F.array(*[F.xxhash64(F.lit(k), F.col("fp").bitwiseAND(F.lit(_signed(m)).cast("long"))) for k, m in enumerate(masks)])
@@ -279,22 +277,25 @@ def dedup(docs: DataFrame, shingle_words: int = 5, similarity: float = 0.8) -> D
     similarity is counted exactly, so no link is below it.  Of a repeated row one stays.
     """
     names = [f"w{k}" for k in range(WIDE_WORDS)]
+    own_id, own_sum, first_id, first_sum = unused(docs, "__wl_id", "__wl_sum", "__wl_first_id", "__wl_first_sum")
+    same = F.col(own_id).eqNullSafe(F.col(first_id)) & (F.col(own_sum) == F.col(first_sum))
     sig = store(signatures(docs, shingle_words), "signatures")
     first = F.min(F.struct(F.col("doc_id").isNull().alias("last"), "doc_id", "sum")).alias("first")
+    # Rows of one node have the same set of shingles, so the same size, fingerprint and bands.
     classes = sig.groupBy("node").agg(first, *[F.first(c).alias(c) for c in ("size", *names)])
     bands = sig.groupBy("node").agg(*[F.first(c).alias(c) for c in (*names, "bands")])
     blocks = bands.select(F.explode("bands").alias("key"), "node", *names)
     candidates = connected_components(block_links(blocks, candidate_radius(similarity, 64 * WIDE_WORDS), WIDE_WORDS))
-    own = docs.withColumn("__wl_id", F.col("doc_id").cast("long")).withColumn("__wl_sum", F.xxhash64(F.coalesce("text", F.lit(""))))
-    members = candidates.join(classes, "node").select(F.col("root").alias("key"), "node", "size", *names, F.col("first.doc_id").alias("__wl_i"), F.col("first.sum").alias("__wl_s"))
-    texts = own.select("__wl_id", "__wl_sum", "text").join(members, F.expr("__wl_id <=> __wl_i and __wl_sum = __wl_s"))
+    own = docs.withColumns({own_id: F.col("doc_id").cast("long"), own_sum: F.xxhash64(F.coalesce("text", F.lit("")))})
+    members = candidates.join(classes, "node").select(F.col("root").alias("key"), "node", "size", *names, F.col("first.doc_id").alias(first_id), F.col("first.sum").alias(first_sum))
+    texts = own.select(own_id, own_sum, "text").join(members, same)
     members = store(texts.select("key", "node", "size", *names, "text"), "members")
     roots = connected_components(similar_links(members, shingle_words, similarity))
     of = classes.select("node", "first").join(roots, "node", "left").select(F.coalesce("root", "node").alias("root"), "first")
     stay = of.groupBy("root").agg(F.min("first").alias("first"))
-    stay = stay.select(F.col("first.doc_id").alias("__wl_i"), F.col("first.sum").alias("__wl_s"))
-    kept = own.join(stay, F.expr("__wl_id <=> __wl_i and __wl_sum = __wl_s"), "left_semi")
-    return kept.dropDuplicates(["__wl_id", "__wl_sum"]).select(docs.columns)
+    stay = stay.select(F.col("first.doc_id").alias(first_id), F.col("first.sum").alias(first_sum))
+    kept = own.join(stay, same, "left_semi")
+    return kept.dropDuplicates([own_id, own_sum]).select(docs.columns)
 
 
 def op2_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -7,10 +7,16 @@ from which a piece may still grow, the node reached in the piece tree, the last
 token count there relative to now; a transition carries the change of the token count.  States and transitions are made
 when first met (the library decides on pairs of pieces) and kept up to a fixed number.
 
+A text is cut into chunks of a fixed length.  A chunk's state map takes each state in which the transducer may enter it to
+the state in which it leaves and the tokens counted on the way.  Which states those are is found in rounds over all
+chunks at once: a chunk's exits may enter the next, and a walk from another state ends as soon as it meets the first one,
+so maps stay small and each character is walked over a bounded number of times.  The maps, as integer arrays, compose
+associatively and are joined by a parallel prefix scan, which gives the token offset of every chunk.  The path is the same
+for texts of one chunk and of a million.
+
 No piece runs across the end of a word into a space, so the transducer is back in its first state before each run of
-spaces that follows another character.  A text is cut into chunks of fixed length; a chunk's state map is its head (up to
-its first such reset), the count from there to its last reset, and its tail; maps compose associatively and are joined by
-a parallel prefix scan, which also gives the token offset of every chunk.
+spaces that follows another character, and after a character without a piece; between two such resets the count of a
+word is remembered, within a bound in bytes.
 
 Defined cases: null and empty texts have 0 bytes and 0 tokens; strings like ``<s>`` in a text are ordinary text; any
 character without a piece counts one token per UTF-8 byte; repeated rows keep a row each; an empty table gives an
@@ -25,11 +31,13 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
-from windloom.llm.common import slices
+from windloom.llm.common import Remembered, slices
 
-#: Characters of a chunk; states, remembered pairs and words that a task keeps at most before it starts afresh.
-CHUNK_CHARS, MAX_STATES, MAX_WORDS = 32768, 150_000, 700_000
+#: Characters of a chunk, and of the steps at which its first walk is noted; states that a task keeps before it starts
+#: afresh; bytes of remembered words, and the longest of them.
+CHUNK_CHARS, STEP, MAX_STATES, WORD_BYTES, WORD_CHARS = 32768, 64, 150_000, 96 << 20, 64
 SPACE = "▁"
+START = ((0, None, 0),)
 _compiled: dict[str, Transducer] = {}
 
 
@@ -62,7 +70,8 @@ class Transducer:
         if any(SPACE in p.lstrip(SPACE) for _, p in pieces):
             raise ValueError("a piece runs across a word's end; this model has no resets at spaces")
         self.newline = None if "\n" in self.known else len(self.library.encode("\n"))
-        self.words: dict[str, int] = {}
+        self.words = Remembered(WORD_BYTES)
+        self.generation = 0
         self.reset()
 
     def _child(self, node: int, c: str) -> int:
@@ -73,9 +82,16 @@ class Transducer:
         return self.children[node][c]
 
     def reset(self) -> None:
-        start = ((0, None, 0),)
-        self.states, self.index, self.moves = [start], {start: 0}, [{}]
+        self.states, self.index, self.moves = [START], {START: 0}, [{}]
         self.pairs: dict[tuple, bool] = {}
+        self.generation += 1
+
+    def _state(self, key: tuple) -> int:
+        k = self.index.setdefault(key, len(self.states))
+        if k == len(self.states):
+            self.states.append(key)
+            self.moves.append({})
+        return k
 
     def _string(self, token) -> str:
         return "" if token is None else token if isinstance(token, str) else self.text[token]
@@ -106,18 +122,11 @@ class Transducer:
                 live.append((to, before, n))
         if last is None:  # the character is only known inside pieces
             last, count = c, self.states[state][-1][2] + len(c.encode())
-        key = (*[(node, before, n - count) for node, before, n in live], (0, last, 0))
-        k = self.index.setdefault(key, len(self.states))
-        if k == len(self.states):
-            self.states.append(key)
-            self.moves.append({})
-        return k, count
+        return self._state((*[(node, before, n - count) for node, before, n in live], (0, last, 0))), count
 
-    def walk(self, text: str) -> int:
-        """Tokens of ``text`` (spaces written as the piece model does) from the first state."""
-        if len(self.states) > MAX_STATES or len(self.pairs) > 4 * MAX_STATES:
-            self.reset()
-        state = total = 0
+    def walk(self, text: str, state: int = 0) -> tuple[int, int]:
+        """(state after, tokens) of ``text`` (spaces written as the piece model does), from ``state``."""
+        total = 0
         moves = self.moves
         for c in text:
             move = moves[state].get(c)
@@ -125,112 +134,181 @@ class Transducer:
                 move = moves[state][c] = self._move(state, c)
             state, n = move
             total += n
-        return total
+        return state, total
+
+    def _fresh(self) -> None:
+        """Start afresh where there are too many states."""
+        if len(self.states) > MAX_STATES or len(self.pairs) > 4 * MAX_STATES:
+            self.reset()
+
+    def stretch(self, text: str, key: tuple, marks: list | None = None, known: list | None = None) -> tuple[tuple, int, int | None]:
+        """(state after, tokens, None) of text without resets.  ``marks`` takes (generation, state, tokens) after each step;
+        where the walk meets ``known`` marks it ends with the number of the mark instead of a full count."""
+        self._fresh()
+        state, total = self._state(key), 0
+        for k, at in enumerate(range(0, len(text), STEP)):
+            if len(self.states) > MAX_STATES + STEP:
+                key = self.states[state]
+                self._fresh()
+                state = self._state(key)
+            state, n = self.walk(text[at : at + STEP], state)
+            total += n
+            if marks is not None:
+                marks.append((self.generation, state, total))
+            if known and known[k][:2] == (self.generation, state):
+                return self.states[state], total, k
+        return self.states[state], total, None
 
     def _word(self, word: str) -> int:
-        n = self.words.get(word)
+        n = self.words.young.get(word)
         if n is None:
-            n = self.walk(SPACE + word)
-            if len(self.words) >= MAX_WORDS:
-                self.words.clear()
-            self.words[word] = n
+            n = self.words.old.get(word)
+            if n is None:
+                self._fresh()
+                n = self.walk(SPACE + word)[1] if len(word) <= WORD_CHARS else self.stretch(SPACE + word, START)[1]
+            if len(word) <= WORD_CHARS:
+                self.words.put(word, n)
         return n
 
     def _after_resets(self, body: str) -> int:
         """Tokens of text that begins with a space and that the transducer enters and leaves in its first state."""
-        total = 0
+        words = body[1:].split(" ")
         if "  " not in body and body[-1] != " ":
-            words = body[1:].split(" ")
             try:
-                return sum(map(self.words.__getitem__, words))
+                return sum(map(self.words.young.__getitem__, words))
             except KeyError:
                 return sum(map(self._word, words))
-        run = 0
-        for word in body[1:].split(" "):
+        total = run = 0
+        for word in words:
             if not word:
                 run += 1
             elif run:
-                total += self.walk(SPACE * (run + 1) + word)
+                total += self.stretch(SPACE * (run + 1) + word, START)[1]
                 run = 0
             else:
                 total += self._word(word)
-        return total + (self.walk(SPACE * (run + 0)) if run else 0)
+        return total + (self.stretch(SPACE * run, START)[1] if run else 0)
 
-    def chunk_map(self, chunk: str) -> tuple[str, int | None, str]:
-        """(head, count, tail) of a chunk with U+0020 for spaces; count None: no reset inside, all of it is head."""
-        first = _next_reset(chunk, 0)
+    def _line(self, text: str) -> tuple[str, int, str]:
+        """Head (up to the first space that follows another character), tokens from there to the last such, and tail."""
+        first = _next_reset(text)
         if first < 0:
-            return chunk, None, ""
-        last = _last_reset(chunk)
-        return chunk[:first], self._after_resets(chunk[first:last]) if last > first else 0, chunk[last:]
-
-    def compose(self, a: tuple, b: tuple) -> tuple:
-        """The map of a chunk followed by another.  A joint may hold a reset that neither chunk could see."""
-        if a[1] is None and b[1] is None:
-            return self.chunk_map(a[0] + b[0]) if _crosses(a[0], b[0]) else (a[0] + b[0], None, "")
-        if a[1] is None:
-            joint = self.chunk_map(a[0] + b[0]) if _crosses(a[0], b[0]) else None
-            return (joint[0], joint[1] + self.plain(joint[2]) + b[1], b[2]) if joint else (a[0] + b[0], b[1], b[2])
-        if b[1] is None:
-            joint = self.chunk_map(a[2] + b[0]) if _crosses(a[2], b[0]) else None
-            return (a[0], a[1] + self.plain(joint[0]) + joint[1], joint[2]) if joint else (a[0], a[1], a[2] + b[0])
-        return a[0], a[1] + self.whole(a[2] + b[0]) + b[1], b[2]
-
-    def plain(self, text: str) -> int:
-        return self.walk(text.replace(" ", SPACE))
-
-    def whole(self, text: str) -> int:
-        head, count, tail = self.chunk_map(text)
-        return self.plain(head) + (0 if count is None else count + self.plain(tail))
-
-    def prefix_scan(self, maps: list[tuple]) -> list[tuple]:
-        """The composition of every prefix of ``maps``, in log2 rounds of independent compositions."""
-        out, step = list(maps), 1
-        while step < len(out):
-            out = [self.compose(out[k - step], x) if k >= step else x for k, x in enumerate(out)]
-            step *= 2
-        return out
-
-    def offsets(self, text: str) -> list[int]:
-        """Tokens of the text up to the end of each of its chunks; the last is its token count."""
-        text = self.prefix + text.replace(SPACE, " ")
-        maps = [self.chunk_map(text[k : k + CHUNK_CHARS]) for k in range(0, len(text), CHUNK_CHARS)]
-        return [self.plain(h) + (0 if n is None else n + self.plain(t)) for h, n, t in self.prefix_scan(maps)]
-
-    def count(self, text: str) -> int:
-        if not text:
-            return 0
-        if len(text) > CHUNK_CHARS:
-            return self.offsets(text)[-1]
-        text = self.prefix + text.replace(SPACE, " ")
-        if self.newline is None:
-            return self.whole(text)
-        lines = text.split("\n")  # a character without a piece is a reset too
-        return self.newline * (len(lines) - 1) + sum(self.whole(x) for x in lines if x)
-
-
-def _next_reset(s: str, start: int) -> int:
-    """The first position at or after ``start`` of a space that follows another character, or -1."""
-    k = s.find(" ", start)
-    while k >= 0:
-        if k and s[k - 1] != " ":
-            return k
-        stripped = s[k:].lstrip(" ")
-        k = s.find(" ", len(s) - len(stripped)) if stripped else -1
-    return -1
+            return text, 0, ""
+        last = _last_reset(text)
+        return text[:first], self._after_resets(text[first:last]) if last > first else 0, text[last:]
+
+    def _counted(self, text: str) -> int:
+        """Tokens of a text without newlines from the first state."""
+        head, count, tail = self._line(text)
+        if head:
+            count += self._word(head[1:]) if head[0] == " " and head[1:2] not in ("", " ") else self.stretch(head.replace(" ", SPACE), START)[1]
+        return count + (self._word(tail[1:]) if tail[1:2] not in ("", " ") else self.stretch(tail.replace(" ", SPACE), START)[1] if tail else 0)
+
+
+class Chunk:
+    """The state map of one chunk, made for entry states as they are asked for."""
+
+    def __init__(self, own: Transducer, text: str) -> None:
+        # Up to the first reset the way depends on the entry; from there on it doesn't.
+        self.own, self.rest, self.exit = own, 0, None
+        if own.newline is not None and "\n" in text:  # a character without a piece is a reset too
+            text, *lines = text.split("\n")
+            tail = lines.pop()
+            self.rest = own.newline * (len(lines) + 1) + sum(own._counted(x) for x in lines if x)
+            before, count, last = own._line(tail)
+            if last:
+                count += own._counted(before) if before else 0
+            else:
+                last = before
+            self.exit, n, _ = own.stretch(last.replace(" ", SPACE), START)
+            self.rest += count + n
+            head, count, last = own._line(text)
+            self.rest += count + (own._counted(last) if last else 0)
+        else:
+            head, count, last = own._line(text)
+            self.rest = count
+            if last:
+                self.exit, n, _ = own.stretch(last.replace(" ", SPACE), START)
+                self.rest += n
+        self.head = head.replace(" ", SPACE)
+        self.marks: list = []
+        self.map: dict[tuple, tuple[tuple, int]] = {}
+
+    def __getitem__(self, entry: tuple) -> tuple[tuple, int]:
+        """(exit state, tokens) for an entry state."""
+        found = self.map.get(entry)
+        if found is None:
+            if self.map:
+                state, n, met = self.own.stretch(self.head, entry, known=self.marks)
+                if met is not None:
+                    state, total = self.first
+                    n += total - self.marks[met][2]
+            else:
+                state, n, _ = self.own.stretch(self.head, entry, marks=self.marks)
+                self.first = state, n
+            found = self.map[entry] = (state if self.exit is None else self.exit, n + self.rest)
+        return found
+
+
+def prefix_scan(exits: np.ndarray, counts: np.ndarray) -> np.ndarray:
+    """Tokens up to the end of every chunk, from the maps of n chunks with up to m entry states: ``exits[k, i]`` is the place
+    of the exit among the entries of chunk k + 1, ``counts[k, i]`` the tokens.  Row k is composed with the row ``step`` before
+    it, in log2 rounds of independent compositions; the text enters the first chunk by its entry 0."""
+    exits, counts, step = exits.copy(), counts.copy(), 1
+    while step < len(exits):
+        via = exits[:-step]
+        moved = np.take_along_axis(exits[step:], via, 1)
+        total = counts[:-step] + np.take_along_axis(counts[step:], via, 1)
+        exits[step:], counts[step:] = moved, total
+        step *= 2
+    return counts[:, 0]
+
+
+def offsets(own: Transducer, text: str) -> list[int]:
+    """Tokens of the text up to the end of each of its chunks; the last is its token count."""
+    own.words.turn()
+    text = own.prefix + text.replace(SPACE, " ")
+    chunks = [Chunk(own, text[k : k + CHUNK_CHARS]) for k in range(0, len(text), CHUNK_CHARS)]
+    entries: list[list[tuple]] = [[START] for _ in chunks]
+    # Each chunk is first walked from the first state; every round then lets the new exits of all chunks into the next.
+    fresh = [(k, START) for k in range(len(chunks))]
+    while fresh:
+        after = []
+        for k, entry in fresh:
+            leave = chunks[k][entry][0]
+            if k + 1 < len(chunks) and leave not in entries[k + 1]:
+                entries[k + 1].append(leave)
+                after.append((k + 1, leave))
+        fresh = after
+    most = max(map(len, entries))
+    exits, counts = np.zeros((len(chunks), most), np.int64), np.zeros((len(chunks), most), np.int64)
+    for k, states in enumerate(entries):
+        place = {s: i for i, s in enumerate(entries[k + 1])} if k + 1 < len(chunks) else {}
+        for i, s in enumerate(states):
+            leave, counts[k, i] = chunks[k][s]
+            exits[k, i] = place.get(leave, 0)
+    return prefix_scan(exits, counts).tolist()
+
+
+def count(own: Transducer, text: str) -> int:
+    return offsets(own, text)[-1] if text else 0
+
+
+def _next_reset(s: str) -> int:
+    """The first position of a space that follows another character, or -1."""
+    k = s.find(" ")
+    if k == 0:
+        lead = len(s) - len(s.lstrip(" "))
+        k = s.find(" ", lead) if lead < len(s) else -1
+    return k
 
 
 def _last_reset(s: str) -> int:
+    """The last such position of a text that has one."""
     k = s.rfind(" ")
-    if k < 0:
-        return -1
     return len(s[: k + 1].rstrip(" "))
 
 
-def _crosses(a: str, b: str) -> bool:
-    return bool(a) and a[-1] != " " and b[:1] == " "
-
-
 def transducer(model_file: str) -> Transducer:
     if model_file not in _compiled:
         _compiled[model_file] = Transducer(model_file)
@@ -242,9 +320,9 @@ def token_counts(docs: DataFrame, model_file: str, limit: int = 4096) -> DataFra
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches):
-            count = transducer(model_file).count
+            own = transducer(model_file)
             texts = [x or "" for x in batch.column(1).to_pylist()]
-            n = np.array([count(t) for t in texts], np.int64)
+            n = np.array([count(own, t) for t in texts], np.int64)
             size = np.array([len(t.encode()) for t in texts], np.int64)
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(size), pa.array(n), pa.array(n > limit)], ["doc_id", "n_bytes", "n_tokens", "over_limit"])
 

@@ -7,7 +7,8 @@ fit the longest (host and path together; then the longer host; then ``block``) g
 Only suffixes of as many labels and prefixes of as many characters as some rule has are made, which loses nothing.
 Defined cases: a null url or one without ``://`` has an empty host and path, fits no rule and gets the default verdict;
 repeated rows and repeated rules are allowed; an empty rule table gives the default everywhere; a rule whose path is
-empty fits every path; null rules are ignored; other columns of ``pages`` are kept.
+empty fits every path; null rules are ignored; other columns of ``pages`` are kept whatever their names, but columns
+called host, path, rule or verdict are replaced by the operator's own.
 """
 
 from __future__ import annotations
@@ -15,6 +16,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from windloom.llm.common import unused
+
 #: The rules of the query (fixed values): host, path, verdict.
 RULES = [("net", "/", "block"), ("example.net", "/en/", "allow"), ("example.com", "/de/", "block"), ("org", "/fr/", "allow")]
 
@@ -39,20 +42,25 @@ def url_filter(pages: DataFrame, rules: DataFrame, default: str = "allow") -> Da
     # One row: how many labels and characters rules have, as two short sorted arrays.
     shapes = rules.agg(F.array_sort(F.collect_set(F.size(F.split("r_host", r"\.")))).alias("labels"), F.array_sort(F.collect_set(F.length("r_path"))).alias("lengths")).first()
     host, path = host_and_path(F.col("url"))
-    own = pages.drop("host", "path", "rule", "verdict").withColumns({"host": host, "path": path})
-    pairs = own.select("host", "path").distinct()
+    pairs = pages.select(host.alias("host"), path.alias("path")).distinct()
     parts = F.split("host", r"\.")
     suffixes = F.array(*[F.when(F.size(parts) >= n, F.substring_index("host", ".", -n)) for n in shapes["labels"]]) if shapes["labels"] else F.array().cast("array<string>")
     prefixes = F.array(*[F.when(F.length("path") >= n, F.substring(F.col("path"), 1, n)) for n in shapes["lengths"]]) if shapes["lengths"] else F.array().cast("array<string>")
-    made = pairs.select("host", "path", F.explode(suffixes).alias("e_host"), F.lit(1).alias("one")).where("e_host is not null")
+    made = pairs.select("host", "path", F.explode(suffixes).alias("e_host")).where("e_host is not null")
     made = made.select("host", "path", "e_host", F.explode(prefixes).alias("e_path")).where("e_path is not null")
     made = made.withColumn("full", F.sha2(F.concat_ws("\x00", "e_host", "e_path"), 256)).withColumn("short", F.substring("full", 1, 8))
     fits = made.join(rules, "short").where("full = digest")
     rank = F.struct(F.length("r_host") + F.length("r_path"), F.length("r_host"), F.col("verdict"))
-    best = fits.groupBy("host", "path").agg(F.max_by(F.struct(F.concat("r_host", "r_path").alias("rule"), "verdict"), rank).alias("best"))
-    return own.join(best, ["host", "path"], "left").select(
-        *[c for c in own.columns if c not in ("host", "path")], "host", "path", F.col("best.rule").alias("rule"), F.coalesce("best.verdict", F.lit(default)).alias("verdict")
-    )
+    chosen = fits.groupBy("host", "path").agg(F.max_by(F.struct(F.concat("r_host", "r_path").alias("rule"), "verdict"), rank).alias("best"))
+    own_host, own_path, for_host, for_path, best = unused(pages, "__wl_host", "__wl_path", "__wl_for_host", "__wl_for_path", "__wl_best")
+    chosen = chosen.select(F.col("host").alias(for_host), F.col("path").alias(for_path), F.col("best").alias(best))
+    own = pages.withColumns({own_host: host, own_path: path})
+    # Pages without a rule (nulls among them) stay; a page's host and path are never null.
+    joined = own.join(chosen, (F.col(own_host) == F.col(for_host)) & (F.col(own_path) == F.col(for_path)), "left")
+    return joined.select(
+        *[F.col(f"`{c}`") for c in pages.columns if c.lower() not in ("host", "path", "rule", "verdict")],
+        F.col(own_host).alias("host"), F.col(own_path).alias("path"), F.col(f"{best}.rule").alias("rule"), F.coalesce(F.col(f"{best}.verdict"), F.lit(default)).alias("verdict"),
+    )
 
 
 def op7_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
