@@ -6,14 +6,17 @@ import base64
 import collections
 import hashlib
 import re
+import time
 import zlib
 
 import numpy as np
+import pyarrow as pa
 import pytest
 import xxhash
+from pyspark.sql import functions as F
 
 import corpus_pipeline
-from windloom.llm import bpe, embeddings, flac, media, packing, quality, sharding, simhash, tokens, toxicity, urls
+from windloom.llm import bpe, common, embeddings, flac, media, packing, quality, sharding, simhash, tokens, toxicity, urls
 
 P = pytest.importorskip("public_tokenizers")
 SF = "/root/testdata/sf0.001"
@@ -74,6 +77,114 @@ def test_simhash_equals_brute_force(spark, docs, empty):
     assert simhash.near_duplicates(empty).count() == 0
 
 
+def test_token_counts_of_texts_without_spaces():
+    """Any cut into chunks, any bound on states, and long unspaced texts in linear time, as the library counts them."""
+    import sentencepiece
+
+    file = P.path("piece_bpe_32k.model")
+    library, own = sentencepiece.SentencePieceProcessor(model_file=file), tokens.Transducer(file)
+    rng = np.random.default_rng(2)
+    parts = ["a", "b", " ", "  ", "\n", "é", "漢", "字", "🙂", "1", "ation", "the", "ing", "▁", "中文", "x" * 40, "<s>"]
+    made = ["".join(rng.choice(parts, rng.integers(1, 120))) for _ in range(300)]
+    for chunk, states in ((7, 400), (64, 150_000), (200, 400)):
+        with pytest.MonkeyPatch.context() as m:
+            m.setattr(tokens, "CHUNK_CHARS", chunk)
+            m.setattr(tokens, "MAX_STATES", states)
+            for t in made:
+                assert tokens.count(own, t) == len(library.encode(t)), (chunk, t)
+    letters = [chr(c) for c in rng.integers(0x4E00, 0x9FA5, 3000)]
+    for t in ("".join(rng.choice(letters, 300_000)), "".join(rng.choice(list("abcdefXYZ0129+/"), 200_000)), " " * 100_000):
+        started = time.process_time()
+        assert tokens.count(own, t) == len(library.encode(t))
+        assert time.process_time() - started < 20
+    first = tokens.offsets(own, made[0] + "漢" * 70_000)
+    assert len(first) == 3 and first == sorted(first)
+
+
+def test_long_words_by_spans():
+    import tiktoken
+
+    file = P.path("byte_bpe_50k.tiktoken")
+    with open(file, "rb") as f:
+        ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, f)}
+    library = tiktoken.Encoding("own", pat_str=P.PATTERN, mergeable_ranks=ranks, special_tokens={})
+    own, rng = bpe.Codec(file, P.PATTERN), np.random.default_rng(6)
+    letters = list("abcdefghijklmnopqrstuvwxyzABC")
+    words = ["".join(rng.choice(letters, n)) for n in (64, 65, 95, 96, 97, 128, 129, 1000, 30_000)]
+    words += ["a" * n for n in (65, 128, 5001)] + ["ab" * 300, "=" * 1000, "漢字" * 200, "🙂" * 100, "abc" * 111]
+    for w, got in zip(words, own.encode(words), strict=True):
+        assert np.frombuffer(got, "<u4").tolist() == library.encode_ordinary(w), w[:40]
+    assert own.decode(own.encode(words)) == [w.encode() for w in words]
+    for w, got in zip(words[:8] + words[9:], own._contract([w.encode() for w in words[:8] + words[9:]], bpe.ENCODE_ALL), strict=True):
+        assert got.tolist() == library.encode_ordinary(w), w[:40]
+
+
+def test_slices_are_bounded_in_rows_and_bytes():
+    batch = pa.RecordBatch.from_arrays([pa.array(range(1000)), pa.array(["x" * (50 if k != 500 else 10_000) for k in range(1000)]), pa.array([[1, 2]] * 1000)], ["a", "b", "c"])
+    parts = list(common.slices([batch], 100, 4000))
+    assert pa.Table.from_batches(parts).equals(pa.Table.from_batches([batch]))
+    assert max(p.num_rows for p in parts) <= 100
+    assert [p.num_rows for p in parts if common.row_bytes(p).sum() > 4000] == [1]
+    memory = common.Remembered(2000)
+    for k in range(100):
+        memory.turn()
+        assert memory.missing({f"k{k}", "always"}) == [x for x in {f"k{k}", "always"} if x == f"k{k}" or k == 0]
+        for x in {f"k{k}", "always"}.difference(memory.young):
+            memory.put(x, b"v")
+        assert len(memory.young) + len(memory.old) < 20
+
+
+def test_cluster_needs_a_shared_folder():
+    class Context:
+        master, _dir = "spark://host:7077", None
+
+        def getCheckpointDir(self):
+            return self._dir
+
+    class Session:
+        sparkContext = Context()
+        conf = type("Conf", (), {"get": staticmethod(lambda key, default: default)})()
+
+    with pytest.raises(RuntimeError, match="spark.checkpoint.dir"):
+        common.checkpoint_dir(Session())
+
+
+@pytest.mark.parametrize("tile", [16384, 40])
+def test_block_links_of_large_blocks(spark, monkeypatch, tile):
+    """One block of 300 fingerprints, whole and in pairs of tiles: the components of brute force."""
+    monkeypatch.setattr(simhash, "TILE_ROWS", tile)
+    rng = np.random.default_rng(8)
+    base = rng.integers(0, 2**62, 60)
+    prints = [int(x) for x in base] + [int(base[k % 60]) ^ (1 << int(rng.integers(62))) ^ (1 << int(rng.integers(62))) for k in range(240)]
+    root = list(range(300))
+    for _ in range(8):
+        for a in range(300):
+            for b in range(a):
+                if (prints[a] ^ prints[b]).bit_count() <= 3:
+                    root[a] = root[b] = min(root[a], root[b])
+    blocks = spark.createDataFrame([(1, k, x) for k, x in enumerate(prints)] + [(2, 900, 5), (2, 901, 5)], "key long, node long, w0 long")
+    got = {r.node: r.root for r in common.connected_components(simhash.block_links(blocks, 3, 1)).collect()}
+    assert got.pop(901) == got.pop(900) == 900
+    assert [got.get(k, k) for k in range(300)] == root
+
+
+def test_connected_components(spark):
+    chain = [(k, k + 1) for k in range(40)]
+    star = [(1000, k) for k in range(1001, 1100)]
+    edges = spark.createDataFrame([*chain, *star, (5, 4), (7, 7), (3000, 2999), (None, 1)], "a long, b long")
+    got = {r.node: r.root for r in common.connected_components(edges).collect()}
+    assert got == {k: 0 for k in range(201)} | {k: 1000 for k in range(1000, 1100)} | {2999: 2999, 3000: 2999}
+    assert common.connected_components(edges.where("false")).count() == 0
+
+
+def test_dedup_keeps_columns_of_any_name(spark):
+    rows = [(3, "a b c d e f", 7, "x", 1), (1, "a b c d e f", 8, "y", 2), (2, "other words are in this text", 9, "z", 3)]
+    frame = spark.createDataFrame(rows, "doc_id long, text string, __wl_id int, __wl_sum string, first int")
+    out = simhash.dedup(frame)
+    assert out.columns == frame.columns
+    assert sorted(map(tuple, out.collect())) == [rows[1], rows[2]]
+
+
 def test_radius_two_links_are_whole(spark):
     rng = np.random.default_rng(5)
     base = [int(x) for x in rng.integers(0, 2**62, 40)]
@@ -148,6 +259,8 @@ def test_classifiers_on_held_out_rows(spark, empty, docs, module, target, modulu
     assert np.mean([r.predicted == r[target] for r in rows]) >= 0.9
     assert module.scored(docs, model, modulus, held, 0.3).count() == docs.count()
     assert module.scored(empty, model, modulus, held, 0.3).count() == 0
+    keep = quality.keep_good if module is quality else toxicity.keep_clean
+    assert keep(empty, labels).count() == 0 and keep(empty, labels).columns == docs.columns
     none = module.fit(docs, labels.where("false"))
     assert {round(r.score, 6) for r in module.scored(docs, none, modulus, held, 0.3).collect()} == {0.5}
 
@@ -208,6 +321,22 @@ def test_embedding_links_equal_brute_force(spark):
     assert embeddings.near_duplicates(frame.where("false")).count() == 0
 
 
+@pytest.mark.parametrize(("threshold", "noise", "tile"), [(0.98, 0.05, 4096), (0.9, 0.2, 4096), (0.98, 0.02, 50)])
+def test_embedding_counts_in_dense_groups(spark, monkeypatch, threshold, noise, tile):
+    """Groups of some hundred close vectors, whole and in pairs of tiles: links counted once, none below the threshold."""
+    monkeypatch.setattr(embeddings, "TILE_ROWS", tile)
+    rng = np.random.default_rng(12)
+    base = rng.standard_normal((4, 64))
+    x = (base[rng.integers(0, 4, 500)] + noise * rng.standard_normal((500, 64))).astype(np.float32)
+    frame = spark.createDataFrame([(k, v.tolist(), "one") for k, v in enumerate(x)] + [(900, x[0].tolist(), "one")], "vec_id long, embedding array<float>, label string")
+    x = np.concatenate([x, x[:1]]).astype(np.float64)
+    unit = x / np.linalg.norm(x, axis=1, keepdims=True)
+    want = (unit @ unit.T >= threshold).sum(axis=1) - 1
+    got = {r.vec_id: r.n_links for r in embeddings.near_duplicates(frame, threshold).collect()}
+    got = np.array([got[k] for k in [*range(500), 900]])
+    assert (got <= want).all() and got.sum() >= 0.98 * want.sum() > 1000 and got[0] == got[-1]
+
+
 def test_byte_bpe_equals_the_library_and_round_trips(docs, empty):
     import tiktoken
 
@@ -236,6 +365,10 @@ def test_url_rules(spark):
     assert all((r.host, r.path, r.rule, r.verdict) == list(cases.values())[r.page_id] for r in got)
     assert {r.verdict for r in urls.url_filter(pages, rules.where("false")).collect()} == {"allow"}
     assert urls.url_filter(pages.where("false"), rules).count() == 0
+    clash = pages.withColumns({c: F.lit(c) for c in ("best", "host", "Verdict", "digest", "short", "e_host", "r_path", "one", "__wl_best")})
+    out = urls.url_filter(clash, rules)
+    assert out.columns == ["page_id", "url", "best", "digest", "short", "e_host", "r_path", "one", "__wl_best", "host", "path", "rule", "verdict"]
+    assert all((r.best, r.one) == ("best", "one") and (r.host, r.path, r.rule, r.verdict) == list(cases.values())[r.page_id] for r in out.collect())
 
 
 def test_flac_round_trip_and_checksums(docs, empty):
@@ -251,11 +384,48 @@ def test_flac_round_trip_and_checksums(docs, empty):
         bad[at] ^= 1
         with pytest.raises((ValueError, IndexError)):
             media.decode([bytes(bad)])
-    blocks = media.pcm_blocks(media.stored(docs.where("doc_id = 5"))).orderBy("block").collect()
-    assert [r.sample_offset for r in blocks] == [flac.BLOCK * k for k in range(len(blocks))]
+    table = media.stored(docs.where("doc_id in (4, 5, 10)"))
+    streams = {r.doc_id: bytes(r.media) for r in table.collect()}
+    for k, data in streams.items():
+        blocks = media.pcm_blocks(table.where(f"doc_id = {k}")).orderBy("block").collect()
+        samples = (np.frombuffer(media.padded(own[k].encode()), np.uint8) - np.uint8(128)).tobytes()
+        assert [r.sample_offset for r in blocks] == list(range(0, len(samples), flac.BLOCK))
+        ends = [r.byte_offset for r in blocks[1:]] + [None]
+        for r, end in zip(blocks, ends, strict=True):
+            assert bytes(r.pcm) == samples[r.sample_offset : r.sample_offset + flac.BLOCK] == media.seek(data, r.byte_offset, end)
+    nothing = table.sparkSession.createDataFrame([(1, 0, None)], "doc_id long, n_bytes long, media binary")
+    assert media.decoded(nothing).first().blocks is None and media.pcm_blocks(nothing).count() == 0
     assert media.described(empty).count() == 0
 
 
+def test_flac_reads_every_kind_of_frame():
+    """Linear prediction with partitions, both parameter widths, escapes; fixed and verbatim kinds; and what is written."""
+    rng = np.random.default_rng(4)
+    wave = (60 * np.sin(np.arange(256) / 9) + rng.integers(-3, 4, 256)).astype(int)
+    frames = []
+    for order in (1, 2, 5, 8):
+        taps = [700, -200, 60, -30, 20, 5, -4, 3][:order]
+        for parts, method, escape in ((0, 0, None), (3, 0, None), (2, 1, None), (1, 0, 10), (2, 1, 9)):
+            frames.append(flac.encode_lpc(wave.tolist(), 7, taps, 9, 3, 12, parts, method, escape))
+    samples, sizes, numbers = flac.decode_frames(frames)
+    assert (sizes == 256).all() and (numbers == 7).all() and (samples == wave[None, :]).all()
+    bad = bytearray(frames[3])
+    bad[20] ^= 4
+    with pytest.raises(ValueError, match="checksum"):
+        flac.decode_frames([bytes(bad)])
+    kinds = np.zeros((5, flac.BLOCK), np.int32)
+    kinds[1] = np.arange(flac.BLOCK) % 100
+    kinds[2] = rng.integers(-128, 128, flac.BLOCK)
+    kinds[3] = 90 * np.sin(np.arange(flac.BLOCK) / 3)
+    kinds[4] = 60 * np.sin(np.arange(flac.BLOCK) / 40)
+    written = flac.encode_frames(kinds, np.array([1024, 1024, 1024, 1024, 64]), np.arange(5))
+    samples, sizes, numbers = flac.decode_frames(written)
+    kinds[4, 64:] = 0
+    assert (samples == kinds).all() and sizes.tolist() == [1024] * 4 + [64] and numbers.tolist() == list(range(5))
+    # Bits of the subframe headers: constant, and the linear predictor for the fast wave.
+    assert written[0][5 + 1] >> 1 == 0 and written[3][5 + 1] >> 1 == 32 | (flac.LPC_ORDER - 1)
+
+
 def test_packing_covers_every_id_once(docs, empty):
     from tokenizers import Tokenizer
 
@@ -298,6 +468,29 @@ def test_mixture_stays_on_target(spark):
             assert abs(r[2] / 2048 - share) < 0.1
 
 
+def test_mixture_that_is_asked_for(spark):
+    rows = [(k, "word " * 60, "a" if k < 300 else "b" if k < 600 else None) for k in range(700)]
+    frame = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    mixture = spark.createDataFrame([("a", 3.0), ("b", 1.0)], "source string, share double")
+    got = packing.pack(frame, window=512, packet=64, mixture=mixture).join(frame.select("doc_id", "source"), "doc_id")
+    early = got.where("sequence_id < 20").groupBy("source").sum("length").collect()
+    share = {r.source: r[1] for r in early}
+    assert share["a"] / share["b"] == pytest.approx(3, rel=0.1) and share[None] / share["b"] == pytest.approx(1, rel=0.15)
+    assert got.agg({"length": "sum"}).first()[0] == packing.pack(frame).agg({"length": "sum"}).first()[0]
+    assert packing.pack(frame.where("false"), mixture=mixture).count() == 0
+
+
+def test_packing_tokenizer_on_long_spaces_and_special_strings():
+    from tokenizers import Tokenizer
+
+    file = P.path("byte_bpe_50k.json")
+    library, own, rng = Tokenizer.from_file(file), packing.Tokenizer(file), np.random.default_rng(1)
+    parts = ["a", "b", " ", "  ", "\n", "\t", "é", "漢", "🙂", "1", "23", ".", "<|endoftext|>", "'s", "\u00a0", "\u3000", "x" * 40, "Word"]
+    texts = ["".join(rng.choice(parts, rng.integers(0, 40))) for _ in range(500)] + [" " * 50_000 + "a", "\n" * 70_000, "a " * 9 + " " * 20_000 + "x y"]
+    for t in texts:
+        assert np.frombuffer(own.encode(t), "<u2").tolist() == library.encode(t, add_special_tokens=False).ids
+
+
 def test_pipeline_stages(spark):
     docs = spark.read.parquet(f"{SF}/documents.parquet")
     labels = spark.read.parquet(f"{SF}/labels.parquet")

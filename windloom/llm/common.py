@@ -37,12 +37,12 @@ def _delete(spark: SparkSession, path: str) -> None:
     jpath.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(jpath, True)
 
 
-def store(df: DataFrame, name: str) -> DataFrame:
+def store(df: DataFrame, name: str, compression: str | None = None) -> DataFrame:
     """Write ``df`` as Parquet into the shared folder and return it reread: lineage is cut and a lost executor
     costs no recomputation.  The files go with ``release``, or when the application ends."""
     spark = df.sparkSession
     path = f"{checkpoint_dir(spark)}/windloom/{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    df.write.parquet(path, compression=compression)
     _written.append(path)
     jpath = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
     jpath.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).deleteOnExit(jpath)
@@ -93,6 +93,10 @@ def row_bytes(batch: pa.RecordBatch) -> np.ndarray:
             size = pc.binary_length(column)
         elif pa.types.is_list(kind) or pa.types.is_large_list(kind):
             size = pc.multiply(pc.list_value_length(column), 8 * max(1, kind.value_type.num_fields))
+            if pa.types.is_struct(kind.value_type):  # about: the bytes inside are dealt evenly to the list's items
+                inside = sum(pc.sum(pc.binary_length(column.flatten().field(k))).as_py() or 0 for k, f in enumerate(kind.value_type) if pa.types.is_binary(f.type) or pa.types.is_string(f.type))
+                items = max(1, pc.sum(pc.list_value_length(column)).as_py() or 1)
+                size = pc.multiply(pc.list_value_length(column), 8 * kind.value_type.num_fields + inside // items)
         else:
             continue
         total += pc.fill_null(size, 0).to_numpy(zero_copy_only=False).astype(np.int64)

@@ -2,8 +2,9 @@
 
 Frames are independent, so NumPy works on one sample (or one byte of a checksum) of all frames of a batch in step.  The
 decoder reads constant, verbatim, fixed and linear-prediction subframes, both Rice coding methods, any partition order and
-escaped partitions.  The encoder writes constant subframes, and fixed predictors of order 0 to 2 with one Rice parameter
-a frame; ``encode_lpc`` writes a linear-prediction frame with given coefficients.
+escaped partitions.  The encoder writes constant subframes and, whichever is shortest, fixed predictors of order 0 to 2 or
+a quantised linear predictor of order 4, with one Rice parameter a frame; ``encode_lpc`` writes a linear-prediction frame
+with given coefficients, partitions and escapes (for tests of the decoder).
 """
 
 from __future__ import annotations
@@ -14,7 +15,9 @@ from functools import cache
 import numpy as np
 
 #: Samples of a block; codes of the block sizes written here (others: eight explicit bits); Hz.
-BLOCK, SIZE_CODE, SAMPLE_RATE = 256, {192: 1, 256: 8, 512: 9, 1024: 10}, 8000
+BLOCK, SIZE_CODE, SAMPLE_RATE = 1024, {192: 1, 256: 8, 512: 9, 1024: 10}, 8000
+#: The encoder's linear predictor: order, bits of a coefficient, and bits by which sums are shifted.
+LPC_ORDER, LPC_BITS, LPC_SHIFT = 4, 12, 9
 
 
 @cache
@@ -78,36 +81,64 @@ def header(number: int, size: int) -> bytes:
     return _short_header(number, size) if number < 4096 else _header(number, size)
 
 
+def predictors(samples: np.ndarray) -> np.ndarray:
+    """Quantised coefficients (n, LPC_ORDER) of each row by the Levinson-Durbin recursion on exact autocorrelations.
+
+    Every step is one operation an element, so equal rows have equal coefficients wherever they are computed.
+    """
+    x = samples.astype(np.int64)
+    n, width = x.shape
+    r = [(x[:, k:] * x[:, : width - k]).sum(axis=1).astype(np.float64) for k in range(LPC_ORDER + 1)]
+    error, a = r[0] * (1 + 2.0**-20) + 1, np.zeros((LPC_ORDER, n))
+    for i in range(LPC_ORDER):
+        rest = r[i + 1].copy()
+        for j in range(i):
+            rest -= a[j] * r[i - j]
+        k = rest / error
+        old = a.copy()
+        a[i] = k
+        for j in range(i):
+            a[j] = old[j] - k * old[i - 1 - j]
+        error = error * (1 - k * k)
+    half = 1 << (LPC_BITS - 1)
+    return np.clip(np.rint(a * (1 << LPC_SHIFT)), -half, half - 1).astype(np.int64).T
+
+
 def encode_frames(samples: np.ndarray, sizes: np.ndarray, numbers: np.ndarray) -> list[bytes]:
     """Frames of ``samples`` (n, BLOCK) int32, of which the first ``sizes`` count (at least 16)."""
-    n = len(samples)
-    live = np.arange(samples.shape[1])[None, :] < sizes[:, None]
+    n, width = samples.shape
+    live = np.arange(width)[None, :] < sizes[:, None]
     constant = (np.where(live, samples, samples[:, :1]) == samples[:, :1]).all(axis=1)
+    taps = predictors(np.where(live, samples, 0))
     best_bits, best = None, None
-    for order in range(3):
-        residual = np.diff(samples, n=order, axis=1)
+    for order, linear in ((0, False), (1, False), (2, False), (LPC_ORDER, True)):
+        if linear:
+            guess = sum(taps[:, j : j + 1] * samples[:, order - 1 - j : width - 1 - j] for j in range(order)) >> LPC_SHIFT
+            residual = (samples[:, order:] - guess).astype(np.int32)
+        else:
+            residual = np.diff(samples, n=order, axis=1)
         folded = np.where(live[:, order:], (residual << 1) ^ (residual >> 31), 0)
         count = sizes - order
         mean = folded.sum(axis=1) / count
         k = np.clip(np.floor(np.log2(np.maximum(mean, 1))), 0, 14).astype(np.int64)
-        bits = ((folded >> k[:, None]).astype(np.int64) + (1 + k)[:, None])
-        total = np.where(live[:, order:], bits, 0).sum(axis=1) + 8 * order
-        padded = np.zeros((n, samples.shape[1]), np.int64)
+        bits = (folded >> k[:, None]).astype(np.int64) + (1 + k)[:, None]
+        total = np.where(live[:, order:], bits, 0).sum(axis=1) + 8 * order + linear * (9 + LPC_BITS * order)
+        padded = np.zeros((n, width), np.int32)
         padded[:, order:] = folded
         if best is None:
-            best_bits, best = total, [np.zeros(n, np.int64), k, padded]
+            best_bits, best = total, [np.zeros(n, np.int64), k, padded, np.zeros(n, bool)]
         else:
             better = total < best_bits
             best_bits = np.where(better, total, best_bits)
-            best = [np.where(better, order, best[0]), np.where(better, k, best[1]), np.where(better[:, None], padded, best[2])]
-    order, k, folded = best
-    # The bits of a subframe: 8 of header, 8 a warm-up sample, 2 + 4 + 4 for method, partition order and parameter,
-    # then quotient zeros, a one and k low bits a residual.
-    coded = live & (np.arange(samples.shape[1])[None, :] >= order[:, None]) & ~constant[:, None]
+            best = [np.where(better, order, best[0]), np.where(better, k, best[1]), np.where(better[:, None], padded, best[2]), np.where(better, linear, best[3])]
+    order, k, folded, linear = best
+    # The bits of a subframe: 8 of header, 8 a warm-up sample, for linear prediction 4 + 5 and the coefficients, 2 + 4 + 4 for
+    # method, partition order and parameter, then quotient zeros, a one and k low bits a residual.
+    coded = live & (np.arange(width)[None, :] >= order[:, None]) & ~constant[:, None]
     quotient = folded >> k[:, None]
     length = np.where(coded, quotient + 1 + k[:, None], 0)
     ends = np.cumsum(length, axis=1)
-    lead = np.where(constant, 16, 18 + 8 * order)
+    lead = np.where(constant, 16, 18 + 8 * order + linear * (9 + LPC_BITS * LPC_ORDER))
     body = (lead + ends[:, -1] + 7) // 8
     base = (np.cumsum(body) - body) * 8
     out = np.zeros(int(body.sum()) * 8, np.uint8)
@@ -116,15 +147,20 @@ def encode_frames(samples: np.ndarray, sizes: np.ndarray, numbers: np.ndarray) -
         for b in range(width):
             out[at + b] = value >> (width - 1 - b) & 1
 
-    put(base, np.where(constant, 0, (8 | order) << 1), 8)
+    put(base, np.where(constant, 0, np.where(linear, 32 | (LPC_ORDER - 1), 8 | order) << 1), 8)
     rows = np.flatnonzero(constant)
     put(base[rows] + 8, samples[rows, 0] & 0xFF, 8)
-    for o in range(1, 3):
+    for o in range(1, LPC_ORDER + 1):
         rows = np.flatnonzero((order >= o) & ~constant)
         put(base[rows] + 8 * o, samples[rows, o - 1] & 0xFF, 8)
+    rows = np.flatnonzero(linear & ~constant)
+    at = base[rows] + 8 + 8 * LPC_ORDER
+    put(at, np.full(len(rows), LPC_BITS - 1), 4)
+    put(at + 4, np.full(len(rows), LPC_SHIFT), 5)
+    for j in range(LPC_ORDER):
+        put(at + 9 + LPC_BITS * j, taps[rows, j] & ((1 << LPC_BITS) - 1), LPC_BITS)
     rows = np.flatnonzero(~constant)
-    put(base[rows] + 8 + 8 * order[rows], np.zeros(len(rows), np.int64), 6)
-    put(base[rows] + 14 + 8 * order[rows], k[rows], 4)
+    put(base[rows] + lead[rows] - 4, k[rows], 4)  # method and partition order are zero
     r, c = np.nonzero(coded)
     one = base[r] + lead[r] + ends[r, c] - k[r] - 1
     out[one] = 1
@@ -292,14 +328,12 @@ def decode_frames(frames: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarr
                 has = j < order[some]
                 taps[some[has], j] = _sign(bits.read(some[has], precision[has]), precision[has])
         _residuals(bits, rows, sizes, order, out)
-        for o in np.unique(order[rows]):
-            r = rows[order[rows] == o]
-            if o == 0:
-                continue
-            history, t, s = out[r].T.copy(), taps[r].T, shift[r]
-            for i in range(int(o), history.shape[0]):
-                history[i] += sum(t[j] * history[i - 1 - j] for j in range(int(o))) >> s
-            out[r] = history.T
+        rows = rows[order[rows] > 0]
+        history, t, s, own = out[rows].T.copy(), taps[rows].T, shift[rows], order[rows]
+        for i in range(1, history.shape[0]):
+            guess = sum(t[j] * history[i - 1 - j] for j in range(min(i, most))) >> s
+            history[i] += guess if i >= most else np.where(i >= own, guess, 0)
+        out[rows] = history.T
     out[:, :] = out << wasted[:, None]
     out[np.arange(out.shape[1])[None, :] >= sizes[:, None]] = 0
     return out, sizes, numbers

@@ -1,12 +1,14 @@
 """Media columns in FLAC: texts as 8-bit samples, stored losslessly, read back in seekable PCM blocks.
 
-A text's UTF-8 bytes, padded with zero bytes to a positive multiple of 64, are the samples (each less 128).  They are stored
-as a FLAC stream: blocks of 256 samples with fixed linear predictors and Rice-coded residuals, checksums on headers and
-frames, the MD5 of the samples, and a seek table that gives the byte offset of every block.  Reading verifies every
-checksum and raises an error where one doesn't hold.
+A text's UTF-8 bytes, padded with zero bytes to a positive multiple of 64, are the samples (each less 128).  ``stored`` makes
+a media column of FLAC streams: blocks of 1024 samples with fixed or quantised linear predictors and Rice-coded residuals,
+checksums on headers and frames, the MD5 of the samples, and a seek table that gives the byte offset of every block.
+``decoded`` reads such a column, verifies every checksum (an error where one doesn't hold) and gives the PCM blocks with
+their offsets, from which ``described`` computes digests and features after they were written and reread; ``seek`` reads
+single blocks by their byte offset.
 
 Defined cases: null and empty texts are 64 zero bytes; equal texts have equal streams, as a stream depends on nothing
-else; texts of any length are coded some thousand blocks at a time; repeated rows keep a row each; an empty table gives
+else; texts of any length are coded a thousand blocks at a time; repeated rows keep a row each; an empty table gives
 an empty result; other columns are ignored.
 """
 
@@ -21,10 +23,10 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
 from windloom.llm import flac
-from windloom.llm.common import slices, text_bytes
+from windloom.llm.common import slices, store, text_bytes
 
 #: Blocks that are coded in one step.
-STEP = 4096
+STEP = 1024
 
 
 def padded(text: bytes) -> bytes:
@@ -98,46 +100,61 @@ def stored(docs: DataFrame) -> DataFrame:
     return docs.selectExpr("cast(doc_id as long) as doc_id", "text").mapInArrow(run, "doc_id long, n_bytes long, media binary")
 
 
-def pcm_blocks(media: DataFrame) -> DataFrame:
-    """``(doc_id, block, sample_offset, byte_offset, pcm)`` of every block of ``media(doc_id, media)``; null media: none."""
-    schema = "doc_id long, block long, sample_offset long, byte_offset long, pcm binary"
+_BLOCKS = pa.list_(pa.struct([("sample_offset", pa.int64()), ("byte_offset", pa.int64()), ("pcm", pa.binary())]))
+
+
+def decoded(media: DataFrame) -> DataFrame:
+    """``(doc_id, n_bytes, media_bytes, media_sha256, blocks)`` per row of ``media(doc_id, n_bytes, media)``: the PCM blocks
+    (signed 8-bit samples) of each stream with their first sample and the place of their frame; null media: no blocks."""
+    schema = "doc_id long, n_bytes long, media_bytes long, media_sha256 string, blocks array<struct<sample_offset: long, byte_offset: long, pcm: binary>>"
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches):
-            rows = [(i, m) for i, m in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True) if m is not None]
-            made = [
-                (i, k, s, b, (np.frombuffer(payload[s : s + flac.BLOCK], np.uint8) - np.uint8(128)).tobytes())
-                for (i, _), (payload, offsets) in zip(rows, decode([m for _, m in rows]), strict=True)
-                for k, (s, b) in enumerate(offsets)
-            ]
-            columns = list(zip(*made, strict=True)) if made else [[]] * 5
-            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, [pa.int64()] * 4 + [pa.binary()], strict=True)], [c.split()[0] for c in schema.split(", ")])
+            streams = batch.column(2).to_pylist()
+            made = iter(decode([m for m in streams if m is not None]))
+            blocks: list = []
+            for m in streams:
+                if m is None:
+                    blocks.append(None)
+                    continue
+                payload, offsets = next(made)
+                pcm = (np.frombuffer(payload, np.uint8) - np.uint8(128)).tobytes()
+                blocks.append([{"sample_offset": s, "byte_offset": b, "pcm": pcm[s : s + flac.BLOCK]} for s, b in offsets])
+            sums = [None if m is None else hashlib.sha256(m).hexdigest() for m in streams]
+            columns = [batch.column(0), batch.column(1), pa.array([None if m is None else len(m) for m in streams], pa.int64()), pa.array(sums, pa.string()), pa.array(blocks, _BLOCKS)]
+            yield pa.RecordBatch.from_arrays(columns, ["doc_id", "n_bytes", "media_bytes", "media_sha256", "blocks"])
+
+    return media.selectExpr("cast(doc_id as long) as doc_id", "cast(n_bytes as long) as n_bytes", "media").mapInArrow(run, schema)
 
-    return media.selectExpr("cast(doc_id as long) as doc_id", "media").mapInArrow(run, schema)
+
+def pcm_blocks(media: DataFrame) -> DataFrame:
+    """``(doc_id, block, sample_offset, byte_offset, pcm)``: one row a block of ``decoded``."""
+    return decoded(media).selectExpr("doc_id", "posexplode(blocks) as (block, b)").selectExpr("doc_id", "cast(block as long) as block", "b.sample_offset", "b.byte_offset", "b.pcm")
+
+
+def seek(stream: bytes, byte_offset: int, byte_end: int | None = None) -> bytes:
+    """The PCM of the one block whose frame begins at ``byte_offset`` (and ends before the next one's), verified."""
+    samples, sizes, _ = flac.decode_frames([stream[byte_offset:byte_end]])
+    return samples[0, : sizes[0]].astype(np.int8).tobytes()
 
 
 def described(docs: DataFrame) -> DataFrame:
-    """Digests and features of every text's stream and of what is read back from its bytes."""
+    """Digests and features of every text from its PCM blocks, which were decoded from its stream, written and reread."""
     schema = "doc_id long, n_bytes long, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string"
+    table = store(decoded(stored(docs)), "pcm", compression="zstd")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches):
-            texts = text_bytes(batch)
-            media = encode([padded(t) for t in texts])
-            back = [payload for payload, _ in decode(media)]
+            blocks = batch.column(4)
+            per, pcm = np.cumsum(np.r_[0, blocks.value_lengths().to_numpy()]), blocks.flatten().field("pcm").to_pylist()
+            back = [(np.frombuffer(b"".join(pcm[a:b]), np.uint8) + np.uint8(128)).tobytes() for a, b in zip(per, per[1:], strict=False)]
             columns = [
-                batch.column(0),
-                pa.array([len(t) for t in texts], pa.int64()),
-                pa.array([len(p) for p in back], pa.int64()),
-                pa.array([hashlib.sha256(p).hexdigest() for p in back], pa.string()),
-                pa.array([zlib.crc32(p[-64:]) for p in back], pa.int64()),
-                pa.array([len(m) for m in media], pa.int64()),
-                pa.array([hashlib.sha256(m).hexdigest() for m in media], pa.string()),
-                pa.array([features(p) for p in back], pa.string()),
-            ]
+                batch.column(0), batch.column(1), pa.array([len(p) for p in back], pa.int64()), pa.array([hashlib.sha256(p).hexdigest() for p in back], pa.string()),
+                pa.array([zlib.crc32(p[-64:]) for p in back], pa.int64()), batch.column(2), batch.column(3), pa.array([features(p) for p in back], pa.string()),
+            ]
             yield pa.RecordBatch.from_arrays(columns, [c.split()[0] for c in schema.split(", ")])
 
-    return docs.selectExpr("cast(doc_id as long) as doc_id", "text").mapInArrow(run, schema)
+    return table.mapInArrow(run, schema)
 
 
 def op9_flac_media(spark: SparkSession, sf_dir: str) -> DataFrame:

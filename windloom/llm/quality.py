@@ -5,8 +5,8 @@ mark in place of a word that repeats the one before; all are hashed into 2**18 b
 log-count ratio (the naive Bayes weight), vectors are brought to length one, and a linear hinge-loss model is fitted
 by dual coordinate descent.  Margins become probabilities by a logistic curve fitted on rows that the model hasn't seen.
 
-The fit is on at most ``MAX_TRAINING`` labelled rows, those with the smallest hash of doc_id: a stated bound on what the
-driver gathers.  Scoring covers every row and every whole text.  Defined cases: a null text counts as empty; an empty text
+The fit is on at most ``MAX_TRAINING`` labelled rows with at most ``MAX_FEATURES`` features in all, those with the smallest
+hash of doc_id (one row a doc_id): a stated bound on what the driver gathers.  Scoring covers every row and every whole text.  Defined cases: a null text counts as empty; an empty text
 gets the score of no features; rows of ``labels`` with nulls are ignored, and of repeated ones the majority counts
 (ties: 1); without both classes every score is the share of label 1 (0.5 without labels); repeated rows keep a row each;
 an empty table gives an empty result.
@@ -22,11 +22,13 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
-from windloom.llm.common import slices, text_bytes
+from windloom.llm.common import slices, store, text_bytes
 
-#: Hash buckets; labelled rows fitted on at most; share of them kept for the logistic curve; passes; cost; smoothing.
-BUCKETS, MAX_TRAINING, CALIBRATION, PASSES, COST, SMOOTH = 1 << 18, 6000, 4, 12, 1.0, 1.0
+#: Hash buckets; labelled rows fitted on at most, and their features in all; share of them kept for the logistic curve; passes;
+#: cost; smoothing.
+BUCKETS, MAX_TRAINING, MAX_FEATURES, CALIBRATION, PASSES, COST, SMOOTH = 1 << 18, 6000, 16_000_000, 4, 12, 1.0, 1.0
 
 
 def remainder(modulus: int, column: str = "doc_id") -> Column:
@@ -158,9 +160,14 @@ def fit(docs: DataFrame, labels: DataFrame, target: str = "quality", modulus: in
             found = [features(t).astype("<i4").tobytes() for t in text_bytes(batch)]
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), pa.array(found, pa.binary())], ["doc_id", "y", "found"])
 
-    got = rows.mapInArrow(run, "doc_id long, y int, found binary").toArrow()
-    ids, y, found = got.column("doc_id").to_pylist(), got.column("y").to_pylist(), got.column("found").to_pylist()
-    order = sorted(range(len(ids)), key=lambda i: (zlib.crc32(str(ids[i]).encode()), ids[i], found[i]))[:MAX_TRAINING]  # whatever order tasks end in
+    # One row a doc_id, in the order of its hash while the features fit: at most MAX_TRAINING small rows are ordered.
+    found = rows.mapInArrow(run, "doc_id long, y int, found binary").groupBy("doc_id", "y").agg(F.min("found").alias("found"))
+    found = store(found, "features").withColumn("h", F.crc32(F.col("doc_id").cast("string").cast("binary")))
+    upto = F.sum(F.octet_length("found") / 4).over(Window.orderBy("h", "doc_id").rowsBetween(Window.unboundedPreceding, 0))
+    taken = found.select("doc_id", "h", upto.alias("upto")).where(F.col("upto") <= MAX_FEATURES).select("doc_id")
+    got = found.join(F.broadcast(taken), "doc_id", "left_semi").select("h", "doc_id", "y", "found").toArrow()
+    ids, y, h, found = (got.column(c).to_pylist() for c in ("doc_id", "y", "h", "found"))
+    order = sorted(range(len(ids)), key=lambda i: (h[i], ids[i]))  # whatever order tasks end in
     return fit_rows([np.frombuffer(found[i], "<i4").astype(np.int64) for i in order], np.array([y[i] for i in order], np.int64))
 
 

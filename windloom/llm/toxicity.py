@@ -2,16 +2,18 @@
 
 Tokens are maximal runs without white space, lower-cased, with ASCII punctuation stripped at both ends.  Each stands for
 itself and for its prefixes of 4 to 8 characters, hashed into 2**20 buckets; a bucket's log-odds between toxic and clean
-labelled documents are computed from the documents that hold it, under a Dirichlet prior with the corpus's own
-proportions.  A token's score is the largest significant log-odds among its buckets; tokens without any weigh a little
-against toxicity.  One linear pass over a text finds all maximal scoring segments.  Segment scores are calibrated by extreme-value statistics:
-lambda solves sum p(token) exp(lambda score) = 1 over clean tokens, K comes from the best segments of clean documents,
-and a segment of score S in a text of n tokens has E-value K n exp(-lambda S).  A document's evidence is that of its best
-segment and the sum over its significant segments; a logistic curve turns it into a score from 0 to 1.
-
-The fit is on at most ``MAX_TRAINING`` labelled rows, the curve on at most ``MAX_CURVE`` of them (those with the smallest hash
-of doc_id): stated bounds, so that the labels can meet the documents without moving texts.  Tables gathered on the
-driver have at most 2**20 rows.  Scoring covers every row and every whole text.
+labelled documents are computed from the documents that hold it, under a Dirichlet prior with the proportions of both
+together.  A token's score is the largest significant log-odds among its buckets; tokens without any weigh a little
+against toxicity.  One linear pass over a text finds all maximal scoring segments.  Segment scores are calibrated by
+extreme-value statistics of all documents: lambda solves sum p(token) exp(lambda score) = 1 over all their tokens, K comes
+from the upper quartile of the documents' best segments (which the few toxic ones hardly move), and a segment of score S in
+a text of n tokens has E-value K n exp(-lambda S).  A document's evidence is that of its best segment and the sum over its
+significant segments; a logistic curve, fitted on labelled rows that gave no log-odds, turns it into a score from 0 to 1.
+
+The texts are read twice: once for the labelled rows, which are stored, and once for scores and segments, which are stored
+without the texts.  The fit is on at most ``MAX_TRAINING`` labelled rows (those with the smallest hash of doc_id, one row a
+doc_id; a quarter of them is for the curve): a stated bound, so that the labels can meet the documents without moving texts.
+Tables gathered on the driver have at most 2**20 rows.  Scoring covers every row and every whole text.
 Defined cases: a null text counts as empty; a text without tokens has no evidence; rows of ``labels`` with nulls are
 ignored, of repeated ones the majority counts (ties: 1); without both classes every score is the share of label 1 (0.5
 without labels); repeated rows keep a row each; an empty table gives an empty result.
@@ -28,13 +30,13 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from windloom.llm.common import slices, text_bytes
+from windloom.llm.common import slices, store, text_bytes
 from windloom.llm.quality import kept, logistic, remainder, sampled_labels
 
 #: Hash buckets; weight of the prior in documents; significance (standard errors); the least log-odds and toxic documents
-#: of a telling bucket; what other tokens weigh against; E-value of a significant segment; labelled rows counted and rows of the curve, at most;
-#: remembered words.
-BUCKETS, PRIOR, SIGNIFICANT, LEAST, MIN_DOCUMENTS, DRIFT, E_VALUE, MAX_TRAINING, MAX_CURVE, MAX_WORDS = 1 << 20, 50.0, 2.5, 1.5, 6, 0.1, 0.05, 40_000, 12_000, 300_000
+#: of a telling bucket; what other tokens weigh against; E-value of a significant segment; labelled rows at most, and the
+#: share of them kept for the curve; quantile of best segments for K; remembered words.
+BUCKETS, PRIOR, SIGNIFICANT, LEAST, MIN_DOCUMENTS, DRIFT, E_VALUE, MAX_TRAINING, APART, QUANTILE, MAX_WORDS = 1 << 20, 50.0, 2.5, 1.5, 6, 0.1, 0.05, 40_000, 4, 0.75, 300_000
 
 PUNCTUATION = "!\"#$%&'()*+,-./:;<=>?@[\\]^_`{|}~"
 PREFIXES = range(4, 9)
@@ -120,26 +122,29 @@ class Model:
         s = self.token_scores(text)
         return [(a, b, v, e) for a, b, v in segments(s) if (e := self.e_value(v, len(s))) <= E_VALUE]
 
-    def evidence(self, text: bytes) -> tuple[float, float, int]:
-        """Negative log10 of the best segment's p-value, log of the summed scores of significant segments, and their
-        number."""
+    def measure(self, text: bytes) -> tuple[np.ndarray, np.ndarray]:
+        """Scores of the tokens and of the maximal segments."""
         s = self.token_scores(text)
-        found = [v for _, _, v in segments(s)]
-        if not found:
+        return s, np.array([v for _, _, v in segments(s)])
+
+    def evidence(self, n: int, found: np.ndarray) -> tuple[float, float, int]:
+        """Negative log10 of the best segment's p-value, log of the summed scores of significant segments, and their
+        number, for ``n`` tokens and the segments' scores."""
+        if not len(found):
             return 0.0, 0.0, 0
-        e = [self.e_value(v, len(s)) for v in found]
-        best = -np.log10(max(-np.expm1(-min(e)), 1e-12))
-        telling = [v for v, x in zip(found, e, strict=True) if x <= E_VALUE]
-        return float(best), float(np.log1p(self.rate * sum(telling))), len(telling)
+        e = self.constant * n * np.exp(-self.rate * found)
+        telling = found[e <= E_VALUE]
+        return float(-np.log10(max(-np.expm1(-e.min()), 1e-12))), float(np.log1p(self.rate * telling.sum())), len(telling)
 
-    def judge(self, text: bytes) -> tuple[float, int]:
+    def judge(self, n: int, found: np.ndarray) -> tuple[float, int]:
         """The score and the number of significant passages."""
-        a, b, n = self.evidence(text)
+        a, b, passages = self.evidence(n, found)
         z = self.curve[0] * a + self.curve[1] * b + self.curve[2]
-        return float(1 / (1 + np.exp(-np.clip(z, -30, 30)))), n
+        return float(1 / (1 + np.exp(-np.clip(z, -30, 30)))), passages
 
     def score(self, text: bytes) -> float:
-        return self.judge(text)[0]
+        s, found = self.measure(text)
+        return self.judge(len(s), found)[0]
 
 
 def log_odds(toxic: np.ndarray, clean: np.ndarray, n_toxic: int, n_clean: int) -> np.ndarray:
@@ -192,10 +197,9 @@ def count_buckets(rows: DataFrame, among: np.ndarray | None) -> dict[int, int]:
     return dict(zip(got.column("bucket").to_pylist(), got.column("n").to_pylist(), strict=True))
 
 
-def count_documents(docs: DataFrame, chosen: DataFrame) -> tuple[np.ndarray, np.ndarray, int, int]:
-    """Toxic and clean documents by bucket and in all.  Buckets that too few toxic documents hold can't be significant:
-    clean documents are only counted for the others.  ``chosen(doc_id, y)`` is bounded and goes to every task."""
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").join(F.broadcast(chosen), "doc_id")
+def count_documents(rows: DataFrame) -> tuple[np.ndarray, np.ndarray, int, int]:
+    """Toxic and clean documents of ``rows(doc_id, text, y)`` by bucket and in all.  Buckets that too few toxic documents
+    hold can't be significant: clean documents are only counted for the others."""
     both = []
     among = None
     for y in (1, 0):
@@ -207,81 +211,110 @@ def count_documents(docs: DataFrame, chosen: DataFrame) -> tuple[np.ndarray, np.
     return both[0][:-1] * among, both[1][:-1], int(both[0][-1]), int(both[1][-1])
 
 
+def measured(docs: DataFrame, model: Model) -> DataFrame:
+    """``(doc_id, n, counts, found)`` per row: tokens, how many of them have each score (to a quarter), and the scores of the
+    maximal segments."""
+    shared = docs.sparkSession.sparkContext.broadcast(model)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in slices(batches):
+            n, counts, found = [], [], []
+            for text in text_bytes(batch):
+                s, own = shared.value.measure(text)
+                values, times = np.unique(np.rint(s * 4).astype(np.int32), return_counts=True)
+                n.append(len(s))
+                counts.append([{"quarters": v, "times": t} for v, t in zip(values.tolist(), times.tolist(), strict=True)])
+                found.append(own)
+            columns = [batch.column(0), pa.array(n, pa.int64()), pa.array(counts, _COUNTS), pa.array(found, pa.list_(pa.float64()))]
+            yield pa.RecordBatch.from_arrays(columns, ["doc_id", "n", "counts", "found"])
+
+    schema = "doc_id long, n long, counts array<struct<quarters: int, times: long>>, found array<double>"
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, schema)
+
+
+_COUNTS = pa.list_(pa.struct([("quarters", pa.int32()), ("times", pa.int64())]))
+
+
 def fit(docs: DataFrame, labels: DataFrame, target: str = "toxic", modulus: int = 4, held_out: int = 2) -> Model:
-    model = Model(log_odds(*count_documents(docs, sampled_labels(labels, target, modulus, held_out, MAX_TRAINING))), 1.0, 1.0, np.zeros(3))
-    chosen = sampled_labels(labels, target, modulus, held_out, MAX_CURVE)
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").join(F.broadcast(chosen), "doc_id").select("doc_id", "text", "y")
-
-    def gather(values) -> np.ndarray:
-        shared = docs.sparkSession.sparkContext.broadcast(model)
-
-        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            for batch in slices(batches):
-                made = np.array([values(shared.value, t) for t in text_bytes(batch, 1)], np.float64).reshape(-1, 2)
-                yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), pa.array(made[:, 0].copy()), pa.array(made[:, 1].copy())], ["doc_id", "y", "a", "b"])
-
-        got = rows.mapInArrow(run, "doc_id long, y int, a double, b double").toArrow()
-        table = np.column_stack([got.column(c).to_numpy().astype(np.float64) for c in ("doc_id", "y", "a", "b")])
-        return table[np.lexsort(table.T[::-1])]
-
-    model.rate = decay_rate(*clean_scores(rows.where("y = 0"), model))
-    best = gather(_best)
-    none = best[(best[:, 1] == 0) & (best[:, 3] > 0)]
-    if len(none):
-        # The mean of lambda S - ln n is ln K plus Euler's constant.
-        model.constant = float(np.exp(np.clip(np.mean(model.rate * none[:, 2] - np.log(none[:, 3])) - 0.5772156649, -20, 5)))
-    y = best[:, 1]
+    return fit_measured(docs, labels, target, modulus, held_out)[0]
+
+
+def fit_measured(docs: DataFrame, labels: DataFrame, target: str = "toxic", modulus: int = 4, held_out: int = 2) -> tuple[Model, DataFrame]:
+    """The model, and the stored measures of all rows of ``docs`` that it was calibrated on."""
+    chosen = sampled_labels(labels, target, modulus, held_out, MAX_TRAINING)
+    apart = F.pmod(F.xxhash64("doc_id", F.lit(3)), F.lit(APART)) == 0
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text")).join(F.broadcast(chosen), "doc_id")
+    rows = rows.groupBy("doc_id", "y").agg(F.min("text").alias("text"))  # at most MAX_TRAINING rows
+    rows = store(rows.withColumn("apart", apart), "labelled")
+    model = Model(log_odds(*count_documents(rows.where("not apart"))), 1.0, 1.0, np.zeros(3))
+    seen = store(measured(docs, model), "measured")
+    model.rate = decay_rate(*token_counts(seen))
+    at = F.lit(model.rate) * F.array_max("found") - F.log("n")
+    x = seen.where("size(found) > 0").agg(F.percentile_approx(at, QUANTILE, 10_000).alias("x"), F.count(F.lit(1)).alias("n")).first()
+    if x["n"]:
+        # P(lambda S - ln n <= x) = exp(-K exp(-x)); texts without a segment lie below.
+        share = 1 - (1 - QUANTILE) * x["n"] / seen.where("n > 0").count()
+        model.constant = float(np.exp(np.clip(x["x"] + np.log(-np.log(share)), -20, 5)))
+    shown = rows.where("apart").select("doc_id", "text", "y")
+    got = judged_evidence(shown, model).toArrow()  # at most MAX_TRAINING rows of four numbers
+    table = np.column_stack([got.column(c).to_numpy().astype(np.float64) for c in ("doc_id", "y", "a", "b")])
+    table = table[np.lexsort(table.T[::-1])]
+    y = table[:, 1]
     if not len(y) or y.min() == y.max():
-        p = float(np.clip(y.mean(), 1e-3, 1 - 1e-3)) if len(y) else 0.5
+        share = rows.agg(F.avg("y").alias("p")).first()["p"]
+        p = float(np.clip(share, 1e-3, 1 - 1e-3)) if share is not None else 0.5
         model.curve = np.array([0.0, 0.0, np.log(p / (1 - p))])
-        return model
-    seen = gather(lambda m, t: m.evidence(t)[:2])
-    model.curve = logistic(seen[:, 2:4], seen[:, 1])
-    return model
+    else:
+        model.curve = logistic(table[:, 2:4], y)
+    return model, seen
 
 
-def clean_scores(rows: DataFrame, model: Model) -> tuple[np.ndarray, np.ndarray]:
-    """Token scores (to a quarter) and how many tokens of ``rows(doc_id, text, ..)`` have them: a few dozen rows."""
+def judged_evidence(rows: DataFrame, model: Model) -> DataFrame:
+    """``(doc_id, y, a, b)``: the evidence of each of ``rows(doc_id, text, y)``."""
     shared = rows.sparkSession.sparkContext.broadcast(model)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total: dict[float, int] = {}
         for batch in slices(batches):
-            for text in text_bytes(batch, 1):
-                values, counts = np.unique(np.round(shared.value.token_scores(text) * 4) / 4, return_counts=True)
-                for v, n in zip(values.tolist(), counts.tolist(), strict=True):
-                    total[v] = total.get(v, 0) + n
-        yield pa.RecordBatch.from_arrays([pa.array(list(total), pa.float64()), pa.array(list(total.values()), pa.int64())], ["score", "n"])
+            made = [shared.value.evidence(len(s), found)[:2] for s, found in map(shared.value.measure, text_bytes(batch, 1))]
+            made = np.array(made, np.float64).reshape(-1, 2)
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), pa.array(made[:, 0].copy()), pa.array(made[:, 1].copy())], ["doc_id", "y", "a", "b"])
 
-    got = rows.mapInArrow(run, "score double, n long").groupBy("score").agg(F.sum("n").alias("n")).orderBy("score").toArrow()
-    score, n = got.column("score").to_numpy().astype(np.float64), got.column("n").to_numpy().astype(np.float64)
-    return np.where(score <= 0, -DRIFT, score), n
+    return rows.mapInArrow(run, "doc_id long, y int, a double, b double")
 
 
-def _best(model: Model, text: bytes) -> tuple[float, float]:
-    s = model.token_scores(text)
-    return max([v for _, _, v in segments(s)], default=0.0), float(len(s))
+def token_counts(seen: DataFrame) -> tuple[np.ndarray, np.ndarray]:
+    """Token scores (to a quarter) and how many tokens of all documents have them: some dozen rows."""
+    got = seen.select(F.explode("counts").alias("c")).groupBy("c.quarters").agg(F.sum("c.times").alias("n")).orderBy("quarters").toArrow()
+    score, n = got.column("quarters").to_numpy().astype(np.float64) / 4, got.column("n").to_numpy().astype(np.float64)
+    return np.where(score <= 0, -DRIFT, score), n
 
 
-def op8_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Toxicity score of every document."""
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    return scored(docs, fit(docs, spark.read.parquet(f"{sf_dir}/labels.parquet")))
+def judged(seen: DataFrame, model: Model, modulus: int = 4, held_out: int = 2, threshold: float = 0.3) -> DataFrame:
+    """``(doc_id, held_out, score, predicted, passages)`` per row of ``seen``; ``passages`` counts significant segments."""
+    small = Model(np.zeros(0), model.rate, model.constant, model.curve)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            found, n = batch.column(2), batch.column(1).to_pylist()
+            per, flat = np.cumsum(np.r_[0, found.value_lengths().to_numpy()]), found.flatten().to_numpy()
+            made = [small.judge(k, flat[a:b]) for k, a, b in zip(n, per, per[1:], strict=False)]
+            score, passages = pa.array([m[0] for m in made], pa.float64()), pa.array([m[1] for m in made], pa.int64())
+            yield pa.RecordBatch.from_arrays([batch.column(0), score, passages], ["doc_id", "score", "passages"])
+
+    rows = seen.select("doc_id", "n", "found").mapInArrow(run, "doc_id long, score double, passages long")
+    own = F.coalesce(remainder(modulus) == held_out, F.lit(False))
+    return rows.select("doc_id", own.alias("held_out"), "score", (F.col("score") >= threshold).cast("int").alias("predicted"), "passages")
 
 
 def scored(docs: DataFrame, model: Model, modulus: int = 4, held_out: int = 2, threshold: float = 0.3) -> DataFrame:
-    """``(doc_id, held_out, score, predicted, passages)`` per row; ``passages`` counts significant segments."""
-    shared = docs.sparkSession.sparkContext.broadcast(model)
+    """``judged`` of any documents."""
+    return judged(measured(docs, model), model, modulus, held_out, threshold)
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in slices(batches):
-            made = [shared.value.judge(t) for t in text_bytes(batch)]
-            score, found = pa.array([m[0] for m in made], pa.float64()), pa.array([m[1] for m in made], pa.int64())
-            yield pa.RecordBatch.from_arrays([batch.column(0), score, found], ["doc_id", "score", "passages"])
 
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, "doc_id long, score double, passages long")
-    own = F.coalesce(remainder(modulus) == held_out, F.lit(False))
-    return rows.select("doc_id", own.alias("held_out"), "score", (F.col("score") >= threshold).cast("int").alias("predicted"), "passages")
+def op8_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Toxicity score of every document."""
+    model, seen = fit_measured(spark.read.parquet(f"{sf_dir}/documents.parquet"), spark.read.parquet(f"{sf_dir}/labels.parquet"))
+    return judged(seen, model)
 
 
 def keep_clean(docs: DataFrame, labels: DataFrame, threshold: float = 0.3) -> DataFrame:
