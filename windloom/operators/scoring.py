@@ -70,8 +70,10 @@ def care_score(events: DataFrame, by: str | None = None) -> DataFrame:
 
 def rule_grid(days: DataFrame, rules: DataFrame) -> DataFrame:
     """Alarm days of every count rule: ``days(event_id, day, episodes)`` with the small table ``rules(rule_id, least,
-    persist)``; the rules are a bounded list (some dozens), so each row of days meets each of them."""
-    tried = days.join(F.broadcast(rules.limit(1000))).withColumn("alert", F.col("episodes") >= F.col("least"))
+    persist)``; the rules are a stated list (some dozens; an error above ``MAX_RULES``), so each row of days meets each."""
+    from windloom.operators.watch import checked_rules
+
+    tried = days.join(checked_rules(rules)).withColumn("alert", F.col("episodes") >= F.col("least"))
     w = Window.partitionBy("rule_id", "event_id").orderBy("day")
     last = F.max(F.when(F.col("alert"), F.col("__n"))).over(w.rowsBetween(Window.unboundedPreceding, -1))
     tried = tried.withColumn("__n", F.row_number().over(w)).withColumn("__last", last)

@@ -114,7 +114,7 @@ def spine_left_join(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def missing_hours(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = reading(spark, sf_dir).where("event_type = 'purchase' and turbine % 5 = 0")
+    rows = reading(spark, sf_dir).where("event_type = 'purchase' and value > 60")
     return resample.missing_hours(rows.select(F.floor(F.unix_timestamp(F.col("ts").cast("timestamp")) / 3600).alias("h")).distinct(), "h")
 
 
@@ -155,8 +155,8 @@ def wind_components(spark: SparkSession, sf_dir: str) -> DataFrame:
 def full_outer_meter(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Turbine sums and grid sums by day, full outer: days that only one of them has stay."""
     rows = reading(spark, sf_dir).withColumn("day", F.date_trunc("DAY", F.col("ts").cast("timestamp")))
-    a = rows.where("event_type = 'signup' and turbine % 3 = 0").groupBy("day").agg(F.sum("value").alias("turbine_sum"))
-    b = rows.where("event_type = 'error' and turbine % 4 = 0").groupBy("day").agg(F.sum("value").alias("grid_sum"))
+    a = rows.where("event_type = 'signup' and value > 150").groupBy("day").agg(F.sum("value").alias("turbine_sum"))
+    b = rows.where("event_type = 'error' and value > 150").groupBy("day").agg(F.sum("value").alias("grid_sum"))
     return rounded(a.join(b, "day", "full").withColumn("day", F.unix_timestamp("day")), turbine_sum=4, grid_sum=4)
 
 
@@ -213,7 +213,7 @@ w as (select h, output, last_value(case when output is not null then h end ignor
 window p as (order by h rows between unbounded preceding and current row), n as (order by h rows between current row and unbounded following))
 select h, round(output, 6) as output, round(case when output is not null then output when h - k0 <= 6 then v0 + (v1 - v0) / nullif(k1 - k0, 0) * (h - k0) end, 6) as output_filled from w""",
     "spine_left_join": f"{ctes('v_reading')}, c as (select floor(epoch(date_trunc('second', ts)) / 3600)::bigint as h, count(*) as n from v_reading where event_type = 'error' group by 1) select k as h, n from generate_series((select min(h) from c), (select max(h) from c)) g(k) left join c on h = k",
-    "missing_hours": f"{ctes('v_reading')}, c as (select distinct floor(epoch(date_trunc('second', ts)) / 3600)::bigint as h from v_reading where event_type = 'purchase' and turbine % 5 = 0) select k as h from generate_series((select min(h) from c), (select max(h) from c)) g(k) except select h from c",
+    "missing_hours": f"{ctes('v_reading')}, c as (select distinct floor(epoch(date_trunc('second', ts)) / 3600)::bigint as h from v_reading where event_type = 'purchase' and value > 60) select k as h from generate_series((select min(h) from c), (select max(h) from c)) g(k) except select h from c",
     "counter_increments": f"{ctes('v_hourly')}, d as (select h, output, output - lag(output) over (order by h) as x from v_hourly) select h, round(output, 6) as output, round(case when x between 0 and 20 then x end, 6) as increment from d",
     "unpivot_channels": "select l_orderkey, l_linenumber, l_partkey, 'l_quantity' as channel, l_quantity as value from lineitem union all select l_orderkey, l_linenumber, l_partkey, 'l_discount', l_discount from lineitem union all select l_orderkey, l_linenumber, l_partkey, 'l_tax', l_tax from lineitem",
     "pivot_sources": "select l_suppkey, " + ", ".join(f"round(avg(l_quantity) filter (l_returnflag = '{c}'), 6) as {c}" for c in "ANR") + " from lineitem group by 1",
@@ -221,6 +221,6 @@ select h, round(output, 6) as output, round(case when output is not null then ou
 select epoch(w.hour)::bigint as hour, round(wind, 6) as wind, case when hour(w.hour) between 7 and 21 then 80.0::double else 55.0::double end as price, round(output, 5) as output, round(wind ** 3, 4) as wind_cubed, hour(w.hour)::int as hour_of_day,
 round(0.5::double * 1.225::double * (3.141592653589793::double * {ROTOR_M / 2}::double ** 2) * wind ** 3 / 1000, 4) as available_kw from w join o on w.hour = o.hour where wind is not null and output is not null and not (wind < 2 and output > {RATED_KW / 2})""",
     "wind_components": f"{ctes('v_reading')} select event_id, round(-wind * sin(radians(direction)), 6) + 0::double as u, round(-wind * cos(radians(direction)), 6) + 0::double as v, round(1 - cos(radians(direction / 20)) ** 2, 6) as yaw_loss from v_reading",
-    "full_outer_meter": f"""{ctes('v_reading')}, a as (select epoch(date_trunc('day', ts))::bigint as day, sum(value) as s from v_reading where event_type = 'signup' and turbine % 3 = 0 group by 1), b as (select epoch(date_trunc('day', ts))::bigint as day, sum(value) as s from v_reading where event_type = 'error' and turbine % 4 = 0 group by 1)
+    "full_outer_meter": f"""{ctes('v_reading')}, a as (select epoch(date_trunc('day', ts))::bigint as day, sum(value) as s from v_reading where event_type = 'signup' and value > 150 group by 1), b as (select epoch(date_trunc('day', ts))::bigint as day, sum(value) as s from v_reading where event_type = 'error' and value > 150 group by 1)
 select coalesce(a.day, b.day) as day, round(a.s, 4) as turbine_sum, round(b.s, 4) as grid_sum from a full join b on a.day = b.day""",
 }

@@ -65,7 +65,7 @@ def significant_events(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def in_event_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
     events = interval(spark, sf_dir)
-    windows = events.where("message = 'error' and event_id % 10 = 0").select("turbine", F.col("start_s").alias("window_start"), (F.col("end_s") + 86400).alias("window_end"), F.col("event_id").alias("window_id"))
+    windows = events.where("message = 'error'").select("turbine", F.col("start_s").alias("window_start"), (F.col("end_s") + 86400).alias("window_end"), F.col("event_id").alias("window_id"))
     return intervals.in_windows(events.select("turbine", "event_id", "start_s"), windows, "turbine", "start_s").select("turbine", "event_id", "window_id")
 
 
@@ -139,7 +139,9 @@ def lead_times(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def ewm_features(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = reading(spark, sf_dir).select("turbine", "ts", "event_id", "wind")
-    return sequence.exponential_mean(rows, ["turbine"], ["ts", "event_id"], "wind", 18)
+    for span in (18, 72):
+        rows = sequence.exponential_mean(rows, ["turbine"], ["ts", "event_id"], "wind", span)
+    return rounded(rows.select("event_id", "wind_ewm18", "wind_ewm72"), wind_ewm18=6, wind_ewm72=6)
 
 
 _NAMES = (
@@ -201,7 +203,7 @@ select sensor, count(*) as n, count_if(value is null) as missing, count_if(value
     "top_causes": f"{ctes('v_interval')}, c as (select turbine, message, count(*) as n, sum((end_s - start_s) / 3600) as hours, max((end_s - start_s) / 3600) as longest from v_interval group by 1, 2), k as (select *, row_number() over (partition by turbine order by hours desc, message) as position from c) select turbine, message, n, round(hours, 6) as hours, round(longest, 6) as longest, position from k where position <= 3",
     "last_event": f"{ctes('v_interval')}, k as (select *, row_number() over (partition by turbine order by start_s desc, event_id desc) as k from v_interval) select turbine, start_s, event_id, end_s, message from k where k = 1",
     "significant_events": f"{ctes('v_interval')} select *, end_s - start_s as duration_s from v_interval where message in ('error', 'purchase') and end_s - start_s >= 3600 order by duration_s desc, event_id limit 60",
-    "in_event_windows": f"{ctes('v_interval')} select a.turbine, a.event_id, b.event_id as window_id from v_interval a join v_interval b on a.turbine = b.turbine and a.start_s between b.start_s and b.end_s + 86400 where b.message = 'error' and b.event_id % 10 = 0",
+    "in_event_windows": f"{ctes('v_interval')} select a.turbine, a.event_id, b.event_id as window_id from v_interval a join v_interval b on a.turbine = b.turbine and a.start_s between b.start_s and b.end_s + 86400 where b.message = 'error'",
     "cusum_warning": f"{ctes('v_reading')}, {_DAYS}, i as (select event_id, day, sum(episodes * ln(2::double) - base_rate * monitored) over (partition by event_id order by day) as c from days), s as (select event_id, day, c - least(0, min(c) over (partition by event_id order by day)) as cusum from i) select event_id, day, round(cusum, 6) as cusum, cusum >= ln(9::double) as warn from s",
     "count_rule": f"{ctes('v_reading')}, {_DAYS} select event_id, day, episodes >= 2 as alert, episodes >= 2 and coalesce(bool_or(episodes >= 2) over (partition by event_id order by day rows between 2 preceding and 1 preceding), false) as warn from days",
     "trailing_any": f"{ctes('v_reading')}, {_DAYS} select event_id, day, episodes >= 2 as alert, bool_or(episodes >= 2) over (partition by event_id order by day rows between 2 preceding and current row) as recent from days",
@@ -218,6 +220,10 @@ round(case when anomaly_events > 0 and normal_events > 0 then case when anomalie
 a as (select rule_id::int as rule_id, event_id, day, p, episodes >= e as alert, bool_or(episodes >= e) over (partition by rule_id, event_id order by day rows between 2 preceding and 1 preceding) as before from days, rules)
 select rule_id, count_if(alert) as alerts, count_if(alert and (p = 1 or coalesce(before, false))) as warnings, count(distinct event_id) filter (alert and (p = 1 or coalesce(before, false))) as events_warned from a group by 1""",
     "fbeta_labels": f"with l as (select lang, count_if(quality = 0 and n_chars > 2000) as tp, count_if(quality <> 0 and n_chars > 2000) as fp, count_if(quality = 0 and not n_chars > 2000) as fn from labels join documents using (doc_id) group by 1) select lang, round({_FB}, 6) as f_beta from l",
+    "ewm_features": f"""{ctes('v_reading')}, o as (select *, row_number() over (partition by turbine order by ts, event_id) as i from v_reading),
+s as (select turbine, event_id, i, wind::double as a, wind::double as b, 1.0::double as da, 1.0::double as db, 1 as n from o where i = 1
+  union all select x.turbine, x.event_id, x.i, s.a * (1 - 2.0::double / 19) + x.wind, s.b * (1 - 2.0::double / 73) + x.wind, s.da * (1 - 2.0::double / 19) + 1, s.db * (1 - 2.0::double / 73) + 1, s.n + 1 from s join o x on x.turbine = s.turbine and x.i = s.i + 1)
+select event_id, case when n >= 6 then round(a / da, 6) end as wind_ewm18, case when n >= 24 then round(b / db, 6) end as wind_ewm72 from s""",
     "lead_times": f"{ctes('v_reading')}, {_CASE}, {_EVENTS} select count(*) as n, round(quantile_cont(lead_rows, 0.25), 4) as p25, round(quantile_cont(lead_rows, 0.5), 4) as p50, round(quantile_cont(lead_rows, 0.75), 4) as p75 from ev where lead_rows is not null",
 }
 _DOWN = f"""{ctes('v_interval')}, a as (select *, max(end_s) over (partition by turbine order by start_s, end_s rows between unbounded preceding and 1 preceding) as seen from v_interval),

@@ -62,14 +62,16 @@ def best_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def whole_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
-    c = _chunks(spark, sf_dir)
-    out = retrieval.whole_documents(c, retrieval.best_pages(c, 30), 200_000)
+    """Documents hit that are short enough to be given whole, each with its paragraphs in order."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", F.posexplode(F.split("text", r"\.\n")).alias("chunk", "text"))
+    c = docs.select("doc_id", F.floor(F.col("chunk") / 4).alias("page"), "chunk", "text", (F.length("text") % 50).alias("distance"))
+    out = retrieval.whole_documents(c, c.where("distance = 0").select("doc_id"))
     return out.select("doc_id", "characters", F.size("texts").alias("chunks"), F.md5(F.array_join("texts", "|").cast("binary")).alias("digest"))
 
 
 def verified_specs(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Numbers of documents looked up on pages of the same source: cited page, other page, or none."""
-    specs = table(spark, sf_dir, "part").where("p_partkey < 400").select(F.concat(F.lit("src"), (F.col("p_partkey") % 20).cast("string")).alias("doc_id"), F.lit("size").alias("field"), F.col("p_size").cast("string").alias("value"), (F.col("p_partkey") % 7).alias("page"))
+    specs = table(spark, sf_dir, "part").select(F.concat(F.lit("src"), (F.col("p_partkey") % 20).cast("string")).alias("doc_id"), F.lit("size").alias("field"), F.col("p_size").cast("string").alias("value"), (F.col("p_partkey") % 7).alias("page"))
     return retrieval.verified_numbers(specs.distinct(), _chunks(spark, sf_dir))
 
 
@@ -93,11 +95,11 @@ def incident_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def resolved_names(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Customers' numbers asked for in several spellings."""
-    c = table(spark, sf_dir, "customer").where("c_custkey < 300")
-    turbines = c.select(F.concat(F.lit("T-"), F.lpad(F.col("c_custkey").cast("string"), 3, "0")).alias("turbine"))
-    asked = c.where("c_custkey % 3 = 0").select(F.concat(F.lit("t "), F.col("c_custkey").cast("string")).alias("asked"))
-    asked = asked.unionByName(c.where("c_custkey % 50 = 1").select(F.concat(F.lit("machine no. "), F.col("c_custkey").cast("string")).alias("asked")))
-    return rules.resolve_turbine(turbines, asked.unionByName(spark.createDataFrame([("nothing",), ("T-999",)], "asked string")))
+    c = table(spark, sf_dir, "customer")
+    turbines = c.select(F.concat(F.lit("T-"), F.lpad(F.col("c_custkey").cast("string"), 12, "0")).alias("turbine"))
+    asked = c.select(F.concat(F.lit("t "), F.col("c_custkey").cast("string")).alias("asked"))
+    asked = asked.unionByName(c.select(F.concat(F.lit("machine no. "), F.col("c_custkey").cast("string")).alias("asked")))
+    return rules.resolve_turbine(turbines, asked.unionByName(spark.createDataFrame([("nothing",), ("T-x999999999",)], "asked string")))
 
 
 _NAMES = (
@@ -111,7 +113,7 @@ def _case(text: str, rules_: list) -> str:
     return "case " + " ".join("when " + " or ".join(f"contains({text}, '{k}')" for k in keys) + f" then '{name}'" for name, keys in rules_) + " else 'other' end"
 
 
-_CHUNKS = "ch as (select source as doc_id, doc_id % 7 as page, doc_id as chunk, text, case when lang = 'en' then ['*'] else [lang, source] end as applies_to, length(text) % 1000 as distance from documents where length(text) < 30000)"
+_CHUNKS = "ch as (select source as doc_id, doc_id % 7 as page, doc_id as chunk, text, case when lang = 'en' then ['*'] else [lang, source] end as applies_to, length(text) % 1000 as distance from documents)"
 _NUMBERS = r"list_sort(list_distinct(list_transform(regexp_extract_all(%s, '([0-9][0-9,]*(?:\.[0-9]+)?)', 1), lambda t: try_cast(replace(t, ',', '') as double))))"
 _BEST = "bp as (select doc_id, page, arg_min(chunk, distance * 1000000000::bigint + chunk) as chunk, min(distance) as distance from ch %s group by 1, 2)"
 
@@ -128,13 +130,13 @@ k as (select {_case("lower(' ' || a || ' ')", T.COMPONENT_RULES)} as component,
 k as (select *, row_number() over (partition by query_id order by distance, vec_id) as position from d) select query_id, vec_id, round(distance, 6) as distance, position from k where position <= 10""",
     "scoped_chunks": f"with {_CHUNKS} select chunk from ch where list_has_any(applies_to, ['*', 'de'])",
     "best_pages": f"with {_CHUNKS}, {_BEST % _FRENCH} select * from bp order by distance, doc_id, page limit 4",
-    "whole_documents": f"with {_CHUNKS}, {_BEST % ''}, hit as (select distinct doc_id from (select * from bp order by distance, doc_id, page limit 30)) select doc_id, sum(length(text))::bigint as characters, count(*) as chunks, md5(string_agg(text, '|' order by page, chunk)) as digest from ch where doc_id in (select doc_id from hit) group by 1 having sum(length(text)) <= 200000",
-    "verified_specs": f"""with {_CHUNKS}, pg as (select doc_id, page as p, {_NUMBERS % "string_agg(text, ' ' order by text)"} as nums from ch group by 1, 2), sp as (select distinct 'src' || (p_partkey % 20) as doc_id, 'size' as field, p_size::varchar as value, p_partkey % 7 as page from part where p_partkey < 400),
+    "whole_documents": "with s as (select doc_id, unnest(string_split(text, '.' || chr(10))) as text, generate_subscripts(string_split(text, '.' || chr(10)), 1) - 1 as chunk from documents), h as (select distinct doc_id from s where length(text) % 50 = 0) select doc_id, sum(length(text))::bigint as characters, count(*) as chunks, md5(string_agg(text, '|' order by chunk)) as digest from s where doc_id in (select doc_id from h) group by 1 having sum(length(text)) <= 20000",
+    "verified_specs": f"""with {_CHUNKS}, pg as (select doc_id, page as p, {_NUMBERS % "string_agg(text, ' ' order by text)"} as nums from ch group by 1, 2), sp as (select distinct 'src' || (p_partkey % 20) as doc_id, 'size' as field, p_size::varchar as value, p_partkey % 7 as page from part),
 j as (select sp.*, p, list_contains(nums, value::double) as ok from sp left join pg on pg.doc_id = sp.doc_id)
 select doc_id, field, value, case when bool_or(ok and p = page) then page else min(p) filter (ok) end as page, bool_or(coalesce(ok, false)) as verified from j group by doc_id, field, value, j.page""",
     "spec_cross_check": "select p_partkey::varchar as model, 'size' as field, p_size::varchar as value, case when p_partkey % 3 > 0 then (p_size + (p_partkey % 5 = 0)::int)::varchar end as printed, case when p_partkey % 3 = 0 then 'missing' when p_partkey % 5 = 0 then 'differs' else 'matches' end as status from part",
     "graded_answers": "with a as (select conv_id, turn, regexp_matches(text, '(?i)the')::int + regexp_matches(text, '[0-9]')::int as f, regexp_matches(text, '(?i)zz+')::int as b from conversations) select conv_id, turn, f as facts_found, 2 as facts_total, b as forbidden_found, f = 2 and b = 0 as passed from a",
     "incident_documents": f"""{ctes('v_interval')}, s as (select *, end_s - start_s as d from v_interval where message in ('error', 'purchase') and end_s - start_s >= 3600 order by d desc, event_id limit 60)
 select event_id as doc_id, printf('Turbine %d reported %s for %.1f hours, starting %s.', turbine, message, d / 3600, strftime(make_timestamp(start_s * 1000000), '%Y-%m-%d %H:%M')) as text from s""",
-    "resolved_names": "select 't ' || c_custkey as asked, 'T-' || lpad(c_custkey::varchar, 3, '0') as turbine from customer where c_custkey < 300 and c_custkey % 3 = 0 union all select 'machine no. ' || c_custkey, 'T-' || lpad(c_custkey::varchar, 3, '0') from customer where c_custkey < 300 and c_custkey % 50 = 1 union all values ('nothing', null), ('T-999', null)",
+    "resolved_names": "select 't ' || c_custkey as asked, 'T-' || lpad(c_custkey::varchar, 12, '0') as turbine from customer union all select 'machine no. ' || c_custkey, 'T-' || lpad(c_custkey::varchar, 12, '0') from customer union all values ('nothing', null), ('T-x999999999', null)",
 }

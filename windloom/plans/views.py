@@ -13,8 +13,12 @@ RATED_KW, ROTOR_M = 2050.0, 82.0
 
 def reading(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Ten-minute readings: turbine = user, wind = value / 10, power and direction from props.k."""
+    return reading_of(table(spark, sf_dir, "events"))
+
+
+def reading_of(events: DataFrame) -> DataFrame:
     k = F.get_json_object("props", "$.k").cast("double")
-    return table(spark, sf_dir, "events").select(
+    return events.select(
         "event_id", F.col("user_id").alias("turbine"), "ts", (F.col("value") / 10).alias("wind"), (k * 20.5).alias("power"), (k * 3.6).alias("direction"), "event_type", "value"
     )
 

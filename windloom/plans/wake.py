@@ -130,8 +130,8 @@ ORACLES = {
     "binned_on_off_ratio": f"""{ctes('v_reading')}, r as (select floor(direction / 20 / 2)::int as db, floor(wind / 4)::int as sb, event_id % 2 = 0 as o, value as power, power + 1 as reference from v_reading),
 b as (select db, sb, count_if(o) as n1, count_if(not o) as n0, avg(power) filter (o) as p1, avg(power) filter (not o) as p0, avg(reference) filter (o) as r1, avg(reference) filter (not o) as r0 from r group by 1, 2 having count_if(o) > 0 and count_if(not o) > 0),
 w as (select *, least(n1, n0) as w from b) select round(100 * ((sum(w * p1) / sum(w * r1)) / (sum(w * p0) / sum(w * r0)) - 1), 6) as gain_pct, count(*) as bins from w""",
-    "day_block_bootstrap": f"""{ctes('v_reading')}, d as (select floor(epoch(date_trunc('second', ts)) / 86400)::bigint - 19723 as day_no, sum(value) as a, sum(power) as b from v_reading group by 1),
-p as (select i as draw, ('0x' || substr(md5(i || ':' || j), 1, 8))::bigint % 30 as day_no from generate_series(0, 299) g(i), generate_series(0, 29) h(j))
+    "day_block_bootstrap": f"""{ctes('v_reading')}, s as (select floor(epoch(date_trunc('second', ts)) / 86400)::bigint as day, sum(value) as a, sum(power) as b from v_reading group by 1),
+d as (select *, row_number() over (order by day) - 1 as day_no from s), p as (select i as draw, ('0x' || substr(md5(i || ':' || j), 1, 8))::bigint % (select count(*) from d) as day_no from generate_series(0, 299) g(i), generate_series(0, (select count(*) - 1 from d)) h(j))
 select draw, round(sum(a) / sum(b), 8) as ratio from p join d using (day_no) group by 1""",
     "sector_ratio": f"{ctes('v_reading')} select floor(direction / 30) * 30 as sector, round(avg(value / power), 6) as ratio, count(*) as n from v_reading where power > 0 group by 1",
     "row_profile": f"{ctes('v_signal')}, d as (select turbine, year(ts)::int as year, sum(power) as power from v_signal group by 1, 2), f as (select turbine, min_by(power, year) as p0 from d group by 1) select turbine, year, round(power, 4) as power, round(100 * power / p0, 6) as relative_pct from d join f using (turbine)",
