@@ -365,12 +365,12 @@ def test_recommend_skips_noted(spark):
 def test_long_documents_are_chunks_too(spark, tmp_path):
     from windloom.plans import texts
 
-    rows = [(1, "word " * 7000 + "42", "en", "src1", 35002), (8, "short 43", "en", "src1", 8)]
+    rows = [(1, "word " * 7000 + "42", "en", "src1", 35002), (8, "short 43", "en", "src1", 8), (9, "x" * 50 + ".\nsecond", "it", "src2", 58)]
     spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long").write.parquet(f"{tmp_path}/documents.parquet")
     spark.createDataFrame([(1, 42), (21, 43), (41, 44)], "p_partkey long, p_size int").write.parquet(f"{tmp_path}/part.parquet")
     assert sorted(values(texts.scoped_chunks(spark, str(tmp_path)), "chunk")) == [1, 8]
     assert values(texts.best_pages(spark, str(tmp_path)), "doc_id", "page", "chunk", "distance") == [("src1", 1, 1, 2)]
-    assert values(texts.whole_documents(spark, str(tmp_path)), "doc_id", "characters", "chunks") == [("src1", 35010, 2)]
+    assert values(texts.whole_documents(spark, str(tmp_path)), "doc_id", "characters", "chunks") == [(9, 56, 2)]
     got = {r["value"]: (r["page"], r["verified"]) for r in texts.verified_specs(spark, str(tmp_path)).collect()}
     assert got == {"42": (1, True), "43": (1, True), "44": (None, False)}
 
@@ -410,3 +410,142 @@ def test_forecast_is_of_the_default_model(spark, monkeypatch):
     monkeypatch.setattr(models, "predict", lambda model, rows: rows.withColumn("prediction", F.lit(0.0)))
     forecasts.gbt_forecast(spark, "/root/testdata/sf0.001")
     assert "trees" not in asked
+
+
+def test_rules_are_checked_not_cut(spark, monkeypatch):
+    from windloom.operators import watch
+
+    monkeypatch.setattr(watch, "MAX_RULES", 3)
+    days = spark.createDataFrame([(1, d, d) for d in range(4)], "event_id int, day int, episodes int")
+    rules_ = lambda n: spark.createDataFrame([(k, k, 1) for k in range(n)], "rule_id int, least int, persist int")
+    assert scoring.rule_grid(days, rules_(3)).count() == 3
+    with pytest.raises(ValueError, match="more than 3 rules"):
+        scoring.rule_grid(days, rules_(4))
+
+
+def test_search_is_exact_and_bounded(spark, monkeypatch):
+    rng = np.random.default_rng(1)
+    x = rng.integers(0, 3, (200, 4)).astype(float)  # many ties
+    vectors = spark.createDataFrame([(k, v.tolist()) for k, v in enumerate(x)] + [(999, None)], "vec_id long, embedding array<double>")
+    queries = vectors.where("vec_id < 20").select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("query"))
+    got = {(r["query_id"], r["position"]): (r["vec_id"], r["distance"]) for r in retrieval.search(queries, vectors, 7, batch_rows=33).collect()}
+    for q in range(20):
+        d = ((x - x[q]) ** 2).sum(axis=1)
+        for p, k in enumerate(np.lexsort((np.arange(200), d))[:7], 1):
+            assert got[q, p] == (k, d[k])
+    assert retrieval.search(queries.where("false"), vectors, 3).count() == 0
+    monkeypatch.setattr(retrieval, "MAX_QUERIES", 10)
+    with pytest.raises(ValueError, match="more than 10 queries"):
+        retrieval.search(queries, vectors, 3)
+
+
+def test_series_in_parts(spark, monkeypatch):
+    """Windows over a whole series, cut into parts of a few rows, are those of one window."""
+    monkeypatch.setattr(forecasting, "PART_ROWS", 20)
+    monkeypatch.setattr(resample, "PART_KEYS", 7)
+    rng = np.random.default_rng(3)
+    y = pd.Series(rng.normal(10, 3, 200)).where(rng.random(200) > 0.3)
+    frame = spark.createDataFrame([(k, None if math.isnan(v) else float(v), float(k)) for k, v in enumerate(y)], "h long, x double, k double")
+    got = forecasting.lag_features(frame, "h", "x", (1, 5, 12)).orderBy("h").toPandas()
+    for k in (1, 5, 12):
+        assert np.allclose(got[f"lag_{k}"].astype(float), y.shift(k), equal_nan=True)
+    errors = frame.select("h", F.col("x").alias("predicted"), F.col("k").alias("actual"))
+    got = forecasting.rolling_error(errors, "h", 15, 4).orderBy("h").toPandas()["rolling_mape"].astype(float)
+    ape = 100 * ((y - np.arange(200)) / np.arange(200)).abs().replace([np.inf], np.nan)
+    assert np.allclose(got, ape.rolling(15, min_periods=4).mean(), equal_nan=True)
+    got = resample.fill_gaps(frame, "h", "x", 3).orderBy("h").toPandas()["x_filled"].astype(float)
+    assert np.allclose(got, y.interpolate(limit=3, limit_area="inside"), equal_nan=True)
+    history = {r["h"]: r["history"] for r in forecasting.look_back(frame, "h", "k", 10).collect()}
+    assert history[8] is None and history[150] == [float(v) for v in range(141, 151)]
+
+
+def test_state_of_one_hot_key_in_parts(spark):
+    """A key with nearly all rows is spread over parts; the counter and the mean are those of one loop."""
+    rng = np.random.default_rng(4)
+    n = 4000
+    flags, live, x = rng.random(n) < 0.6, rng.random(n) < 0.9, rng.normal(0, 1, n)
+    x[rng.random(n) < 0.1] = np.nan
+    rows = [(1, i, bool(flags[i]), bool(live[i]), None if np.isnan(x[i]) else float(x[i])) for i in range(n)] + [(2, 0, True, True, 1.0)]
+    frame = spark.createDataFrame(rows, "k int, i int, flag boolean, normal boolean, x double")
+    c, want = 0, []
+    for f, live_ in zip(flags, live, strict=True):
+        c = min(50, c + 1) if live_ and f else max(0, c - 1) if live_ else c
+        want.append(c)
+    got = sequence.criticality(frame, ["k"], ["i"], "flag", "normal", 50)
+    assert [r["criticality"] for r in got.where("k = 1").orderBy("i").collect()] == want and got.where("k = 2").first()["criticality"] == 1
+    mean = sequence.exponential_mean(frame, ["k"], ["i"], "x", 18).where("k = 1").orderBy("i").toPandas()["x_ewm18"].astype(float)
+    assert np.allclose(mean, pd.Series(x).ewm(span=18, ignore_na=True, min_periods=6).mean(), equal_nan=True)
+    assert sequence.criticality(frame.where("false"), ["k"], ["i"], "flag", "normal").count() == 0
+
+
+def test_citations_are_checked_on_their_pages(spark):
+    pages = [
+        (1, 0, "hk", "Tender October 2017", 14, "depths of 17.1 to 27.2 m"), (1, 1, "hk", "Tender October 2017", 20, "page twenty, 5 km"), (1, 2, "zz", "Other sheet", 20, "a depth of 99 m"), (2, 0, "a", "A", 3, "x"),
+    ]
+    context = spark.createDataFrame(pages, "answer_id int, place long, doc_id string, title string, page long, text string")
+    answers = [
+        (1, "Tender October 2017: depths of 17.1 to 27.2 m (p.20). It is 5 km wide (p. 20), and Other sheet says 99 m, p.20."), (2, "No numbers here p.3 and none p.77"), (3, "no citation"), (4, "cites p.5 without pages"),
+    ]
+    got = {r["answer_id"]: (r["text"], [tuple(c) for c in r["cited"] or []]) for r in retrieval.checked_citations(spark.createDataFrame(answers, "answer_id int, answer string"), context).collect()}
+    assert got[1][0] == "Tender October 2017: depths of 17.1 to 27.2 m (p.14). It is 5 km wide (p.20), and Other sheet says 99 m, p.20."
+    assert got[1][1] == [("Tender October 2017", 14), ("Tender October 2017", 20), ("Other sheet", 20)]
+    assert got[2] == ("No numbers here p.3 and none p.77", [("A", 3)]) and got[3] == ("no citation", []) and got[4][0] == "cites p.5 without pages"
+
+
+def test_line_order_and_ranks(spark):
+    from windloom.operators import followups
+
+    rng = np.random.default_rng(2)
+    order = [3, 1, 4, 2, 5]
+    place = {t: k for k, t in enumerate(order)}
+    pairs = [(a, b, max(0.0, 1 - 0.3 * abs(place[a] - place[b]))) for a in order for b in order if a < b]
+    got = followups.line_order(spark.createDataFrame(pairs, "a int, b int, r double"), [1, 2, 3, 4, 5])
+    assert got in (order, order[::-1])
+    with pytest.raises(ValueError, match="more than 2 turbines"):
+        followups.line_order(spark.createDataFrame(pairs, "a int, b int, r double"), [1, 2, 3], 2)
+    assert rng is not None
+
+
+def test_recursive_forecast_is_one_plan(spark):
+    """A model that adds one to the last value, twelve steps ahead."""
+
+    class PlusOne:
+        def transform(self, rows):
+            return rows.withColumns({"features": F.lit(0), "prediction": F.col("lag_1") + 1 + 0 * F.col("lag_2")})
+
+    origins = spark.createDataFrame([(1, [1.0, 2.0, 3.0]), (2, [0.0, 0.0, 10.0])], "origin int, history array<double>")
+    got = sorted(map(tuple, models.recursive(PlusOne(), origins, [1, 2], 12).collect()))
+    assert got == sorted((o, k, base + k) for o, base in ((1, 3.0), (2, 10.0)) for k in range(1, 13))
+
+
+def test_holt_winters_on_a_season(spark):
+    y = [10 + 5 * math.sin(2 * math.pi * k / 24) + 0.01 * k for k in range(24 * 20)]
+    frame = spark.createDataFrame([("a", k, v) for k, v in enumerate(y)] + [("short", 0, 1.0)], "g string, h int, x double")
+    got = {(r["g"], r["lead"]): r["prediction"] for r in models.holt_winters(frame, "g", "h", "x").collect()}
+    assert len(got) == 24
+    for k in range(1, 25):
+        assert got["a", k] == pytest.approx(10 + 5 * math.sin(2 * math.pi * (479 + k) / 24) + 0.01 * (479 + k), abs=0.3)
+
+
+def test_boosted_trees_learn_a_step(spark):
+    frame = spark.createDataFrame([(float(k % 10), 5.0 if k % 10 > 4 else 1.0) for k in range(200)], "a double, y double")
+    model = models.boosted(frame, ["a"], "y", trees=5, rate=0.5)
+    got = {r["a"]: r["prediction"] for r in models.predict(model, frame).collect()}
+    assert got[0.0] == pytest.approx(1, abs=0.2) and got[9.0] == pytest.approx(5, abs=0.2)
+
+
+def test_sessions_and_model_versions(spark, tmp_path):
+    from pyspark.ml import Pipeline
+    from pyspark.ml.feature import VectorAssembler
+    from pyspark.ml.regression import LinearRegression
+
+    from windloom.sources import stores
+
+    path = f"{tmp_path}/sessions"
+    for key, payload in (("a", '{"n": 1}'), ("b", '{"n": 2}'), ("a", '{"n": 3}')):
+        stores.put_session(spark, path, key, payload)
+    assert stores.get_session(spark, path, "a") == '{"n": 3}' and stores.get_session(spark, path, "zz") is None and stores.sessions(spark, path).count() == 2
+    frame = spark.createDataFrame([(float(k), 2.0 * k + 1) for k in range(10)], "x double, y double")
+    model = Pipeline(stages=[VectorAssembler(inputCols=["x"], outputCol="features"), LinearRegression(labelCol="y")]).fit(frame)
+    assert stores.export_model(model, f"{tmp_path}/models", "v1") and not stores.export_model(model, f"{tmp_path}/models", "v1")
+    assert stores.load_model(f"{tmp_path}/models", "v1").transform(frame).where("abs(prediction - y) < 0.001").count() == 10

@@ -57,28 +57,25 @@ def local_metres(latitude: Column, longitude: Column, lat0: Column, lon0: Column
     return (longitude - lon0) * 111_320.0 * F.cos(F.radians(lat0)), (latitude - lat0) * 110_574.0
 
 
+#: WGS84: equatorial radius in metres and flattening; scale on UTM's central meridian (fixed values).
+RADIUS, FLATTENING, UTM_SCALE = 6378137.0, 1 / 298.257223563, 0.9996
+
+
 def utm_to_degrees(easting: Column, northing: Column, zone: int) -> tuple[Column, Column]:
-    """Latitude and longitude on WGS84 of UTM coordinates in the northern hemisphere (series to sixth order)."""
-    a, f, k0 = 6378137.0, 1 / 298.257223563, 0.9996
-    e2 = f * (2 - f)
-    ep2, e1 = e2 / (1 - e2), (1 - (1 - e2) ** 0.5) / (1 + (1 - e2) ** 0.5)
-    mu = northing / k0 / (a * (1 - e2 / 4 - 3 * e2**2 / 64 - 5 * e2**3 / 256))
-    foot = (
-        mu
-        + (3 * e1 / 2 - 27 * e1**3 / 32) * F.sin(2 * mu)
-        + (21 * e1**2 / 16 - 55 * e1**4 / 32) * F.sin(4 * mu)
-        + (151 * e1**3 / 96) * F.sin(6 * mu)
-        + (1097 * e1**4 / 512) * F.sin(8 * mu)
-    )
-    s, c, t = F.sin(foot), F.cos(foot), F.tan(foot)
-    w = 1 - e2 * s * s
-    n, r, tt, cc = a / F.sqrt(w), a * (1 - e2) / (w * F.sqrt(w)), t * t, ep2 * c * c
-    d = (easting - 500_000.0) / (n * k0)
-    d2 = d * d
-    latitude = foot - n * t / r * (
-        d2 / 2
-        - (5 + 3 * tt + 10 * cc - 4 * cc * cc - 9 * ep2) * d2 * d2 / 24
-        + (61 + 90 * tt + 298 * cc + 45 * tt * tt - 252 * ep2 - 3 * cc * cc) * d2 * d2 * d2 / 720
-    )
-    longitude = (d - (1 + 2 * tt + cc) * d2 * d / 6 + (5 - 2 * cc + 28 * tt - 3 * cc * cc + 8 * ep2 + 24 * tt * tt) * d2 * d2 * d / 120) / c
-    return F.degrees(latitude), F.degrees(longitude) + (zone * 6 - 183)
+    """Latitude and longitude on WGS84 of UTM coordinates in the northern hemisphere, by Krueger's series in the third
+    flattening n (to n cubed, which is exact to well under a millimetre): from the plane to the conformal sphere, whose
+    conformal latitude then becomes the geodetic one."""
+    n = FLATTENING / (2 - FLATTENING)
+    meridian = RADIUS / (1 + n) * (1 + n**2 / 4 + n**4 / 64)
+    to_sphere = [n / 2 - 2 * n**2 / 3 + 37 * n**3 / 96, n**2 / 48 + n**3 / 15, 17 * n**3 / 480]
+    to_latitude = [2 * n - 2 * n**2 / 3 - 2 * n**3, 7 * n**2 / 3 - 8 * n**3 / 5, 56 * n**3 / 15]
+    up, right = northing / (UTM_SCALE * meridian), (easting - 500_000.0) / (UTM_SCALE * meridian)
+    xi, eta = up, right
+    for k, b in enumerate(to_sphere, 1):
+        xi = xi - b * F.sin(2 * k * up) * F.cosh(2 * k * right)
+        eta = eta - b * F.cos(2 * k * up) * F.sinh(2 * k * right)
+    conformal = F.asin(F.sin(xi) / F.cosh(eta))
+    latitude = conformal
+    for k, d in enumerate(to_latitude, 1):
+        latitude = latitude + d * F.sin(2 * k * conformal)
+    return F.degrees(latitude), F.degrees(F.atan2(F.sinh(eta), F.cos(xi))) + (zone * 6 - 183)

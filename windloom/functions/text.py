@@ -69,14 +69,6 @@ def squashed(text: Column) -> Column:
     return F.lower(F.trim(F.regexp_replace(text, r"\s+", " ")))
 
 
-def printed(field: Column, value: Column, page: Column) -> Column:
-    """Whether a value stands on a page: all its numbers do (rated power also in MW), or, without numbers, its text does."""
-    wanted, there = numbers(value), numbers(page)
-    present = F.forall(wanted, lambda v: F.array_contains(there, v) | ((field == "rated_power_kw") & F.array_contains(there, v / 1000)))
-    told = F.when(F.size(wanted) > 0, present).otherwise(squashed(page).contains(squashed(value)))
-    return F.coalesce(value.isNotNull() & (F.length(page) > 0) & told, F.lit(False))
-
-
 def duration_seconds(text: Column) -> Column:
     """``H:MM:SS`` as seconds; anything else is 0."""
     p = F.split(text, ":")

@@ -7,6 +7,8 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 LAGS = (1, 2, 3, 6, 12, 24, 48, 168)
+#: Rows of a part of a series without groups.
+PART_ROWS = 100_000
 
 
 def metrics(rows: DataFrame, groups: list[str], actual: str = "actual", predicted: str = "predicted") -> DataFrame:
@@ -61,23 +63,42 @@ def naive_forecasts(series: DataFrame, value: str, length: int = 24, group: str
     return rows.unpivot(["w", "lead", "actual"], ["persistence", "seasonal", "mean"], "method", "predicted")
 
 
+def _with_rows_before(series: DataFrame, order: str, n: int, groups: list[str] | None) -> tuple[DataFrame, list[str]]:
+    """The series and the columns to partition it by so that each row's partition holds the n rows before it.
+
+    With groups those are the partitions.  Without, rows are numbered and cut into parts of ``PART_ROWS``, each with the last n
+    rows of the part before (``__own`` false): no task sorts the whole series.
+    """
+    if groups:
+        return series.withColumn("__own", F.lit(True)), groups
+    rows = numbered(series.withColumn("__key", F.col(order)), "__key").drop("__key").withColumnRenamed("i", "__i") if "i" not in series.columns else series.withColumn("__i", F.col("i"))
+    part, near = F.floor(F.col("__i") / PART_ROWS), F.col("__i") % PART_ROWS >= PART_ROWS - n
+    own = F.struct(part.alias("p"), F.lit(True).alias("own"))
+    both = F.when(near, F.array(own, F.struct((part + 1).alias("p"), F.lit(False).alias("own")))).otherwise(F.array(own))
+    rows = rows.withColumn("__p", F.explode(both))
+    return rows.select(*series.columns, F.col("__p.p").alias("__p"), F.col("__p.own").alias("__own")), ["__p"]
+
+
 def lag_features(series: DataFrame, order: str, value: str, lags=LAGS, groups: list[str] | None = None) -> DataFrame:
-    w = Window.partitionBy(*(groups or [])).orderBy(order)
-    return series.withColumns({f"lag_{k}": F.lag(value, k).over(w) for k in lags})
+    rows, keys = _with_rows_before(series, order, max(lags), groups)
+    w = Window.partitionBy(*keys).orderBy(order)
+    return rows.withColumns({f"lag_{k}": F.lag(value, k).over(w) for k in lags}).where("__own").drop("__own", "__p")
 
 
 def look_back(series: DataFrame, order: str, value: str, n: int = 72, groups: list[str] | None = None) -> DataFrame:
     """The last n values up to each row as an array; rows without n have NULL."""
-    w = Window.partitionBy(*(groups or [])).orderBy(order).rowsBetween(-(n - 1), 0)
-    seen = F.collect_list(value).over(w)
-    return series.withColumn("history", F.when(F.size(seen) == n, seen))
+    rows, keys = _with_rows_before(series, order, n - 1, groups)
+    seen = F.collect_list(value).over(Window.partitionBy(*keys).orderBy(order).rowsBetween(-(n - 1), 0))
+    return rows.withColumn("history", F.when(F.size(seen) == n, seen)).where("__own").drop("__own", "__p")
 
 
 def rolling_error(rows: DataFrame, order: str, n: int = 168, least: int = 24, groups: list[str] | None = None) -> DataFrame:
     """Rolling MAPE over the last n rows, NULL under ``least`` errors."""
-    w = Window.partitionBy(*(groups or [])).orderBy(order).rowsBetween(-(n - 1), 0)
+    rows, keys = _with_rows_before(rows, order, n - 1, groups)
+    w = Window.partitionBy(*keys).orderBy(order).rowsBetween(-(n - 1), 0)
     ape = 100 * F.abs(F.try_divide(F.col("predicted") - F.col("actual"), F.col("actual")))
-    return rows.withColumn("__a", ape).withColumn("rolling_mape", F.when(F.count("__a").over(w) >= least, F.avg("__a").over(w))).drop("__a")
+    rows = rows.withColumn("__a", ape).withColumn("rolling_mape", F.when(F.count("__a").over(w) >= least, F.avg("__a").over(w)))
+    return rows.where("__own").drop("__a", "__own", "__p")
 
 
 def actual_vs_predicted(actual: DataFrame, predicted: DataFrame, key: str) -> DataFrame:

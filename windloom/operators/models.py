@@ -7,6 +7,9 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from windloom.operators.followups import uniform
+from windloom.session import stored
+
 
 def ridge_residuals(rows: DataFrame, group: str, order: str, features: list[str], target: str, train: str, alpha: float = 1.0, least: int = 100) -> DataFrame:
     """Residual of a ridge regression on standardised features per group, fitted on its ``train`` rows.
@@ -101,16 +104,16 @@ def predict(model, rows: DataFrame, low: float | None = 0.0) -> DataFrame:
 def recursive(model, origins: DataFrame, lags: list[int], steps: int = 24) -> DataFrame:
     """Forecasts 1 to ``steps`` rows ahead of every origin, each made from the ones before it.
 
-    ``origins(origin, history array)``, newest value last; all origins advance together, one prediction a step.
+    ``origins(origin, history array)``, newest value last; all origins advance together, one prediction a step.  The state is
+    written after each step: the next one reads it instead of computing all steps before it again.
     """
-    state, made = origins, None
-    for lead in range(1, steps + 1):
+    state = origins.select("origin", "history", F.array().cast("array<double>").alias("made"))
+    for _ in range(steps):
         state = state.withColumns({f"lag_{k}": F.element_at("history", -k) for k in lags})
-        done = predict(model, state, None).withColumn("history", F.concat(F.slice("history", 2, F.size("history") - 1), F.array("prediction")))
-        row = done.select("origin", F.lit(lead).alias("lead"), "prediction")
-        made = row if made is None else made.unionByName(row)
-        state = done.select("origin", "history")
-    return made
+        done = predict(model, state, None)
+        new = F.array("prediction")
+        state = stored(done.select("origin", F.concat(F.slice("history", 2, F.size("history") - 1), new).alias("history"), F.concat("made", new).alias("made")), "forecast")
+    return state.select("origin", F.posexplode("made").alias("lead", "prediction")).select("origin", (F.col("lead") + 1).alias("lead"), "prediction")
 
 
 def holt_winters(series: DataFrame, group: str, order: str, value: str, season: int = 24, horizon: int = 24, alpha: float = 0.3, beta: float = 0.02, gamma: float = 0.2) -> DataFrame:
@@ -120,7 +123,7 @@ def holt_winters(series: DataFrame, group: str, order: str, value: str, season:
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
         y = pdf.sort_values(order)[value].to_numpy(float)
         if len(y) < 2 * season:
-            return pd.DataFrame({group: [], "lead": [], "prediction": []})
+            return pd.DataFrame({group: pdf[group].iloc[:0], "lead": np.zeros(0, np.int32), "prediction": np.zeros(0)})
         level, trend = y[:season].mean(), (y[season : 2 * season].mean() - y[:season].mean()) / season
         s = list(y[:season] - level)
         for i, v in enumerate(y):
@@ -150,16 +153,11 @@ def draws_summary(draws: DataFrame, groups: list[str], value: str) -> DataFrame:
     return draws.groupBy(*groups).agg(F.avg(value).alias("mean"), F.stddev_samp(value).alias("std"), *[F.percentile(value, q).alias(f"p{int(q * 100)}") for q in (0.05, 0.1, 0.5, 0.9, 0.95)], F.count(F.lit(1)).alias("n"))
 
 
-def uniform_draw(draw, what: str):
-    """A number in [0, 1) by a hash of draw and name: the same on any partitioning."""
-    return F.pmod(F.xxhash64(draw, F.lit(what)), F.lit(1 << 52)).cast("double") / float(1 << 52)
-
-
 def electrical_losses(daily: DataFrame, draws: int = 5000, meter_error: float = 0.005, scada_error: float = 0.005) -> DataFrame:
     """Loss 1 - meter / turbines of ``daily(turbine_mwh, meter_mwh)`` over draws of both instruments' errors (uniform within
     the stated relative error); the sums are made once, each draw scales them."""
     total = daily.agg(F.sum("turbine_mwh").alias("t"), F.sum("meter_mwh").alias("m"))
     d = daily.sparkSession.range(draws).withColumnRenamed("id", "draw")
-    m = 1 + meter_error * (2 * uniform_draw(F.col("draw"), "meter") - 1)
-    t = 1 + scada_error * (2 * uniform_draw(F.col("draw"), "scada") - 1)
+    m = 1 + meter_error * (2 * uniform(F.col("draw"), "meter") - 1)
+    t = 1 + scada_error * (2 * uniform(F.col("draw"), "scada") - 1)
     return d.join(F.broadcast(total)).select("draw", (1 - F.try_divide(F.col("m") * m, F.col("t") * t)).alias("loss"))

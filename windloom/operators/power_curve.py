@@ -91,20 +91,19 @@ def weibull_fit(rows: DataFrame, groups: list[str], resolution: float = 0.01, ro
     return counts.groupBy(*groups).applyInPandas(solve, ", ".join(f"{c} {t}" for c, t in kinds.items()) + ", n long, shape double, scale double")
 
 
-def kernel_curve(rows: DataFrame, groups: list[str], width: float = 0.5, reach: float = 4.0, resolution: float = 0.05, centres: tuple[float, float, float] = (0.25, 25.0, 0.5)) -> DataFrame:
+def kernel_curve(rows: DataFrame, groups: list[str], width: float = 0.5, reach: float = 4.0, centres: tuple[float, float, float] = (0.25, 25.0, 0.5)) -> DataFrame:
     """Gaussian kernel regression of power on wind at regular centres.
 
-    Rows are first summed on a fine grid of speeds (``resolution``), so that each group has a bounded number of them; each
-    grid point meets only the centres within ``reach`` bandwidths.
+    Rows of one speed are summed first; each speed then meets only the centres within ``reach`` bandwidths, and the weighted
+    sums of a centre are partial before the shuffle.
     """
-    grid = rows.where("wind is not null and power is not null").groupBy(*groups, F.round(F.col("wind") / resolution).alias("g")).agg(F.sum("power").alias("sum_p"), F.count(F.lit(1)).alias("n"), F.sum("wind").alias("sum_v"))
+    speeds = rows.where("wind is not null and power is not null").groupBy(*groups, "wind").agg(F.sum("power").alias("sum_p"), F.count(F.lit(1)).alias("n"))
     first, last, step = centres
-    at = F.col("sum_v") / F.col("n")
-    low = F.greatest(F.ceil((at - reach * width - first) / step), F.lit(0))
-    high = F.least(F.floor((at + reach * width - first) / step), F.lit(int((last - first) / step)))
-    pairs = grid.withColumn("v", at).where(low <= high).withColumn("k", F.explode(F.sequence(low, high)))
+    low = F.greatest(F.ceil((F.col("wind") - reach * width - first) / step), F.lit(0))
+    high = F.least(F.floor((F.col("wind") + reach * width - first) / step), F.lit(int((last - first) / step)))
+    pairs = speeds.where(low <= high).withColumn("k", F.explode(F.sequence(low, high)))
     centre = F.lit(first) + F.col("k") * step
-    weight = F.exp(-0.5 * F.pow((F.col("v") - centre) / width, F.lit(2.0)))
+    weight = F.exp(-0.5 * F.pow((F.col("wind") - centre) / width, F.lit(2.0)))
     return pairs.groupBy(*groups, centre.alias("centre")).agg((F.sum(weight * F.col("sum_p")) / F.sum(weight * F.col("n"))).alias("power"), F.sum("n").alias("n"))
 
 

@@ -47,27 +47,41 @@ def on_spine(series: DataFrame, key: str, step: int = 1) -> DataFrame:
     return ends.select(spine(F.col("first"), F.col("last"), step).alias(key)).join(series, key, "left")
 
 
+#: Keys of a part of a series without groups.
+PART_KEYS = 100_000
+
+
 def fill_gaps(series: DataFrame, key: str, value: str, limit: int, groups: list[str] | None = None) -> DataFrame:
-    """Linear interpolation inside gaps of a series on a complete calendar: of each gap the first ``limit`` rows."""
-    groups = groups or []
-    past = Window.partitionBy(*groups).orderBy(key).rowsBetween(Window.unboundedPreceding, 0)
-    ahead = Window.partitionBy(*groups).orderBy(key).rowsBetween(0, Window.unboundedFollowing)
-    at = F.when(F.col(value).isNotNull(), F.col(key))
-    s = series.withColumns({
-        "__k0": F.last(at, True).over(past), "__v0": F.last(value, True).over(past),
-        "__k1": F.first(at, True).over(ahead), "__v1": F.first(value, True).over(ahead),
-    })
-    inside = F.col("__k0").isNotNull() & F.col("__k1").isNotNull() & (F.col(key) - F.col("__k0") <= limit)
-    slope = F.try_divide(F.col("__v1") - F.col("__v0"), (F.col("__k1") - F.col("__k0")).cast("double"))
-    made = F.col("__v0") + slope * (F.col(key) - F.col("__k0"))
-    return s.withColumn(f"{value}_filled", F.coalesce(F.col(value), F.when(inside, made))).drop("__k0", "__v0", "__k1", "__v1")
+    """Linear interpolation inside gaps of a series on a complete calendar: of each gap the first ``limit`` rows.
+
+    A series without groups is cut into parts of its integer key; a part's first and last known values are handed to its
+    neighbours (one row a part), so no task sorts the whole series.
+    """
+    rows = series.withColumn("__part", F.lit(0) if groups else F.floor(F.col(key) / PART_KEYS))
+    keys = [*(groups or []), "__part"]
+    at = F.when(F.col(value).isNotNull(), F.struct(F.col(key).alias("k"), F.col(value).alias("v")))
+    past = Window.partitionBy(*keys).orderBy(key).rowsBetween(Window.unboundedPreceding, 0)
+    ahead = Window.partitionBy(*keys).orderBy(key).rowsBetween(0, Window.unboundedFollowing)
+    rows = rows.withColumns({"__past": F.last(at, True).over(past), "__ahead": F.first(at, True).over(ahead)})
+    if not groups:
+        ends = series.where(F.col(value).isNotNull()).groupBy(F.floor(F.col(key) / PART_KEYS).alias("__part")).agg(F.min(F.struct(F.col(key).alias("k"), F.col(value).alias("v"))).alias("__lo"), F.max(F.struct(F.col(key).alias("k"), F.col(value).alias("v"))).alias("__hi"))
+        every = rows.select("__part").distinct().join(ends, "__part", "left")  # one row a part
+        before = Window.orderBy("__part").rowsBetween(Window.unboundedPreceding, -1)
+        after = Window.orderBy("__part").rowsBetween(1, Window.unboundedFollowing)
+        every = every.select("__part", F.last("__hi", True).over(before).alias("__before"), F.first("__lo", True).over(after).alias("__after"))
+        rows = rows.join(every, "__part").withColumns({"__past": F.coalesce("__past", "__before"), "__ahead": F.coalesce("__ahead", "__after")}).drop("__before", "__after")
+    inside = F.col("__past").isNotNull() & F.col("__ahead").isNotNull() & (F.col(key) - F.col("__past.k") <= limit)
+    slope = F.try_divide(F.col("__ahead.v") - F.col("__past.v"), (F.col("__ahead.k") - F.col("__past.k")).cast("double"))
+    made = F.col("__past.v") + slope * (F.col(key) - F.col("__past.k"))
+    return rows.withColumn(f"{value}_filled", F.coalesce(F.col(value), F.when(inside, made))).select(*series.columns, f"{value}_filled")
 
 
 def counter_increments(series: DataFrame, key: str, value: str, most: float, groups: list[str] | None = None) -> DataFrame:
     """Increments of a cumulative counter; resets (negative) and jumps above ``most`` are NULL."""
-    w = Window.partitionBy(*(groups or [])).orderBy(key)
-    step = F.col(value) - F.lag(value).over(w)
-    return series.withColumn("increment", F.when(step.between(0, most), step))
+    from windloom.operators.forecasting import lag_features
+
+    step = F.col(value) - F.col("lag_1")
+    return lag_features(series, key, value, (1,), groups).withColumn("increment", F.when(step.between(0, most), step)).drop("lag_1")
 
 
 def missing_hours(series: DataFrame, key: str) -> DataFrame:

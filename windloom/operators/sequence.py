@@ -1,7 +1,8 @@
 """Ordered state: CUSUM, counters, episodes, exponential means.
 
-Where a recurrence has a closed form it is a window expression; the others fold an ordered array per key, or run per key
-in a grouped map.
+Where a recurrence has a closed form it is a window expression.  The others compose: what a stretch of rows does to the state
+is a few numbers, whatever the state.  Rows are cut into parts by ranges of (key, order), the parts' few numbers are composed
+in order of the parts, and each part then starts from the state it is handed: no task holds a key's history.
 """
 
 from __future__ import annotations
@@ -13,6 +14,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from windloom.session import stored
+
 
 def _running(groups: list[str], order: list[str]):
     return Window.partitionBy(*groups).orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
@@ -59,44 +62,90 @@ def episode_rate(rows: DataFrame, groups: list[str], calibration: Column) -> Dat
     return rows.where(calibration).groupBy(*groups).agg(((F.count_if("starts") + 0.5) / F.count(F.lit(1))).alias("base_rate"))
 
 
+def _by_parts(rows: DataFrame, groups: list[str], order: list[str], effect, effect_schema: str, follow, start: tuple, advance, out_schema: str) -> DataFrame:
+    """A recurrence over the rows of each key in order.  ``effect(frame) -> tuple`` is what a stretch does to the state (columns
+    of ``effect_schema``), ``follow(state, effect) -> state`` applies it, ``advance(frame, state) -> dict`` gives the new columns
+    of a stretch entered in that state."""
+    n = max(1, int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+    parts = stored(rows.repartitionByRange(n, *groups, *order).withColumn("__part", F.spark_partition_id()), "parts")
+    kinds = {f.name: f.dataType.simpleString() for f in rows.schema.fields}
+    names = [c.split()[0] for c in effect_schema.split(", ")]
+    key_schema = ", ".join(f"`{c}` {kinds[c]}" for c in groups)
+
+    def summarise(pdf: pd.DataFrame) -> pd.DataFrame:
+        made = effect(pdf.sort_values(order, kind="stable"))
+        return pdf[[*groups, "__part"]].iloc[:1].assign(**dict(zip(names, made, strict=True)))
+
+    def compose(pdf: pd.DataFrame) -> pd.DataFrame:
+        """One row a part of a key: their number is that of the partitions at most."""
+        pdf, states, now = pdf.sort_values("__part"), [], start
+        for made in pdf[names].itertuples(index=False, name=None):
+            states.append([float(x) for x in now])
+            now = follow(now, made)
+        return pdf[[*groups, "__part"]].assign(__state=states)
+
+    effects = parts.groupBy(*groups, "__part").applyInPandas(summarise, f"{key_schema}, __part int, {effect_schema}")
+    entry = effects.groupBy(*groups).applyInPandas(compose, f"{key_schema}, __part int, __state array<double>")
+
+    def run(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
+        pdf = left.sort_values(order, kind="stable")
+        return pdf.drop(columns="__part").assign(**advance(pdf, tuple(right["__state"].iloc[0])))
+
+    own = ", ".join(f"`{c}` {t}" for c, t in kinds.items())
+    keys = [*groups, "__part"]
+    return parts.groupBy(*keys).cogroup(entry.groupBy(*keys)).applyInPandas(run, f"{own}, {out_schema}")
+
+
 def criticality(rows: DataFrame, groups: list[str], order: list[str], flag: str, normal: str, most: int = 1000) -> DataFrame:
     """Counter per row: up with a flag, down without, unchanged out of normal operation, kept within 0 and ``most``.
 
-    The two-sided clamp has no window form and is ordered by nature: keys (turbines or events) run in parallel, each in a
-    grouped map.
+    A stretch of rows takes a counter c to min(high, max(low, c + shift)); such maps compose to maps of the same kind.
     """
-    kinds = {f.name: f.dataType.simpleString() for f in rows.schema.fields}
-    columns = rows.columns
-
-    def fold(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values(order, kind="stable")
-        c, out = 0, []
-        for f, n in zip(pdf[flag].to_numpy(bool), pdf[normal].to_numpy(bool), strict=True):
-            if n:
-                c = min(most, c + 1) if f else max(0, c - 1)
+
+    def steps(pdf: pd.DataFrame) -> list[int]:
+        flags, live = pdf[flag].fillna(False).to_numpy(bool), pdf[normal].fillna(False).to_numpy(bool)
+        return ((flags.astype(int) * 2 - 1) * live).tolist()
+
+    def effect(pdf: pd.DataFrame) -> tuple:
+        shift, low, high = 0, 0, most
+        for d in steps(pdf):
+            shift, low, high = shift + d, min(most, max(0, low + d)), min(most, max(0, high + d))
+        return shift, low, high
+
+    def advance(pdf: pd.DataFrame, state: tuple) -> dict:
+        c, out = int(state[0]), []
+        for d in steps(pdf):
+            c = min(most, max(0, c + d))
             out.append(c)
-        return pdf[columns].assign(criticality=out)
+        return {"criticality": out}
 
-    return rows.groupBy(*groups).applyInPandas(fold, ", ".join(f"`{c}` {t}" for c, t in kinds.items()) + ", criticality int")
+    follow = lambda state, e: (min(e[2], max(e[1], state[0] + e[0])),)
+    return _by_parts(rows, groups, order, effect, "shift long, low long, high long", follow, (0,), advance, "criticality int")
 
 
 def exponential_mean(rows: DataFrame, groups: list[str], order: list[str], value: str, span: int) -> DataFrame:
     """Adjusted exponential mean over non-null values, NULL until a third of the span has been seen.
 
-    numerator and denominator shrink by 1 - alpha at each value; written with growing weights the recurrence would overflow,
-    so it runs per key in a grouped map.
+    Numerator and denominator shrink by 1 - alpha at each value, so a stretch scales what came before by a power of that and
+    adds its own.
     """
-    alpha = 2.0 / (span + 1)
-    kinds = {f.name: f.dataType.simpleString() for f in rows.schema.fields}
-    columns, name = rows.columns, f"{value}_ewm{span}"
-
-    def fold(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values(order, kind="stable")
-        mean = pdf[value].astype(float).ewm(alpha=alpha, adjust=True, ignore_na=True, min_periods=max(1, span // 3)).mean()
-        return pdf[columns].assign(**{name: mean.to_numpy()})
-
-    out = rows.groupBy(*groups).applyInPandas(fold, ", ".join(f"`{c}` {t}" for c, t in kinds.items()) + f", `{name}` double")
-    return out.withColumn(name, F.when(~F.isnan(name), F.col(name)))
+    keep, least, name = 1 - 2.0 / (span + 1), max(1, span // 3), f"{value}_ewm{span}"
+
+    def walk(pdf: pd.DataFrame, state: tuple) -> tuple[list, tuple]:
+        num, den, n = state
+        out = []
+        for x in pdf[value].to_numpy(float, na_value=float("nan")).tolist():
+            if x == x:
+                num, den, n = num * keep + x, den * keep + 1.0, n + 1
+            out.append(num / den if n >= least else None)
+        return out, (num, den, n)
+
+    def effect(pdf: pd.DataFrame) -> tuple:
+        num, den, n = walk(pdf, (0.0, 0.0, 0))[1]
+        return num, den, int(n)
+
+    follow = lambda s, e: (s[0] * keep ** e[2] + e[0], s[1] * keep ** e[2] + e[1], s[2] + e[2])
+    return _by_parts(rows, groups, order, effect, "num double, den double, seen long", follow, (0.0, 0.0, 0), lambda pdf, s: {name: walk(pdf, s)[0]}, f"`{name}` double")
 
 
 def first_crossing(rows: DataFrame, groups: list[str], order: str, value: str, threshold: float) -> DataFrame:

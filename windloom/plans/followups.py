@@ -9,10 +9,10 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from windloom.functions import angles, text, wind
-from windloom.operators import followups, forecasting, resample, rules, sequence
+from windloom.operators import followups, forecasting, power_curve, resample, rules, sequence
 from windloom.plans import wake
 from windloom.plans.relational import rounded
-from windloom.plans.views import RATED_KW, ctes, hourly, interval, layout, reading, signal
+from windloom.plans.views import RATED_KW, ROTOR_M, ctes, hourly, interval, layout, reading, signal
 from windloom.session import nan_to_null, table
 from windloom.sources import scada
 
@@ -277,8 +277,29 @@ def ten_minute_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rounded(out.withColumn("slot", F.unix_timestamp("slot")), wind=6, power=5, derate=6, direction=3)
 
 
+def full_diagnosis(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Typed anomalies with flagged yaw offsets and the mismatch with the reference wind."""
+    yaw = yaw_ranking(spark, sf_dir).select("turbine", "status", F.col("abs_deg").alias("mean_deg"))
+    check = power_curve.compare_wind(_wind_pairs(spark, sf_dir))
+    own = power_curve.efficiency_summary(signal(spark, sf_dir), RATED_KW, ROTOR_M)
+    band = reading(spark, sf_dir).agg(F.lit(0).alias("n_bad"), F.lit(0.0).alias("share_bad"), F.count(F.lit(1)).alias("n"))
+    none = own.select("turbine", F.lit(0).alias("under"), F.lit(0.0).alias("share"))
+    return rounded(rules.diagnose(band, own, none, yaw, check).select("type", "turbine", "value"), value=6)
+
+
+def _wind_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return reading(spark, sf_dir).groupBy(_HOUR_S.alias("hour")).agg(F.avg(F.when(F.col("event_type") == "view", F.col("value"))).alias("a"), F.avg(F.when(F.col("event_type") == "click", F.col("value"))).alias("b"))
+
+
+def farms_without_model(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Farms registered (nations) for which no model was trained (no customer of the automobile segment), with the name of it."""
+    farms = table(spark, sf_dir, "nation").select(F.col("n_nationkey").alias("farm"), F.concat(F.lit("output-"), F.lower(F.replace("n_name", F.lit(" "), F.lit("-")))).alias("model"))
+    trained = table(spark, sf_dir, "customer").where("c_mktsegment = 'AUTOMOBILE' and c_acctbal > 5000").select(F.col("c_nationkey").alias("farm"))
+    return farms.join(trained, "farm", "left_anti")
+
+
 _NAMES = (
-    high_passed, local_peaks, yaw_offsets, yaw_ranking, alarm_codes, interventions, turbine_details, signal_join, farm_wind, daily_means, turbine_hourly_both, park_meter_hourly,
+    full_diagnosis, farms_without_model, high_passed, local_peaks, yaw_offsets, yaw_ranking, alarm_codes, interventions, turbine_details, signal_join, farm_wind, daily_means, turbine_hourly_both, park_meter_hourly,
     run_summary, feature_correlations, described_columns, seeded_sample, first_channel, id_formats, assets, plant_rows, scaled_features, aligned_ranks, yield_draws,
     yield_components, retrain_decisions, safety_margins, episode_rates, look_backs, air_densities, local_offsets, model_output_json, json_rows, finite_values, as_decimals,
     cited_pages, plant_years, upserted, ten_minute_rows,
@@ -300,6 +321,12 @@ _PLANT = "select ts, turbine, max(power) as power, max(wind) as vane, l_partkey
 _Z = NormalDist().inv_cdf(0.75)
 
 ORACLES = {
+    "full_diagnosis": f"""{ctes('v_signal', 'v_reading')}, {_YAW}, {wake._EFF}, fl as (select count(*) as n, count_if(peak_cp > 16::double / 27) as over_n from eff),
+h as (select floor(epoch(date_trunc('second', ts)) / 3600)::bigint as hour, avg(value) filter (event_type = 'view') as a, avg(value) filter (event_type = 'click') as b from v_reading group by 1), m as (select avg((abs(a - b) > 5)::int::double) as s from h where a is not null and b is not null)
+select 'fleet_wide_wind_bias' as type, null as turbine, round(over_n / n, 6) as value from fl where n >= 4 and over_n >= 0.75 * n
+union all select 'anemometer_suspect', turbine::varchar, round(peak_cp, 6) from eff, fl where peak_cp > 16::double / 27 and not (n >= 4 and over_n >= 0.75 * n)
+union all select 'static_yaw_offset', turbine::varchar, abs_deg from yr where status = 'flag' union all select 'reference_wind_mismatch', null, round(s, 6) from m where s > 0.02""",
+    "farms_without_model": "select n_nationkey as farm, 'output-' || lower(replace(n_name, ' ', '-')) as model from nation where n_nationkey not in (select c_nationkey from customer where c_mktsegment = 'AUTOMOBILE' and c_acctbal > 5000)",
     "high_passed": f"{ctes('v_reading')} select event_id, round(case when count(value) over w = 6 then value - avg(value) over w end, 6) as high_pass from v_reading window w as (partition by turbine order by ts, event_id rows between 3 preceding and 2 following)",
     "local_peaks": wake.ORACLES["wake_loss_by_direction"].replace("select * from dr", ", pk as (select bin, loss_pct, max(loss_pct) over (order by bin rows between 1 preceding and 1 following) as top, median(loss_pct) over () as m from dr where loss_pct is not null) select bin, loss_pct from pk where loss_pct >= top and loss_pct > m"),
     "yaw_offsets": f"{ctes('v_reading')} select turbine, round(median((direction - 180) / 4), 1) as median_deg from v_reading where abs((direction - 180) / 4) < 45 group by 1 order by abs(median_deg) desc, turbine limit 5",

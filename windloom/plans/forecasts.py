@@ -83,7 +83,8 @@ def ks_drift(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def ridge_residual(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = table(spark, sf_dir, "lineitem").select(F.col("l_suppkey").alias("sensor"), "l_orderkey", "l_linenumber", "l_partkey", "l_quantity", "l_discount", "l_tax", "l_extendedprice").withColumn("train", F.col("l_orderkey") % 5 > 0)
-    return models.ridge_residuals(rows, "sensor", "l_orderkey", ["l_quantity", "l_discount", "l_tax"], "l_extendedprice", "train")
+    out = models.ridge_residuals(rows, "sensor", "l_orderkey", ["l_quantity", "l_discount", "l_tax"], "l_extendedprice", "train")
+    return rounded(out.select("sensor", "l_orderkey", "l_linenumber", "l_partkey", "fitted", "residual"), fitted=3, residual=3)
 
 
 def pca_score(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -92,7 +93,9 @@ def pca_score(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def holt_winters(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return models.holt_winters(hourly(spark, sf_dir).withColumn("farm", F.lit("all")), "farm", "h", "output")
+    """A day ahead for each event type's hourly means, hours without any left out."""
+    rows = reading(spark, sf_dir).groupBy(F.col("event_type").alias("farm"), F.floor(F.unix_timestamp(F.col("ts").cast("timestamp")) / 3600).alias("h")).agg(F.avg("value").alias("output"))
+    return rounded(models.holt_winters(rows, "farm", "h", "output"), prediction=5)
 
 
 def gbt_forecast(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -108,7 +111,8 @@ def cosine_yaw(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def electrical_losses(spark: SparkSession, sf_dir: str) -> DataFrame:
     daily = reading(spark, sf_dir).groupBy(F.to_date("ts").alias("day")).agg(F.sum("value").alias("turbine_mwh"), (F.sum("value") * 0.985).alias("meter_mwh"))
-    return models.draws_summary(models.electrical_losses(daily), [], "loss")
+    out = models.draws_summary(models.electrical_losses(daily), [], "loss")
+    return rounded(out, **{c: 8 for c in out.columns if c != "n"})
 
 
 def correlation_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -116,9 +120,17 @@ def correlation_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = reading(spark, sf_dir).groupBy(F.floor(F.unix_timestamp(F.col("ts").cast("timestamp")) / 3600).alias("h"), F.col("event_type").alias("sensor")).agg(F.avg("value").alias("v"))
     stats = rows.groupBy("sensor").agg(F.avg("v").alias("m"), F.stddev_samp("v").alias("s"))
     z = rows.join(stats, "sensor").select("h", "sensor", ((F.col("v") - F.col("m")) / F.col("s")).alias("z"))
-    n = rows.agg(F.countDistinct("h").alias("n"))
-    pairs = z.join(z.select("h", F.col("sensor").alias("peer"), F.col("z").alias("y")), "h").where("sensor < peer")
-    return rounded(pairs.groupBy("sensor", "peer").agg(F.sum(F.col("z") * F.col("y")).alias("p")).join(n).select("sensor", "peer", (F.col("p") / (F.col("n") - 1)).alias("r")), r=8)
+    return rounded(correlations_by_hour(z), r=8)
+
+
+def correlations_by_hour(z: DataFrame) -> DataFrame:
+    """``(sensor, peer, r)`` of standardised values ``z(h, sensor, z)``: the sensors of an hour are gathered once (a bounded
+    array), and the products of its pairs are summed."""
+    hours = z.groupBy("h").agg(F.array_sort(F.collect_list(F.struct("sensor", "z"))).alias("s"))
+    n = hours.agg(F.count(F.lit(1)).alias("n"))  # one row
+    pairs = hours.select(F.explode("s").alias("a"), "s").select("a", F.explode("s").alias("b")).where("a.sensor < b.sensor")
+    sums = pairs.groupBy(F.col("a.sensor").alias("sensor"), F.col("b.sensor").alias("peer")).agg(F.sum(F.col("a.z") * F.col("b.z")).alias("p"))
+    return sums.join(F.broadcast(n)).select("sensor", "peer", (F.col("p") / (F.col("n") - 1)).alias("r"))
 
 
 def customer_nations(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -159,6 +171,27 @@ select hour, farm, round(available, 6) as available, round(available * 0.6::doub
 b as (select len(list_filter(e, lambda x: x < value)) as bin, count_if(ref) as r, count_if(not ref) as c from rf, e group by 1),
 p as (select greatest(coalesce(c, 0) / (select sum(c) from b), 0.0001) as p, greatest(coalesce(r, 0) / (select sum(r) from b), 0.0001) as q from generate_series(0, 9) g(k) left join b on bin = k) select round(sum((p - q) * ln(p / q)), 8) as psi from p""",
     "ks_drift": f"{_REF}, v as (select value, count_if(ref) as r, count_if(not ref) as c from rf where value is not null group by 1), g as (select abs(sum(r) over (order by value) / (select sum(r) from v) - sum(c) over (order by value) / (select sum(c) from v)) as g from v) select round(max(g), 8) as ks from g",
+    "holt_winters": f"""{ctes('v_reading')}, m as (select event_type as farm, floor(epoch(date_trunc('second', ts)) / 3600)::bigint as h, avg(value) as y from v_reading group by 1, 2),
+n as (select farm, y, row_number() over (partition by farm order by h) - 1 as i, count(*) over (partition by farm) as c from m),
+b as (select farm, avg(y) filter (i < 24) as a, avg(y) filter (i between 24 and 47) as a2, list(y order by i) filter (i < 24) as f from n where c >= 48 group by 1),
+st as (select farm, 0::bigint as i, a as level, (a2 - a) / 24 as trend, list_transform(f, lambda x: x - a) as s from b
+  union all select farm, i + 1, nl, 0.02::double * (nl - level) + 0.98::double * trend, list_transform(s, lambda x, j: case when j = i % 24 + 1 then 0.2::double * (y - nl) + 0.8::double * x else x end)
+  from (select st.*, y, 0.3::double * (y - s[st.i % 24 + 1]) + 0.7::double * (level + trend) as nl from st join n on n.farm = st.farm and n.i = st.i)),
+e as (select st.* from st join (select farm, max(c) as c from n group by 1) using (farm) where i = c)
+select farm, k::int as lead, round(level + trend * k + s[(i + k - 1) % 24 + 1], 5) as prediction from e, generate_series(1, 24) g(k)""",
+    "cosine_yaw": f"""{ctes('v_reading')}, s as (select turbine, count(*) as n, var_pop(cos(radians(direction))) as xx, var_pop(sin(radians(direction))) as yy, covar_pop(cos(radians(direction)), sin(radians(direction))) as xy, covar_pop(cos(radians(direction)), value) as xv, covar_pop(sin(radians(direction)), value) as yv
+  from v_reading where direction is not null and value is not null group by 1)
+select turbine, n, round(degrees(atan2((yv * xx - xv * xy) / nullif(xx * yy - xy * xy, 0), (xv * yy - yv * xy) / nullif(xx * yy - xy * xy, 0))), 4) as offset_deg from s""",
+    "electrical_losses": f"""{ctes('v_reading')}, t as (select sum(value) as t, sum(value) * 0.985::double as m from v_reading), u as (select ('0x' || substr(md5(i || ':meter'), 1, 8))::bigint / 4294967296::double as a, ('0x' || substr(md5(i || ':scada'), 1, 8))::bigint / 4294967296::double as b from generate_series(0, 4999) g(i)),
+l as (select 1 - m * (1 + 0.005::double * (2 * a - 1)) / (t * (1 + 0.005::double * (2 * b - 1))) as loss from u, t)
+select round(avg(loss), 8) as mean, round(stddev_samp(loss), 8) as std, {', '.join(f"round(quantile_cont(loss, {q}), 8) as p{int(q * 100)}" for q in (0.05, 0.1, 0.5, 0.9, 0.95))}, count(*) as n from l""",
+    "ridge_residual": """with r as (select l_suppkey as sensor, l_orderkey, l_linenumber, l_partkey, l_quantity::double as a, l_discount::double as b, l_tax::double as c, l_extendedprice::double as y, l_orderkey % 5 > 0 as train from lineitem),
+s as (select sensor, count(*) as n, avg(a) as ma, avg(b) as mb, avg(c) as mc, avg(y) as my, greatest(stddev_pop(a), 1e-6) as sa, greatest(stddev_pop(b), 1e-6) as sb, greatest(stddev_pop(c), 1e-6) as sc,
+  count(*) * covar_pop(a, b) as ab, count(*) * covar_pop(a, c) as ac, count(*) * covar_pop(b, c) as bc, count(*) * covar_pop(a, y) as ay, count(*) * covar_pop(b, y) as by_, count(*) * covar_pop(c, y) as cy from r where train group by 1),
+m as (select *, n + 1 as d, ab / (sa * sb) as p, ac / (sa * sc) as q, bc / (sb * sc) as t, ay / sa as u, by_ / sb as v, cy / sc as w from s),
+k as (select *, d * (d * d - t * t) - p * (p * d - t * q) + q * (p * t - d * q) as det from m),
+w as (select sensor, ma, mb, mc, my, (u * (d * d - t * t) - p * (v * d - t * w) + q * (v * t - d * w)) / det / sa as wa, (d * (v * d - t * w) - u * (p * d - t * q) + q * (p * w - v * q)) / det / sb as wb, (d * (d * w - v * t) - p * (p * w - v * q) + u * (p * t - d * q)) / det / sc as wc, n from k)
+select sensor, l_orderkey, l_linenumber, l_partkey, round(case when n >= 100 then my + wa * (a - ma) + wb * (b - mb) + wc * (c - mc) end, 3) as fitted, round(case when n >= 100 then y - (my + wa * (a - ma) + wb * (b - mb) + wc * (c - mc)) end, 3) as residual from r left join w using (sensor)""",
     "correlation_pairs": f"""{ctes('v_reading')}, r as (select floor(epoch(date_trunc('second', ts)) / 3600)::bigint as h, event_type as sensor, avg(value) as v from v_reading group by 1, 2),
 z as (select h, sensor, (v - avg(v) over (partition by sensor)) / stddev_samp(v) over (partition by sensor) as z from r)
 select a.sensor, b.sensor as peer, round(sum(a.z * b.z) / ((select count(distinct h) from r) - 1), 8) as r from z a join z b on a.h = b.h and a.sensor < b.sensor group by 1, 2""",

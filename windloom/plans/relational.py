@@ -165,7 +165,7 @@ def weibull_fit(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def kernel_curve(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return power_curve.kernel_curve(signal(spark, sf_dir), ["turbine"])
+    return rounded(power_curve.kernel_curve(signal(spark, sf_dir), ["turbine"]), power=5)
 
 
 def curve_displacement(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -217,6 +217,7 @@ select h, round(output, 6) as output, round(case when output is not null then ou
     "counter_increments": f"{ctes('v_hourly')}, d as (select h, output, output - lag(output) over (order by h) as x from v_hourly) select h, round(output, 6) as output, round(case when x between 0 and 20 then x end, 6) as increment from d",
     "unpivot_channels": "select l_orderkey, l_linenumber, l_partkey, 'l_quantity' as channel, l_quantity as value from lineitem union all select l_orderkey, l_linenumber, l_partkey, 'l_discount', l_discount from lineitem union all select l_orderkey, l_linenumber, l_partkey, 'l_tax', l_tax from lineitem",
     "pivot_sources": "select l_suppkey, " + ", ".join(f"round(avg(l_quantity) filter (l_returnflag = '{c}'), 6) as {c}" for c in "ANR") + " from lineitem group by 1",
+    "kernel_curve": f"{ctes('v_signal')}, c as (select 0.25::double + 0.5::double * k as centre from generate_series(0, 49) g(k)) select turbine, centre, round(sum(exp(-0.5::double * ((wind - centre) / 0.5::double) ** 2) * power) / sum(exp(-0.5::double * ((wind - centre) / 0.5::double) ** 2)), 5) as power, count(*) as n from v_signal join c on abs(wind - centre) <= 2 + 1e-9 where wind is not null and power is not null group by 1, 2",
     "feature_frame": f"""{ctes('v_reading')}, w as (select date_trunc('hour', ts) as hour, avg(wind) as wind from v_reading where event_type = 'view' group by 1), o as (select date_trunc('hour', ts) as hour, avg(power) as output from v_reading where event_type = 'click' group by 1)
 select epoch(w.hour)::bigint as hour, round(wind, 6) as wind, case when hour(w.hour) between 7 and 21 then 80.0::double else 55.0::double end as price, round(output, 5) as output, round(wind ** 3, 4) as wind_cubed, hour(w.hour)::int as hour_of_day,
 round(0.5::double * 1.225::double * (3.141592653589793::double * {ROTOR_M / 2}::double ** 2) * wind ** 3 / 1000, 4) as available_kw from w join o on w.hour = o.hour where wind is not null and output is not null and not (wind < 2 and output > {RATED_KW / 2})""",
