@@ -32,7 +32,7 @@ def cross_validated(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def farm_export(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All farms (nations) in one job."""
-    eff = rounded(efficiency_summary(signal(spark, sf_dir), RATED_KW, ROTOR_M), capacity_factor=6)
+    eff = efficiency_summary(signal(spark, sf_dir), RATED_KW, ROTOR_M)
     farms = table(spark, sf_dir, "supplier").select(F.col("s_suppkey").alias("turbine"), F.col("s_nationkey").alias("farm"))
     return rounded(studies.farm_export(eff.join(farms, "turbine")), mean_capacity_factor=5)
 
@@ -94,7 +94,7 @@ select sensor, round(1 - avg(e * e) / greatest(var_pop(y), 1e-12), 6) as r2, rou
 a as (select 'fold ' || k as part, count(*) as n, round(1 - sum((l_extendedprice - s * l_quantity - i) ** 2) / (var_pop(l_extendedprice) * count(*)), 6) as r2 from l join lineitem on l_orderkey % 5 = k group by 1),
 c as (select quantile_cont(l_orderkey, 0.8) as c from lineitem), m as (select regr_slope(l_extendedprice, l_quantity) as s, regr_intercept(l_extendedprice, l_quantity) as i from lineitem, c where l_orderkey <= c)
 select * from a union all select 'last', count(*), round(1 - sum((l_extendedprice - s * l_quantity - i) ** 2) / (var_pop(l_extendedprice) * count(*)), 6) from lineitem, c, m where l_orderkey > c""",
-    "farm_export": f"{_EFF} select s_nationkey as farm, count(*) as turbines, round(avg(cf), 5) as mean_capacity_factor, max({{'c': cf, 't': turbine}}).t as best, min({{'c': cf, 't': turbine}}).t as worst from eff join supplier on s_suppkey = turbine group by 1",
+    "farm_export": f"{ctes('v_signal')}, eff as (select turbine, avg(power) / {RATED_KW}::double as cf from v_signal group by 1) select s_nationkey as farm, count(*) as turbines, round(avg(cf), 5) as mean_capacity_factor, max({{'c': cf, 't': turbine}}).t as best, min({{'c': cf, 't': turbine}}).t as worst from eff join supplier on s_suppkey = turbine group by 1",
     "compact_summary": f"{_EFF} select turbine, cf as capacity_factor, cp as peak_cp, min(cf) over () as least, max(cf) over () as largest from eff",
     "wake_notes": wake.ORACLES["wake_loss_by_turbine"].replace(" select turbine, round(100", ", wn as (select turbine, round(100") + ") select turbine, case when records < 40 then 'too few records for a wake loss' when loss_pct < 0 then printf('makes %.1f %% more than the turbines in free wind: a site gradient, no wake', -loss_pct) when loss_pct < 5 then printf('small wake loss of %.1f %%', loss_pct) else printf('wake loss of %.1f %%', loss_pct) end as note from wn",
     "single_numbers": "select p_partkey, case when p_partkey % 2 = 0 and p_partkey % 3 > 0 then p_size * 1000.0::double when p_partkey % 2 > 0 and p_partkey % 3 = 0 then 7.5::double end as number from part",
