@@ -527,9 +527,27 @@ def test_holt_winters_on_a_season(spark):
         assert got["a", k] == pytest.approx(10 + 5 * math.sin(2 * math.pi * (479 + k) / 24) + 0.01 * (479 + k), abs=0.3)
 
 
+def test_vector_autoregression_against_numpy(spark):
+    rng = np.random.default_rng(5)
+    x = np.zeros((300, 2))
+    for k in range(2, 300):
+        x[k] = 1 + np.array([[0.5, 0.2], [-0.1, 0.6]]) @ x[k - 1] + np.array([[0.1, 0], [0, 0.05]]) @ x[k - 2] + rng.normal(0, 0.1, 2)
+    frame = spark.createDataFrame([(k, float(a), float(b)) for k, (a, b) in enumerate(x)], "h long, a double, b double")
+    got = np.array([(r["a"], r["b"]) for r in models.vector_autoregression(frame, "h", ["a", "b"], 2, 5).orderBy("lead").collect()])
+    design = np.c_[np.ones(298), x[1:-1], x[:-2]]
+    w = np.linalg.lstsq(design, x[2:], rcond=None)[0]
+    last = [x[-1], x[-2]]
+    for row in got:
+        new = np.r_[1.0, last[0], last[1]] @ w
+        assert row == pytest.approx(new, abs=1e-6)
+        last = [new, last[0]]
+    assert models.vector_autoregression(frame.where("h < 2"), "h", ["a", "b"], 2).count() == 0
+
+
 def test_boosted_trees_learn_a_step(spark):
-    frame = spark.createDataFrame([(float(k % 10), 5.0 if k % 10 > 4 else 1.0) for k in range(200)], "a double, y double")
-    model = models.boosted(frame, ["a"], "y", trees=5, rate=0.5)
+    frame = spark.createDataFrame([(float(k % 10), 5.0 if k % 10 > 4 else 1.0, float(k % 7)) for k in range(200)], "a double, y double, z double")
+    model = models.boosted(frame, ["a", "z"], "y", trees=5, rate=0.5)
+    assert [r["feature"] for r in models.importances(model, ["a", "z"], spark).orderBy("position").collect()] == ["a", "z"]
     got = {r["a"]: r["prediction"] for r in models.predict(model, frame).collect()}
     assert got[0.0] == pytest.approx(1, abs=0.2) and got[9.0] == pytest.approx(5, abs=0.2)
 

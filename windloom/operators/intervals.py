@@ -42,6 +42,13 @@ def significant(events: DataFrame, statuses: list[str], least_s: int = 3600, k:
     return events.withColumn("duration_s", d).where(F.col("message").isin(statuses) & (d >= least_s)).orderBy(F.desc("duration_s"), "event_id").limit(k)
 
 
-def in_windows(rows: DataFrame, windows: DataFrame, key: str, at: str) -> DataFrame:
-    """Rows whose ``at`` lies within a window of the same key (both ends included)."""
-    return rows.join(windows, key).where(F.col(at).between(F.col("window_start"), F.col("window_end")))
+def in_windows(rows: DataFrame, windows: DataFrame, key: str, at: str, width: int = 86_400) -> DataFrame:
+    """Rows whose ``at`` lies within a window of the same key (both ends included).
+
+    Windows are laid out over slots of ``width``, and rows meet only the windows of their own slot: a key with many rows and many
+    windows isn't joined each with each.
+    """
+    slot = lambda c: F.floor(F.col(c) / width)
+    laid = windows.withColumn("__slot", F.explode(F.sequence(slot("window_start"), F.greatest(slot("window_start"), slot("window_end")))))
+    joined = rows.withColumn("__slot", slot(at)).join(laid, [key, "__slot"]).drop("__slot")
+    return joined.where(F.col(at).between(F.col("window_start"), F.col("window_end")))

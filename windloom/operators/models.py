@@ -161,3 +161,36 @@ def electrical_losses(daily: DataFrame, draws: int = 5000, meter_error: float =
     m = 1 + meter_error * (2 * uniform(F.col("draw"), "meter") - 1)
     t = 1 + scada_error * (2 * uniform(F.col("draw"), "scada") - 1)
     return d.join(F.broadcast(total)).select("draw", (1 - F.try_divide(F.col("m") * m, F.col("t") * t)).alias("loss"))
+
+
+def vector_autoregression(series: DataFrame, order: str, columns: list[str], p: int = 1, horizon: int = 24) -> DataFrame:
+    """``(lead, columns..)``: the next ``horizon`` values of several series by least squares of each on the last ``p`` values of
+    all of them.  The normal equations are sums over rows, gathered in one pass; only they (a matrix of 1 + p times the number of
+    series) and the last ``p`` rows reach the driver."""
+    from windloom.operators.forecasting import lag_features
+
+    rows = series.select(order, *columns)
+    for c in columns:
+        rows = lag_features(rows, order, c, tuple(range(1, p + 1))).withColumnsRenamed({f"lag_{k}": f"__{c}_{k}" for k in range(1, p + 1)})
+    given = [f"__{c}_{k}" for k in range(1, p + 1) for c in columns]
+    own = rows.na.drop(subset=[*given, *columns]).withColumn("__one", F.lit(1.0))
+    left = ["__one", *given]
+    sums = own.agg(*[F.sum(F.col(a).cast("double") * F.col(b)).alias(f"s{i}_{j}") for i, a in enumerate(left) for j, b in enumerate([*left, *columns])]).first()
+    table = np.array([[sums[f"s{i}_{j}"] or 0.0 for j in range(len(left) + len(columns))] for i in range(len(left))])
+    last = [[float(r[c]) for c in columns] for r in rows.na.drop(subset=columns).orderBy(F.desc(order)).limit(p).collect()]
+    schema = "lead int, " + ", ".join(f"`{c}` double" for c in columns)
+    if len(last) < p or table[0, 0] <= len(left):
+        return series.sparkSession.createDataFrame([], schema)
+    weights, made = np.linalg.lstsq(table[:, : len(left)], table[:, len(left) :], rcond=None)[0], []
+    for lead in range(1, horizon + 1):
+        new = (np.r_[1.0, np.ravel(last)] @ weights).tolist()
+        made.append((lead, *new))
+        last = [new, *last][:p]
+    return series.sparkSession.createDataFrame(made, schema)
+
+
+def importances(model, features: list[str], spark) -> DataFrame:
+    """``(feature, importance, position)`` of a pipeline whose last stage is a tree ensemble."""
+    values = model.stages[-1].featureImportances.toArray().tolist()
+    ranked = sorted(zip(features, values, strict=True), key=lambda x: (-x[1], x[0]))
+    return spark.createDataFrame([(f, v, k) for k, (f, v) in enumerate(ranked, 1)], "feature string, importance double, position int")

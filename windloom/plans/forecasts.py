@@ -105,6 +105,13 @@ def gbt_forecast(spark: SparkSession, sf_dir: str) -> DataFrame:
     return models.predict(model, rows.where("not train")).select("h", "output", "prediction")
 
 
+def var_forecast(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A day ahead of two event types' hourly means by an autoregression on both."""
+    h = F.floor(F.unix_timestamp(F.col("ts").cast("timestamp")) / 3600)
+    rows = reading(spark, sf_dir).groupBy(h.alias("h")).agg(F.avg(F.when(F.col("event_type") == "view", F.col("value"))).alias("a"), F.avg(F.when(F.col("event_type") == "click", F.col("value"))).alias("b"))
+    return rounded(models.vector_autoregression(rows.na.drop(), "h", ["a", "b"]), a=5, b=5)
+
+
 def cosine_yaw(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rounded(models.cosine_yaw(reading(spark, sf_dir), "turbine", "direction", "value"), offset_deg=4)
 
@@ -142,7 +149,7 @@ def customer_nations(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 _NAMES = (
     naive_backtest, forecast_metrics, mae_by_lead, lag_features, rolling_error, out_of_band, recent_error, graded_forecasts, imbalance_cost, capacity_allocation, psi_drift, ks_drift,
-    ridge_residual, pca_score, holt_winters, gbt_forecast, cosine_yaw, electrical_losses, correlation_pairs, customer_nations,
+    ridge_residual, pca_score, holt_winters, gbt_forecast, var_forecast, cosine_yaw, electrical_losses, correlation_pairs, customer_nations,
 )
 QUERIES = {f.__name__: f for f in _NAMES}
 
@@ -179,6 +186,12 @@ st as (select farm, 0::bigint as i, a as level, (a2 - a) / 24 as trend, list_tra
   from (select st.*, y, 0.3::double * (y - s[st.i % 24 + 1]) + 0.7::double * (level + trend) as nl from st join n on n.farm = st.farm and n.i = st.i)),
 e as (select st.* from st join (select farm, max(c) as c from n group by 1) using (farm) where i = c)
 select farm, k::int as lead, round(level + trend * k + s[(i + k - 1) % 24 + 1], 5) as prediction from e, generate_series(1, 24) g(k)""",
+    "var_forecast": f"""{ctes('v_reading')}, r as (select floor(epoch(date_trunc('second', ts)) / 3600)::bigint as h, avg(value) filter (event_type = 'view') as a, avg(value) filter (event_type = 'click') as b from v_reading group by 1),
+k as (select * from r where a is not null and b is not null), l as (select *, lag(a) over (order by h) as x, lag(b) over (order by h) as y from k), o as (select * from l where x is not null),
+s as (select avg(x) as mx, avg(y) as my, avg(a) as ma, avg(b) as mb, var_pop(x) as xx, var_pop(y) as yy, covar_pop(x, y) as xy, covar_pop(x, a) as xa, covar_pop(y, a) as ya, covar_pop(x, b) as xb, covar_pop(y, b) as yb from o),
+w as (select *, (xa * yy - ya * xy) / (xx * yy - xy * xy) as p, (ya * xx - xa * xy) / (xx * yy - xy * xy) as q, (xb * yy - yb * xy) / (xx * yy - xy * xy) as u, (yb * xx - xb * xy) / (xx * yy - xy * xy) as v from s),
+f as (select 0 as lead, arg_max(a, h) as a, arg_max(b, h) as b from k union all select lead + 1, ma + p * (a - mx) + q * (b - my), mb + u * (a - mx) + v * (b - my) from f, w where lead < 24)
+select lead, round(a, 5) as a, round(b, 5) as b from f where lead > 0""",
     "cosine_yaw": f"""{ctes('v_reading')}, s as (select turbine, count(*) as n, var_pop(cos(radians(direction))) as xx, var_pop(sin(radians(direction))) as yy, covar_pop(cos(radians(direction)), sin(radians(direction))) as xy, covar_pop(cos(radians(direction)), value) as xv, covar_pop(sin(radians(direction)), value) as yv
   from v_reading where direction is not null and value is not null group by 1)
 select turbine, n, round(degrees(atan2((yv * xx - xv * xy) / nullif(xx * yy - xy * xy, 0), (xv * yy - yv * xy) / nullif(xx * yy - xy * xy, 0))), 4) as offset_deg from s""",
