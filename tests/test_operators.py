@@ -567,3 +567,13 @@ def test_sessions_and_model_versions(spark, tmp_path):
     model = Pipeline(stages=[VectorAssembler(inputCols=["x"], outputCol="features"), LinearRegression(labelCol="y")]).fit(frame)
     assert stores.export_model(model, f"{tmp_path}/models", "v1") and not stores.export_model(model, f"{tmp_path}/models", "v1")
     assert stores.load_model(f"{tmp_path}/models", "v1").transform(frame).where("abs(prediction - y) < 0.001").count() == 10
+
+
+def test_queries_are_listed_without_a_session():
+    """The entry point is imported, and its queries and SQL are listed, before any session exists."""
+    import subprocess
+    import sys
+
+    code = "import __spark_entry__ as e; q, o = e.queries(), e.oracle_sql(); assert set(o) <= set(q); print(len(q))"
+    done = subprocess.run([sys.executable, "-c", code], capture_output=True, text=True, timeout=120)
+    assert done.returncode == 0 and int(done.stdout.split()[-1]) > 150, done.stderr[-500:]

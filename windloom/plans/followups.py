@@ -16,7 +16,9 @@ from windloom.plans.views import RATED_KW, ROTOR_M, ctes, hourly, interval, layo
 from windloom.session import nan_to_null, table
 from windloom.sources import scada
 
-_HOUR_S = F.floor(F.unix_timestamp(F.col("ts").cast("timestamp")) / 3600)
+
+def _hour_s():
+    return F.floor(F.unix_timestamp(F.col("ts").cast("timestamp")) / 3600)
 
 
 def high_passed(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -95,7 +97,7 @@ def turbine_hourly_both(spark: SparkSession, sf_dir: str) -> DataFrame:
 def park_meter_hourly(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Clipped readings of the park, hourly mean, scaled from 42 turbines to 40; hours with under four readings are out."""
     rows = reading(spark, sf_dir).withColumn("p", wind.clip_low(F.col("power") - 500))
-    out = rows.groupBy(_HOUR_S.alias("hour")).agg((F.avg("p") * 40 / 42 / 1000).alias("output_mw"), F.count("p").alias("n"))
+    out = rows.groupBy(_hour_s().alias("hour")).agg((F.avg("p") * 40 / 42 / 1000).alias("output_mw"), F.count("p").alias("n"))
     return rounded(out.where("n >= 4"), output_mw=8)
 
 
@@ -212,7 +214,7 @@ def look_backs(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def air_densities(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Wind rows with the air density of their hour, where the weather has it."""
-    rows = reading(spark, sf_dir).withColumn("hour", _HOUR_S)
+    rows = reading(spark, sf_dir).withColumn("hour", _hour_s())
     weather = rows.where("event_type = 'view'").groupBy("hour").agg((F.avg("value") / 5).alias("temperature_c"), (1000 + F.avg("wind")).alias("pressure_hpa"))
     return rounded(resample.air_density_on(rows.select("event_id", "hour"), weather), density=8)
 
@@ -288,7 +290,7 @@ def full_diagnosis(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _wind_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return reading(spark, sf_dir).groupBy(_HOUR_S.alias("hour")).agg(F.avg(F.when(F.col("event_type") == "view", F.col("value"))).alias("a"), F.avg(F.when(F.col("event_type") == "click", F.col("value"))).alias("b"))
+    return reading(spark, sf_dir).groupBy(_hour_s().alias("hour")).agg(F.avg(F.when(F.col("event_type") == "view", F.col("value"))).alias("a"), F.avg(F.when(F.col("event_type") == "click", F.col("value"))).alias("b"))
 
 
 def farms_without_model(spark: SparkSession, sf_dir: str) -> DataFrame:
