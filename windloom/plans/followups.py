@@ -81,7 +81,7 @@ def signal_join(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def farm_wind(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = followups.farm_wind(resample.turbine_hourly(reading(spark, sf_dir)))
-    return rounded(out.withColumn("hour", F.unix_timestamp("hour")), wind=6)
+    return rounded(out.withColumn("hour", F.unix_timestamp("hour")), wind=9)
 
 
 def daily_means(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -209,7 +209,7 @@ def episode_rates(spark: SparkSession, sf_dir: str) -> DataFrame:
 def look_backs(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = forecasting.look_back(hourly(spark, sf_dir), "h", "output", 72)
     mean = F.aggregate("history", F.lit(0.0), lambda s, v: s + v) / 72
-    return rounded(out.where("history is not null").select("h", mean.alias("mean"), F.col("history")[0].alias("oldest"), F.col("history")[71].alias("newest")), mean=5, oldest=5, newest=5)
+    return rounded(out.where("history is not null").select("h", mean.alias("mean"), F.col("history")[0].alias("oldest"), F.col("history")[71].alias("newest")), mean=8, oldest=8, newest=8)
 
 
 def air_densities(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -338,7 +338,7 @@ union all select 'static_yaw_offset', turbine::varchar, abs_deg from yr where st
     "turbine_details": f"""{ctes('v_signal', 'v_interval', 'v_reading')}, {_STATUS}, {_YAW}, ef as (select turbine, avg(power) / {RATED_KW}::double as cf from v_signal group by 1), iv as (select turbine, count_if(m) as interventions from si group by 1)
 select ef.turbine, round(cf, 6) as capacity_factor, round(avg(cf) over (), 6) as fleet_mean, count(*) over () as fleet_size, rank() over (order by round(cf, 6) desc) as position, interventions, status from ef left join iv on iv.turbine = ef.turbine left join yr on yr.turbine = ef.turbine""",
     "signal_join": f"{ctes('v_signal')}, p as (select turbine as station, ts, avg(power) as power from v_signal where l_partkey % 2 = 0 group by 1, 2), w as (select turbine as station, ts, avg(wind) as wind from v_signal where l_partkey % 2 = 1 group by 1, 2) select station, epoch(ts)::bigint as ts, round(power, 5) as power, round(wind, 6) as wind from p join w using (station, ts)",
-    "farm_wind": f"{ctes('v_reading')}, h as (select turbine, date_trunc('hour', ts) as hour, avg(wind) as wind from v_reading group by 1, 2) select epoch(hour)::bigint as hour, round(avg(wind), 6) as wind, count(wind) as turbines from h group by 1 having count(wind) >= 3",
+    "farm_wind": f"{ctes('v_reading')}, h as (select turbine, date_trunc('hour', ts) as hour, avg(wind) as wind from v_reading group by 1, 2) select epoch(hour)::bigint as hour, round(avg(wind), 9) as wind, count(wind) as turbines from h group by 1 having count(wind) >= 3",
     "daily_means": f"{ctes('v_reading')} select turbine, epoch(date_trunc('day', ts))::bigint as day, round(avg(power), 5) as power, round(avg(wind), 6) as wind from v_reading group by 1, 2",
     "turbine_hourly_both": f"{ctes('v_reading')} select turbine, epoch(date_trunc('hour', ts))::bigint as hour, round(avg(wind), 6) as wind, round(avg(power), 5) as power, count(*) as n from v_reading where event_id % 3 > 0 and wind is not null and power is not null group by 1, 2",
     "park_meter_hourly": f"{ctes('v_reading')} select floor(epoch(date_trunc('second', ts)) / 3600)::bigint as hour, round(avg(greatest(power - 500, 0)) * 40 / 42 / 1000, 8) as output_mw, count(power) as n from v_reading group by 1 having count(power) >= 4",
@@ -359,7 +359,7 @@ p as (select 'regression' as component, r as pct from c union all select 'meter'
     "safety_margins": f"{ctes('v_reading')} select event_type, round({_Z!r}::double * stddev_samp(value - power / 40), 6) as margin from v_reading group by 1",
     "episode_rates": f"""{ctes('v_reading')}, a as (select *, value > 20 as m, row_number() over w as i from v_reading window w as (partition by turbine order by ts, event_id)), b as (select *, sum((not m)::int) over (partition by turbine order by i) as g from a),
 c as (select *, m and count(*) over (partition by turbine, g, m) >= 2 as ep from b), d as (select *, ep and not coalesce(lag(ep) over (partition by turbine order by i), false) as st from c) select turbine, round((count_if(st) + 0.5::double) / count(*), 8) as base_rate from d where day(ts) <= 15 group by 1""",
-    "look_backs": f"{ctes('v_hourly')}, l as (select h, list(output) over (order by h rows between 71 preceding and current row) as x from v_hourly) select h, round(list_avg(x), 5) as mean, round(x[1], 5) as oldest, round(x[72], 5) as newest from l where len(x) = 72",
+    "look_backs": f"{ctes('v_hourly')}, l as (select h, list(output) over (order by h rows between 71 preceding and current row) as x from v_hourly) select h, round(list_avg(x), 8) as mean, round(x[1], 8) as oldest, round(x[72], 8) as newest from l where len(x) = 72",
     "air_densities": f"{ctes('v_reading')}, r as (select *, floor(epoch(date_trunc('second', ts)) / 3600)::bigint as hour from v_reading), w as (select hour, avg(value) / 5 as t, 1000 + avg(wind) as p from r where event_type = 'view' group by 1) select event_id, hour, round(p * 100 / (287.05::double * (t + 273.15::double)), 8) as density from r left join w using (hour)",
     "local_offsets": "with r as (select s_suppkey, 50 + s_acctbal / 1e5::double as lat, s_nationkey / 100 as lon from supplier), c as (select avg(lat) as lat0, avg(lon) as lon0 from r) select s_suppkey, round((lon - lon0) * 111320 * cos(radians(lat0)), 4) as x, round((lat - lat0) * 110574, 4) as y from r, c",
     "model_output_json": "select p_partkey, p_size::int as size, p_type as name from part",
