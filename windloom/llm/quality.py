@@ -138,8 +138,12 @@ def fit_rows(rows: list[np.ndarray], y: np.ndarray) -> Model:
     share = counts / counts.sum(axis=1, keepdims=True)
     ratio = np.log(share[1] / share[0])
     ratio[counts.sum(axis=0) <= 2 * SMOOTH] = 0  # never seen
-    values = [ratio[rows[i]] for i in train]
-    values = [v / max(float(np.sqrt(v @ v)), 1e-12) for v in values]
+    ends = np.cumsum([0, *(len(rows[i]) for i in train)])
+    held = np.empty(int(ends[-1]))
+    values = [held[a:b] for a, b in zip(ends, ends[1:], strict=False)]
+    for v, i in zip(values, train, strict=True):
+        v[:] = ratio[rows[i]]
+        v /= max(float(np.sqrt(v @ v)), 1e-12)
     n = np.bincount(y[train], minlength=2)
     cost = COST * len(train) / (2 * n[y[train]])
     w, bias = descend([rows[i] for i in train], values, np.where(y[train] == 1, 1.0, -1.0), cost, BUCKETS)
@@ -165,10 +169,16 @@ def fit(docs: DataFrame, labels: DataFrame, target: str = "quality", modulus: in
     found = store(found, "features").withColumn("h", F.crc32(F.col("doc_id").cast("string").cast("binary")))
     upto = F.sum(F.octet_length("found") / 4).over(Window.orderBy("h", "doc_id").rowsBetween(Window.unboundedPreceding, 0))
     taken = found.select("doc_id", "h", upto.alias("upto")).where(F.col("upto") <= MAX_FEATURES).select("doc_id")
-    got = found.join(F.broadcast(taken), "doc_id", "left_semi").select("h", "doc_id", "y", "found").toArrow()
-    ids, y, h, found = (got.column(c).to_pylist() for c in ("doc_id", "y", "h", "found"))
-    order = sorted(range(len(ids)), key=lambda i: (h[i], ids[i]))  # whatever order tasks end in
-    return fit_rows([np.frombuffer(found[i], "<i4").astype(np.int64) for i in order], np.array([y[i] for i in order], np.int64))
+    got = found.join(F.broadcast(taken), "doc_id", "left_semi").orderBy("h", "doc_id").select("y", "found").toArrow()  # whatever order tasks end in
+    y = got.column("y").to_numpy().astype(np.int64)
+    if not len(y):
+        return fit_rows([], y)
+    column = got.column("found").combine_chunks().cast(pa.large_binary())
+    del got
+    # The features of all rows lie in one buffer; each row is a view of it.
+    offsets = np.frombuffer(column.buffers()[1], np.int64)[column.offset : column.offset + len(column) + 1] // 4
+    flat = np.frombuffer(column.buffers()[2] or b"", "<i4", offset=0)
+    return fit_rows([flat[a:b] for a, b in zip(offsets, offsets[1:], strict=False)], y)
 
 
 def scored(docs: DataFrame, model: Model, modulus: int, held_out: int, threshold: float) -> DataFrame:
