@@ -249,6 +249,15 @@ def test_logistic_ends_on_separable_classes():
     assert quality.logistic(x[:4000, :1], mixed) == pytest.approx([2, 0], abs=0.25)
 
 
+def test_more_evidence_never_lowers_the_score():
+    rng = np.random.default_rng(3)
+    a = rng.exponential(1, 2000)
+    x = np.column_stack([a, a + rng.normal(0, 0.05, 2000)])
+    y = (rng.random(2000) < 1 / (1 + np.exp(3 - 2 * x[:, 0] + 0.5 * (x[:, 1] - x[:, 0]) * 40))).astype(float)
+    plain, curve = quality.logistic(x, y), toxicity.rising_curve(x, y)
+    assert plain[:2].min() < 0 <= curve[:2].min() and curve[:2].max() > 0
+
+
 @pytest.mark.parametrize(("module", "target", "modulus", "held"), [(quality, "quality", 5, 0), (toxicity, "toxic", 4, 2)])
 def test_classifiers_on_held_out_rows(spark, empty, docs, module, target, modulus, held):
     sf = "/root/testdata/sf0.01"

@@ -36,7 +36,7 @@ from windloom.llm.quality import kept, logistic, remainder, sampled_labels
 #: Hash buckets; weight of the prior in documents; significance (standard errors); the least log-odds and toxic documents
 #: of a telling bucket; what other tokens weigh against; E-value of a significant segment; labelled rows at most, and the
 #: share of them kept for the curve; quantile of best segments for K; remembered words.
-BUCKETS, PRIOR, SIGNIFICANT, LEAST, MIN_DOCUMENTS, DRIFT, E_VALUE, MAX_TRAINING, APART, QUANTILE, MAX_WORDS = 1 << 20, 50.0, 2.5, 1.5, 6, 0.1, 0.05, 40_000, 4, 0.75, 300_000
+BUCKETS, PRIOR, SIGNIFICANT, LEAST, MIN_DOCUMENTS, DRIFT, E_VALUE, MAX_TRAINING, APART, QUANTILE, MAX_WORDS = 1 << 20, 50.0, 2.5, 1.5, 3, 0.1, 0.05, 40_000, 4, 0.75, 300_000
 
 PUNCTUATION = "!\"#$%&'()*+,-./:;<=>?@[\\]^_`{|}~"
 PREFIXES = range(4, 9)
@@ -172,8 +172,8 @@ def decay_rate(scores: np.ndarray, counts: np.ndarray) -> float:
     return (low + high) / 2
 
 
-def count_buckets(rows: DataFrame, among: np.ndarray | None) -> dict[int, int]:
-    """Documents of ``rows(doc_id, text, ..)`` by bucket, and in all under the key ``BUCKETS``; with ``among`` (a flag for each
+def count_buckets(rows: DataFrame, among: np.ndarray | None) -> np.ndarray:
+    """Documents of ``rows(doc_id, text, ..)`` by bucket, and in all at the place ``BUCKETS``; with ``among`` (a flag for each
     bucket) only those buckets, else those with at least ``MIN_DOCUMENTS``."""
     shared = None if among is None else rows.sparkSession.sparkContext.broadcast(among)
 
@@ -194,7 +194,9 @@ def count_buckets(rows: DataFrame, among: np.ndarray | None) -> dict[int, int]:
     if among is None:
         sums = sums.where((F.col("n") >= MIN_DOCUMENTS) | (F.col("bucket") == BUCKETS))
     got = sums.toArrow()
-    return dict(zip(got.column("bucket").to_pylist(), got.column("n").to_pylist(), strict=True))
+    counts = np.zeros(BUCKETS + 1)
+    counts[got.column("bucket").to_numpy()] = got.column("n").to_numpy()
+    return counts
 
 
 def count_documents(rows: DataFrame) -> tuple[np.ndarray, np.ndarray, int, int]:
@@ -203,9 +205,7 @@ def count_documents(rows: DataFrame) -> tuple[np.ndarray, np.ndarray, int, int]:
     both = []
     among = None
     for y in (1, 0):
-        found = count_buckets(rows.where(F.col("y") == y).select("doc_id", "text"), among)
-        counts = np.zeros(BUCKETS + 1)
-        counts[list(found)] = list(found.values())
+        counts = count_buckets(rows.where(F.col("y") == y).select("doc_id", "text"), among)
         among = counts[:-1] >= MIN_DOCUMENTS if among is None else among
         both.append(counts)
     return both[0][:-1] * among, both[1][:-1], int(both[0][-1]), int(both[1][-1])
@@ -265,10 +265,24 @@ def fit_measured(docs: DataFrame, labels: DataFrame, target: str = "toxic", modu
         p = float(np.clip(share, 1e-3, 1 - 1e-3)) if share is not None else 0.5
         model.curve = np.array([0.0, 0.0, np.log(p / (1 - p))])
     else:
-        model.curve = logistic(table[:, 2:4], y)
+        model.curve = rising_curve(table[:, 2:4], y)
     return model, seen
 
 
+def rising_curve(x: np.ndarray, y: np.ndarray) -> np.ndarray:
+    """Logistic regression in which more evidence never speaks against toxicity: while a slope is negative, the feature with the
+    smallest is left out (its slope is 0)."""
+    keep = list(range(x.shape[1]))
+    while True:
+        fitted = logistic(x[:, keep], y)
+        if len(keep) == 1 or (fitted[:-1] >= 0).all():
+            break
+        keep.pop(int(np.argmin(fitted[:-1])))
+    out = np.zeros(x.shape[1] + 1)
+    out[keep], out[-1] = np.maximum(fitted[:-1], 0), fitted[-1]
+    return out
+
+
 def judged_evidence(rows: DataFrame, model: Model) -> DataFrame:
     """``(doc_id, y, a, b)``: the evidence of each of ``rows(doc_id, text, y)``."""
     shared = rows.sparkSession.sparkContext.broadcast(model)
