@@ -8,7 +8,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from windloom.llm import packing, quality, simhash, toxicity
-from windloom.llm.common import store
+from windloom.llm.common import release, store, stored_so_far
 
 
 def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -43,8 +43,10 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All stages over ``documents``."""
+    """All stages over ``documents``.  What a stage stored on its way is deleted once its result is written."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     for name, stage in STAGES:
+        mark = stored_so_far()
         docs = store(stage(spark, docs, sf_dir), name)
+        release(spark, mark)
     return docs
