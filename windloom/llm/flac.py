@@ -243,6 +243,23 @@ class _Bits:
         return total
 
 
+    def rice(self, rows: np.ndarray, k: np.ndarray) -> np.ndarray:
+        """One Rice-coded number of each row: mostly from one look at its next bits."""
+        seen = self.peek(rows)
+        top = (seen >> np.uint64(16)).astype(np.int64)
+        zeros = 48 - np.frexp(top.astype(np.float64))[1].astype(np.int64)
+        need = zeros + 1 + k
+        z = (zeros << k) | ((seen << (zeros + 1).astype(np.uint64)) >> np.uint64(1) >> (63 - k).astype(np.uint64)).astype(np.int64)
+        long = np.flatnonzero((top == 0) | (need > 57))
+        if len(long):
+            need[long] = 0
+        self.at[rows] += need
+        if len(long):
+            r = rows[long]
+            z[long] = (self.unary(r) << k[long]) | self.read(r, k[long])
+        return (z >> 1) ^ -(z & 1)
+
+
 def _sign(value: np.ndarray, width) -> np.ndarray:
     half = np.int64(1) << np.maximum(np.asarray(width, np.int64) - 1, 0)
     return np.where(np.asarray(width) > 0, (value ^ half) - half, 0)
@@ -253,22 +270,31 @@ def _residuals(bits: _Bits, rows: np.ndarray, size: np.ndarray, order: np.ndarra
     if (method > 1).any():
         raise ValueError("reserved residual coding method")
     wide, parts = 4 + method, bits.read(rows, 4)
-    each = size[rows] >> parts
+    # Longest frames first: those that are still read at a sample are the first of them.
+    by_size = np.argsort(-size[rows], kind="stable")
+    rows, wide, parts = rows[by_size], wide[by_size], parts[by_size]
+    sizes, orders = size[rows], order[rows]
+    each = np.maximum(sizes >> parts, 1)
+    left = np.searchsorted(-sizes, -np.arange(int(sizes[0]) if len(rows) else 0), "left")  # frames longer than i
     k, raw = np.zeros(len(rows), np.int64), np.full(len(rows), -1)
-    for i in range(int(size[rows].max()) if len(rows) else 0):
-        inside = i < size[rows]
-        start = np.flatnonzero(inside & (i % np.maximum(each, 1) == 0))
-        if len(start):
-            k[start] = bits.read(rows[start], wide[start])
-            escaped = start[k[start] == (1 << wide[start]) - 1]
-            raw[start] = -1
-            raw[escaped] = bits.read(rows[escaped], 5)
-        code = np.flatnonzero(inside & (i >= order[rows]) & (raw < 0))
+    split, warm, escapes = bool((parts > 0).any()), int(orders.max(initial=0)), False
+    for i, m in enumerate(left.tolist()):
+        if i == 0 or split:
+            start = np.flatnonzero(i % each[:m] == 0)
+            if len(start):
+                k[start] = bits.read(rows[start], wide[start])
+                escaped = start[k[start] == (1 << wide[start]) - 1]
+                raw[start] = -1
+                raw[escaped] = bits.read(rows[escaped], 5)
+                escapes = bool((raw >= 0).any())
+        if i >= warm and not escapes:
+            out[rows[:m], i] = bits.rice(rows[:m], k[:m])
+            continue
+        live = i >= orders[:m]
+        code = np.flatnonzero(live & (raw[:m] < 0))
         if len(code):
-            r = rows[code]
-            z = (bits.unary(r) << k[code]) | bits.read(r, k[code])
-            out[r, i] = (z >> 1) ^ -(z & 1)
-        plain = np.flatnonzero(inside & (i >= order[rows]) & (raw >= 0))
+            out[rows[code], i] = bits.rice(rows[code], k[code])
+        plain = np.flatnonzero(live & (raw[:m] >= 0))
         if len(plain):
             out[rows[plain], i] = _sign(bits.read(rows[plain], raw[plain]), raw[plain])
 
