@@ -27,8 +27,8 @@ from windloom.llm.common import store
 
 #: Hex digits of the hash in the first table of ranges, and those added in each round.
 FIRST_DIGITS, MORE_DIGITS, MOST_DIGITS = 4, 2, 64
-#: Parts of a shard within which slots are numbered.
-SLOT_PARTS = 1024
+#: Rows that a part of a shard should have, and parts at most: slots are numbered within parts.
+PART_ROWS, MOST_PARTS = 100_000, 4096
 
 
 def sized(docs: DataFrame) -> DataFrame:
@@ -122,15 +122,17 @@ def minimax_cuts(rows: DataFrame, shards: int) -> tuple[int, list[str]]:
 def shard(docs: DataFrame, shards: int = 16) -> DataFrame:
     """``(doc_id, size, text_crc32, law, shard, slot, grown_shard)`` per row of ``docs(doc_id, text)``.
 
-    Slots number the rows of a shard from 0 without gaps: rows fall into 1,024 parts of a shard by a hash of their own,
-    are numbered within the part, and move up by the rows of the parts before; that table has at most 1,024 rows a shard.
+    Slots number the rows of a shard from 0 without gaps: rows fall into parts of a shard by a hash of their own, are numbered
+    within the part, and move up by the rows of the parts before; there are more parts the more rows there are, and that table
+    has at most ``MOST_PARTS`` rows a shard.
     """
     rows = store(sized(docs), "sized")
+    parts = min(MOST_PARTS, max(1, -(-rows.count() // (shards * PART_ROWS))))
     _, cuts = minimax_cuts(rows, shards)
     number = F.lit(0)
     for cut in cuts:
         number = number + (F.col("h") >= F.lit(cut)).cast("int")
-    part = F.pmod(F.xxhash64("doc_id", "h"), F.lit(SLOT_PARTS)).cast("int")
+    part = F.pmod(F.xxhash64("doc_id", "h"), F.lit(parts)).cast("int")
     rows = rows.select("doc_id", "size", "text_crc32", number.alias("shard"), part.alias("part"))
     before = Window.partitionBy("shard").orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
     offsets = rows.groupBy("shard", "part").count().withColumn("before", F.coalesce(F.sum("count").over(before), F.lit(0))).drop("count")
