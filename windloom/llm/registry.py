@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from importlib import import_module
 
-_MODULES = ("tokens", "simhash", "quality", "sharding", "embeddings", "bpe", "urls", "toxicity", "media", "packing", "resampling", "divergence")
+_MODULES = ("tokens", "simhash", "quality", "sharding", "embeddings", "bpe", "urls", "toxicity", "media", "packing", "resampling", "divergence", "bestfit")
 
 
 def _all(name: str) -> dict:
