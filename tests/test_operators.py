@@ -577,3 +577,28 @@ def test_queries_are_listed_without_a_session():
     code = "import __spark_entry__ as e; q, o = e.queries(), e.oracle_sql(); assert set(o) <= set(q); print(len(q))"
     done = subprocess.run([sys.executable, "-c", code], capture_output=True, text=True, timeout=120)
     assert done.returncode == 0 and int(done.stdout.split()[-1]) > 150, done.stderr[-500:]
+
+
+@pytest.mark.parametrize("horizon", [10, 24, 30, 48])
+def test_live_forecasts_at_any_horizon(spark, horizon):
+    from windloom.operators import studies
+
+    rows = [(f, k, float(k % 24 + (f == "b"))) for f in "ab" for k in range(72)]
+    got = studies.live_forecasts(spark.createDataFrame(rows, "farm string, h int, v double"), "farm", "h", "v", horizon).collect()
+    for technique in ("seasonal", "holt-winters"):
+        for f in "ab":
+            assert sorted(r.lead for r in got if (r.farm, r.technique) == (f, technique)) == list(range(1, horizon + 1))
+    assert all(r.prediction == (r.lead - 1) % 24 + (r.farm == "b") for r in got if r.technique == "seasonal")
+
+
+def test_recurrences_with_many_keys_and_null_keys_a_part(spark):
+    rng, rows = np.random.default_rng(8), []
+    for key in [*range(40), None]:
+        rows += [(key, "x" if key is None or key % 2 else None, i, bool(rng.integers(0, 2)), bool(rng.integers(0, 4))) for i in range(int(rng.integers(1, 30)))]
+    rows += [(99, "hot", i, bool(rng.integers(0, 2)), True) for i in range(900)]
+    got = sequence.criticality(spark.createDataFrame(rows, "k int, g string, i int, f boolean, n boolean"), ["k", "g"], ["i"], "f", "n", 5).collect()
+    want, state = {}, {}
+    for k, g, i, f, n in rows:
+        c = state.get((k, g), 0)
+        state[k, g] = want[k, g, i] = min(5, max(0, c + (1 if f else -1))) if n else c
+    assert {(r.k, r.g, r.i): r.criticality for r in got} == want

@@ -7,8 +7,11 @@ in order of the parts, and each part then starts from the state it is handed: no
 
 from __future__ import annotations
 
+import itertools
 import math
+from collections.abc import Iterator
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -72,9 +75,18 @@ def _by_parts(rows: DataFrame, groups: list[str], order: list[str], effect, effe
     names = [c.split()[0] for c in effect_schema.split(", ")]
     key_schema = ", ".join(f"`{c}` {kinds[c]}" for c in groups)
 
+    def stretches(pdf: pd.DataFrame) -> Iterator[tuple[tuple, pd.DataFrame]]:
+        """The rows of each key, in order, of a part that is sorted by (key, order)."""
+        new = (pdf[groups] != pdf[groups].shift()) & ~(pdf[groups].isna() & pdf[groups].shift().isna())
+        at = [*np.flatnonzero(new.any(axis=1).to_numpy() | (np.arange(len(pdf)) == 0)).tolist(), len(pdf)]
+        for first, end in itertools.pairwise(at):
+            yield tuple(None if pd.isna(x) else x for x in pdf[groups].iloc[first]), pdf.iloc[first:end]
+
     def summarise(pdf: pd.DataFrame) -> pd.DataFrame:
-        made = effect(pdf.sort_values(order, kind="stable"))
-        return pdf[[*groups, "__part"]].iloc[:1].assign(**dict(zip(names, made, strict=True)))
+        """The effects of a part's first and last keys: the others have all their rows in it."""
+        found = list(stretches(pdf.sort_values([*groups, *order], kind="stable", na_position="first")))
+        ends = found if len(found) < 3 else [found[0], found[-1]]
+        return pd.concat([own[[*groups, "__part"]].iloc[:1].assign(**dict(zip(names, effect(own), strict=True))) for _, own in ends])
 
     def compose(pdf: pd.DataFrame) -> pd.DataFrame:
         """One row a part of a key: their number is that of the partitions at most."""
@@ -84,16 +96,20 @@ def _by_parts(rows: DataFrame, groups: list[str], order: list[str], effect, effe
             now = follow(now, made)
         return pdf[[*groups, "__part"]].assign(__state=states)
 
-    effects = parts.groupBy(*groups, "__part").applyInPandas(summarise, f"{key_schema}, __part int, {effect_schema}")
+    effects = parts.groupBy("__part").applyInPandas(summarise, f"{key_schema}, __part int, {effect_schema}")
     entry = effects.groupBy(*groups).applyInPandas(compose, f"{key_schema}, __part int, __state array<double>")
 
     def run(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
-        pdf = left.sort_values(order, kind="stable")
-        return pdf.drop(columns="__part").assign(**advance(pdf, tuple(right["__state"].iloc[0])))
+        entered = {tuple(None if pd.isna(x) else x for x in r[:-1]): tuple(r[-1]) for r in right[[*groups, "__state"]].itertuples(index=False, name=None)}
+        pdf = left.sort_values([*groups, *order], kind="stable", na_position="first")
+        made: dict[str, list] = {c.split()[0].strip("`"): [] for c in out_schema.split(", ")}
+        for key, own in stretches(pdf):
+            for name, values in advance(own, entered.get(key, start)).items():
+                made[name] += values
+        return pdf.drop(columns="__part").assign(**made)
 
     own = ", ".join(f"`{c}` {t}" for c, t in kinds.items())
-    keys = [*groups, "__part"]
-    return parts.groupBy(*keys).cogroup(entry.groupBy(*keys)).applyInPandas(run, f"{own}, {out_schema}")
+    return parts.groupBy("__part").cogroup(entry.groupBy("__part")).applyInPandas(run, f"{own}, {out_schema}")
 
 
 def criticality(rows: DataFrame, groups: list[str], order: list[str], flag: str, normal: str, most: int = 1000) -> DataFrame:

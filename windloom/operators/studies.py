@@ -114,8 +114,8 @@ def live_forecasts(series: DataFrame, group: str, order: str, value: str, horizo
     """The next ``horizon`` values by two techniques: the last season repeated, and Holt-Winters (groups of two seasons and more)."""
     w = Window.partitionBy(group).orderBy(F.desc(order))
     last = series.withColumn("__k", F.row_number().over(w)).where(F.col("__k") <= season)
-    steps = F.sequence(F.lit(1), F.lit(horizon // season))
+    steps = F.sequence(F.lit(1), F.lit(-(-horizon // season)))
     naive = last.select(group, F.explode(steps).alias("__s"), (season + 1 - F.col("__k")).alias("__at"), F.col(value).alias("prediction"))
-    naive = naive.select(group, ((F.col("__s") - 1) * season + F.col("__at")).cast("int").alias("lead"), "prediction", F.lit("seasonal").alias("technique"))
+    naive = naive.select(group, ((F.col("__s") - 1) * season + F.col("__at")).cast("int").alias("lead"), "prediction", F.lit("seasonal").alias("technique")).where(F.col("lead") <= horizon)
     smooth = models.holt_winters(series, group, order, value, season, horizon).withColumn("technique", F.lit("holt-winters"))
     return naive.unionByName(smooth)

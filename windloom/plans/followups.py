@@ -10,7 +10,7 @@ from pyspark.sql.window import Window
 
 from windloom.functions import angles, text, wind
 from windloom.operators import followups, forecasting, power_curve, resample, rules, sequence
-from windloom.plans import wake
+from windloom.plans import forecasts, wake
 from windloom.plans.relational import rounded
 from windloom.plans.views import RATED_KW, ROTOR_M, ctes, hourly, interval, layout, reading, signal
 from windloom.session import nan_to_null, table
@@ -284,9 +284,8 @@ def full_diagnosis(spark: SparkSession, sf_dir: str) -> DataFrame:
     yaw = yaw_ranking(spark, sf_dir).select("turbine", "status", F.col("abs_deg").alias("mean_deg"))
     check = power_curve.compare_wind(_wind_pairs(spark, sf_dir))
     own = power_curve.efficiency_summary(signal(spark, sf_dir), RATED_KW, ROTOR_M)
-    band = reading(spark, sf_dir).agg(F.lit(0).alias("n_bad"), F.lit(0.0).alias("share_bad"), F.count(F.lit(1)).alias("n"))
-    none = own.select("turbine", F.lit(0).alias("under"), F.lit(0.0).alias("share"))
-    return rounded(rules.diagnose(band, own, none, yaw, check).select("type", "turbine", "value"), value=6)
+    band, under = forecasts.out_of_band(spark, sf_dir), wake.neighbour_underperformance(spark, sf_dir)
+    return rounded(rules.diagnose(band, own, under, yaw, check).select("type", "turbine", "value"), value=6)
 
 
 def _wind_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -327,7 +326,9 @@ ORACLES = {
 h as (select floor(epoch(date_trunc('second', ts)) / 3600)::bigint as hour, avg(value) filter (event_type = 'view') as a, avg(value) filter (event_type = 'click') as b from v_reading group by 1), m as (select avg((abs(a - b) > 5)::int::double) as s from h where a is not null and b is not null)
 select 'fleet_wide_wind_bias' as type, null as turbine, round(over_n / n, 6) as value from fl where n >= 4 and over_n >= 0.75 * n
 union all select 'anemometer_suspect', turbine::varchar, round(peak_cp, 6) from eff, fl where peak_cp > 16::double / 27 and not (n >= 4 and over_n >= 0.75 * n)
-union all select 'static_yaw_offset', turbine::varchar, abs_deg from yr where status = 'flag' union all select 'reference_wind_mismatch', null, round(s, 6) from m where s > 0.02""",
+union all select 'static_yaw_offset', turbine::varchar, abs_deg from yr where status = 'flag' union all select 'reference_wind_mismatch', null, round(s, 6) from m where s > 0.02
+union all select 'output_out_of_band', null, share_bad from ({forecasts.ORACLES["out_of_band"]}) where share_bad > 0
+union all select 'under_neighbours', turbine::varchar, round(share, 6) from ({wake.ORACLES["neighbour_underperformance"]}) where share > 0.05""",
     "farms_without_model": "select n_nationkey as farm, 'output-' || lower(replace(n_name, ' ', '-')) as model from nation where n_nationkey not in (select c_nationkey from customer where c_mktsegment = 'AUTOMOBILE' and c_acctbal > 5000)",
     "high_passed": f"{ctes('v_reading')} select event_id, round(case when count(value) over w = 6 then value - avg(value) over w end, 6) as high_pass from v_reading window w as (partition by turbine order by ts, event_id rows between 3 preceding and 2 following)",
     "local_peaks": wake.ORACLES["wake_loss_by_direction"].replace("select * from dr", ", pk as (select bin, loss_pct, max(loss_pct) over (order by bin rows between 1 preceding and 1 following) as top, median(loss_pct) over () as m from dr where loss_pct is not null) select bin, loss_pct from pk where loss_pct >= top and loss_pct > m"),
