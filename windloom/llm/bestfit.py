@@ -20,6 +20,7 @@ from __future__ import annotations
 import json
 import os
 import re
+import struct
 import zlib
 from collections.abc import Callable, Iterator
 from functools import cache
@@ -34,7 +35,7 @@ from windloom.llm import packing
 from windloom.llm.common import slices, store
 
 #: Tokens of a sequence; pieces of a block; bytes of words that a Python worker remembers; rounds of dealing anew.
-CAPACITY, BLOCK, REMEMBERED, ROUNDS = 4096, 8192, 192 << 20, 6
+CAPACITY, BLOCK, REMEMBERED, ROUNDS = 4096, 8192, 256 << 20, 6
 
 
 class _Known(dict):
@@ -73,22 +74,24 @@ class WordEncoder:
 
             self.library = Tokenizer.from_file(file)
             self.words, self.pieces = _Known(self._word, REMEMBERED // 2), _Known(self._piece, REMEMBERED // 2)
-            special = "|".join(re.escape(t["content"]) for t in spec["added_tokens"])
-            # Words of printable ASCII and Latin letters, whose lower case, normal form and cut are the same everywhere.
-            self.plain = re.compile(rf"(?!.*(?:{special or '(?!)'}))[!-~À-ÖØ-öø-ÿ]+")
+            # What special tokens begin with: a word that holds it (any word, if they have nothing in common) goes to the library.
+            self.special = os.path.commonprefix([t["content"] for t in spec["added_tokens"]]) if spec["added_tokens"] else "\n"
 
+    #: Words of printable ASCII and Latin letters have the same lower case, normal form and cut everywhere.
+    PLAIN = re.compile("[!-~À-ÖØ-öø-ÿ]+")
     #: Fixed by the format of the vocabulary: how such a word is cut, in lower case; what bytes are shown as.
     PIECE = re.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[a-zß-öø-ÿ]+|[0-9]|[^a-z0-9ß-öø-ÿ]+")
     SHOWN = {ord(c): f"Ã{chr(b) if b > 0xA0 and b != 0xAD else chr(0x143 if b == 0xAD else b + 0xA2)}" for c in map(chr, range(0xC0, 0x100)) for b in [c.encode()[1]]}
 
     def _word(self, word: str) -> bytes:
-        if self.plain.fullmatch(word):
+        if (word.isascii() and word.isprintable() or self.PLAIN.fullmatch(word)) and self.special not in word:
             return b"".join(map(self.pieces.__getitem__, self.PIECE.findall(word.lower())))
         return np.array(self.library.encode(word, add_special_tokens=False).ids, "<u2").tobytes()
 
     def _piece(self, piece: str) -> bytes:
         shown = piece if piece.isascii() else piece.translate(self.SHOWN)
-        return np.array([t.id for t in self.library.model.tokenize(shown)], "<u2").tobytes()
+        ids = [t.id for t in self.library.model.tokenize(shown)]
+        return struct.pack(f"<{len(ids)}H", *ids)
 
     def encode(self, text: str) -> bytes:
         if self.whole is not None:
