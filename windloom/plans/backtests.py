@@ -9,10 +9,11 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from windloom.operators import forecasting
+from windloom.operators import boosting, forecasting
 from windloom.operators import statespace as ss
 from windloom.plans.relational import rounded
 from windloom.plans.views import reading
+from windloom.session import stored
 
 SHARE = 0.8
 
@@ -71,5 +72,40 @@ def smoothing_backtest(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _metrics(ss.backtest(parts, "farm", maker, fitted, SHARE))
 
 
-_NAMES = (sarima_backtest, structural_backtest, structural_components, smoothing_backtest)
+def _windows(rows: DataFrame, back: int, ahead: int) -> DataFrame:
+    """``(farm, h, x, y)``: the ``back`` outputs up to an hour and the ``ahead`` after it."""
+    seen = forecasting.look_back(rows, "h", "output", back + ahead, ["farm"]).where("history is not null")
+    return seen.select("farm", "h", F.slice("history", 1, back).alias("x"), F.slice("history", back + 1, ahead).alias("y"))
+
+
+def direct_boosting_backtest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The next 24 hours from the last 72 by boosted trees whose leaves hold all 24 values: 100 trees of depth 4."""
+    rows, back, ahead = farm_hours(spark, sf_dir).select("farm", "h", "output"), 72, 24
+    parts = ss.parts_of(rows, "farm", "h", "output")
+    scored = stored(ss.scored_rows(parts, "farm", SHARE, ahead), "scored")
+    first = scored.groupBy("farm").agg(F.min("at").alias("first"))
+    known = _windows(rows.join(first, "farm").where(F.col("h") < F.col("first")).select("farm", "h", "output"), back, ahead)
+    model = boosting.boosted(known, "farm")
+    origins = forecasting.look_back(rows, "h", "output", back, ["farm"]).where("history is not null").select("farm", F.col("h").alias("origin"), F.col("history").alias("x"))
+    made = model.predict(origins.join(scored.select("farm", "origin").distinct(), ["farm", "origin"]))
+    made = made.select("farm", "origin", F.posexplode("predicted").alias("k", "predicted")).withColumn("lead", F.col("k") + 1)
+    return _metrics(scored.join(made, ["farm", "origin", "lead"]))
+
+
+def hybrid_backtest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Holt-Winters with fitted smoothing, corrected by trees that learned its residuals on the first 80 % from the hour's other
+    channels: 200 trees of depth 4 at rate 0.05."""
+    rows, parts, maker, fitted = _smoothing(spark, sf_dir)
+    features = F.array("power", "n", (F.col("h") % 24).cast("double"))
+    own = rows.select("farm", F.col("h").alias("at"), features.alias("x"))
+    known = ss.training(parts, "farm", SHARE)
+    values = ss.fitted_values(known, "farm", maker, fitted).where(~F.isnan("actual"))
+    residuals = values.select("farm", "at", F.array(F.col("actual") - F.col("predicted")).alias("y"))
+    model = boosting.boosted(residuals.join(own, ["farm", "at"]), "farm", trees=200, rate=0.05)
+    made = ss.backtest(parts, "farm", maker, fitted, SHARE).join(own, ["farm", "at"])
+    made = model.predict(made.withColumnRenamed("predicted", "smooth"), name="correction")
+    return _metrics(made.withColumn("predicted", F.col("smooth") + F.col("correction")[0]))
+
+
+_NAMES = (sarima_backtest, structural_backtest, structural_components, smoothing_backtest, direct_boosting_backtest, hybrid_backtest)
 QUERIES = {f.__name__: f for f in _NAMES}
