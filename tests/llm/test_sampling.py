@@ -244,3 +244,16 @@ def test_queries_over_the_small_tables(spark):
     assert resampling.op11_resampling(spark, sf).count() == docs.count()
     assert divergence.op12_source_divergence(spark, sf).where("part = 'pair'").count() > 0
     assert bestfit.op13_best_fit(spark, sf).agg(F.countDistinct("doc_id")).first()[0] == docs.count()
+
+
+def test_ranked_samples_are_a_bijection_and_shorter():
+    from windloom.llm import media
+
+    everything = bytes(range(256)) * 4
+    for ranked in (False, True):
+        assert sorted(media.as_samples(bytes(range(256)), ranked)) == list(range(256))
+        assert media.as_payload(media.as_samples(everything, ranked), ranked) == everything
+        assert media.as_payload(media.decode(media.encode([everything], ranked))[0][0], ranked) == everything
+    assert media.as_samples(b" ea", True) == bytes([0, 255, 1])
+    text = media.padded(TEXTS[4].encode() * 20)
+    assert len(media.encode([text], True)[0]) < 0.8 * len(media.encode([text])[0])
