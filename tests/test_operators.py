@@ -492,18 +492,37 @@ def test_citations_are_checked_on_their_pages(spark):
     assert got[2] == ("No numbers here p.3 and none p.77", [("A", 3)]) and got[3] == ("no citation", []) and got[4][0] == "cites p.5 without pages"
 
 
-def test_line_order_and_ranks(spark):
-    from windloom.operators import followups
+def test_order_along_a_line(spark):
+    from windloom.operators import layouts
+
+    orders = {"x": [3, 1, 4, 2, 5], "y": [(7 * k) % 40 for k in range(40)]}
+    pairs = []
+    for farm, order in orders.items():
+        place = {t: k for k, t in enumerate(order)}
+        pairs += [(farm, a, b, 1 - (0.3 if farm == "x" else 0.12) * abs(place[a] - place[b])) for a in order for b in order if a < b]
+    got = layouts.along_line(spark.createDataFrame(pairs, "farm string, a int, b int, r double")).collect()
+    for farm, order in orders.items():
+        own = [r.turbine for r in sorted((r for r in got if r.farm == farm), key=lambda r: r["rank"])]
+        assert own in (order, order[::-1])
+        assert np.corrcoef(own, range(len(own)))[0, 1] >= 0
+
+
+def test_correlations_with_gaps_and_the_layout(spark):
+    from windloom.operators import layouts
 
     rng = np.random.default_rng(2)
-    order = [3, 1, 4, 2, 5]
-    place = {t: k for k, t in enumerate(order)}
-    pairs = [(a, b, max(0.0, 1 - 0.3 * abs(place[a] - place[b]))) for a in order for b in order if a < b]
-    got = followups.line_order(spark.createDataFrame(pairs, "a int, b int, r double"), [1, 2, 3, 4, 5])
-    assert got in (order, order[::-1])
-    with pytest.raises(ValueError, match="more than 2 turbines"):
-        followups.line_order(spark.createDataFrame(pairs, "a int, b int, r double"), [1, 2, 3], 2)
-    assert rng is not None
+    n, turbines = 400, [5, 2, 8, 1, 9, 3, 7]  # in order along the line
+    waves = np.cumsum(rng.normal(0, 1, (n, len(turbines) + 3)), axis=1)[:, 2:] + rng.normal(0, 0.2, (n, len(turbines) + 1))
+    table = pd.DataFrame(np.array([waves[:, max(0, k - 1) : k + 2].mean(1) - waves.mean(1) for k in range(len(turbines))]).T, columns=turbines)
+    table = table.mask(rng.random(table.shape) < 0.1)
+    rows = [("f", t, i, None if np.isnan(v) else float(v), 1) for t in turbines for i, v in enumerate(table[t])]
+    df = spark.createDataFrame(rows, "farm string, turbine int, ts int, power double, n int")
+    got = {(r.a, r.b): r.r for r in layouts.correlations(df, "power").collect()}
+    want = table.corr()
+    assert got == pytest.approx({(a, b): want.loc[a, b] for a in turbines for b in turbines if a < b}, abs=1e-9)
+    spots = spark.createDataFrame([("f", f"P{k}", 50 - 0.002 * k, 8 + 0.004 * k) for k in range(len(turbines))], "farm string, spot string, lat double, lon double")
+    found = [r.turbine for r in layouts.inferred_layout(df, spots).orderBy("spot").collect()]
+    assert found in (turbines, turbines[::-1])
 
 
 def test_recursive_forecast_is_one_plan(spark):

@@ -151,23 +151,6 @@ def rank_aligned(positions: DataFrame, along: str, turbines: DataFrame, number:
     return left.join(right, ["farm", "rank"])
 
 
-def line_order(pairs: DataFrame, numbers: list[int], most: int = 128) -> list[int]:
-    """Turbines of a line in order, from the correlations of their high-passed power: the Fiedler vector of the graph with
-    weights max(r, 0), low numbers first.  ``pairs(a, b, r)``; the matrix has at most ``most`` rows, which is checked."""
-    import numpy as np
-
-    if len(numbers) > most:
-        raise ValueError(f"more than {most} turbines in a line")
-    place = {n: k for k, n in enumerate(numbers)}
-    w = np.zeros((len(numbers), len(numbers)))
-    for r in pairs.where("r > 0").select("a", "b", "r").limit(most * most).collect():
-        if r["a"] in place and r["b"] in place:
-            w[place[r["a"]], place[r["b"]]] = w[place[r["b"]], place[r["a"]]] = r["r"]
-    vector = np.linalg.eigh(np.diag(w.sum(1)) - w)[1][:, 1]
-    order = [numbers[k] for k in np.argsort(vector, kind="stable")]
-    return order if np.corrcoef(np.argsort(np.argsort(vector)), np.arange(len(order)))[0, 1] >= 0 else order[::-1]
-
-
 #: Relative deviations of the yield's uncertainties (fixed values): meter, losses.
 METER_ERROR, LOSS_ERROR = 0.005, 0.05
 

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from windloom.operators import geometry, rules
+from windloom.operators import geometry, layouts, rules
 from windloom.operators.power_curve import efficiency_summary
 from windloom.plans.relational import rounded
 from windloom.plans.views import RATED_KW, ROTOR_M, ctes, layout, reading, signal
@@ -52,6 +52,24 @@ def worst_directions(spark: SparkSession, sf_dir: str) -> DataFrame:
     return geometry.worst_bins(rounded(geometry.wake_by_direction(_records(spark, sf_dir)), loss_pct=6, energy_share_pct=6), 3, 40)
 
 
+#: Turbine k of a planted line stands at place 7 k modulo their number.
+LINE_TURBINES = 20
+
+
+def inferred_line_layout(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A planted line recovered: each turbine's power is a sum of the event types' hourly means, weighted by its distance from
+    five points along the line; positions run from northwest to southeast."""
+    h = F.floor(F.unix_timestamp(F.col("ts").cast("timestamp")) / 3600)
+    kinds = F.array(*[F.lit(k) for k in ("click", "error", "purchase", "signup", "view")])
+    hours = reading(spark, sf_dir).groupBy(h.alias("ts"), (F.array_position(kinds, F.col("event_type")) - 1).alias("k")).agg(F.avg("value").alias("v"))
+    numbers = F.explode(F.sequence(F.lit(1), F.lit(LINE_TURBINES)))
+    place = F.pmod(F.col("turbine") * 7, F.lit(LINE_TURBINES))
+    spread = hours.select("ts", "k", "v", numbers.alias("turbine")).withColumn("w", F.greatest(1 - F.abs(place - F.col("k") * 4.75) / 7, F.lit(0.0)))
+    power = spread.groupBy(F.lit("line").alias("farm"), "turbine", "ts").agg(F.sum(F.col("v") * F.col("w")).alias("power"))
+    spots = spark.range(LINE_TURBINES).select(F.lit("line").alias("farm"), F.col("id").alias("spot"), (50 - 0.002 * F.col("id")).alias("lat"), (8 + 0.004 * F.col("id")).alias("lon"))
+    return layouts.inferred_layout(power, spots).select("spot", "turbine", "rank")
+
+
 def line_bearing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rounded(geometry.line_bearing(layout(spark, sf_dir)), bearing=5)
 
@@ -93,7 +111,7 @@ def best_and_worst(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 _NAMES = (
-    nearest_turbines, neighbour_underperformance, freestream_sets, wake_loss_by_turbine, wake_loss_by_direction, worst_directions, line_bearing, binned_on_off_ratio,
+    nearest_turbines, neighbour_underperformance, freestream_sets, wake_loss_by_turbine, wake_loss_by_direction, worst_directions, line_bearing, inferred_line_layout, binned_on_off_ratio,
     day_block_bootstrap, sector_ratio, row_profile, diagnosis, best_and_worst,
 )
 QUERIES = {f.__name__: f for f in _NAMES}
@@ -126,6 +144,8 @@ ORACLES = {
     "wake_loss_by_turbine": f"{ctes('v_layout')}, {_REC} select turbine, round(100 * (1 - sum(power) / sum(free_kw)), 6) as loss_pct, count(distinct record) as records from rc group by 1",
     "wake_loss_by_direction": f"{ctes('v_layout')}, {_REC}, {_DIR} select * from dr",
     "worst_directions": f"{ctes('v_layout')}, {_REC}, {_DIR} select * from dr where loss_pct is not null and records >= 40 order by loss_pct desc, bin limit 3",
+    "inferred_line_layout": """with t as (select i as turbine, (i * 7) % 20 as place from generate_series(1, 20) g(i)), s as (select covar_pop(place, turbine) as c from t)
+select case when c >= 0 then place else 19 - place end::bigint as spot, turbine::int as turbine, case when c >= 0 then place + 1 else 20 - place end::int as rank from t, s""",
     "line_bearing": f"{ctes('v_layout')} select round(fmod(90 - degrees(atan2(2 * covar_pop(x, y), var_pop(x) - var_pop(y))) / 2 + 360, 180), 5) as bearing from v_layout",
     "binned_on_off_ratio": f"""{ctes('v_reading')}, r as (select floor(direction / 20 / 2)::int as db, floor(wind / 4)::int as sb, event_id % 2 = 0 as o, value as power, power + 1 as reference from v_reading),
 b as (select db, sb, count_if(o) as n1, count_if(not o) as n0, avg(power) filter (o) as p1, avg(power) filter (not o) as p0, avg(reference) filter (o) as r1, avg(reference) filter (not o) as r0 from r group by 1, 2 having count_if(o) > 0 and count_if(not o) > 0),
