@@ -68,3 +68,19 @@ def test_more_values_than_bins_and_equal_rows(spark):
     got = model.predict(df).collect()
     assert np.mean([abs(r.predicted[0] - r.y[0]) for r in got if r.farm == "a"]) < 0.05
     assert {r.predicted[0] for r in got if r.farm == "same"} == {2.0}
+
+
+def test_recursive_walk_is_round_by_round(spark):
+    rng = np.random.default_rng(6)
+    series = {g: np.sin(np.arange(160) / (3 + k)) + rng.normal(0, 0.05, 160) for k, g in enumerate("ab")}
+    lags = [1, 2, 5]
+    rows = [(g, [float(v[i - k]) for k in lags], [float(v[i])]) for g, v in series.items() for i in range(5, 140)]
+    model = boosting.boosted(spark.createDataFrame(rows, "farm string, x array<double>, y array<double>"), "farm", trees=12, depth=3)
+    origins = [(g, i, v[: i + 1].tolist()) for g, v in series.items() for i in (10, 140, 155)] + [("a", 1, [1.0]), ("a", 2, [None] * 9), ("z", 3, [1.0] * 9)]
+    got = boosting.recursive(model, spark.createDataFrame(origins, "farm string, origin int, history array<double>"), lags, 6).collect()
+    assert len(got) == 6 * 6
+    for g, i, history in origins[:6]:
+        past = list(history)
+        for lead in range(1, 7):
+            past.append(float(model.predict_rows(g, np.array([[past[-k] for k in lags]]))[0, 0]))
+            assert next(r.predicted for r in got if (r.farm, r.origin, r.lead) == (g, i, lead)) == pytest.approx(past[-1])

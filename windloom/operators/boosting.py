@@ -288,3 +288,29 @@ def _moved_on(blocks: DataFrame, group: str, trees: dict) -> DataFrame:
             yield pdf.assign(f=made)
 
     return stored(blocks.mapInPandas(run, blocks.schema), "blocks")
+
+
+def recursive(model: Boosted, origins: DataFrame, lags: list[int], steps: int = 24, history: str = "history") -> DataFrame:
+    """``(group, origin, lead, predicted)``: forecasts 1 to ``steps`` rows ahead of every origin, each made from the ones before it, by
+    a model of one output on the values ``lags`` rows before.  ``origins(group, origin, history array)``, newest value last; a task
+    walks all steps of the origins that it has, all of a group together.  Origins with a shorter history, or with nulls in it, have
+    no forecasts."""
+    group = model.group
+    kinds = dict(origins.dtypes)
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            for g, own in pdf.groupby(group):
+                if g not in model.edges:
+                    continue
+                whole = [h is not None and len(h) >= max(lags) and all(v is not None and v == v for v in h[-max(lags) :]) for h in own[history]]
+                own = own[whole]
+                if not len(own):
+                    continue
+                past = np.array([list(h[-max(lags) :]) for h in own[history]], float)
+                for _ in range(steps):
+                    past = np.concatenate([past, model.predict_rows(g, past[:, [-k for k in lags]])], axis=1)
+                made = past[:, -steps:]
+                yield pd.DataFrame({group: np.repeat(own[group].to_numpy(), steps), "origin": np.repeat(own["origin"].to_numpy(), steps), "lead": np.tile(np.arange(1, steps + 1), len(own)), "predicted": made.ravel()})
+
+    return origins.select(group, "origin", history).mapInPandas(run, f"`{group}` {kinds[group]}, origin {kinds['origin']}, lead int, predicted double")
