@@ -5,11 +5,11 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from windloom.operators import geometry, layouts, rules
+from windloom.operators import forecasting, geometry, layouts, rules, yields
 from windloom.operators.power_curve import efficiency_summary
 from windloom.plans.relational import rounded
 from windloom.plans.views import RATED_KW, ROTOR_M, ctes, layout, reading, signal
-from windloom.session import table
+from windloom.session import stored, table
 
 REACH = 4000.0
 
@@ -52,6 +52,25 @@ def worst_directions(spark: SparkSession, sf_dir: str) -> DataFrame:
     return geometry.worst_bins(rounded(geometry.wake_by_direction(_records(spark, sf_dir)), loss_pct=6, energy_share_pct=6), 3, 40)
 
 
+def gam_yield_draws(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A year's energy by 300 draws of the ship dates, by splines of each day's mean wind and discount, applied to the order dates."""
+    days = signal(spark, sf_dir).join(table(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", "l_discount"), ["l_orderkey", "l_linenumber"])
+    days = days.groupBy(F.unix_date(F.col("ts").cast("date")).alias("day")).agg((F.sum("power") / 1000).alias("energy"), F.avg("wind").alias("wind"), (100 * F.avg("l_discount")).alias("temperature"))
+    year = table(spark, sf_dir, "orders").groupBy("o_orderdate").agg((12 + F.avg(F.col("o_custkey") % 10) / 5).alias("wind"), (F.avg("o_totalprice") / 30000).alias("temperature"))
+    return rounded(yields.gam_yield(days, year, 300), aep=3, freedom=4)
+
+
+def long_term_wake(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Wake losses by 30 draws of the ship dates, as measured and with the events' long-term winds."""
+    own = _records(spark, sf_dir).withColumn("day", F.floor(F.split("record", ":")[0].cast("long") / 86400))
+    sector, speed = F.floor(F.col("direction") / 30).cast("int"), F.least(F.floor(10 * F.col("free_kw") / RATED_KW), F.lit(9)).cast("int")
+    bins = own.groupBy("day", sector.alias("direction"), speed.alias("speed")).agg(F.sum("power").alias("power"), F.sum("free_kw").alias("free"), F.count(F.lit(1)).alias("records"))
+    bins = stored(bins, "bins")
+    bins = bins.join(forecasting.numbered(bins.select("day").distinct(), "day").withColumnRenamed("i", "day_no"), "day").drop("day")
+    winds = reading(spark, sf_dir).groupBy(F.floor(F.col("direction") / 30).cast("int").alias("direction"), F.least(F.floor("wind"), F.lit(9)).cast("int").alias("speed"))
+    return rounded(yields.long_term_wake(bins, winds.agg(F.count(F.lit(1)).cast("double").alias("hours")), 30), loss_pct=6, loss_lt_pct=6)
+
+
 #: Turbine k of a planted line stands at place 7 k modulo their number.
 LINE_TURBINES = 20
 
@@ -111,7 +130,7 @@ def best_and_worst(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 _NAMES = (
-    nearest_turbines, neighbour_underperformance, freestream_sets, wake_loss_by_turbine, wake_loss_by_direction, worst_directions, line_bearing, inferred_line_layout, binned_on_off_ratio,
+    nearest_turbines, neighbour_underperformance, freestream_sets, wake_loss_by_turbine, wake_loss_by_direction, worst_directions, line_bearing, inferred_line_layout, gam_yield_draws, long_term_wake, binned_on_off_ratio,
     day_block_bootstrap, sector_ratio, row_profile, diagnosis, best_and_worst,
 )
 QUERIES = {f.__name__: f for f in _NAMES}
@@ -144,6 +163,14 @@ ORACLES = {
     "wake_loss_by_turbine": f"{ctes('v_layout')}, {_REC} select turbine, round(100 * (1 - sum(power) / sum(free_kw)), 6) as loss_pct, count(distinct record) as records from rc group by 1",
     "wake_loss_by_direction": f"{ctes('v_layout')}, {_REC}, {_DIR} select * from dr",
     "worst_directions": f"{ctes('v_layout')}, {_REC}, {_DIR} select * from dr where loss_pct is not null and records >= 40 order by loss_pct desc, bin limit 3",
+    "long_term_wake": f"""{ctes('v_layout', 'v_reading')}, {_REC}, b as (
+  select floor(split_part(record, ':', 1)::bigint / 86400)::bigint as day, floor(direction / 30)::int as d, least(floor(10 * free_kw / {RATED_KW}::double), 9)::int as s, sum(power) as power, sum(free_kw) as free, count(*) as n from rc group by 1, 2, 3),
+dn as (select day, row_number() over (order by day) - 1 as day_no from (select distinct day from b)),
+p as (select i as draw, ('0x' || substr(md5(i || ':' || j), 1, 8))::bigint % (select count(*) from dn) as day_no from generate_series(0, 29) g(i), generate_series(0, (select count(*) - 1 from dn)) h(j)),
+w as (select draw, day_no, count(*) as k from p group by 1, 2),
+db as (select draw, d, s, sum(k * power) as power, sum(k * free) as free, sum(k * n) as n from w join dn using (day_no) join b using (day) group by 1, 2, 3),
+lt as (select floor(direction / 30)::int as d, least(floor(wind), 9)::int as s, count(*)::double as h from v_reading group by 1, 2)
+select draw, round(100 * (1 - sum(power) / sum(free)), 6) as loss_pct, round(100 * (1 - sum(power / n * h) / sum(free / n * h)), 6) as loss_lt_pct from db left join lt using (d, s) group by 1""",
     "inferred_line_layout": """with t as (select i as turbine, (i * 7) % 20 as place from generate_series(1, 20) g(i)), s as (select covar_pop(place, turbine) as c from t)
 select case when c >= 0 then place else 19 - place end::bigint as spot, turbine::int as turbine, case when c >= 0 then place + 1 else 20 - place end::int as rank from t, s""",
     "line_bearing": f"{ctes('v_layout')} select round(fmod(90 - degrees(atan2(2 * covar_pop(x, y), var_pop(x) - var_pop(y))) / 2 + 360, 180), 5) as bearing from v_layout",
