@@ -257,3 +257,29 @@ def test_ranked_samples_are_a_bijection_and_shorter():
     assert media.as_samples(b" ea", True) == bytes([0, 255, 1])
     text = media.padded(TEXTS[4].encode() * 20)
     assert len(media.encode([text], True)[0]) < 0.8 * len(media.encode([text])[0])
+
+
+def test_similar_links_at_any_size_and_across_tiles(spark, monkeypatch):
+    """Chains of near copies above 64 nodes, in one tile and in many, against exact similarities."""
+    from windloom.llm import simhash
+
+    rng = np.random.default_rng(9)
+    words = [f"w{k}" for k in range(400)]
+    texts = []
+    for _ in range(3):
+        own = rng.choice(words, 120).tolist()
+        for _ in range(40):
+            texts.append(" ".join(own))
+            own[int(rng.integers(0, 120))] = str(rng.choice(words))
+    texts += [" ".join(rng.choice(words, 60)) for _ in range(20)]
+    sets = [set(zip(*(t.split()[k:] for k in range(5)), strict=False)) for t in texts]
+    root = list(range(len(texts)))
+    for a in range(len(texts)):
+        for b in range(a):
+            if len(sets[a] & sets[b]) >= 0.8 * len(sets[a] | sets[b]):
+                low, high = sorted((root[a], root[b]))
+                root = [low if r == high else r for r in root]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    for tile in (2**21, 4000):
+        monkeypatch.setattr(simhash, "TILE_SHINGLES", tile)
+        assert sorted(r.doc_id for r in simhash.dedup(docs).collect()) == sorted(set(root))

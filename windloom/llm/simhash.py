@@ -227,8 +227,8 @@ def similar_links(members: DataFrame, shingle_words: int, similarity: float) ->
     """Edges ``(a, b)`` that connect, within each ``key``, what pairs of that similarity connect.
 
     ``members(key long, node long, size long, w0.., text)`` are candidates: rows with one ``node`` have the same shingles.
-    Up to 64 of a key are compared each with each; of more, pairs within the candidates' radius.  Keys with many shingles
-    are cut into tiles as in ``block_links``.
+    Pairs within the candidates' radius are compared, however many a key has.  Keys with many shingles are cut into tiles as in
+    ``block_links``.
     """
     names = [f"w{k}" for k in range(WIDE_WORDS)]
     radius = candidate_radius(similarity, 64 * WIDE_WORDS)
@@ -258,8 +258,7 @@ def similar_links(members: DataFrame, shingle_words: int, similarity: float) ->
         n = len(node)
         if n < 2:
             return
-        pairs = [np.triu_indices(n, 1)] if n <= 64 else bitslice.links(np.stack(words), np.zeros(n, np.int64), radius)
-        root = similar_forest(sets, pairs, similarity)
+        root = similar_forest(sets, bitslice.links(np.stack(words), np.zeros(n, np.int64), radius), similarity)
         moved = np.flatnonzero(root != np.arange(n))
         if len(moved):
             ids = np.array(node, np.int64)
