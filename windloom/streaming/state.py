@@ -1,17 +1,30 @@
-"""Per-key state over arriving rows: CUSUM, criticality and exponential means."""
+"""Per-key state over arriving rows: CUSUM, criticality and exponential means.
+
+With ``lateness`` rows may arrive out of order: a key holds them back until the watermark has passed them, so that none can come before
+them any more, and then takes them in order; a timer lets go of rows of keys that are silent since.  With ``forget`` a key's state ends
+after so long a silence, and a later row starts anew.  Without ``lateness`` rows are taken as they arrive.
+"""
 
 from __future__ import annotations
 
+import json
 from collections.abc import Iterator
+from types import SimpleNamespace
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 
-def _stateful(rows: DataFrame, key: str, order: list[str], state: str, start: tuple, output: str, advance) -> DataFrame:
-    """Rows of each micro-batch in order through ``advance(state, row) -> (state, values)`` with the key's state kept."""
+def _stateful(rows: DataFrame, key: str, order: list[str], state: str, start: tuple, output: str, advance, lateness: str | None = None, forget: str | None = None) -> DataFrame:
+    """Rows of each key in order through ``advance(state, row) -> (state, values)`` with the key's state kept."""
     names = [c.split()[0] for c in output.split(", ")]
+    if lateness is not None:
+        return _in_order(rows, key, order, state, start, output, advance, lateness, forget)
+    if forget is not None:
+        raise ValueError("a key is forgotten by event time, which needs a lateness")
 
     def run(k: tuple, parts: Iterator[pd.DataFrame], held: GroupState) -> Iterator[pd.DataFrame]:
         own = tuple(held.get) if held.exists else start
@@ -29,27 +42,77 @@ def _stateful(rows: DataFrame, key: str, order: list[str], state: str, start: tu
     return rows.groupBy(key).applyInPandasWithState(run, schema, state, "append", GroupStateTimeout.NoTimeout)
 
 
-def cusum(rows: DataFrame, key: str, order: list[str], increment: str) -> DataFrame:
-    """S = max(0, S + increment) per key over a stream; rows arrive in order within a key."""
+def _in_order(rows: DataFrame, key: str, order: list[str], state: str, start: tuple, output: str, advance, lateness: str, forget: str | None) -> DataFrame:
+    """``order`` begins with the event time.  The key's state holds, besides its own fields, the rows that are held back, as JSON."""
+    ts, names, fields = order[0], [c.split()[0] for c in output.split(", ")], len(start)
+    silence = None if forget is None else int(pd.Timedelta(forget).total_seconds() * 1000)
+    given = [c for c in rows.columns if c != key]
+    rows = rows.withColumn(ts, F.col(ts).cast("timestamp")).withWatermark(ts, lateness)
+    micros = f"__{ts}_micros"
+
+    def run(k: tuple, parts: Iterator[pd.DataFrame], held: GroupState) -> Iterator[pd.DataFrame]:
+        own, last, waiting = start, 0, "[]"
+        if held.exists:
+            *own, last, waiting = held.get
+        frames = [p for p in parts if len(p)]
+        waiting = json.loads(waiting)
+        for p in frames:
+            waiting += p[[*given, micros]].drop(columns=ts).astype(object).where(p[[*given, micros]].drop(columns=ts).notna(), None).map(_plain).to_dict("records")
+        now = held.getCurrentWatermarkMs()
+        waiting.sort(key=lambda r: tuple((r[c] is None, r[c]) for c in (micros, *order[1:])))
+        made, k_done = [], 0
+        for r in waiting:
+            if r[micros] > now * 1000:
+                break
+            if silence is not None and last and r[micros] - last > silence * 1000:
+                own = start
+            own, values = advance(own, SimpleNamespace(**{c: v for c, v in r.items() if c.isidentifier()}))
+            last, k_done = r[micros], k_done + 1
+            made.append((k[0], pd.Timestamp(r[micros], unit="us"), *(r[c] for c in order[1:]), *values))
+        waiting = waiting[k_done:]
+        if silence is not None and not waiting and last and now > last // 1000 + silence:
+            held.remove()
+        else:
+            held.update((*own, last, json.dumps(waiting)))
+            if waiting:
+                held.setTimeoutTimestamp(max(now + 1, waiting[0][micros] // 1000 + 1))
+            elif silence is not None:
+                held.setTimeoutTimestamp(max(now + 1, last // 1000 + silence))
+        yield pd.DataFrame(made, columns=[key, *order, *names])
+
+    kinds = dict(rows.dtypes)
+    schema = ", ".join(f"{c} {kinds[c]}" for c in [key, *order]) + ", " + output
+    assert fields == len(state.split(", "))
+    grouped = rows.withColumn(micros, F.unix_micros(ts)).groupBy(key)
+    return grouped.applyInPandasWithState(run, schema, f"{state}, last long, waiting string", "append", GroupStateTimeout.EventTimeTimeout)
+
+
+def _plain(v):
+    """A value that JSON knows."""
+    return v.item() if isinstance(v, np.generic) else v
+
+
+def cusum(rows: DataFrame, key: str, order: list[str], increment: str, lateness: str | None = None, forget: str | None = None) -> DataFrame:
+    """S = max(0, S + increment) per key over a stream."""
 
     def advance(own, row):
         s = max(0.0, own[0] + float(getattr(row, increment)))
         return (s,), (s,)
 
-    return _stateful(rows, key, order, "s double", (0.0,), "cusum double", advance)
+    return _stateful(rows, key, order, "s double", (0.0,), "cusum double", advance, lateness, forget)
 
 
-def criticality(rows: DataFrame, key: str, order: list[str], flag: str, normal: str, most: int = 1000) -> DataFrame:
+def criticality(rows: DataFrame, key: str, order: list[str], flag: str, normal: str, most: int = 1000, lateness: str | None = None, forget: str | None = None) -> DataFrame:
     def advance(own, row):
         c = own[0]
         if getattr(row, normal):
             c = min(most, c + 1) if getattr(row, flag) else max(0, c - 1)
         return (c,), (c,)
 
-    return _stateful(rows, key, order, "c int", (0,), "criticality int", advance)
+    return _stateful(rows, key, order, "c int", (0,), "criticality int", advance, lateness, forget)
 
 
-def exponential_mean(rows: DataFrame, key: str, order: list[str], value: str, span: int) -> DataFrame:
+def exponential_mean(rows: DataFrame, key: str, order: list[str], value: str, span: int, lateness: str | None = None, forget: str | None = None) -> DataFrame:
     """Adjusted exponential mean over non-null values, NULL until a third of the span has been seen."""
     keep, least = 1 - 2.0 / (span + 1), max(1, span // 3)
 
@@ -60,4 +123,4 @@ def exponential_mean(rows: DataFrame, key: str, order: list[str], value: str, sp
             num, den, n = num * keep + float(x), den * keep + 1.0, n + 1
         return (num, den, n), (num / den if n >= least else None,)
 
-    return _stateful(rows, key, order, "num double, den double, n long", (0.0, 0.0, 0), "mean double", advance)
+    return _stateful(rows, key, order, "num double, den double, n long", (0.0, 0.0, 0), "mean double", advance, lateness, forget)
