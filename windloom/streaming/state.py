@@ -35,7 +35,8 @@ def _stateful(rows: DataFrame, key: str, order: list[str], state: str, start: tu
                 own, values = advance(own, row)
                 made.append((k[0], *(getattr(row, c) for c in order), *values))
         held.update(own)
-        yield pd.DataFrame(made, columns=[key, *order, *names])
+        if made:
+            yield pd.DataFrame(made, columns=[key, *order, *names])
 
     kinds = dict(rows.dtypes)
     schema = ", ".join(f"{c} {kinds[c]}" for c in [key, *order]) + ", " + output
@@ -78,7 +79,8 @@ def _in_order(rows: DataFrame, key: str, order: list[str], state: str, start: tu
                 held.setTimeoutTimestamp(max(now + 1, waiting[0][micros] // 1000 + 1))
             elif silence is not None:
                 held.setTimeoutTimestamp(max(now + 1, last // 1000 + silence))
-        yield pd.DataFrame(made, columns=[key, *order, *names])
+        if made:
+            yield pd.DataFrame(made, columns=[key, *order, *names])
 
     kinds = dict(rows.dtypes)
     schema = ", ".join(f"{c} {kinds[c]}" for c in [key, *order]) + ", " + output
