@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from importlib import import_module
 
-_MODULES: tuple[str, ...] = ("relational", "sequences", "wake", "forecasts", "texts", "streams", "watch", "followups", "studies", "backtests")
+_MODULES: tuple[str, ...] = ("relational", "sequences", "wake", "forecasts", "texts", "streams", "watch", "followups", "studies", "backtests", "exports")
 
 
 def _all(name: str) -> dict:
