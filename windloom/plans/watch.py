@@ -8,11 +8,11 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from windloom.operators import sequence, watch
+from windloom.operators import causes, sequence, watch
 from windloom.plans import forecasts
 from windloom.plans.relational import rounded
 from windloom.plans.views import ctes, reading
-from windloom.session import table
+from windloom.session import stored, table
 
 #: The grid of alert rules: 24 sums and 16 counts.  Quantiles stand for the two episode limits of the projection.
 QUANTILES = (0.99, 0.999)
@@ -152,9 +152,38 @@ def sensor_fault_days(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sequence.sensor_faults(days, peers, most_bad=0.9).groupBy("sensor").agg(F.count_if("fault").alias("faults"), F.count_if("check").alias("checks"), F.count(F.lit(1)).alias("days"))
 
 
+def _causes(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    """Event types as cases of three sensors; days of the month to the 18th for the fit, to the 24th for thresholds."""
+    k = F.get_json_object("props", "$.k").cast("double")
+    rows = table(spark, sf_dir, "events").select(
+        F.col("event_type").alias("event_id"), "ts", F.col("event_id").alias("id"), (F.col("value") / 10).alias("wind"), (k * 20.5).alias("power"),
+        (k * 3.6 + F.pmod(F.xxhash64("event_id"), F.lit(1000)) / 100).alias("bearing"), F.dayofmonth("ts").alias("day"),
+    )
+    order, targets = ["ts", "id"], ["wind", "power", "bearing"]
+    made, inputs = causes.design(rows, "event_id", order, ["wind", "power"], ["wind"])
+    made = stored(made, "design")
+    fitted = stored(causes.fit(made, "event_id", inputs, targets, F.col("day") <= 18), "causes")
+    res = stored(causes.residuals(made, "event_id", order, inputs, targets, fitted, ["day"]), "residuals")
+    return res, causes.thresholds(res, "event_id", F.col("day").between(19, 24))
+
+
+def cause_thresholds(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What the cause models of all sensors reach on rows after their fit, and the thresholds at three quantiles."""
+    return rounded(_causes(spark, sf_dir)[1], threshold=6, r2=6)
+
+
+def cause_warnings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Days of the watched sensors under all rules of their quantiles, with warnings."""
+    res, limits = _causes(spark, sf_dir)
+    calibration = F.col("day").between(19, 24)
+    days = causes.episode_days(res, "event_id", ["ts", "id"], F.col("day"), limits, calibration, F.col("day") > 24)
+    out = watch.warnings(days, _rules(spark))
+    return out.select("rule_id", "event_id", "sensor", "quantile", "day", "episodes", "monitored", F.round("base_rate", 8).alias("base_rate"), "warn")
+
+
 _NAMES = (
     watch_days, watch_chart, peer_sensors, watch_warnings, watch_sensitivity, watch_summary, cases_by_subsystem, cases_by_farm, diagnosed_causes, warned_sensors, escalation,
-    hourly_case_series, error_shares, eligible_sensors, sensor_fault_days,
+    hourly_case_series, error_shares, eligible_sensors, sensor_fault_days, cause_thresholds, cause_warnings,
 )
 QUERIES = {f.__name__: f for f in _NAMES}
 
