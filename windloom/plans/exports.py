@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from windloom.operators.resample import floor_minutes
@@ -11,7 +11,9 @@ from windloom.plans.views import ctes, reading
 from windloom.session import shared_folder, table
 from windloom.sources import scada, zipped
 
-_SECOND = F.date_trunc("SECOND", F.col("ts").cast("timestamp")).cast("timestamp_ntz")
+
+def _second() -> Column:
+    return F.date_trunc("SECOND", F.col("ts").cast("timestamp")).cast("timestamp_ntz")
 
 
 def _written(rows: DataFrame, name: str, **options) -> str:
@@ -22,7 +24,7 @@ def _written(rows: DataFrame, name: str, **options) -> str:
 
 def zipped_turbines(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Readings as zipped exports with comment lines above the header, read as a data source: a member each part of a turbine."""
-    path = zipped.write_exports(reading(spark, sf_dir).select("turbine", _SECOND.alias("ts"), "wind", "power"), "zips")
+    path = zipped.write_exports(reading(spark, sf_dir).select("turbine", _second().alias("ts"), "wind", "power"), "zips")
     rows = zipped.zipped_exports(spark, f"{path}/*.zip", {"ts": "Date and time", "wind": "Wind speed (m/s)", "power": "Power (kW)"})
     out = rows.groupBy("turbine").agg(F.count(F.lit(1)).alias("n"), F.avg("wind").alias("wind"), F.avg("power").alias("power"), F.unix_timestamp(F.max("ts").cast("timestamp")).alias("last"))
     return rounded(out, wind=6, power=5)
@@ -55,7 +57,7 @@ def exported_wide(spark: SparkSession, sf_dir: str) -> DataFrame:
 def exported_case(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A labelled case, semicolons and a column a sensor, in long form."""
     rows = table(spark, sf_dir, "events").select(
-        F.date_format(_SECOND.cast("timestamp"), "yyyy-MM-dd HH:mm:ss").alias("time_stamp"), F.col("user_id").alias("asset_id"), F.col("event_id").alias("id"),
+        F.date_format(_second().cast("timestamp"), "yyyy-MM-dd HH:mm:ss").alias("time_stamp"), F.col("user_id").alias("asset_id"), F.col("event_id").alias("id"),
         F.when(F.col("event_id") % 5 < 4, "train").otherwise("prediction").alias("train_test"), (F.col("event_id") % 3).alias("status_type_id"),
         F.col("value").alias("sensor_1_avg"), F.when(F.col("event_id") % 7 > 0, F.get_json_object("props", "$.k")).alias("sensor_2_avg"),
     )
