@@ -12,7 +12,6 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
 from windloom.functions import angles
 from windloom.operators.followups import high_passed, rank_aligned
