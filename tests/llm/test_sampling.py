@@ -283,3 +283,15 @@ def test_similar_links_at_any_size_and_across_tiles(spark, monkeypatch):
     for tile in (2**21, 4000):
         monkeypatch.setattr(simhash, "TILE_SHINGLES", tile)
         assert sorted(r.doc_id for r in simhash.dedup(docs).collect()) == sorted(set(root))
+
+
+def test_toxicity_recall_and_precision(spark):
+    """On held-out rows: most toxic texts are found and hardly a clean one is."""
+    from windloom.llm import toxicity
+
+    sf = "/root/testdata/sf0.01"
+    truth = {r.doc_id: r.toxic for r in spark.read.parquet(f"{sf}/labels.parquet").collect()}
+    rows = [(truth[r.doc_id], r.predicted) for r in toxicity.op8_toxicity(spark, sf).where("held_out").collect() if r.doc_id in truth]
+    found = sum(t and p for t, p in rows)
+    assert found >= 0.6 * sum(t for t, _ in rows)
+    assert found >= 0.9 * sum(p for _, p in rows)
