@@ -621,3 +621,16 @@ def test_recurrences_with_many_keys_and_null_keys_a_part(spark):
         c = state.get((k, g), 0)
         state[k, g] = want[k, g, i] = min(5, max(0, c + (1 if f else -1))) if n else c
     assert {(r.k, r.g, r.i): r.criticality for r in got} == want
+
+
+def test_yaw_behind_the_vane_gate(spark):
+    rng, rows = np.random.default_rng(12), []
+    for farm, spread in (("moves", 9.0), ("still", 1.0)):
+        for turbine, offset in ((1, 4.0), (2, -3.0)):
+            for angle in rng.normal(0, spread, 800):
+                rows.append((farm, turbine, float(angle), float(rng.uniform(3, 10)), 5.0, float(100 * np.cos(np.radians(angle - offset)))))
+    rows += [("moves", 1, None, 6.0, 5.0, 1e9), ("moves", 1, 0.0, 6.0, -1.0, 1e9), ("moves", 1, 60.0, 6.0, 5.0, 1e9)]
+    got = {(r.farm, r.turbine): r for r in models.gated_yaw(spark.createDataFrame(rows, "farm string, turbine int, angle double, wind double, power double, value double")).collect()}
+    assert {k: r.status for k, r in got.items()} == {("moves", 1): "fitted", ("moves", 2): "fitted", ("still", 1): "not identifiable", ("still", 2): "not identifiable"}
+    assert got["moves", 1].offset_deg == pytest.approx(4.0, abs=1e-6) and got["moves", 2].offset_deg == pytest.approx(-3.0, abs=1e-6)
+    assert got["still", 1].offset_deg is None and got["still", 1].vane_std < 4 < got["moves", 1].vane_std

@@ -148,6 +148,23 @@ def cosine_yaw(rows: DataFrame, group: str, angle: str, value: str) -> DataFrame
     return s.select(group, "n", F.degrees(F.atan2(b, a)).alias("offset_deg"))
 
 
+#: Fixed values of the yaw study: winds below rated power, the vane's least deviation there, and the angles that are fitted.
+BELOW_RATED, LEAST_VANE_STD, WIDEST_ANGLE = (4.5, 8.5), 4.0, 25.0
+
+
+def gated_yaw(rows: DataFrame, value: str = "value") -> DataFrame:
+    """``(farm, turbine, vane_std, n, offset_deg, status)`` of ``rows(farm, turbine, angle, wind, power, value)``: ``cosine_yaw`` over the angles
+    within 25 degrees of turbines that produce below rated power, where the farm's vane moves enough to show a curve; elsewhere the
+    offset is NULL and the status ``not identifiable``."""
+    own = rows.where(F.col("angle").isNotNull() & (F.col("wind") > BELOW_RATED[0]) & (F.col("wind") < BELOW_RATED[1]) & (F.col("power") > 0))
+    gates = own.groupBy("farm").agg(F.stddev_samp("angle").alias("vane_std"))
+    near = own.where(F.abs("angle") <= WIDEST_ANGLE).withColumn("__key", F.struct("farm", "turbine"))
+    fits = cosine_yaw(near, "__key", "angle", value).select("__key.farm", "__key.turbine", "n", "offset_deg")
+    moves = F.coalesce(F.col("vane_std") >= LEAST_VANE_STD, F.lit(False))
+    offset = F.when(moves, F.col("offset_deg"))
+    return fits.join(gates, "farm").select("farm", "turbine", "vane_std", "n", offset.alias("offset_deg"), F.when(moves & F.col("offset_deg").isNotNull(), "fitted").otherwise("not identifiable").alias("status"))
+
+
 def draws_summary(draws: DataFrame, groups: list[str], value: str) -> DataFrame:
     """Mean, deviation and percentiles of Monte-Carlo draws."""
     return draws.groupBy(*groups).agg(F.avg(value).alias("mean"), F.stddev_samp(value).alias("std"), *[F.percentile(value, q).alias(f"p{int(q * 100)}") for q in (0.05, 0.1, 0.5, 0.9, 0.95)], F.count(F.lit(1)).alias("n"))

@@ -116,6 +116,13 @@ def cosine_yaw(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rounded(models.cosine_yaw(reading(spark, sf_dir), "turbine", "direction", "value"), offset_deg=4)
 
 
+def gated_yaw(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Yaw offsets by farm (event type) and turbine; the errors' vane hardly moves."""
+    spread = F.when(F.col("event_type") == "error", 38.0).otherwise(8.0)
+    rows = reading(spark, sf_dir).select(F.col("event_type").alias("farm"), (F.col("turbine") % 10).alias("turbine"), ((F.col("direction") - 180) / spread).alias("angle"), "wind", "power", "value")
+    return rounded(models.gated_yaw(rows), vane_std=6, offset_deg=4)
+
+
 def electrical_losses(spark: SparkSession, sf_dir: str) -> DataFrame:
     daily = reading(spark, sf_dir).groupBy(F.to_date("ts").alias("day")).agg(F.sum("value").alias("turbine_mwh"), (F.sum("value") * 0.985).alias("meter_mwh"))
     out = models.draws_summary(models.electrical_losses(daily), [], "loss")
@@ -149,7 +156,7 @@ def customer_nations(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 _NAMES = (
     naive_backtest, forecast_metrics, mae_by_lead, lag_features, rolling_error, out_of_band, recent_error, graded_forecasts, imbalance_cost, capacity_allocation, psi_drift, ks_drift,
-    ridge_residual, pca_score, holt_winters, gbt_forecast, var_forecast, cosine_yaw, electrical_losses, correlation_pairs, customer_nations,
+    ridge_residual, pca_score, holt_winters, gbt_forecast, var_forecast, cosine_yaw, gated_yaw, electrical_losses, correlation_pairs, customer_nations,
 )
 QUERIES = {f.__name__: f for f in _NAMES}
 
@@ -192,6 +199,11 @@ s as (select avg(x) as mx, avg(y) as my, avg(a) as ma, avg(b) as mb, var_pop(x)
 w as (select *, (xa * yy - ya * xy) / (xx * yy - xy * xy) as p, (ya * xx - xa * xy) / (xx * yy - xy * xy) as q, (xb * yy - yb * xy) / (xx * yy - xy * xy) as u, (yb * xx - xb * xy) / (xx * yy - xy * xy) as v from s),
 f as (select 0 as lead, arg_max(a, h) as a, arg_max(b, h) as b from k union all select lead + 1, ma + p * (a - mx) + q * (b - my), mb + u * (a - mx) + v * (b - my) from f, w where lead < 24)
 select lead, round(a, 5) as a, round(b, 5) as b from f where lead > 0""",
+    "gated_yaw": f"""{ctes('v_reading')}, o as (select event_type as farm, turbine % 10 as turbine, (direction - 180) / case when event_type = 'error' then 38 else 8 end::double as angle, value from v_reading where wind > 4.5 and wind < 8.5 and power > 0 and direction is not null),
+g as (select farm, stddev_samp(angle) as vane_std from o group by 1),
+s as (select farm, turbine, count(*) as n, var_pop(cos(radians(angle))) as xx, var_pop(sin(radians(angle))) as yy, covar_pop(cos(radians(angle)), sin(radians(angle))) as xy, covar_pop(cos(radians(angle)), value) as xv, covar_pop(sin(radians(angle)), value) as yv from o where abs(angle) <= 25 group by 1, 2),
+f as (select *, degrees(atan2((yv * xx - xv * xy) / nullif(xx * yy - xy * xy, 0), (xv * yy - yv * xy) / nullif(xx * yy - xy * xy, 0))) as off from s join g using (farm))
+select farm, turbine, round(vane_std, 6) as vane_std, n, round(case when vane_std >= 4 then off end, 4) as offset_deg, case when vane_std >= 4 and off is not null then 'fitted' else 'not identifiable' end as status from f""",
     "cosine_yaw": f"""{ctes('v_reading')}, s as (select turbine, count(*) as n, var_pop(cos(radians(direction))) as xx, var_pop(sin(radians(direction))) as yy, covar_pop(cos(radians(direction)), sin(radians(direction))) as xy, covar_pop(cos(radians(direction)), value) as xv, covar_pop(sin(radians(direction)), value) as yv
   from v_reading where direction is not null and value is not null group by 1)
 select turbine, n, round(degrees(atan2((yv * xx - xv * xy) / nullif(xx * yy - xy * xy, 0), (xv * yy - yv * xy) / nullif(xx * yy - xy * xy, 0))), 4) as offset_deg from s""",
