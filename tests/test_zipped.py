@@ -60,3 +60,11 @@ def test_written_archives_are_read_back(spark):
     assert key(back) == key(rows.withColumn("ts", F.col("ts").cast("timestamp_ntz")))
     one = str(rows.first().turbine)
     assert back.where(F.col("turbine") == one).count() == rows.where(F.col("turbine") == one).count()
+
+
+def test_many_members_share_partitions(spark, archive, monkeypatch):
+    monkeypatch.setattr(zipped, "MAX_PARTITIONS", 2)
+    reader = zipped.Reader([f"{archive}/a.zip"], COLUMNS, r"Turbine_Data_.*\.csv$", zipped.Wanted(["1", "2"]))
+    parts = reader.partitions()
+    assert len(parts) == 2 and {(m.turbine, m.first[:4]) for p in parts for m in (p, *p.more)} == {(t, y) for t in ("1", "2") for y in ("2020", "2021")}
+    assert sorted(v for p in parts for b in reader.read(p) for v in b.column("power").to_pylist()) == [t * 100.0 + m for t in (1, 2) for m in (1, 1, 2, 2, 3, 3)]

@@ -1,6 +1,6 @@
 """Zipped turbine exports as a Spark data source, and a writer of such archives.
 
-The source has one partition a member.  A member's name holds the turbine and the days that it covers, so of wanted turbines and times
+The source has one partition a member, or with more than ``MAX_PARTITIONS`` members one for some members of an archive in a row.  A member's name holds the turbine and the days that it covers, so of wanted turbines and times
 the members that can't have rows are never opened; the rows are filtered as well.  Only the wanted columns are parsed.
 
 What is wanted is given to ``zipped_exports`` and not pushed down by Spark: Spark 4.1 keeps the partitions of a Python source's first
@@ -13,8 +13,10 @@ import datetime as dt
 import io
 import json
 import re
+import zipfile
 from collections.abc import Iterator
-from dataclasses import dataclass
+from dataclasses import dataclass, field
+from functools import lru_cache
 
 import pandas as pd
 import pyarrow as pa
@@ -27,6 +29,8 @@ from windloom.session import shared_folder
 from windloom.sources import scada
 
 NAME = "windloom_zipped_exports"
+#: About so many partitions at most (an archive's last one may be smaller).
+MAX_PARTITIONS = 256
 #: ``..._<turbine>_<first day>_-_<day after the last>_...csv`` in a member's name; the days may be missing.
 MEMBER = re.compile(r"_(\d+)_(\d{4}-\d\d-\d\d)?(?:_-_(\d{4}-\d\d-\d\d))?[^/]*\.csv$")
 
@@ -38,6 +42,9 @@ class Member(ds.InputPartition):
     turbine: str
     first: str | None
     end: str | None
+    size: int = 0
+    #: Further members of the archive that the same task reads.
+    more: list[Member] = field(default_factory=list)
 
 
 @dataclass
@@ -64,17 +71,33 @@ class Reader(ds.DataSourceReader):
         out = []
         for archive in self.archives:
             with scada._archive(archive) as z:
-                names = sorted(n for n in z.namelist() if re.search(self.pattern, n))
-            for name in names:
+                names = sorted((i.filename, i.file_size) for i in z.infolist() if re.search(self.pattern, i.filename))
+            for name, size in names:
                 found = MEMBER.search(name)
                 turbine, first, end = (str(int(found.group(1))), *found.groups()[1:]) if found else (name, None, None)
                 if self.wanted.may_have(turbine, first, end):
-                    out.append(Member(archive, name, turbine, first, end))
-        return out
+                    out.append(Member(archive, name, turbine, first, end, size))
+        if len(out) <= MAX_PARTITIONS:
+            return out
+        share = sum(m.size for m in out) / MAX_PARTITIONS
+        parts, held = [], 0
+        for m in out:
+            if parts and parts[-1].archive == m.archive and held + m.size <= share:
+                parts[-1].more.append(m)
+                held += m.size
+            else:
+                parts.append(m)
+                held = m.size
+        return parts
 
     def read(self, member: Member) -> Iterator[pa.RecordBatch]:
+        with scada._archive(member.archive) as z:
+            for m in (member, *member.more):
+                yield from self._rows(z, m)
+
+    def _rows(self, z: zipfile.ZipFile, member: Member) -> Iterator[pa.RecordBatch]:
         own = {v: k for k, v in self.columns.items()}
-        with scada._archive(member.archive) as z, z.open(member.name) as raw:
+        with z.open(member.name) as raw:
             lines = io.TextIOWrapper(raw, "utf-8-sig", "replace", newline="")
             header = first = None
             for line in lines:
@@ -87,7 +110,7 @@ class Reader(ds.DataSourceReader):
                 raise ValueError(f"{member.name}: no header line that begins with '# Date and time'")
             if first is None:
                 return
-            names = [" ".join(str(c).split()) for c in pd.read_csv(io.StringIO(header.lstrip("# ")), nrows=0).columns]
+            names = list(_names(header))
             for frame in pd.read_csv(scada._Joined(first, lines), names=names, usecols=list(own), chunksize=scada.CHUNK_LINES):
                 frame = frame.rename(columns=own)
                 ts = pd.to_datetime(frame["ts"], errors="coerce", format="%Y-%m-%d %H:%M:%S")
@@ -97,6 +120,11 @@ class Reader(ds.DataSourceReader):
                 yield batch.filter(pc.is_valid(batch.column(1)))
 
 
+@lru_cache
+def _names(header: str) -> tuple[str, ...]:
+    return tuple(" ".join(str(c).split()) for c in pd.read_csv(io.StringIO(header.lstrip("# ")), nrows=0).columns)
+
+
 class ZippedExports(ds.DataSource):
     """Options: ``archives``, JSON list of files; ``columns``, JSON object of names here (ts among them) to header names; ``pattern``;
     ``wanted``, JSON object with the fields of ``Wanted``."""
@@ -140,7 +168,6 @@ def write_exports(rows: DataFrame, name: str, comments: int = 9) -> str:
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         import uuid
-        import zipfile
 
         files, root = fs.FileSystem.from_uri(re.sub("^file:/+", "file:///", path)) if ":" in path else (fs.LocalFileSystem(), path)
         files.create_dir(root, recursive=True)
