@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -65,6 +66,17 @@ def numbers(text: Column) -> Column:
     return F.array_sort(F.array_distinct(F.transform(found, lambda t: F.replace(t, F.lit(","), F.lit("")).try_cast("double"))))
 
 
+def printed(values: Column, digits: int = 3) -> Column:
+    """Numbers with so many digits, space-joined, as C prints them: of the exact binary value, ties to even (Java's formatter
+    rounds the shortest decimal form half up and pads it with zeros).  NULL stays NULL."""
+
+    @F.pandas_udf("string")
+    def run(lists: pd.Series) -> pd.Series:
+        return lists.map(lambda own: None if own is None else " ".join(f"{v:.{digits}f}" for v in own))
+
+    return run(values)
+
+
 def squashed(text: Column) -> Column:
     return F.lower(F.trim(F.regexp_replace(text, r"\s+", " ")))
 

@@ -19,7 +19,7 @@ def component_keywords(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def numbers_in_text(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return table(spark, sf_dir, "documents").select("doc_id", F.concat_ws(" ", F.transform(T.numbers(F.col("text")), lambda v: F.format_string("%.3f", v))).alias("numbers"))
+    return table(spark, sf_dir, "documents").select("doc_id", T.printed(T.numbers(F.col("text"))).alias("numbers"))
 
 
 def clean_text(spark: SparkSession, sf_dir: str) -> DataFrame:
