@@ -24,8 +24,9 @@ def downtime(events: DataFrame, groups: list[str], start: str = "start_s", end:
 
 def top_causes(events: DataFrame, groups: list[str], k: int = 3, start: str = "start_s", end: str = "end_s") -> DataFrame:
     """Per group the k messages with the most hours: count, sum and longest."""
-    hours = (F.col(end) - F.col(start)) / 3600
-    causes = events.groupBy(*groups, "message").agg(F.count(F.lit(1)).alias("n"), F.sum(hours).alias("hours"), F.max(hours).alias("longest"))
+    # Whole seconds are summed, so that equal sums are equal in any order of the rows.
+    seconds = F.col(end) - F.col(start)
+    causes = events.groupBy(*groups, "message").agg(F.count(F.lit(1)).alias("n"), (F.sum(seconds) / 3600).alias("hours"), (F.max(seconds) / 3600).alias("longest"))
     w = Window.partitionBy(*groups).orderBy(F.desc("hours"), "message")
     return causes.withColumn("position", F.row_number().over(w)).where(F.col("position") <= k)
 
