@@ -43,8 +43,8 @@ def diagnose(band: DataFrame, efficiency: DataFrame, neighbours: DataFrame, yaw:
 
 
 def recommend(efficiency: DataFrame, noted: DataFrame) -> DataFrame:
-    """The turbine with the lowest capacity factor among those without a note (ties: the smaller id)."""
-    return efficiency.join(noted.select("turbine"), "turbine", "left_anti").orderBy("capacity_factor", "turbine").limit(1)
+    """The turbine with the lowest capacity factor, to twelve digits, among those without a note (ties: the smaller id)."""
+    return efficiency.join(noted.select("turbine"), "turbine", "left_anti").orderBy(F.round("capacity_factor", 12), "turbine").limit(1)
 
 
 def extremes(metrics: DataFrame, metric: str) -> DataFrame:
