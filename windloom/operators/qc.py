@@ -7,6 +7,8 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from windloom.functions.wind import right_closed_bin
+from windloom.operators.parts import percentiles, with_neighbours
+from windloom.session import stored
 
 
 def frozen(value: Column, window, repeats: int = 3) -> Column:
@@ -71,40 +73,48 @@ TEMPERATURE_LIMITS = (-50.0, 250.0)
 def sensor_checks(rows: DataFrame, group: str, order: list[str], value: str, reference: str, temperature: bool = False) -> DataFrame:
     """Five checks per reading, each against the sensor's own reference rows: ``gap``, ``stale``, ``out_of_range``, ``step``
     and ``erratic``, and ``bad`` for any.  Sensors with under 100 reference readings get only ``gap``."""
-    w = Window.partitionBy(group).orderBy(*order)
     x, r = F.col(value), F.col(reference)
-    rows = rows.withColumn("__d", x - F.lag(x).over(w))
+    # Windows go over parts of a sensor's rows that hold what lies before and after them.
+    w = Window.partitionBy(group, "__part").orderBy(*order)
+    parts = with_neighbours(rows, [group], order, SCATTER_ROWS, 1).withColumn("__d", x - F.lag(x).over(w))
     last6 = w.rowsBetween(-(SCATTER_ROWS - 1), 0)
     scatter = F.when(F.count("__d").over(last6) == SCATTER_ROWS, F.stddev_samp("__d").over(last6))
-    rows = rows.withColumns({"__same": F.coalesce(F.col("__d") == 0, F.lit(False)), "__scatter": scatter})
-    rows = run_lengths(rows, [group], order, F.col("__same")).withColumnRenamed("run", "__run")
-    rows = run_lengths(rows, [group], order, F.col("__same") & r).withColumnRenamed("run", "__ref_run")
-    # One value for each reference run, at its last row.
-    ends = (F.col("__ref_run") > 0) & (F.coalesce(F.lead("__ref_run").over(w), F.lit(0)) == 0)
-    rows = rows.withColumn("__run_end", F.when(ends, F.col("__ref_run")))
-    seen = r & x.isNotNull()
-    stats = rows.groupBy(group).agg(
-        F.count(F.when(seen, x)).alias("__n"),
-        F.percentile(F.when(seen, x), 0.001).alias("__lo"), F.percentile(F.when(seen, x), 0.999).alias("__hi"),
-        F.coalesce(F.percentile("__run_end", 0.999), F.lit(0.0)).alias("__normal"),
-        F.count(F.when(r, F.col("__d"))).alias("__nd"), F.percentile(F.when(r, F.abs("__d")), 0.999).alias("__dq"),
-        F.count(F.when(r, F.col("__scatter"))).alias("__ns"), F.percentile(F.when(r, F.col("__scatter")), 0.99).alias("__sq"),
-    )
-    common = rows.where(seen).groupBy(group, value).agg(F.count(F.lit(1)).alias("__c"))
-    rows = rows.join(stats, group).join(common, [group, value], "left")
-    enough = F.col("__n") >= LEAST_REFERENCE
+    parts = parts.withColumns({"__same": F.coalesce(F.col("__d") == 0, F.lit(False)), "__scatter": scatter, "__next": F.lead("__d").over(w)})
+    # A run of rows without change has the number of changes up to it, in its part and then in all parts before.
+    upto = w.rowsBetween(Window.unboundedPreceding, 0)
+    changes = {"__run": ~F.col("__same"), "__ref_run": ~F.coalesce(F.col("__same") & r, F.lit(False))}
+    parts = parts.withColumns({c: F.sum((F.col("__own") & m).cast("long")).over(upto) for c, m in changes.items()})
+    parts = parts.where("__own").withColumns({"__ad": F.when(r, F.abs("__d")), "__sx": F.when(r, x), "__rs": F.when(r, F.col("__scatter"))})
+    rows = stored(parts.drop("__own"), "checks")
+    earlier = Window.partitionBy(group).orderBy("__part").rowsBetween(Window.unboundedPreceding, -1)
+    ends = rows.groupBy(group, "__part").agg(*[F.max(c).alias(f"{c}_end") for c in changes])
+    ends = ends.select(group, "__part", *[F.coalesce(F.sum(f"{c}_end").over(earlier), F.lit(0)).alias(f"{c}_from") for c in changes])
+    rows = rows.join(stored(ends, "ends"), [group, "__part"]).withColumns({c: F.col(c) + F.col(f"{c}_from") for c in changes})
+    lengths = lambda c, m: rows.where(m).groupBy(group, c).agg(F.count(F.lit(1)).alias("__length"))
+    stats = rows.groupBy(group).agg(F.count("__sx").alias("__n"), F.count("__ad").alias("__nd"), F.count("__rs").alias("__ns"))
+    shares = {"__lo": ("__sx", 0.001), "__hi": ("__sx", 0.999), "__dq": ("__ad", 0.999), "__sq": ("__rs", 0.99)}
+    stats = stats.join(percentiles(rows, [group], shares), group)
+    normal = percentiles(lengths("__ref_run", F.col("__same") & r), [group], {"__normal": ("__length", 0.999)})
+    stats = stored(stats.join(normal, group, "left").na.fill(0.0, ["__normal"]), "stats")
     limit = F.greatest(F.lit(STALE_ROWS - 1.0), F.ceil(STALE_FACTOR * F.col("__normal")).cast("double"))
-    long = F.col("__run") >= limit
-    long = long | F.coalesce(F.lead(long).over(w), F.lit(False))
-    usual = F.coalesce(F.col("__c") > COMMON_SHARE * F.col("__n"), F.lit(False))
+    # The row before a run, the first of its value, has the run's number.
+    long = lengths("__run", F.col("__same")).join(stats, group).where(F.col("__length") >= limit).select(group, "__run", F.lit(True).alias("__long"))
+    long = stored(long, "long")
+    # Common values are counted for those of long runs only.
+    asked = stored(rows.join(long, [group, "__run"]).select(group, value).distinct(), "asked")
+    common = rows.where("__sx is not null").join(asked, [group, value], "left_semi").groupBy(group, value).agg(F.count(F.lit(1)).alias("__c")).join(stats, group)
+    common = stored(common.where(F.col("__c") > COMMON_SHARE * F.col("__n")).select(group, value, F.lit(True).alias("__usual")), "common")
+    rows = rows.join(stats, group).join(long, [group, "__run"], "left").join(common, [group, value], "left")
+    enough = F.col("__n") >= LEAST_REFERENCE
+    long, usual = F.coalesce("__long", F.lit(False)), F.coalesce("__usual", F.lit(False))
     spread = F.greatest(F.col("__hi") - F.col("__lo"), F.lit(1e-6))
     out = (x < F.col("__lo") - SPREADS * spread) | (x > F.col("__hi") + SPREADS * spread)
     if temperature:
         out = out | (x < TEMPERATURE_LIMITS[0]) | (x > TEMPERATURE_LIMITS[1])
-    big = F.coalesce((F.abs("__d") > STEP_FACTOR * F.greatest("__dq", F.lit(1e-6))) & (F.col("__nd") > 100), F.lit(False))
+    big = lambda d: F.coalesce((F.abs(d) > STEP_FACTOR * F.greatest("__dq", F.lit(1e-6))) & (F.col("__nd") > 100), F.lit(False))
     checked = rows.withColumns({
         "gap": x.isNull(), "stale": enough & long & ~usual, "out_of_range": enough & F.coalesce(out, F.lit(False)),
-        "step": enough & (big | F.coalesce(F.lead(big).over(w), F.lit(False))),
+        "step": enough & (big("__d") | big("__next")),
         "erratic": enough & F.coalesce((F.col("__scatter") > SCATTER_FACTOR * F.greatest("__sq", F.lit(1e-6))) & (F.col("__ns") > 100), F.lit(False)),
     })
     checked = checked.drop(*[c for c in checked.columns if c.startswith("__")])
@@ -113,12 +123,13 @@ def sensor_checks(rows: DataFrame, group: str, order: list[str], value: str, ref
 
 def profile(rows: DataFrame, groups: list[str], order: list[str], value: str) -> DataFrame:
     """Counts per group: rows, missing, negative, far from the median (robust z above 10) and stuck (two before equal)."""
-    w = Window.partitionBy(*groups).orderBy(*order)
-    x = F.col(value)
-    centre = rows.groupBy(*groups).agg(F.median(value).alias("__m"))
-    rows = rows.withColumn("__stuck", F.coalesce((x == F.lag(x, 1).over(w)) & (x == F.lag(x, 2).over(w)), F.lit(False))).join(centre, groups)
+    w, x = Window.partitionBy(*groups, "__part").orderBy(*order), F.col(value)
+    own = with_neighbours(rows.select(*{*groups, *order, value}), groups, order, 2)
+    stuck = F.coalesce((x == F.lag(x, 1).over(w)) & (x == F.lag(x, 2).over(w)), F.lit(False))
+    rows = stored(own.withColumn("__stuck", stuck).where("__own").select(*groups, value, "__stuck"), "stuck")
+    rows = rows.join(stored(percentiles(rows, groups, {"__m": (value, 0.5)}), "median"), groups)
     rows = rows.withColumn("__a", F.abs(x - F.col("__m")))
-    mad = rows.groupBy(*groups).agg(F.median("__a").alias("__mad"))
+    mad = stored(percentiles(rows, groups, {"__mad": ("__a", 0.5)}), "mad")
     far = F.coalesce(F.try_divide(0.6745 * F.col("__a"), F.col("__mad")) > 10, F.lit(False))
     return rows.join(mad, groups).groupBy(*groups).agg(
         F.count(F.lit(1)).alias("n"), F.count_if(x.isNull()).alias("missing"), F.count_if(x < 0).alias("negative"), F.count_if(far).alias("far"), F.count_if("__stuck").alias("stuck")
