@@ -45,3 +45,11 @@ def test_no_window_of_the_checks_holds_a_sensor(spark, monkeypatch):
     one = qc.profile(df, ["s"], ["i"], "v").first()
     assert one.n == 3000 and one.stuck == sum(rows[i][1] == rows[i - 1][1] == rows[i - 2][1] for i in range(2, 3000))
     assert len(sizes) == 2 and max(sizes) < 600
+
+
+def test_rules_of_the_watch_meet_days_that_lie_by_case(spark):
+    from windloom.plans import watch
+
+    plan = watch._alarms(spark, "/root/testdata/sf0.001")._jdf.queryExecution().executedPlan().toString()
+    # One for the days' ends, sums and rates each and one by case, which no rule multiplies.
+    assert "rule_id" not in "".join(line for line in plan.splitlines() if "Exchange hashpartitioning" in line)

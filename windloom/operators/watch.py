@@ -69,9 +69,11 @@ def component_days(warned: DataFrame, keys: list[str]) -> DataFrame:
     """``(keys, component, day, sensors)`` on alarm: a member warns today, and ``min_sensors`` of them (no more than there are)
     did within the recent days.  ``warned(keys, sensor, component, day, warn, min_sensors)`` has whole days of every member."""
     w = Window.partitionBy(*keys, "sensor").orderBy("day").rangeBetween(-(RECENT_DAYS - 1), 0)
-    members = warned.groupBy(*keys, "component").agg(F.countDistinct("sensor").alias("__members"))
-    out = warned.withColumn("__recent", F.bool_or("warn").over(w)).groupBy(*keys, "component", "day", "min_sensors")
-    out = out.agg(F.count_if("__recent").alias("__on"), F.bool_or("warn").alias("__today"), F.count_if("warn").alias("sensors")).join(members, [*keys, "component"])
+    first = F.row_number().over(Window.partitionBy(*keys, "sensor").orderBy("day")) == 1
+    out = warned.withColumns({"__recent": F.bool_or("warn").over(w), "__first": first}).groupBy(*keys, "component", "day", "min_sensors")
+    out = out.agg(F.count_if("__recent").alias("__on"), F.bool_or("warn").alias("__today"), F.count_if("warn").alias("sensors"), F.count_if("__first").alias("__new"))
+    # Each member has one first day: the rows are not made twice to count them.
+    out = out.withColumn("__members", F.sum("__new").over(Window.partitionBy(*keys, "component")))
     return out.where(F.col("__today") & (F.col("__on") >= F.least("min_sensors", "__members"))).select(*keys, "component", "day", "sensors")
 
 

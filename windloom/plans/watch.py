@@ -50,7 +50,10 @@ def _cases(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def _alarms(spark: SparkSession, sf_dir: str, only: int | None = None) -> DataFrame:
     rules = _rules(spark) if only is None else _rules(spark).where(F.col("rule_id") == only)
-    return watch.component_days(watch.warnings(_days(spark, sf_dir), rules), ["rule_id", "event_id"])
+    # Days lie together by case before they meet the rules: windows and sums by rule and case need no further shuffle.  A number is given,
+    # as the few bytes of the days would else be put into few tasks.
+    n = 4 * int(spark.conf.get("spark.sql.shuffle.partitions"))
+    return watch.component_days(watch.warnings(_days(spark, sf_dir).repartition(n, "event_id"), rules), ["rule_id", "event_id"])
 
 
 def _results(spark: SparkSession, sf_dir: str, only: int | None = None) -> DataFrame:
