@@ -8,6 +8,9 @@ from pyspark.sql import functions as F
 #: Fixed physical values: sea-level density (kg/m3), gas constant of dry air, Betz limit.
 AIR_DENSITY, GAS_CONSTANT, BETZ = 1.225, 287.05, 16 / 27
 
+#: Share of a limit by which doubles may miss it through rounding alone: a value this near to the limit is at the limit.
+TIE = 1e-12
+
 
 def air_density(temperature_c: Column, pressure_hpa: Column) -> Column:
     return pressure_hpa * 100 / (GAS_CONSTANT * (temperature_c + 273.15))
@@ -55,11 +58,11 @@ def reanalysis_miss(speed: Column, output: Column, capacity: float) -> Column:
 
 def yaw_status(mean_deg: Column, ci_low: Column, ci_high: Column, spread_deg: Column, flag_at: float = 3.0, widest: float = 10.0) -> Column:
     """``inconclusive`` if a value is missing or the estimates by wind speed spread too far; ``flag`` if the offset is
-    material and its confidence interval excludes zero; else ``ok``."""
+    material and its confidence interval excludes zero; else ``ok``.  Values at a limit count as the limit in any order of summing."""
     known = mean_deg.isNotNull() & ci_low.isNotNull() & ci_high.isNotNull() & spread_deg.isNotNull()
     return (
-        F.when(~known | (spread_deg > widest), "inconclusive")
-        .when((F.abs(mean_deg) >= flag_at) & ((ci_low > 0) | (ci_high < 0)), "flag")
+        F.when(~known | (spread_deg > widest * (1 + TIE)), "inconclusive")
+        .when((F.abs(mean_deg) >= flag_at * (1 - TIE)) & ((ci_low > 0) | (ci_high < 0)), "flag")
         .otherwise("ok")
     )
 

@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from windloom.functions.wind import right_closed_bin
+from windloom.functions.wind import TIE, right_closed_bin
 from windloom.operators.parts import percentiles, with_neighbours
 from windloom.session import stored
 
@@ -32,13 +32,9 @@ def frozen_flags(rows: DataFrame, groups: list[str], order: list[str], value: st
     return rows.withColumn("frozen", frozen(F.col(value), Window.partitionBy(*groups).orderBy(*order), repeats))
 
 
-#: Share of the limit by which doubles may exceed it through rounding alone: a row at exactly ``spread`` deviations is no further than that.
-TIE = 1e-12
-
-
 def bin_outliers(rows: DataFrame, groups: list[str], by: str, value: str, width: float, low: float, high: float, spread: float = 2.0) -> DataFrame:
     """``outlier``: further than ``spread`` sample deviations from the median of ``value`` among the group's rows in the
-    same right-closed bin of ``by``; rows outside (low, high] are never flagged."""
+    same right-closed bin of ``by``; rows at that limit, in any order of summing, or outside (low, high] are never flagged."""
     number = F.when((F.col(by) > low) & (F.col(by) <= high), right_closed_bin(F.col(by), low, width))
     rows = rows.withColumn("bin", number)
     stats = rows.where("bin is not null").groupBy(*groups, "bin").agg(F.median(value).alias("__m"), F.stddev_samp(value).alias("__s"))

@@ -11,7 +11,7 @@ from pyspark.sql.window import Window
 from windloom.functions import angles, text, wind
 from windloom.operators import followups, forecasting, power_curve, resample, rules, sequence
 from windloom.plans import forecasts, wake
-from windloom.plans.relational import rounded
+from windloom.plans.relational import rounded, settled
 from windloom.plans.views import RATED_KW, ROTOR_M, ctes, hourly, interval, layout, reading, signal
 from windloom.session import nan_to_null, table
 from windloom.sources import scada
@@ -65,9 +65,9 @@ def turbine_details(spark: SparkSession, sf_dir: str) -> DataFrame:
     eff = signal(spark, sf_dir).groupBy("turbine").agg((F.avg("power") / RATED_KW).alias("capacity_factor"))
     own = rules.turbine_details(eff, followups.status_stats(_status(spark, sf_dir)).select("turbine", "interventions"), yaw_ranking(spark, sf_dir).select("turbine", "status"))
     fleet = eff.agg(F.avg("capacity_factor").alias("fleet_mean"), F.count(F.lit(1)).alias("fleet_size"))
-    above = rounded(eff, capacity_factor=6).withColumn("position", F.rank().over(Window.orderBy(F.desc("capacity_factor")))).select("turbine", "position")
+    above = settled(eff, capacity_factor=6).withColumn("position", F.rank().over(Window.orderBy(F.desc("capacity_factor")))).select("turbine", "position")
     out = own.join(F.broadcast(fleet)).join(above, "turbine")
-    return rounded(out.select("turbine", "capacity_factor", "fleet_mean", "fleet_size", "position", "interventions", "status"), capacity_factor=6, fleet_mean=6)
+    return settled(out.select("turbine", "capacity_factor", "fleet_mean", "fleet_size", "position", "interventions", "status"), capacity_factor=6, fleet_mean=6)
 
 
 def signal_join(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -16,6 +16,11 @@ def rounded(df: DataFrame, **digits: int) -> DataFrame:
     return df.withColumns({c: F.round(c, d) for c, d in digits.items()})
 
 
+def settled(df: DataFrame, **digits: int) -> DataFrame:
+    """``rounded`` for means of many rows: to twelve digits first, so that a mean that ends in a 5 goes up in any order of summing."""
+    return rounded(rounded(df, **dict.fromkeys(digits, 12)), **digits)
+
+
 def power_curve_binned(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = power_curve.binned_curve(signal(spark, sf_dir), ["turbine"])
     return rounded(out, mean_power=8)
@@ -37,19 +42,19 @@ def farm_hourly_sum(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def efficiency_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = power_curve.efficiency_summary(signal(spark, sf_dir), RATED_KW, ROTOR_M)
-    return rounded(out, capacity_factor=6, peak_cp=6, betz_limit=6)
+    return rounded(settled(out, capacity_factor=6), peak_cp=6, betz_limit=6)
 
 
 def turbine_rank(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = power_curve.efficiency_summary(signal(spark, sf_dir), RATED_KW, ROTOR_M)
-    out = rounded(out.select("turbine", "capacity_factor"), capacity_factor=6)
+    out = settled(out.select("turbine", "capacity_factor"), capacity_factor=6)
     return power_curve.ranked(out, "capacity_factor")
 
 
 def recommended_turbine(spark: SparkSession, sf_dir: str) -> DataFrame:
     own = power_curve.efficiency_summary(signal(spark, sf_dir), RATED_KW, ROTOR_M)
     noted = table(spark, sf_dir, "supplier").where("s_acctbal < 1000").select(F.col("s_suppkey").alias("turbine"))
-    return rounded(rules.recommend(own.select("turbine", "capacity_factor"), noted), capacity_factor=6)
+    return settled(rules.recommend(own.select("turbine", "capacity_factor"), noted), capacity_factor=6)
 
 
 def wind_rose_energy(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -9,7 +9,7 @@ from windloom.functions.text import fingerprint
 from windloom.operators import studies
 from windloom.operators.power_curve import efficiency_summary
 from windloom.plans import forecasts, texts, wake
-from windloom.plans.relational import rounded
+from windloom.plans.relational import rounded, settled
 from windloom.plans.views import RATED_KW, ROTOR_M, ctes, reading, signal
 from windloom.session import table
 
@@ -38,7 +38,7 @@ def farm_export(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def compact_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
-    eff = rounded(efficiency_summary(signal(spark, sf_dir), RATED_KW, ROTOR_M), capacity_factor=6, peak_cp=6)
+    eff = rounded(settled(efficiency_summary(signal(spark, sf_dir), RATED_KW, ROTOR_M), capacity_factor=6), peak_cp=6)
     tree = eff.select("turbine", F.struct("capacity_factor", "peak_cp", "hours", "betz_limit").alias("result"))
     return studies.compact_summary(tree, "turbine", "result", ["hours", "betz_limit"], "capacity_factor")
 

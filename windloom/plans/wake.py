@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from windloom.operators import forecasting, geometry, layouts, rules, yields
 from windloom.operators.power_curve import efficiency_summary
-from windloom.plans.relational import rounded
+from windloom.plans.relational import rounded, settled
 from windloom.plans.views import RATED_KW, ROTOR_M, ctes, layout, reading, signal
 from windloom.session import stored, table
 
@@ -126,7 +126,7 @@ def diagnosis(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def best_and_worst(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return rounded(rules.extremes(efficiency_summary(signal(spark, sf_dir), RATED_KW, ROTOR_M), "capacity_factor"), best_value=6, worst_value=6)
+    return settled(rules.extremes(efficiency_summary(signal(spark, sf_dir), RATED_KW, ROTOR_M), "capacity_factor"), best_value=6, worst_value=6)
 
 
 _NAMES = (
