@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from windloom.operators import forecasting, geometry, layouts, rules, yields
@@ -27,29 +27,37 @@ def freestream_sets(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _readings(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Records of all turbines: one a ship date and part number's remainder, with a direction from the part."""
-    rows = table(spark, sf_dir, "lineitem").select(
-        F.concat_ws(":", F.unix_timestamp(F.col("l_shipdate").cast("timestamp")).cast("string"), (F.col("l_partkey") % 4).cast("string")).alias("record"),
-        F.col("l_suppkey").alias("turbine"), (F.col("l_extendedprice") / 50).alias("power"),
-    )
-    rows = rows.groupBy("record", "turbine").agg(F.avg("power").alias("power"))
-    return rows.withColumn("direction", (F.pmod(F.conv(F.substring(F.md5(F.col("record").cast("binary")), 1, 6), 16, 10).cast("long"), F.lit(3600)) / 10))
+    """Records of all turbines: one a ship date and part number's remainder, as one whole number; a record is in one partition."""
+    record = F.unix_timestamp(F.col("l_shipdate").cast("timestamp")) * 8 + F.col("l_partkey") % 4 + 3
+    rows = table(spark, sf_dir, "lineitem").select(record.alias("record"), F.col("l_suppkey").alias("turbine"), (F.col("l_extendedprice") / 50).alias("power"))
+    return rows.repartition("record").groupBy("record", "turbine").agg(F.avg("power").alias("power"))
 
 
-def _records(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return geometry.wake_records(_readings(spark, sf_dir), geometry.freestream(layout(spark, sf_dir), REACH), RATED_KW, 3)
+def _second() -> Column:
+    return F.floor(F.col("record") / 8)
+
+
+def _direction() -> Column:
+    """A direction from a record's date and part."""
+    name = F.concat_ws(":", _second().cast("string"), (F.pmod("record", F.lit(8)) - 3).cast("string"))
+    return F.when(F.col("record").isNotNull(), F.pmod(F.conv(F.substring(F.md5(name.cast("binary")), 1, 6), 16, 10).cast("long"), F.lit(3600)) / 10)
+
+
+def _measured(spark: SparkSession, sf_dir: str) -> tuple:
+    sectors = stored(geometry.open_sectors(layout(spark, sf_dir), REACH), "sectors")
+    return _readings(spark, sf_dir), sectors, _direction(), RATED_KW, 3
 
 
 def wake_loss_by_turbine(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return rounded(geometry.wake_losses(_records(spark, sf_dir), ["turbine"]), loss_pct=6)
+    return rounded(geometry.wake_losses(*_measured(spark, sf_dir)), loss_pct=6)
 
 
 def wake_loss_by_direction(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return rounded(geometry.wake_by_direction(_records(spark, sf_dir)), loss_pct=6, energy_share_pct=6)
+    return rounded(geometry.wake_by_direction(geometry.wake_records(*_measured(spark, sf_dir))), loss_pct=6, energy_share_pct=6)
 
 
 def worst_directions(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return geometry.worst_bins(rounded(geometry.wake_by_direction(_records(spark, sf_dir)), loss_pct=6, energy_share_pct=6), 3, 40)
+    return geometry.worst_bins(wake_loss_by_direction(spark, sf_dir), 3, 40)
 
 
 def gam_yield_draws(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -62,9 +70,9 @@ def gam_yield_draws(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def long_term_wake(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Wake losses by 30 draws of the ship dates, as measured and with the events' long-term winds."""
-    own = _records(spark, sf_dir).withColumn("day", F.floor(F.split("record", ":")[0].cast("long") / 86400))
+    own = geometry.wake_records(*_measured(spark, sf_dir)).withColumn("day", F.floor(_second() / 86400))
     sector, speed = F.floor(F.col("direction") / 30).cast("int"), F.least(F.floor(10 * F.col("free_kw") / RATED_KW), F.lit(9)).cast("int")
-    bins = own.groupBy("day", sector.alias("direction"), speed.alias("speed")).agg(F.sum("power").alias("power"), F.sum("free_kw").alias("free"), F.count(F.lit(1)).alias("records"))
+    bins = own.groupBy("day", sector.alias("direction"), speed.alias("speed")).agg(F.sum("power").alias("power"), F.sum(F.col("free_kw") * F.col("reporting")).alias("free"), F.sum("reporting").alias("records"))
     bins = stored(bins, "bins")
     bins = bins.join(forecasting.numbered(bins.select("day").distinct(), "day").withColumnRenamed("i", "day_no"), "day").drop("day")
     winds = reading(spark, sf_dir).groupBy(F.floor(F.col("direction") / 30).cast("int").alias("direction"), F.least(F.floor("wind"), F.lit(9)).cast("int").alias("speed"))
